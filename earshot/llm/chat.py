@@ -17,7 +17,7 @@ of any length streams through and none is held in memory. ``conversations()``
 gathers whole ones where they are known to be bounded.
 
 Defined results: null texts and roles are empty ones; rows order by turn
-(nulls first), then role, then text; repeated rows are turns of their own;
+(nulls first), then role, then a hash of the text; repeated rows are turns of their own;
 rows without a conv_id make up one conversation; other columns are not read.
 """
 
@@ -62,7 +62,8 @@ def format_turns(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     path = tokenizer or tokens.default_path()
     conv_type = rows.schema[conv_col].dataType
     source = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    encoded_schema = T.StructType([T.StructField("conv_id", conv_type), source.schema["turn"], T.StructField("role", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("loss_mask", T.ArrayType(T.ByteType())), T.StructField("chars", T.LongType())])
+    source = source.withColumn("tie", F.xxhash64("text"))  # so texts needn't be shuffled beside their ids
+    encoded_schema = T.StructType([T.StructField("conv_id", conv_type), source.schema["turn"], T.StructField("role", T.StringType()), T.StructField("tie", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("chars", T.LongType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.load(path).encode_to_numpy
@@ -71,7 +72,7 @@ def format_turns(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                ids, masks, chars = [], [], []
+                ids, begins, stops, chars = [], [], [], []
                 for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist()):
                     name, body = escape(role), escape(text)
                     head = roles.get(name)
@@ -81,18 +82,15 @@ def format_turns(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
                             roles[name] = head
                     own = encoder(body).astype(np.int32)
                     turn = np.concatenate([head, own, np.array([base + 2], np.int32)])
-                    step = np.zeros(len(turn) + 1, np.int8)
-                    if role in trained_roles:
-                        step[len(head)] += 1
-                        step[len(head) + len(own) + train_on_end] -= 1
                     ids.append(turn)
-                    masks.append(np.cumsum(step, dtype=np.int8)[:-1])
+                    begins.append(len(head) if role in trained_roles else 0)
+                    stops.append(len(head) + len(own) + train_on_end if role in trained_roles else 0)
                     chars.append(len(name) + len(body) + len(START) + len(SEP) + len(END))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("conv_id", "turn", "role", "text")), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8())), pa.array(chars, pa.int64())], names=encoded_schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("conv_id", "turn", "role", "tie")), pa.array(ids, pa.list_(pa.int32())), pa.array(begins, pa.int32()), pa.array(stops, pa.int32()), pa.array(chars, pa.int64())], names=encoded_schema.names)
 
-    order = ["conv_id", F.asc_nulls_first("turn"), "role", "text"]
-    dealt = source.mapInArrow(encode, encoded_schema).repartition(shuffle_width(rows.sparkSession), "conv_id").sortWithinPartitions(*order).drop("turn", "role", "text")
-    schema = T.StructType([T.StructField("conv_id", conv_type), T.StructField("turn_no", T.LongType()), T.StructField("token_start", T.LongType()), T.StructField("char_start", T.LongType()), *encoded_schema.fields[4:]])
+    order = ["conv_id", F.asc_nulls_first("turn"), "role", "tie"]
+    dealt = source.mapInArrow(encode, encoded_schema).repartition(shuffle_width(rows.sparkSession), "conv_id").sortWithinPartitions(*order).drop("turn", "role", "tie")
+    schema = T.StructType([T.StructField("conv_id", conv_type), T.StructField("turn_no", T.LongType()), T.StructField("token_start", T.LongType()), T.StructField("char_start", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("loss_mask", T.ArrayType(T.ByteType())), T.StructField("chars", T.LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, turn, token, char = (), 0, 0, 0
@@ -104,8 +102,14 @@ def format_turns(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
                     at, turn, token, char = (conv,), 0, 0, 0
                 out.append((turn, token, char))
                 turn, token, char = turn + 1, token + size, char + chars
+            ends = np.cumsum(sizes)
+            step = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int32)
+            starts = ends - np.array(sizes)
+            np.add.at(step, starts + batch.column("from").to_numpy(), 1)
+            np.add.at(step, starts + batch.column("to").to_numpy(), -1)
+            mask = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.cumsum(step)[:-1].astype(np.int8)))
             places = [pa.array([o[k] for o in out], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *places, batch.column("ids"), batch.column("loss_mask"), batch.column("chars")], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *places, batch.column("ids"), mask, batch.column("chars")], names=schema.names)
 
     return dealt.mapInArrow(number, schema)
 

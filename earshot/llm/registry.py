@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, rules
-from .common import read
+from . import chat, packing, pii, quality, rules, toxicity
+from .common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,27 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_attention_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.train(docs, quality.labelled_sample(labels, label_col="quality", max_rows=3000, exclude=held_out(F.col("doc_id"))))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op4_toxic_segments")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, quality.labelled_sample(labels, label_col="toxic", max_rows=20000, exclude=held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "segments")
+
+
+@query("op6_disclosure")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counts(pii.find(read(spark, sf_dir, "documents")))
+
+
 @query("op7_rule_votes")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

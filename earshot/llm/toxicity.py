@@ -1,10 +1,12 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-A token's weight of evidence comes from log-odds between toxic and clean
+Tokens are words and the beginnings of words (``PREFIXES`` bytes), so compounds
+and inflected forms of a term are met as well; a word scores as the best token
+it has. A token's weight of evidence comes from log-odds between toxic and clean
 labelled texts (a token counts once a text, since some texts repeat a word
 hundreds of times) under an informative Dirichlet prior (pseudo counts in
-proportion to the pooled frequencies); tokens whose log-odds are ``min_z``
-standard errors above zero make up the lexicon. A token's score is the log
+proportion to the pooled frequencies); tokens whose log-odds are at least ``min_odds`` and ``min_z`` standard errors
+above zero make up the lexicon. A token's score is the log
 likelihood ratio between a toxic passage (a share ``density`` of lexicon
 tokens) and clean text, so scores fall on average over clean text and the scale
 of the extreme-value law of segment scores (lambda) is 1. The linear-time scan
@@ -35,6 +37,8 @@ from pyspark.sql import types as T
 
 from . import words
 
+PREFIXES = (4, 5, 6, 8)
+
 
 @dataclass
 class ToxicityModel:
@@ -73,17 +77,33 @@ def maximal_segments(position: np.ndarray, value: np.ndarray, drift: float) -> l
     return [(r - le, f, e) for le, r, f, e, _ in stack]
 
 
+def tokenize(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (first column) and of their beginnings (0: the word isn't longer), and where each text's words begin."""
+    parts = [(k, part) for k, text in enumerate(texts) for part in words.split_long(text)]
+    data, starts, ends, hashes, owner = words.scan([part for _, part in parts])
+    columns = [hashes]
+    for size in PREFIXES:
+        prefix = words.span_hashes(data, starts, np.minimum(starts + size, ends), salt=size)
+        columns.append(np.where(ends - starts > size, prefix, np.uint64(0)))
+    of_text = np.array([k for k, _ in parts], np.int64)[owner] if len(owner) else np.zeros(0, np.int64)
+    return np.stack(columns, 1), np.concatenate([[0], np.cumsum(np.bincount(of_text, minlength=len(texts)))])
+
+
 def segments(texts: list[str], model: ToxicityModel) -> tuple[np.ndarray, list[list[tuple[float, int, int]]]]:
     """Words of each text, and its maximal segments."""
-    hashes, bounds = words.hash_words(texts)
+    tokens, bounds = tokenize(texts)
     found: list[list[tuple[float, int, int]]] = [[] for _ in texts]
-    if len(model.tokens) and len(hashes):
-        at = np.minimum(np.searchsorted(model.tokens, hashes), len(model.tokens) - 1)
-        hit = np.flatnonzero(model.tokens[at] == hashes)
+    if len(model.tokens) and len(tokens):
+        at = np.minimum(np.searchsorted(model.tokens, tokens), len(model.tokens) - 1)
+        score = np.where(model.tokens[at] == tokens, model.scores[at], 0.0).max(1)
+        hit = np.flatnonzero(score > 0)
         owner = np.searchsorted(bounds, hit, side="right") - 1
+        _, first = np.unique(tokens[hit, 0] + words.mix(owner.astype(np.uint64)), return_index=True)  # a word is evidence once a text
+        first.sort()
+        hit, owner = hit[first], owner[first]
         for k in np.unique(owner):
             own = hit[owner == k]
-            found[k] = maximal_segments(own - bounds[k], model.scores[at[own]], model.drift)
+            found[k] = maximal_segments(own - bounds[k], score[own], model.drift)
     return np.diff(bounds), found
 
 
@@ -92,22 +112,22 @@ def evidence(n: np.ndarray, found: list[list[tuple[float, int, int]]], k: float)
     return np.array([max((s for s, *_ in own), default=0.0) - math.log(k * max(int(m), 1)) for m, own in zip(n, found)])
 
 
-def train(docs: DataFrame, sample: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prior_share: float = 0.01, min_z: float = 3.0, min_docs: int = 5, density: float = 0.1) -> ToxicityModel:
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label")
+def train(docs: DataFrame, sample: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prior_share: float = 0.01, min_z: float = 2.3, min_odds: float = 3.0, min_docs: int = 5, density: float = 0.1) -> ToxicityModel:
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("label").alias("label"))  # copies of a text are one witness
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, label = batch.column("text").to_pylist(), np.array(batch.column("label").to_pylist())
-            for a, b in words.groups(texts, 1 << 22):
-                hashes, bounds = words.hash_words(texts[a:b])
+            for a, b in words.groups(texts, 1 << 21):
+                units, bounds = tokenize(texts[a:b])
                 owner = np.repeat(np.arange(b - a), np.diff(bounds))
-                tokens, inverse = np.unique(hashes, return_inverse=True)
-                pairs = np.unique(inverse * np.int64(b - a) + owner)  # a token counts once a text: repetition in one text is no evidence
+                tokens, inverse = np.unique(units, return_inverse=True)
+                pairs = np.unique(inverse.reshape(units.shape) * np.int64(b - a) + owner[:, None])  # a token counts once a text: repetition in one text is no evidence
                 token, toxic = pairs // (b - a), label[a:b][pairs % (b - a)] == 1
                 cells = [np.bincount(token, toxic, len(tokens)), np.bincount(token, ~toxic, len(tokens))]
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in cells)], names=["token", "toxic", "clean"])
 
-    counts = chosen.mapInArrow(count, "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = chosen.mapInArrow(count, "token long, toxic long, clean long").filter("token <> 0").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = counts.persist()
     n_t, n_c = (int(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
     if not n_t or not n_c:
@@ -117,8 +137,8 @@ def train(docs: DataFrame, sample: DataFrame, *, id_col: str = "doc_id", text_co
     alpha = F.lit(prior) * (F.col("toxic") + F.col("clean")) / F.lit(float(n_t + n_c))
     odds = lambda y, n: F.log((y + alpha) / (F.lit(n + prior) - y - alpha))
     spread = F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("clean") + alpha))
-    z = (odds(F.col("toxic"), n_t) - odds(F.col("clean"), n_c)) / spread
-    rows = counts.filter((F.col("toxic") >= min_docs) & (z >= min_z)).select("token", "toxic", ((F.col("clean") + alpha) / (n_c + prior)).alias("null")).collect()  # significant tokens of the bounded sample
+    excess = odds(F.col("toxic"), n_t) - odds(F.col("clean"), n_c)
+    rows = counts.filter((F.col("toxic") >= min_docs) & (excess >= min_odds) & (excess >= min_z * spread)).select("token", "toxic", ((F.col("clean") + alpha) / (n_c + prior)).alias("null")).collect()  # significant tokens of the bounded sample
     counts.unpersist()
     if not rows:
         return ToxicityModel()

@@ -38,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def _chunks(text: str) -> list[str]:
+def split_long(text: str) -> list[str]:
     """Very long texts in parts that end at a space, so memory follows the part."""
     parts, at = [], 0
     while len(text) - at > CHUNK:
@@ -57,20 +57,25 @@ def scan(texts: list[str], *, lower: bool = True, by_space: bool = False) -> tup
     if len(inside) and inside[0]:
         edges = np.concatenate([[0], edges])
     starts, ends = edges[0::2], edges[1::2]
-    up, down = _power_tables(len(data))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * up[: len(data)], dtype=np.uint64)])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts])
+    hashes = span_hashes(data, starts, ends)
     lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1
     owner = np.searchsorted(np.cumsum(lengths), starts, side="right")
     return data, starts, ends, hashes, owner
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of spans of bytes, from running sums: equal bytes, equal hash, wherever they stand."""
+    up, down = _power_tables(len(data))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * up[: len(data)], dtype=np.uint64)])
+        return mix((sums[ends] - sums[starts]) * down[starts] + np.uint64(salt) * _M)
+
+
 def hash_words(texts: list[str], **how) -> tuple[np.ndarray, np.ndarray]:
     """The words' hashes, text after text, and where each text's words begin (one more entry than texts)."""
     pieces, owner = [], []
     for k, text in enumerate(texts):
-        for part in _chunks(text) if len(text) > CHUNK else (text,):
+        for part in split_long(text) if len(text) > CHUNK else (text,):
             pieces.append(part)
             owner.append(k)
     hashes, counts = [], np.zeros(len(texts), np.int64)
