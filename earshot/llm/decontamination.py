@@ -206,11 +206,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     """The rows, with all their columns, of documents that leak no item."""
     for index in index_blocks(items, id_col=item_col, threshold=threshold, block_chars=block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
+        at = docs.columns.index(text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                clean[[r[0] for r in _leaks(shared.value, pc.fill_null(batch.column(batch.schema.get_field_index(text_col)), "").to_pylist(), least, least_part)]] = False
+                clean[[r[0] for r in _leaks(shared.value, pc.fill_null(batch.column(at), "").to_pylist(), least, least_part)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -105,30 +105,42 @@ def revealing_terms(holders: DataFrame, docs: DataFrame, *, min_support: int = 3
     return candidates.join(spread, "term").filter((gain > 0) & (gain >= disclosure * information)).groupBy("value").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, min_support: int = 3, disclosure: float = 0.9) -> DataFrame:
-    """The id (or the columns of `keep`), base and spans; with `keep` the text too."""
-    carry = keep or [id_col]
+def _spanned(docs: DataFrame, carry: list[str], text_col: str, whole: bool, min_support: int, disclosure: float) -> DataFrame:
+    """k0, k1 .. (the carried columns), text (with `whole`, else only where it holds an entity), base, spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(carry)), text.alias("text"))
-    key = F.xxhash64(*(f"k{i}" for i in range(len(carry))), "text")
-    spanned = source.withColumn("base", base_spans(F.col("text"))).withColumn("key", F.when(F.size("base") > 0, key))
-    if not keep:
+    names = [f"k{i}" for i in range(len(carry))]
+    source = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names)), text.alias("text"))
+    spanned = source.withColumn("base", base_spans(F.col("text"))).withColumn("key", F.when(F.size("base") > 0, F.xxhash64(*names, "text")))
+    if not whole:
         spanned = spanned.withColumn("text", F.when(F.col("key").isNotNull(), F.col("text")))
     table = materialize(spanned, "pii-spans")
     holders = table.filter(F.col("key").isNotNull())
     terms = revealing_terms(holders.select("key", "text", "base"), docs.select(text.alias("text")), min_support=min_support, disclosure=disclosure)
     held = holders.select("key", F.explode("base").alias("span")).select("key", F.lower("span.value").alias("value")).distinct()
     by_key = held.join(terms, "value").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    joined = holders.join(by_key, "key", "left")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    joined = holders.join(by_key, "key", "left").withColumn("pattern", pattern)
     revealed = _places(F.col("text"), F.expr("regexp_extract_all(text, pattern, 0)"), F.expr("split(text, pattern, -1)"), len(KINDS))
     apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    empty = F.expr(f"cast(array() as {SPAN})")
-    with_terms = joined.withColumn("pattern", pattern).withColumn("spans", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.filter(revealed, apart)))))
-    columns = [*(F.col(f"k{i}").alias(c) for i, c in enumerate(carry)), *(["text"] if keep else []), "base", "spans"]
-    if keep and text_col in carry:
-        columns.remove("text")
-    return with_terms.select(*columns).unionByName(table.filter(F.col("key").isNull()).withColumn("spans", empty).select(*columns))
+    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.filter(revealed, apart))))
+    columns = [*names, "text", "base", "spans"]
+    without = table.filter(F.col("key").isNull()).withColumn("spans", F.expr(f"cast(array() as {SPAN})"))
+    return joined.withColumn("spans", spans).select(*columns).unionByName(without.select(*columns))
+
+
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, disclosure: float = 0.9) -> DataFrame:
+    """doc_id, base, spans: arrays of (start, kind_no, end, value)."""
+    return _spanned(docs, [id_col], text_col, False, min_support, disclosure).select(F.col("k0").alias("doc_id"), "base", "spans")
+
+
+def sanitize(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, min_support: int = 3, disclosure: float = 0.9) -> DataFrame:
+    """The rows with all their columns, their texts redacted; length_col follows the new text."""
+    carry = [c for c in docs.columns if c != text_col]
+    found = _spanned(docs, carry, text_col, True, min_support, disclosure).withColumn("text", redact(F.col("text"), F.col("spans")))
+    name = {c: F.col(f"k{i}") for i, c in enumerate(carry)} | {text_col: F.col("text")}
+    if length_col in name:
+        name[length_col] = F.char_length("text").cast(docs.schema[length_col].dataType)
+    return found.select(*(name[c].alias(c) for c in docs.columns))
 
 
 def redact(text: Column, spans: Column) -> Column:

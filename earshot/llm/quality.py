@@ -181,3 +181,18 @@ def score(docs: DataFrame, model: AttentionModel | None, *, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(y.astype(np.float64))], names=[*keep, "score"])
 
     return source.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+
+
+def keep_good(docs: DataFrame, model: AttentionModel | None, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, that score at the threshold or above."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            good = [model.predict(*encode(texts[a:b])) >= threshold if model else np.ones(b - a, bool) for a, b in words.groups(texts)]
+            yield batch.filter(pa.array(np.concatenate([*good, np.zeros(0, bool)])))
+
+    return docs.mapInArrow(run, docs.schema)
