@@ -56,3 +56,24 @@ def held_out(doc_id: Column) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get whole texts in batches of at most so many rows: a batch is what they hold at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
+#: Rows of 8-byte ids that may be broadcast, once counted: a few MB.
+BROADCAST_ROWS = 200_000
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
+    """docs whose id is (left_semi) or isn't (left_anti) among the one column of ids, a written table; nulls are equal.
+
+    The ids are broadcast if a count shows that they are few; else both sides are shuffled.
+    """
+    name = ids.columns[0]
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return docs.join(side, docs[id_col].eqNullSafe(ids[name]), how)

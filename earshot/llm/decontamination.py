@@ -15,9 +15,10 @@ the threshold are then verified: the share of the item's 5-word shingles that
 the passage holds, over all, over its question (the first two thirds of its
 words) and over its answer (the rest).
 
-The items are read in blocks of ``block_chars`` characters, one search over all
+The items are read in sets of ``block_chars`` characters, one search over all
 documents each, so the index that a worker holds is bounded whatever the number
-of items.
+of items; document frequencies and mean length are those of the set. Within a
+set, parts of ``ITEMS_IN_PART`` items share the passages' words.
 
 Defined results: null and empty texts hold nothing; items without a word are
 never found; items of fewer than five words are verified as one shingle;
@@ -38,9 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
+from .common import small_batches
 
 K1, B = 1.2, 0.75
-ITEMS_IN_BLOCK = 16
+ITEMS_IN_BLOCK = 4
+ITEMS_IN_PART = 1000
 WIDTH = 5
 _MASK = np.uint64((1 << 20) - 1)
 
@@ -52,21 +55,40 @@ class Block:
     items: list[int]
 
 
+@dataclass
+class Corpus:
+    """What BM25 counts over all items of a set."""
+
+    items: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Corpus:
+        hashes, bounds = words.hash_words(texts)
+        terms, number = np.unique(hashes, return_inverse=True)
+        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        pairs = np.unique(number * np.int64(max(1, len(texts))) + owner)
+        return cls(len(texts), max(1.0, len(hashes) / max(1, len(texts))), terms, np.bincount(pairs // max(1, len(texts)), minlength=len(terms)))
+
+
 class Index:
-    def __init__(self, items: list[tuple[object, str]], threshold: float):
+    def __init__(self, items: list[tuple[object, str]], threshold: float, corpus: Corpus | None = None):
         self.threshold = threshold
         self.ids = [i for i, _ in items]
         hashes, bounds = words.hash_words([t for _, t in items])
+        corpus = corpus or Corpus.of([t for _, t in items])
         own = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         self.longest = max([1, *(len(o) for o in own)])
         self.terms, number = np.unique(hashes, return_inverse=True)
         lengths = np.diff(bounds)
-        mean = max(1.0, float(lengths.mean())) if len(lengths) else 1.0
+        mean = corpus.mean
         owner = np.repeat(np.arange(len(items)), lengths)
         pairs, tf = np.unique(number * np.int64(max(1, len(items))) + owner, return_counts=True)
         term, item = pairs // max(1, len(items)), pairs % max(1, len(items))
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
+        df = corpus.df[np.searchsorted(corpus.terms, self.terms)]
+        idf = np.log(1 + (corpus.items - df + 0.5) / (df + 0.5))
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean)) if len(pairs) else np.zeros(0)
         impact = impact / np.maximum(np.bincount(item, impact, len(items)), 1e-9)[item] if len(pairs) else impact
         # non-essential terms: the commonest, while no item gets a third of the threshold from them
@@ -161,30 +183,34 @@ def _shingles(hashes: np.ndarray, width: int | None = None):
     return found if width else (found, size)
 
 
-def _leaks(index: Index, texts: list[str], least: float, least_part: float) -> Iterator[tuple[int, int, float, float, float, float]]:
+def _leaks(parts: list[Index], texts: list[str], least: float, least_part: float) -> Iterator[tuple[int, object, float, float, float, float]]:
     for a, b in words.groups(texts):
         hashes, bounds = words.hash_words(texts[a:b])
-        best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
-        for text, item, score, begin, end in index.search(hashes, bounds):
-            whole, question, answer = index.verify(item, hashes[begin:end])
-            if whole >= least and question >= least_part and answer >= least_part:
-                best[text, item] = max(best.get((text, item), (0.0,) * 4), (whole, question, answer, score))
-        for (text, item), (whole, question, answer, score) in sorted(best.items()):
-            yield a + text, item, score, whole, question, answer
-
-
-def index_blocks(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", threshold: float = 0.5, block_chars: int = 8_000_000) -> Iterator[Index]:
-    """Indexes of the items, a bounded number of characters each."""
+        for index in parts:
+            best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+            for text, item, score, begin, end in index.search(hashes, bounds):
+                whole, question, answer = index.verify(item, hashes[begin:end])
+                if whole >= least and question >= least_part and answer >= least_part:
+                    best[text, item] = max(best.get((text, item), (0.0,) * 4), (whole, question, answer, score))
+            for (text, item), (whole, question, answer, score) in sorted(best.items()):
+                yield a + text, index.ids[item], score, whole, question, answer
+
+
+def index_blocks(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", threshold: float = 0.5, block_chars: int = 8_000_000) -> Iterator[list[Index]]:
+    """The parts of an index of the items, a bounded number of characters at a time."""
     rows = items.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, math.ceil(total / block_chars))
     for k in range(count):
         part = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k) if count > 1 else rows
-        yield Index(sorted((tuple(r) for r in part.collect()), key=repr), threshold)
+        held = sorted((tuple(r) for r in part.collect()), key=repr)
+        corpus = Corpus.of([t for _, t in held])
+        yield [Index(held[at : at + ITEMS_IN_PART], threshold, corpus) for at in range(0, max(1, len(held)), ITEMS_IN_PART)]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = 0.5, least: float = 0.8, least_part: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap) of every verified leak."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     schema = T.StructType([source.schema["doc_id"], T.StructField("item_id", items.schema[item_col].dataType), *(T.StructField(n, T.DoubleType()) for n in ("score", "overlap", "question_overlap", "answer_overlap"))])
     out = None
@@ -192,10 +218,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
-                rows = list(_leaks(index, batch.column("text").to_pylist(), least, least_part))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.ids[r[1]] for r in rows], pa.int64() if isinstance(schema["item_id"].dataType, T.LongType) else None), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(2, 6))], names=schema.names)
+                rows = list(_leaks(shared.value, batch.column("text").to_pylist(), least, least_part))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64() if isinstance(schema["item_id"].dataType, T.LongType) else None), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(2, 6))], names=schema.names)
 
         found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

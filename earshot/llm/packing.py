@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import materialize, shuffle_width
+from .common import materialize, shuffle_width, small_batches
 
 SLICE = 512
 
@@ -44,6 +44,7 @@ def tokenize_pieces(
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     id_type = docs.schema[id_col].dataType
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
+from .common import small_batches
 
 PASSAGE = 64
 HASHED = 48
@@ -169,6 +170,7 @@ def score(docs: DataFrame, model: AttentionModel | None, *, id_col: str = "doc_i
     """The id (or the columns of `keep`) and score."""
     keep = keep or [id_col]
     fields = [docs.schema[c] for c in keep]
+    small_batches(docs.sparkSession)
     source = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.coalesce(text_col, F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, packing, pii, quality, rules, toxicity
+from . import chat, decontamination, jaccard, packing, pii, quality, rules, substrings, toxicity
 from .common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op3_compact_windows")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passages(read(spark, sf_dir, "documents"), min_words=50, threshold=0.8)
+
+
 @query("op4_toxic_segments")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")

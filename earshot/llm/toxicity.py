@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
+from .common import small_batches
 
 PREFIXES = (4, 5, 6, 8)
 
@@ -180,6 +181,7 @@ def _calibrate(chosen: DataFrame, model: ToxicityModel) -> ToxicityModel:
 
 def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", max_e: float = 0.05) -> DataFrame:
     """The id, score, evidence and the significant segments (first word, end, score) of each text."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the significant tokens
     inner = T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("score", T.DoubleType())])
