@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, packing, pii, quality, rules, substrings, toxicity
+from . import chat, cross_entropy, decontamination, jaccard, packing, pii, quality, rules, substrings, toxicity
 from .common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "segments")
 
 
+@query("op5_cross_entropy_difference")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return cross_entropy.score(docs, cross_entropy.train(cross_entropy.flag_target(docs, good)))
+
+
 @query("op6_disclosure")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.counts(pii.find(read(spark, sf_dir, "documents")))
