@@ -12,6 +12,7 @@ import urllib.parse
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The patterns that cleaning and masking are defined by.
 URL = r"""https?://[^\s<>"')\]]+"""
@@ -56,7 +57,7 @@ def _without_tracking(url: str) -> str:
     return url if len(rest) == len(pairs) else parts._replace(query=urllib.parse.urlencode(rest)).geturl()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _clean_urls(texts: pd.Series) -> pd.Series:
     pattern = re.compile(URL, re.IGNORECASE)
     return texts.map(lambda t: pattern.sub(lambda m: _without_tracking(m[0]), t))
@@ -75,7 +76,7 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(_strip(F.regexp_replace(folded, r"(?U)\s+", " ")), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fingerprint_exact(texts: pd.Series) -> pd.Series:
     """The same with full Unicode case folding (ligatures, final sigma)."""
     import hashlib

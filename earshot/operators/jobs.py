@@ -57,7 +57,7 @@ def stale(jobs: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
 
 
 def fraction(done: Column, total: Column) -> Column:
-    return F.least(F.lit(1.0), F.try_divide(done, F.nullif(total, F.lit(0))))
+    return F.when(total > 0, F.least(F.lit(1.0), done / total))
 
 
 def throughput(comments: Column, started: Column, finished: Column) -> Column:
