@@ -67,6 +67,20 @@ def cluster_scopes(points: DataFrame, *, scope: str, id_col: str, vector: str, c
     return points.select(scope, id_col, vector).groupBy(scope).applyInPandas(run, schema)
 
 
+def cluster_all(points: DataFrame, *, id_col: str, vector: str, clusters, one_worker: int = 20_000, restarts: int = 3) -> DataFrame:
+    """(id, cluster_id) of all points as one scope: in one worker up to so many points, by distributed k-means beyond."""
+    n = points.count()
+    if n <= one_worker:
+        return cluster_scopes(points.withColumn("scope", F.lit(0)), scope="scope", id_col=id_col, vector=vector, clusters=clusters).drop("scope")
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = points.select(id_col, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
+    models = [KMeans(k=clusters(n), seed=seed, initMode="k-means||").fit(vectors) for seed in range(restarts)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(vectors).select(id_col, F.col("prediction").alias("cluster_id"))
+
+
 def nearest(points: DataFrame, centroids: DataFrame, *, id_col: str, vector: str) -> DataFrame:
     """(id, cluster_id): the nearest centroid of each point, the lowest number among equals. Centroids are few, one array of them goes to every point."""
     few = centroids.agg(F.array_sort(F.collect_list(F.struct("cluster_id", F.col("centroid").alias("c")))).alias("all"))

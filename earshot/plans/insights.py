@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import clustering, filtering, mood
@@ -33,8 +33,12 @@ def checked_draft(kind: str, answer: str, texts: list[str]) -> dict | None:
     return draft if fine else None
 
 
-def synthesize(groups: DataFrame, kind: str, write: Callable[[str, list[str]], str] = offline_synthesis) -> DataFrame:
-    """(group, kind, headline, quotes, mention_count) of each group of (group, pos, text); a failed or invalid draft gives no row."""
+def synthesize(groups: DataFrame, kind: str, write: Callable[[str, list[str]], str] = offline_synthesis, *, prompt_rows: int = 500) -> DataFrame:
+    """(group, kind, headline, quotes, mention_count) of each group of (group, pos, text); a failed or invalid draft gives no row.
+
+    A model call takes the first prompt_rows texts of its group, which bounds
+    what a worker holds; mention_count is that of the whole group.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pdf.sort_values("pos")["text"].tolist()
@@ -42,16 +46,20 @@ def synthesize(groups: DataFrame, kind: str, write: Callable[[str, list[str]], s
             draft = checked_draft(kind, write(kind, texts), texts)
         except Exception:  # noqa: BLE001  one failed group doesn't fail the report
             draft = None
-        rows = [] if draft is None else [(pdf["group"].iloc[0], kind, draft[KEYS[kind]], draft["quotes"], len(pdf))]
-        return pd.DataFrame(rows, columns=["group", "kind", "headline", "quotes", "mention_count"])
+        rows = [] if draft is None else [(pdf["group"].iloc[0], kind, draft[KEYS[kind]], draft["quotes"])]
+        return pd.DataFrame(rows, columns=["group", "kind", "headline", "quotes"])
 
-    return groups.select(F.col("group").cast("string").alias("group"), "pos", "text").groupBy("group").applyInPandas(run, "group string, kind string, headline string, quotes array<string>, mention_count bigint")
+    named = groups.select(F.col("group").cast("string").alias("group"), "pos", "text")
+    counts = named.groupBy("group").agg(F.count("*").alias("mention_count"))
+    shown = named.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy("pos", "text"))).filter(F.col("rank") <= prompt_rows).drop("rank")
+    drafts = shown.groupBy("group").applyInPandas(run, "group string, kind string, headline string, quotes array<string>")
+    return drafts.join(counts, "group")
 
 
 def clustered(comments: DataFrame, embeddings: DataFrame, *, most: int = 3) -> DataFrame:
     """(group, pos, text) of the biggest clusters of at least two comments."""
-    own = comments.join(embeddings, comments["id"] == embeddings["comment_id"]).withColumn("scope", F.lit(0))
-    assigned = clustering.cluster_scopes(own, scope="scope", id_col="id", vector="vector", clusters=lambda n: 1 if n < 2 else max(1, min(most, n // 2)))
+    own = comments.join(embeddings, comments["id"] == embeddings["comment_id"])
+    assigned = clustering.cluster_all(own, id_col="id", vector="vector", clusters=lambda n: 1 if n < 2 else max(1, min(most, n // 2)))
     labelled = comments.join(assigned, "id")
     return labelled.join(clustering.biggest(labelled, most=most).select("cluster_id"), "cluster_id").select(F.col("cluster_id").alias("group"), "pos", "text")
 
