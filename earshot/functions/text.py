@@ -153,4 +153,4 @@ def quota_day(ts: Column) -> Column:
 
 
 def quota_refusal(needed: Column, comments: Column, videos: Column, remaining: Column) -> Column:
-    return F.format_string("This needs an estimated %d more quota units to pull %d comments across %d videos, but only %d remain today (the quota resets at midnight Pacific Time).", needed, comments, videos, remaining)
+    return F.format_string("This analysis needs an estimated %d more YouTube API quota units to pull %d comments across %d videos, but only %d remain today (resets at midnight Pacific Time).", needed, comments, videos, remaining)

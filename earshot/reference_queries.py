@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalogue import query
 from .functions import text as X
 from .operators import batching, clustering, dedup, evaluation, filtering, jobs, mood
 from .operators.models import HashProvider
-from .plans import analysis, insights
+from .plans import analysis, insights, preflight
 from .schemas import COARSE, INTENTS, SENTIMENTS, STAGES, coarse, valid_sentiment
 from .sources import corpus
 from .streaming import streams
@@ -478,3 +478,102 @@ def analyze_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.analyze(corpus.document_comments(spark, sf_dir), _embeddings(spark, sf_dir))
 
 
+
+
+# ---- channels, scans and settings -------------------------------------------------------------
+# Customers stand for channels, orders for their videos, line items for comments.
+
+
+@query("channel_resolve", "SELECT o.o_orderkey AS video, c.c_custkey AS channel_id, c.c_name AS title, n.videos AS video_count FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN (SELECT o_custkey, count(*) AS videos FROM orders GROUP BY o_custkey) n ON n.o_custkey = c.c_custkey")
+def channel_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A video's channel: analysing a video analyses all of it."""
+    videos = corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), F.col("o_custkey").alias("channel_id"))
+    channels = corpus.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel_id"), F.col("c_name").alias("title"))
+    counts = videos.groupBy("channel_id").agg(F.count("*").alias("video_count"))
+    return videos.join(channels.join(counts, "channel_id"), "channel_id").select("video", "channel_id", "title", "video_count")
+
+
+@query("newest_videos", "SELECT channel_id, video, rank FROM (SELECT o_custkey AS channel_id, o_orderkey AS video, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders) WHERE rank <= 5")
+def newest_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _newest(spark, sf_dir, 5)
+
+
+def _newest(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    videos = corpus.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("channel_id"), F.col("o_orderkey").alias("video"), "o_orderdate")
+    order = Window.partitionBy("channel_id").orderBy(F.desc("o_orderdate"), F.desc("video"))
+    return videos.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("channel_id", "video", "rank")
+
+
+@query("scan_plan", "WITH v AS (SELECT channel_id, video, rank FROM (SELECT o_custkey AS channel_id, o_orderkey AS video, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders) WHERE rank <= 5), n AS (SELECT l_orderkey AS video, count(*) AS comments FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey) SELECT channel_id, CAST(count(*) AS BIGINT) AS videos, CAST(sum(comments) AS BIGINT) AS comments, CAST(sum(ceil(comments / 100.0)) AS BIGINT) AS units FROM v JOIN n USING (video) WHERE comments > 0 GROUP BY channel_id")
+def scan_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pulling each channel's newest videos takes: those without metadata drop out, those without comments are not read."""
+    counts = corpus.table(spark, sf_dir, "lineitem").filter("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("video")).agg(F.count("*").alias("comments"))
+    wanted = _newest(spark, sf_dir, 5).join(counts, "video").filter("comments > 0")
+    return wanted.groupBy("channel_id").agg(F.count("*").alias("videos"), F.sum("comments").alias("comments"), F.sum(X.comment_pages(F.col("comments"))).alias("units"))
+
+
+@query("channel_order", "SELECT row_number() OVER (ORDER BY user_id, event_id) - 1 AS at, event_id FROM (SELECT user_id, event_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_id FROM events WHERE event_id % 2 = 1)")
+def channel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpointed and freshly fetched comments in one order: by video, then by place in it."""
+    events = corpus.table(spark, sf_dir, "events").select("user_id", "event_id")
+    both = events.filter("event_id % 2 = 0").unionByName(events.filter("event_id % 2 = 1"))
+    ranked = both.withColumn("place", F.col("user_id") * F.lit(1 << 32) + F.col("event_id"))
+    return batching.dense_pos(ranked, "place").select("at", "event_id")
+
+
+@query("done_units", f"WITH {CHECKPOINTS} SELECT job_id, stage, count(DISTINCT batch_key) AS done FROM (SELECT *, row_number() OVER (PARTITION BY job_id, stage, batch_key ORDER BY completed_at DESC, seq DESC) AS r FROM checkpoints) WHERE r = 1 AND status = 'completed' GROUP BY job_id, stage")
+def done_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_checkpoints(spark, sf_dir).filter("status = 'completed'").groupBy("job_id", "stage").agg(F.count("*").alias("done"))
+
+
+@query("eval_run_json", f"WITH {_CM}, a AS (SELECT count(*) AS total_cases, count(*) FILTER (predicted IS NULL) AS failed_cases FROM pairs) SELECT total_cases, failed_cases, (SELECT CAST(sum(n) AS BIGINT) FROM cm) AS scored FROM a")
+def eval_run_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation run as the JSON document that is stored, and what is read back from it."""
+    pairs = _pairs(spark, sf_dir)
+    cm = evaluation.confusion(_strict(spark, sf_dir), list(COARSE)).agg(F.collect_list(F.struct("expected", "predicted", "n")).alias("confusion_matrix"))
+    run = evaluation.accuracy(pairs).crossJoin(cm).select(F.to_json(F.struct("*")).alias("metrics"))  # one row each
+    parsed = run.select(F.from_json("metrics", "total_cases bigint, failed_cases bigint, confusion_matrix array<struct<expected:string,predicted:string,n:bigint>>").alias("m"))
+    return parsed.select("m.total_cases", "m.failed_cases", F.aggregate("m.confusion_matrix", F.lit(0).cast("bigint"), lambda s, c: s + c["n"]).alias("scored"))
+
+
+@query("table_checks", "SELECT 'vec_id is unique' AS name, 0::BIGINT AS violations, 'ok' AS status UNION ALL SELECT 'vec_id is there', 0, 'ok' UNION ALL SELECT 'embedding of 64', count(*) FILTER (len(embedding) <> 64), CASE WHEN count(*) FILTER (len(embedding) <> 64) = 0 THEN 'ok' ELSE 'fail' END FROM embeddings UNION ALL SELECT 'label in its domain', count(*) FILTER (label NOT BETWEEN 0 AND 9), CASE WHEN count(*) FILTER (label NOT BETWEEN 0 AND 9) = 0 THEN 'ok' ELSE 'fail' END FROM embeddings")
+def table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preflight.table_checks(corpus.table(spark, sf_dir, "embeddings"), key="vec_id", domains={"label": list(range(10))}, width=("embedding", 64))
+
+
+@query("preflight_summary", "SELECT 1::BIGINT AS failed, 1::BIGINT AS skipped, FALSE AS ready")
+def preflight_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def skipped():
+        raise preflight.Skip("no network")
+
+    checks = {"documents": lambda: str(corpus.table(spark, sf_dir, "documents").schema.simpleString()), "remote models": skipped, "no such table": lambda: str(corpus.table(spark, sf_dir, "no_such_table"))}
+    return preflight.summary(preflight.run_checks(spark, checks))
+
+
+@query("quota_refusals", "SELECT user_id AS video, 'This analysis needs an estimated ' || CAST(ceil(n / 100.0) AS BIGINT) || ' more YouTube API quota units to pull ' || n || ' comments across 1 videos, but only 0 remain today (resets at midnight Pacific Time).' AS message FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def quota_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comment_pages(spark, sf_dir).select("video", X.quota_refusal(F.col("pages"), F.col("n"), F.lit(1), F.lit(0)).alias("message"))
+
+
+@query("model_vendors", "SELECT DISTINCT 'v' || CAST(user_id % 5 AS VARCHAR) AS vendor, 'v' || CAST(user_id % 5 AS VARCHAR) || '/m' AS model FROM events")
+def model_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = corpus.table(spark, sf_dir, "events").select(F.concat(F.lit("openrouter/v"), (F.col("user_id") % 5).cast("string"), F.lit("/m")).alias("name")).distinct()
+    return names.select(X.vendor(F.col("name")).alias("vendor"), X.bare_model(F.col("name")).alias("model"))
+
+
+@query("rendered_report")
+def rendered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preflight.render(insights_report(spark, sf_dir))
+
+
+@query("similar_comments", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 5), s AS (SELECT q.query_id, e.vec_id AS pos, round(list_cosine_similarity(q.v, e.embedding::DOUBLE[]), 6) AS cosine FROM q, embeddings e) SELECT query_id, pos, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, pos) AS r FROM s) WHERE r <= 10")
+def similar_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest comments to each of five questions, by cosine: the questions go to all vectors, the best ten of each partition come back."""
+    points = _vectors(spark, sf_dir)
+    asked = points.filter("pos < 5").agg(F.collect_list(F.struct(F.col("pos").alias("query_id"), F.col("vector").alias("v"))).alias("asked"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    each = points.crossJoin(F.broadcast(asked)).select("pos", "vector", F.explode("asked").alias("q"))  # one row of five questions
+    cosine = dot(F.col("vector"), F.col("q.v")) / F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("q.v"), F.col("q.v")))
+    scored = each.select(F.col("q.query_id").alias("query_id"), "pos", F.round(cosine, 6).alias("cosine"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "pos")
+    return scored.withColumn("r", F.row_number().over(best)).filter("r <= 10").drop("r")
