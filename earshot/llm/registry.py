@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cross_entropy, decontamination, jaccard, packing, pii, quality, rules, substrings, toxicity
+from . import chat, cross_entropy, decontamination, jaccard, oracles, packing, pii, quality, rules, substrings, toxicity
 from .common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,9 +32,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query("op2_benchmark_leaks")
+@query("op2_benchmark_leaks", oracles.LEAKS)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("score")
 
 
 @query("op3_compact_windows")
@@ -67,7 +67,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
-@query("op8_chosen_path_join")
+@query("op8_chosen_path_join", oracles.CLASSES)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(read(spark, sf_dir, "documents"), threshold=0.8, recall=0.99)
 
@@ -77,7 +77,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), seq_len=2048, end_id=0)
 
 
-@query("op10_chat_formatting")
+@query("op10_chat_formatting", oracles.CHATS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     same = spark.sql(r"SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
