@@ -77,3 +77,9 @@ def with_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi
     name = ids.columns[0]
     side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     return docs.join(side, docs[id_col].eqNullSafe(ids[name]), how)
+
+
+def one_of_each(table: DataFrame, key: str) -> DataFrame:
+    """A written table with one row of each key. Its wide rows are shuffled only if a count of the keys finds repeats."""
+    rows, keys = table.agg(F.count("*"), F.count_distinct(key)).first()
+    return table if rows == keys else table.dropDuplicates([key])
