@@ -24,17 +24,14 @@ def dense_pos(comments: DataFrame, by: str = "pos") -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lows = comments.select(F.col(by).alias("low"))
     bounds = [r["low"] for r in lows.select(F.explode(F.expr(f"approx_percentile(low, array({','.join(f'{k / parts:.6f}D' for k in range(1, parts))}), 10000)")).alias("low")).collect()] if parts > 1 else []
-    part = F.lit(0)
-    for b in sorted(set(bounds)):
-        part = part + (F.col(by) > b).cast("int")
+    edges = sorted(set(bounds))
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda b: F.col(by) > b)) if edges else F.lit(0)
     sliced = comments.withColumn("part", part)
     counts = {r["part"]: r["count"] for r in sliced.groupBy("part").count().collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    offset = F.lit(0)
-    for p, o in before.items():
-        offset = F.when(F.col("part") == p, o).otherwise(offset)
+    before = [0]
+    for p in range(len(edges)):
+        before.append(before[-1] + counts.get(p, 0))
+    offset = F.get(F.array(*map(F.lit, before)), F.col("part"))
     number = F.row_number().over(Window.partitionBy("part").orderBy(by))
     return sliced.withColumn("at", (number - 1 + offset).cast("bigint")).drop("part")
 
