@@ -37,6 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words
 from .common import small_batches
@@ -213,6 +214,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     schema = T.StructType([source.schema["doc_id"], T.StructField("item_id", items.schema[item_col].dataType), *(T.StructField(n, T.DoubleType()) for n in ("score", "overlap", "question_overlap", "answer_overlap"))])
+    item_type = to_arrow_type(schema["item_id"].dataType)
     out = None
     for index in index_blocks(items, id_col=item_col, threshold=threshold, block_chars=block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -220,7 +222,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = list(_leaks(shared.value, batch.column("text").to_pylist(), least, least_part))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64() if isinstance(schema["item_id"].dataType, T.LongType) else None), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(2, 6))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], item_type), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(2, 6))], names=schema.names)
 
         found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

@@ -75,6 +75,8 @@ def test_blocks_of_items_give_the_same(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items).collect()}
     assert whole == {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items, block_chars=3000).collect()}
+    named = items.withColumn("item_id", items["item_id"].cast("string"))
+    assert {(d, str(i)) for d, i in whole} == {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, named).collect()}
 
 
 # ---- chosen-path join -------------------------------------------------------------------------
