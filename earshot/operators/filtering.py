@@ -28,11 +28,11 @@ def dense_by_size(labelled: DataFrame, *, dense: int = DENSE) -> DataFrame:
 
 
 def strict_labels(comments: DataFrame, labels: DataFrame) -> DataFrame:
-    """comments with their labels; one that lacks them is an error, not a lost row."""
-    missing = comments.join(labels, comments["id"] == labels["comment_id"], "left_anti")
-    if not missing.isEmpty():
-        raise KeyError("a comment has no label")
-    return comments.join(labels, comments["id"] == labels["comment_id"]).drop("comment_id")
+    """comments with their labels; a comment that lacks them stops the query, in the same pass."""
+    joined = comments.join(labels, comments["id"] == labels["comment_id"], "left")
+    missing = F.raise_error(F.concat(F.lit("no label for comment "), F.col("id")))
+    columns = [F.when(F.col("comment_id").isNull(), missing.cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) for f in labels.schema if f.name != "comment_id"]
+    return joined.select(*(comments[c] for c in comments.columns), *columns)
 
 
 def select_flagged(labelled: DataFrame, **limits) -> DataFrame:

@@ -133,8 +133,9 @@ def test_flags(spark):
     df = spark.createDataFrame(cases, "id string, pos bigint, sentiment string, confidence double, cluster_id int")
     assert [r.id for r in filtering.select_flagged(df).collect()] == ["a", "b", "c", "e0", "e1", "e2", "e3", "e4"]
     labels = df.select(F.col("id").alias("comment_id"), F.lit(1).alias("x")).filter("comment_id <> 'a'")
-    with pytest.raises(KeyError):
-        filtering.strict_labels(df, labels)
+    with pytest.raises(Exception, match="no label for comment a"):
+        filtering.strict_labels(df, labels).collect()
+    assert filtering.strict_labels(df.filter("id <> 'a'"), labels).count() == len(cases) - 1
 
 
 def test_validity(spark):
