@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize
 
 
-def components(links: DataFrame, *, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, *, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has a link; root is the least node of its component.
 
     A step sees one aggregated row for each node (its least neighbour), so hubs
@@ -34,4 +34,6 @@ def components(links: DataFrame, *, a: str = "a", b: str = "b", most_rounds: int
         for done in (edges, least, large):
             drop_table(done)
         last, edges = state, following
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
