@@ -7,17 +7,17 @@ Which shingles are chosen depends on node and shingle alone, so sets that share
 many shingles share paths, and a set finds its paths without seeing any other.
 Two sets at the threshold share a node of depth d with the survival probability
 p(d) of a branching process with one expected shared child, p(d) = 1 -
-exp(-p(d - 1)); ``runs`` is the least number with 1 - (1 - p(SHALLOW)) ** runs
+exp(-p(d - 1)); ``runs`` is the least number with 1 - (1 - p(DEPTH)) ** runs
 at or above ``recall``.
 
-Sets that meet in a node of depth ``SHALLOW`` are a bucket. Small buckets are
-compared pair by pair, on fixed-size sketches first; pairs found are verified on
-the exact sets. Buckets of up to ``PART`` sets are compared exactly, all pairs
-in one product of incidence matrices, and give the links that span what they
-connect instead of every pair. Larger ones split further, to depth ``DEEP`` (the
-paths are at hand); one that is large even there holds sets that are nearly the
-same, and is dealt out over parts of that size, another deal in every node, so
-that what one node parts meets in others.
+Sets that meet in a node of depth ``DEPTH`` are a bucket, and every pair of a
+bucket is compared. Small buckets are compared pair by pair, on fixed-size
+sketches first; pairs found are verified on the exact sets. Larger ones are dealt
+out over parts of about ``PART`` sets (fewer if they are long), and every pair of
+parts is a block, a task's work: its pairs are compared exactly in one product of
+incidence matrices and give the links that span what they connect instead of
+every pair. A pair that meets in several large buckets is compared in the one of
+least key alone.
 
 Exact copies are one set, with their number; they cost nothing further.
 
@@ -43,16 +43,17 @@ from .common import materialize, one_of_each, shuffle_width, small_batches, with
 from .components import components
 
 WIDTH = 5
-SHALLOW, DEEP = 3, 6
+DEPTH = 3
 SKETCH = 64
 SMALL = 24
 PART = 400
+PART_TOKENS = 1 << 19
 COLUMNS = 8192
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = words.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def runs_for(recall: float, depth: int = SHALLOW) -> int:
+def runs_for(recall: float, depth: int = DEPTH) -> int:
     p = 1.0
     for _ in range(depth):
         p = 1 - math.exp(-p)
@@ -73,26 +74,18 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return sets
 
 
-def chosen_paths(own: np.ndarray, threshold: float, runs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of depth SHALLOW that the set reaches and, for each, the nodes of depth DEEP below it (0: none)."""
+def chosen_paths(own: np.ndarray, threshold: float, runs: int) -> np.ndarray:
+    """Nodes of depth DEPTH that the set reaches."""
     limit = np.uint64(min((1 << 64) - 1, int((1 << 64) / (threshold * len(own)))))
     nodes = words.mix(np.arange(1, runs + 1, dtype=np.uint64) * _MUL)
-    top = nodes
     with np.errstate(over="ignore"):
-        for depth in range(DEEP):
+        for _ in range(DEPTH):
             drawn = (own[None, :] ^ nodes[:, None]) * _MUL
             drawn ^= drawn >> np.uint64(32)
             drawn *= _MUL
             of, token = np.nonzero(drawn < limit)
-            if depth < SHALLOW:
-                nodes = words.mix(nodes[of] * np.uint64(31) + own[token])
-                top = nodes
-            else:
-                nodes, top = words.mix(nodes[of] * np.uint64(31) + own[token]), top[of]
-            if depth == SHALLOW - 1:
-                shallow = nodes
-    died = shallow[~np.isin(shallow, top)]
-    return np.concatenate([top, died]), np.concatenate([nodes, np.zeros(len(died), np.uint64)])
+            nodes = words.mix(nodes[of] * np.uint64(31) + own[token])
+    return np.unique(nodes)
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -111,23 +104,21 @@ def set_id(own: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame, *, id_col: str, text_col: str, threshold: float, runs: int) -> DataFrame:
-    """doc_id, sid (the set's identity), n, sketch, shallow and deep paths of every row."""
+    """doc_id, sid (the set's identity), n, sketch and paths of every row."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    schema = T.StructType([source.schema["doc_id"], *(T.StructField(n, t) for n, t in (("sid", T.BinaryType()), ("n", T.IntegerType()), ("sketch", T.BinaryType()), ("shallow", T.ArrayType(T.LongType())), ("deep", T.ArrayType(T.LongType()))))])
+    schema = T.StructType([source.schema["doc_id"], *(T.StructField(n, t) for n, t in (("sid", T.BinaryType()), ("n", T.IntegerType()), ("sketch", T.BinaryType()), ("paths", T.ArrayType(T.LongType()))))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in words.groups(texts):
-                sid, n, sk, shallow, deep = [], [], [], [], []
+                sid, n, sk, paths = [], [], [], []
                 for own in shingle_sets(texts[a:b]):
                     n.append(len(own))
                     sid.append(set_id(own))
-                    s, d = chosen_paths(own, threshold, runs) if len(own) else (np.zeros(0, np.uint64),) * 2
+                    paths.append((chosen_paths(own, threshold, runs) if len(own) else own).view(np.int64))
                     sk.append(sketch(own) if len(own) else b"\0" * SKETCH)
-                    shallow.append(s.view(np.int64))
-                    deep.append(d.view(np.int64))
-                arrays = [pa.array(sid, pa.binary()), pa.array(n, pa.int32()), pa.array(sk, pa.binary()), pa.array(shallow, pa.list_(pa.int64())), pa.array(deep, pa.list_(pa.int64()))]
+                arrays = [pa.array(sid, pa.binary()), pa.array(n, pa.int32()), pa.array(sk, pa.binary()), pa.array(paths, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *arrays], names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -165,11 +156,10 @@ def _close_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def spanning_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Exact similarities of all pairs of some sets; links at the threshold that span what they connect."""
-    n = np.array([len(s) for s in sets])
-    tokens, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), n)
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of some sets share."""
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = count[column] > 1
     kept, column = np.unique(column[shared], return_inverse=True)
     row = row[shared]
@@ -179,10 +169,28 @@ def spanning_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int,
         block = np.zeros((len(sets), min(COLUMNS, len(kept) - at)), np.float32)
         block[row[here], column[here] - at] = 1
         common += block @ block.T
-    linked = common >= threshold * (n[:, None] + n[None, :] - common)
-    waiting = np.ones(len(sets), bool)
+    return common
+
+
+def block_links(sets: list[np.ndarray], part: np.ndarray, before: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of a block link at the threshold, by exact similarity: all pairs if it holds one part, else those over
+    both; not those that share one of the nodes `before`, where they are compared."""
+    due = part[:, None] != part[None, :] if part.min() < part.max() else ~np.eye(len(sets), dtype=bool)
+    due &= shared_counts(before) == 0
+    linked = np.zeros_like(due)
+    busy = np.flatnonzero(due.any(1))
+    if len(busy):
+        n = np.array([len(sets[k]) for k in busy])
+        common = shared_counts([sets[k] for k in busy])
+        linked[np.ix_(busy, busy)] = common >= threshold * (n[:, None] + n[None, :] - common)
+    return linked & due
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span what a matrix of links connects."""
+    waiting = np.ones(len(linked), bool)
     out: list[tuple[int, int]] = []
-    for first in range(len(sets)):
+    for first in range(len(linked)):
         if waiting[first]:
             waiting[first] = False
             queue = [first]
@@ -196,49 +204,56 @@ def spanning_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int,
 
 
 def _spanned(rows: DataFrame, threshold: float) -> DataFrame:
-    """Exact links (a, b) that span the parts of large buckets: rows of (key, part, sid, tokens), PART rows a part or so."""
+    """Exact links (a, b) that span the blocks of large buckets: rows of (key, i, j, part, sid, nodes, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sid, sets = None, [], []
+        block, part, sid, before, sets = None, [], [], [], []
 
         def links() -> list[tuple[bytes, bytes]]:
-            return [(sid[a], sid[b]) for a, b in spanning_links(sets, threshold)] if len(sets) > 1 else []
+            if len(sets) < 2 or block[1] != block[2] and len(set(part)) < 2:
+                return []
+            return [(sid[a], sid[b]) for a, b in spanning(block_links(sets, np.array(part), before, threshold))]
 
         def flush(found: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             found = []
-            tokens = batch.column("tokens")
-            for at, own in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "part", "sid")))):
-                if own[:2] != key:
+            nodes, tokens = batch.column("nodes"), batch.column("tokens")
+            for at, own in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "part", "sid")))):
+                if own[:3] != block:
                     found.extend(links())
-                    key, sid, sets = own[:2], [], []
-                sid.append(own[2])
+                    block, part, sid, before, sets = own[:3], [], [], [], []
+                part.append(own[3])
+                sid.append(own[4])
+                reached = nodes[at].values.to_numpy()
+                before.append(reached[reached < own[0]])
                 sets.append(tokens[at].values.to_numpy())
             yield flush(found)
         yield flush(links())
 
-    dealt = rows.repartition(shuffle_width(rows.sparkSession), "key", "part").sortWithinPartitions("key", "part")
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small buckets, (key, sid, n, sketch), and parts of large ones, (key, part, sid), both written."""
-    paths = sets.select("sid", F.explode(F.array_distinct(F.arrays_zip("shallow", "deep"))).alias("path")).select("sid", F.col("path.shallow").alias("shallow"), F.col("path.deep").alias("deep"))
-    # a set names a node once for every path below it, so nodes are counted apart; nodes of one set go
-    sizes = sets.select(F.explode(F.array_distinct("shallow")).alias("shallow")).groupBy("shallow").agg(F.count("*").alias("met")).filter("met > 1")
-    met = materialize(paths.join(sizes, "shallow"), "jaccard-met")
-    small = met.filter(F.col("met") <= SMALL).select(F.col("shallow").alias("key"), "sid").distinct().join(sets.select("sid", "n", "sketch"), "sid")
-    middle = met.filter((F.col("met") > SMALL) & (F.col("met") <= PART)).select(F.col("shallow").alias("key"), "met", "sid").distinct()
-    deep = met.filter((F.col("met") > PART) & (F.col("deep") != 0)).select(F.col("deep").alias("key"), "sid").distinct()
-    deeper = deep.join(deep.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1"), "key").select("key", "met", "sid")
-    # a node has its own deal into parts, so sets that one node parts meet in another
-    part = F.pmod(F.xxhash64("sid", "key"), F.ceil(F.col("met") / PART)).cast("int")
-    large = middle.unionByName(deeper).select("key", part.alias("part"), "sid")
+    """Small buckets, (key, sid, n, sketch), and large ones, (key, sid, parts, part), both written."""
+    paths = sets.select("sid", "n", F.explode("paths").alias("key"))
+    sizes = paths.groupBy("key").agg(F.count("*").alias("met"), F.sum("n").alias("tokens")).filter("met > 1")  # nodes of one set go
+    met = materialize(paths.select("sid", "key").join(sizes, "key"), "jaccard-met")
+    small = met.filter(F.col("met") <= SMALL).select("key", "sid").join(sets.select("sid", "n", "sketch"), "sid")
+    parts = F.greatest(F.ceil(F.col("met") / PART), F.ceil(F.col("tokens") / PART_TOKENS)).cast("int")
+    large = met.filter(F.col("met") > SMALL).withColumn("parts", parts)
+    large = large.select("key", "sid", "parts", F.pmod(F.xxhash64("sid", "key"), "parts").cast("int").alias("part"))
     return materialize(small, "jaccard-small"), materialize(large, "jaccard-large")
 
 
+def blocks(large: DataFrame) -> DataFrame:
+    """(key, i, j, part, sid): every part of a large bucket beside every part, itself too."""
+    beside = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return beside.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid")
+
+
 def tokens_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """(sid, tokens) of the wanted sets, from one document that holds each."""
     holders = materialize(sets.join(wanted, "sid").select(F.col("doc_id").alias("holder")), "jaccard-holders")
@@ -265,7 +280,9 @@ def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, thres
     left, right = (tokens.select(F.col("sid").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("a_tokens", "b_tokens")))
     verified = both.filter(F.col("same") >= threshold * (F.size("a_tokens") + F.size("b_tokens") - F.col("same"))).select("a", "b")
-    spanned = _spanned(large.join(tokens, "sid"), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    nodes = large.groupBy("sid").agg(F.collect_list("key").alias("nodes"))
+    whole = materialize(tokens.join(nodes, "sid"), "jaccard-whole")
+    spanned = _spanned(blocks(large).join(whole, "sid"), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return materialize(verified.unionByName(spanned).distinct(), "jaccard-links")
 
 
@@ -280,7 +297,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     rows = materialize(describe(docs, id_col=id_col, text_col=text_col, threshold=threshold, runs=runs_for(recall)), "jaccard-rows")
-    sets = materialize(rows.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "n", "sketch", "shallow", "deep")).alias("x"), F.count("*").alias("n_copies")).select("sid", "x.*", "n_copies"), "jaccard-sets")
+    sets = materialize(rows.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "n", "sketch", "paths")).alias("x"), F.count("*").alias("n_copies")).select("sid", "x.*", "n_copies"), "jaccard-sets")
     found = links(docs, sets, id_col=id_col, text_col=text_col, threshold=threshold)
     roots = components(found)
     linked = sets.select("sid", "doc_id").join(roots, F.col("sid") == F.col("node")).select("sid", "doc_id", "root")

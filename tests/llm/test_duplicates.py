@@ -144,6 +144,23 @@ def test_large_groups_of_near_copies_and_recall(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.class_id for r in out.values()})
 
 
+def test_every_pair_of_a_bucket_of_many_parts_is_compared(spark, monkeypatch):
+    """In one run, so that a pair meets in few nodes: a common passage fills them with sets that don't link."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "PART", 4)
+    rng = random.Random(12)
+    passage = " ".join(make(rng, 100, 3000))
+    texts = []
+    for _ in range(100):  # 0.83 within a pair, 0.77 across pairs
+        own = make(rng, 4, 3000)
+        texts += [" ".join([passage, *own, *make(rng, 10, 3000)]) for _ in range(2)]
+    paths = [set(jaccard.chosen_paths(own, 0.8, jaccard.runs_for(0.3)).tolist()) for own in jaccard.shingle_sets(texts)]
+    meet = [bool(paths[k] & paths[k + 1]) for k in range(0, len(texts), 2)]
+    assert sum(meet) > 10
+    out = {r.doc_id: r.class_id for r in jaccard.classes(spark.createDataFrame(rows(texts), DOC), recall=0.3).collect()}
+    assert [out[k + 1] == k for k in range(0, len(texts), 2)] == meet
+
+
 def test_jaccard_edges(spark):
     for name, df in edge_frames(spark):
         out = jaccard.classes(df).collect()
