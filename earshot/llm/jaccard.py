@@ -15,9 +15,10 @@ bucket is compared. Small buckets are compared pair by pair, on fixed-size
 sketches first; pairs found are verified on the exact sets. Larger ones are dealt
 out over parts of about ``PART`` sets (fewer if they are long), and every pair of
 parts is a block, a task's work: its pairs are compared exactly in one product of
-incidence matrices and give the links that span what they connect instead of
-every pair. A pair that meets in several large buckets is compared in the one of
-least key alone.
+incidence matrices and give the links that span what they connect, and how many
+links each set has, instead of every pair. A pair that meets in several large
+buckets is compared in the one of least key alone, and not in small ones, so it
+counts once.
 
 Exact copies are one set, with their number; they cost nothing further.
 
@@ -204,18 +205,21 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _spanned(rows: DataFrame, threshold: float) -> DataFrame:
-    """Exact links (a, b) that span the blocks of large buckets: rows of (key, i, j, part, sid, nodes, tokens)."""
+    """Of the blocks of large buckets, rows of (key, i, j, part, sid, nodes, tokens): exact links (a, b) that span them, and
+    rows (a, null, links) with the number of a set's links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, part, sid, before, sets = None, [], [], [], []
 
-        def links() -> list[tuple[bytes, bytes]]:
+        def links() -> list[tuple[bytes, bytes | None, int | None]]:
             if len(sets) < 2 or block[1] != block[2] and len(set(part)) < 2:
                 return []
-            return [(sid[a], sid[b]) for a, b in spanning(block_links(sets, np.array(part), before, threshold))]
+            linked = block_links(sets, np.array(part), before, threshold)
+            degree = linked.sum(1)
+            return [*((sid[a], sid[b], None) for a, b in spanning(linked)), *((sid[k], None, int(degree[k])) for k in np.flatnonzero(degree))]
 
         def flush(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "links"])
 
         for batch in batches:
             found = []
@@ -233,7 +237,7 @@ def _spanned(rows: DataFrame, threshold: float) -> DataFrame:
         yield flush(links())
 
     dealt = rows.repartition(shuffle_width(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(run, "a binary, b binary, links long")
 
 
 def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -271,19 +275,25 @@ def tokens_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, *, id_col: st
     return one_of_each(materialize(source.mapInArrow(run, "sid binary, tokens array<bigint>").join(wanted, "sid", "left_semi"), "jaccard-tokens"), "sid")
 
 
-def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(a, b): verified links between different sets; of large buckets those that span them."""
+def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b): verified links between different sets, of large buckets those that span them; and (sid, n_links), all of a set's."""
     small, large = buckets(sets)
-    pairs = materialize(_close_pairs(small, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "jaccard-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(large.select("sid")).distinct(), "jaccard-wanted")
+    nodes = materialize(large.groupBy("sid").agg(F.collect_list("key").alias("nodes")), "jaccard-nodes")
+    close = _close_pairs(small, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    for c in "ab":
+        close = close.join(nodes.select(F.col("sid").alias(c), F.col("nodes").alias(f"{c}_nodes")), c, "left")
+    pairs = materialize(close.filter(~F.coalesce(F.arrays_overlap("a_nodes", "b_nodes"), F.lit(False))).select("a", "b"), "jaccard-pairs")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(nodes.select("sid")).distinct(), "jaccard-wanted")
     tokens = tokens_of(docs, sets, wanted, id_col=id_col, text_col=text_col)
     left, right = (tokens.select(F.col("sid").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("a_tokens", "b_tokens")))
-    verified = both.filter(F.col("same") >= threshold * (F.size("a_tokens") + F.size("b_tokens") - F.col("same"))).select("a", "b")
-    nodes = large.groupBy("sid").agg(F.collect_list("key").alias("nodes"))
+    verified = materialize(both.filter(F.col("same") >= threshold * (F.size("a_tokens") + F.size("b_tokens") - F.col("same"))).select("a", "b"), "jaccard-verified")
     whole = materialize(tokens.join(nodes, "sid"), "jaccard-whole")
-    spanned = _spanned(blocks(large).join(whole, "sid"), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return materialize(verified.unionByName(spanned).distinct(), "jaccard-links")
+    spanned = materialize(_spanned(blocks(large).join(whole, "sid"), threshold), "jaccard-spanned")
+    found = verified.unionByName(spanned.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    ends = verified.select(F.explode(F.array("a", "b")).alias("sid"), F.lit(1).cast("long").alias("links"))
+    counted = ends.unionByName(spanned.filter("b is null").select(F.col("a").alias("sid"), "links"))
+    return found, counted.groupBy("sid").agg(F.sum("links").alias("n_links"))
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
@@ -291,18 +301,16 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     class_id is the least id of the class: texts connected by links of at least
     the threshold, and all copies of them. n_links counts the other texts that
-    were found and verified to link to the row's own (in buckets of over SMALL
-    texts, those of the links that span the bucket), n_copies the rows whose text
+    were found and verified to link to the row's own, n_copies the rows whose text
     has the same shingles.
     """
     small_batches(docs.sparkSession)
     rows = materialize(describe(docs, id_col=id_col, text_col=text_col, threshold=threshold, runs=runs_for(recall)), "jaccard-rows")
     sets = materialize(rows.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "n", "sketch", "paths")).alias("x"), F.count("*").alias("n_copies")).select("sid", "x.*", "n_copies"), "jaccard-sets")
-    found = links(docs, sets, id_col=id_col, text_col=text_col, threshold=threshold)
+    found, degree = links(docs, sets, id_col=id_col, text_col=text_col, threshold=threshold)
     roots = components(found)
     linked = sets.select("sid", "doc_id").join(roots, F.col("sid") == F.col("node")).select("sid", "doc_id", "root")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    degree = found.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
     of_set = sets.select("sid", F.col("doc_id").alias("own"), "n_copies").join(linked.select("sid", "root"), "sid", "left").join(least, "root", "left").join(degree, "sid", "left")
     of_set = of_set.select("sid", "n_copies", F.coalesce("class_id", "own").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     of_set = materialize(of_set, "jaccard-of-set")  # a join of two plain scans: AQE can split the rows of a large group of copies

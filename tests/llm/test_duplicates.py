@@ -161,6 +161,14 @@ def test_every_pair_of_a_bucket_of_many_parts_is_compared(spark, monkeypatch):
     assert [out[k + 1] == k for k in range(0, len(texts), 2)] == meet
 
 
+def test_links_of_a_large_bucket_are_all_counted(spark):
+    rng = random.Random(15)
+    texts = near_copies(rng, make(rng, 220, 3000), 60, 1)
+    _, linked = brute_classes(list(enumerate(texts)))
+    out = jaccard.classes(spark.createDataFrame(rows(texts), DOC)).collect()
+    assert 0.99 * linked <= sum(r.n_links for r in out) / 2 <= linked
+
+
 def test_jaccard_edges(spark):
     for name, df in edge_frames(spark):
         out = jaccard.classes(df).collect()
