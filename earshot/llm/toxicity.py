@@ -3,8 +3,8 @@
 Tokens are words and the beginnings of words (``PREFIXES`` bytes), so compounds
 and inflected forms of a term are met as well; a word scores as the best token
 it has. A token's weight of evidence comes from log-odds between toxic and clean
-labelled texts (a token counts once a text, since some texts repeat a word
-hundreds of times) under an informative Dirichlet prior (pseudo counts in
+labelled texts (there a token counts once a text, since some texts repeat a word
+hundreds of times; the scan takes every place) under an informative Dirichlet prior (pseudo counts in
 proportion to the pooled frequencies); tokens whose log-odds are at least ``min_odds`` and ``min_z`` standard errors
 above zero make up the lexicon. A token's score is the log
 likelihood ratio between a toxic passage (a share ``density`` of lexicon
@@ -99,9 +99,6 @@ def segments(texts: list[str], model: ToxicityModel) -> tuple[np.ndarray, list[l
         score = np.where(model.tokens[at] == tokens, model.scores[at], 0.0).max(1)
         hit = np.flatnonzero(score > 0)
         owner = np.searchsorted(bounds, hit, side="right") - 1
-        _, first = np.unique(tokens[hit, 0] + words.mix(owner.astype(np.uint64)), return_index=True)  # a word is evidence once a text
-        first.sort()
-        hit, owner = hit[first], owner[first]
         for k in np.unique(owner):
             own = hit[owner == k]
             found[k] = maximal_segments(own - bounds[k], score[own], model.drift)

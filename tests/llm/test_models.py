@@ -80,6 +80,18 @@ def test_maximal_segments_against_the_definition():
         assert sorted(round(s, 6) for s, *_ in found) == sorted(round(s, 6) for s, *_ in expected)
 
 
+def test_every_place_of_a_toxic_word_is_scanned():
+    """Words that stand scattered first and together later; and two passages of the same words."""
+    bad = [f"bad{k}" for k in range(6)]
+    model = toxicity.ToxicityModel(np.sort(words.hash_words([" ".join(bad)])[0]), np.full(6, 3.0))
+    clean = [f"c{k}" for k in range(200)]
+    scattered = [w for b in bad for w in (b, *clean)]
+    _, found = toxicity.segments([" ".join([*scattered, *bad]), " ".join([*bad, *clean, *bad])], model)
+    at = len(scattered)
+    assert any(f == at and e == at + 6 and math.isclose(s, 18.0) for s, f, e in found[0])
+    assert [(f, e) for _, f, e in found[1]] == [(0, 6), (206, 212)]
+
+
 def test_word_hashes_depend_on_the_word_alone():
     texts = [t or "" for t in edge_texts()]
     import re
