@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words
-from .common import small_batches
+from .common import lean, small_batches
 
 K1, B = 1.2, 0.75
 ITEMS_IN_BLOCK = 4
@@ -224,7 +224,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
                 rows = list(_leaks(shared.value, batch.column("text").to_pylist(), least, least_part))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], item_type), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(2, 6))], names=schema.names)
 
-        found = source.mapInArrow(run, schema)
+        found = source.mapInArrow(lean(run), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -241,5 +241,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
                 clean[[r[0] for r in _leaks(shared.value, pc.fill_null(batch.column(at), "").to_pylist(), least, least_part)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import materialize, one_of_each, shuffle_width, small_batches, with_ids
+from .common import BROADCAST_ROWS, lean, materialize, one_of_each, shuffle_width, small_batches, with_ids
 from .components import components
 
 WIDTH = 5
@@ -105,9 +105,10 @@ def set_id(own: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame, *, id_col: str, text_col: str, threshold: float, runs: int) -> DataFrame:
-    """doc_id, sid (the set's identity), n, sketch and paths of every row."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    schema = T.StructType([source.schema["doc_id"], *(T.StructField(n, t) for n, t in (("sid", T.BinaryType()), ("n", T.IntegerType()), ("sketch", T.BinaryType()), ("paths", T.ArrayType(T.LongType()))))])
+    """doc_id, mark (a hash of the text), sid (the set's identity), n, sketch and paths of every row."""
+    text = F.coalesce(text_col, F.lit(""))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    schema = T.StructType([source.schema["doc_id"], T.StructField("mark", T.LongType()), *(T.StructField(n, t) for n, t in (("sid", T.BinaryType()), ("n", T.IntegerType()), ("sketch", T.BinaryType()), ("paths", T.ArrayType(T.LongType()))))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +121,9 @@ def describe(docs: DataFrame, *, id_col: str, text_col: str, threshold: float, r
                     paths.append((chosen_paths(own, threshold, runs) if len(own) else own).view(np.int64))
                     sk.append(sketch(own) if len(own) else b"\0" * SKETCH)
                 arrays = [pa.array(sid, pa.binary()), pa.array(n, pa.int32()), pa.array(sk, pa.binary()), pa.array(paths, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *arrays], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "mark")), *arrays], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def _close_pairs(rows: DataFrame, threshold: float) -> DataFrame:
@@ -154,7 +155,7 @@ def _close_pairs(rows: DataFrame, threshold: float) -> DataFrame:
             yield flush(list(pairs()))
 
     dealt = rows.repartition(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key", "sid")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(lean(run), "a binary, b binary")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -237,7 +238,7 @@ def _spanned(rows: DataFrame, threshold: float) -> DataFrame:
         yield flush(links())
 
     dealt = rows.repartition(shuffle_width(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a binary, b binary, links long")
+    return dealt.mapInArrow(lean(run), "a binary, b binary, links long")
 
 
 def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,7 +273,7 @@ def tokens_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, *, id_col: st
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in own], pa.binary()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], names=["sid", "tokens"])
 
     # a holder's id may stand for other texts too
-    return one_of_each(materialize(source.mapInArrow(run, "sid binary, tokens array<bigint>").join(wanted, "sid", "left_semi"), "jaccard-tokens"), "sid")
+    return one_of_each(materialize(source.mapInArrow(lean(run), "sid binary, tokens array<bigint>").join(wanted, "sid", "left_semi"), "jaccard-tokens"), "sid")
 
 
 def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -296,6 +297,21 @@ def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, thres
     return found, counted.groupBy("sid").agg(F.sum("links").alias("n_links"))
 
 
+def _row_classes(docs: DataFrame, *, id_col: str, text_col: str, threshold: float, recall: float) -> DataFrame:
+    """(doc_id, mark, class, class_id, n_links, n_copies) of every row; class is null for a text without a word."""
+    small_batches(docs.sparkSession)
+    rows = materialize(describe(docs, id_col=id_col, text_col=text_col, threshold=threshold, runs=runs_for(recall)), "jaccard-rows")
+    sets = materialize(rows.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "n", "sketch", "paths")).alias("x"), F.min("doc_id").alias("own"), F.count("*").alias("n_copies")).select("sid", "x.*", "own", "n_copies"), "jaccard-sets")
+    found, degree = links(docs, sets, id_col=id_col, text_col=text_col, threshold=threshold)
+    roots = components(found)
+    linked = sets.select("sid", "own").join(roots, F.col("sid") == F.col("node")).select("sid", "own", "root")
+    least = linked.groupBy("root").agg(F.min("own").alias("class_id"))
+    of_set = sets.select("sid", "own", "n_copies").join(linked.select("sid", "root"), "sid", "left").join(least, "root", "left").join(degree, "sid", "left")
+    of_set = of_set.select("sid", F.coalesce("root", "sid").alias("class"), "n_copies", F.coalesce("class_id", "own").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_set = materialize(of_set, "jaccard-of-set")  # a join of two plain scans: AQE can split the rows of a large group of copies
+    return rows.select("doc_id", "mark", "sid").join(of_set, "sid", "left").select("doc_id", "mark", "class", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) of every row.
 
@@ -304,27 +320,28 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     were found and verified to link to the row's own, n_copies the rows whose text
     has the same shingles.
     """
-    small_batches(docs.sparkSession)
-    rows = materialize(describe(docs, id_col=id_col, text_col=text_col, threshold=threshold, runs=runs_for(recall)), "jaccard-rows")
-    sets = materialize(rows.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "n", "sketch", "paths")).alias("x"), F.count("*").alias("n_copies")).select("sid", "x.*", "n_copies"), "jaccard-sets")
-    found, degree = links(docs, sets, id_col=id_col, text_col=text_col, threshold=threshold)
-    roots = components(found)
-    linked = sets.select("sid", "doc_id").join(roots, F.col("sid") == F.col("node")).select("sid", "doc_id", "root")
-    least = linked.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    of_set = sets.select("sid", F.col("doc_id").alias("own"), "n_copies").join(linked.select("sid", "root"), "sid", "left").join(least, "root", "left").join(degree, "sid", "left")
-    of_set = of_set.select("sid", "n_copies", F.coalesce("class_id", "own").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    of_set = materialize(of_set, "jaccard-of-set")  # a join of two plain scans: AQE can split the rows of a large group of copies
-    return rows.select("doc_id", "sid").join(of_set, "sid", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return _row_classes(docs, id_col=id_col, text_col=text_col, threshold=threshold, recall=recall).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """One row of each class, the one of least id, with all its columns."""
-    found = materialize(classes(docs, id_col=id_col, text_col=text_col, threshold=threshold, recall=recall), "jaccard-classes")
-    counted = found.groupBy(F.col("doc_id").alias("found_id"), "class_id").agg(F.count("*").alias("rows"))
-    first = F.col("found_id").eqNullSafe(F.col("class_id"))
-    dropped = materialize(counted.filter(~first).select("found_id"), "jaccard-dropped")
-    repeated = materialize(counted.filter(first & (F.col("rows") > 1)).select("found_id"), "jaccard-repeated")
-    rows = with_ids(docs, dropped, id_col, "left_anti")
+    """One row of each class, with all its columns: the one of least id, of least text hash if that id has several texts.
+
+    Rows are told apart by id and text, so texts without an id, or of one id, stay if they are of different classes; a row
+    without an id stays for its class only if no other has one. Texts without a word all stay.
+    """
+    found = _row_classes(docs, id_col=id_col, text_col=text_col, threshold=threshold, recall=recall).filter("class is not null")
+    found = materialize(found.groupBy(F.col("doc_id").alias("found_id"), "mark", "class").agg(F.count("*").alias("rows")), "jaccard-classes")
+    first = found.groupBy("class").agg(F.min(F.struct(F.col("found_id").isNull().alias("without"), "found_id", "mark")).alias("first"))
+    chosen = F.col("found_id").eqNullSafe(F.col("first.found_id")) & (F.col("mark") == F.col("first.mark"))
+    judged = materialize(found.join(first, "class").select("found_id", "mark", "rows", chosen.alias("chosen")), "jaccard-chosen")
+    dropped, repeated = judged.filter("not chosen").select("found_id", "mark"), judged.filter("chosen and rows > 1").select("found_id", "mark")
+    mark = F.xxhash64(F.coalesce(text_col, F.lit("")))
+
+    def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        return rows.join(side, rows[id_col].eqNullSafe(ids["found_id"]) & (mark == ids["mark"]), how)
+
+    rows = among(docs, dropped, "left_anti")
     if repeated.isEmpty():
         return rows
-    return with_ids(rows, repeated, id_col, "left_anti").unionByName(with_ids(rows, repeated, id_col).dropDuplicates([id_col]))
+    return among(rows, repeated, "left_anti").unionByName(among(rows, repeated, "left_semi").dropDuplicates([id_col, text_col]))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import materialize, shuffle_width, small_batches
+from .common import lean, materialize, shuffle_width, small_batches
 
 SLICE = 512
 
@@ -72,7 +72,7 @@ def tokenize_pieces(
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f.name for f in fields)])
 
-    return source.mapInArrow(cut, T.StructType([T.StructField("doc_id", id_type), *fields]))
+    return source.mapInArrow(lean(cut), T.StructType([T.StructField("doc_id", id_type), *fields]))
 
 
 def sweep(histogram: Iterable[tuple[int, int]], seq_len: int) -> tuple[np.ndarray, int]:
@@ -150,7 +150,7 @@ def pack(pieces: DataFrame, *, seq_len: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(moves[at, 2])], names=[*(n for n in batch.schema.names if n != "place"), "sequence_id", "offset"])
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(resolve, schema)
+    return ranked.mapInArrow(lean(resolve), schema)
 
 
 def pack_documents(docs: DataFrame, *, seq_len: int = 2048, **tokenizing) -> DataFrame:

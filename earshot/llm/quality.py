@@ -13,8 +13,11 @@ in batches, without a shuffle.
 
 Defined results: a null or empty text is one empty passage and gets a score; null
 labels are passed over, a doc_id that is labelled more than once counts once
-(its lowest label); repeated rows are scored each; no labels at all give the
-score 0.5 everywhere; other columns are not read.
+(its lowest label), one with more than one text is learnt from the least of
+them; repeated rows are scored each; no labels at all give the score 0.5
+everywhere; other columns are not read. A text of over ``words.CHUNK`` characters
+is encoded in sections: all of its passages count, no passage goes over a
+section's end, and the measures of repetition are those of the section.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import small_batches
+from .common import lean, small_batches
 
 PASSAGE = 64
 HASHED = 48
@@ -41,8 +44,18 @@ WIDTH = HASHED + CLASSES + 7
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Passages of the texts as rows of features, and the text of each."""
-    data, starts, ends, hashes, owner = words.scan(texts, lower=False, by_space=True)
+    """Passages of the texts as rows of features, and the text of each. Texts longer than words.CHUNK are encoded in sections."""
+    features, bags = [np.zeros((0, WIDTH), np.float32)], [np.zeros(0, np.int64)]
+    for owner, sections, _ in words.bounded(texts, lower=False):
+        x, bag = _encode(sections)
+        features.append(x)
+        bags.append(np.asarray(owner, np.int64)[bag])
+    return np.concatenate(features), np.concatenate(bags)
+
+
+def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    data, starts, ends, owner = words.scan(texts, by_space=True)
+    hashes = words.span_hashes(data, starts, ends)
     n = len(texts)
     per_text = np.bincount(owner, minlength=n)
     first = np.concatenate([[0], np.cumsum(per_text)])[:-1]
@@ -148,18 +161,27 @@ def labelled_sample(labels: DataFrame, *, label_col: str, max_rows: int, id_col:
     return rows.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
-def train(docs: DataFrame, sample: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel | None:
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+def train(docs: DataFrame, sample: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_passages: int = 64) -> AttentionModel | None:
+    """Fits on the sampled documents, one text an id; of a longer one, on max_passages passages spread evenly over it.
+
+    So what the driver gets is bounded: max_passages rows of 65 numbers for each of the sample's rows.
+    """
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    chosen = source.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).select("doc_id", "x.*")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, labels, ids = (batch.column(c).to_pylist() for c in ("text", "label", "doc_id"))
             for a, b in words.groups(texts):
                 x, bag = encode(texts[a:b])
-                rows = [x[bag == k].tobytes() for k in range(b - a)]
+                rows = []
+                for own in np.split(x, np.flatnonzero(np.diff(bag)) + 1):
+                    spread = np.linspace(0, len(own) - 1, min(len(own), max_passages)).round().astype(np.int64)
+                    rows.append(own[spread].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids[a:b]]), pa.array(labels[a:b], pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
-    rows = sorted(tuple(r) for r in chosen.mapInArrow(bags, "doc_id string, label int, x binary").collect())  # at most as many as the sample, and copies of its rows
+    rows = sorted(tuple(r) for r in chosen.mapInArrow(lean(bags), "doc_id string, label int, x binary").collect())  # at most as many as the sample
     if len({r[1] for r in rows}) < 2:
         return None
     sets = [np.frombuffer(r[2], np.float32).reshape(-1, WIDTH) for r in rows]
@@ -182,11 +204,12 @@ def score(docs: DataFrame, model: AttentionModel | None, *, id_col: str = "doc_i
                 y = model.predict(*encode(texts[a:b])) if model else np.full(b - a, 0.5)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(y.astype(np.float64))], names=[*keep, "score"])
 
-    return source.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(lean(run), T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, model: AttentionModel | None, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows, with all their columns, that score at the threshold or above."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -197,4 +220,4 @@ def keep_good(docs: DataFrame, model: AttentionModel | None, *, text_col: str =
             good = [model.predict(*encode(texts[a:b])) >= threshold if model else np.ones(b - a, bool) for a, b in words.groups(texts)]
             yield batch.filter(pa.array(np.concatenate([*good, np.zeros(0, bool)])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

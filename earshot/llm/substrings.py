@@ -7,17 +7,28 @@ wide are the nodes of the Cartesian tree over the hashes that are that wide;
 their minima are minima of a sliding window of that width as well, so the tree
 is built over those alone (about 2 / width of the places).
 
-Windows of one hash function and one value are a group. Inside a chunk of
-documents, before anything is shuffled, members of a group are linked to its
-first one and to the one before them, and only the first goes on; the firsts of
-all chunks are linked the same way. Links grow with the members, not with their
-square, and a group that half the documents share sends one row a chunk.
-
-Interval join: two documents whose linked windows agree for at least ``votes``
-hash functions, on one diagonal (the same distance between the places, give or
-take ``SLACK``), are a candidate pair, with the spans that the windows cover.
-Pairs are verified on the shingles of those spans: a repeat is a run of common
-shingles, over small gaps, of Jaccard similarity ``threshold`` or more and
+Interval join: hash functions are taken in twos. Where a window of the one
+overlaps a window of the other by ``width`` or more, all subsequences in the
+overlap have the same two min-hashes, their signature. Both windows are of one
+text, so this join needs no shuffle. Subsequences of different texts that share
+a signature are a group. An exact repeat of ``width`` shingles shares one
+signature for every two functions, so none is missed; a near one, of similarity
+0.8, shares one of three with a probability of 0.95 where it is no longer than
+``width``, and more where it is longer.
+
+A group gives links, not pairs. A member is linked to the least one (by text
+and place) among those that share the signature and the half of ``width``
+that follows the first centre, or that precedes the second: of an exact repeat
+one of the two halves lies inside it. A member without company there, and the
+least ones of these subgroups, are linked to the least of the group. All of this
+depends on the texts alone, not on how they are laid out. Links grow with the
+members, not with their square. Groups of more rows than a quarter of a task's
+share, which a sample of rows points out, are linked by joins with their least
+members instead of in one task; the links are the same.
+
+Linked texts are verified on the shingles of the spans that their windows cover,
+in both directions, so every place of a passage counts: a repeat is a run of
+common shingles, over small gaps, of Jaccard similarity ``threshold`` or more and
 ``width`` or more shingles on both sides; failing that, exact runs of the width.
 
 Repeats of a document that overlap are one passage; passages connected by
@@ -26,7 +37,8 @@ share the passages of the one that stands for them.
 
 Defined results: documents under ``min_words`` words, null and empty texts have
 no passage; repeated rows are copies; rows without an id take part; a text that
-repeats only within itself has no row; other columns are not read.
+repeats only within itself has no row; other columns are not read. Long texts
+are hashed in bounded parts; a text's shingles are held whole (8 bytes a word).
 """
 
 from __future__ import annotations
@@ -40,17 +52,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import BROADCAST_ROWS, materialize, one_of_each, shuffle_width, small_batches
+from .common import BROADCAST_ROWS, drop_table, lean, materialize, one_of_each, shuffle_width, small_batches
 from .components import components
 
 SHINGLE = 5
 SLACK = 12
 GAP = 10
-CHUNK_WINDOWS = 1 << 20
+#: Texts of a task that are remembered, so that copies give no further rows; those beyond are dropped after the shuffle.
+SEEN = 1 << 16
 _MUL = np.uint64(0xD6E8FEB86659FD93)
-_DTYPE = np.dtype([("key", "<u8"), ("tid", "<i8"), ("c", "<i8"), ("l", "<i8"), ("r", "<i8"), ("j", "<i8")])
-
-
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every run of `width` values, by doubling."""
     out, have = h, 1
@@ -114,125 +124,142 @@ def text_ids(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return words.mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def windows_of(found: np.ndarray, at: np.ndarray, tids: np.ndarray, width: int, functions: int) -> np.ndarray:
-    out = []
+def run_hashes(found: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of `length` shingles that begin at each place; places too near the end have 0."""
+    out = np.zeros(len(found), np.uint64)
+    n = len(found) - length + 1
+    if n > 0:
+        with np.errstate(over="ignore"):
+            for k in range(length):
+                out[:n] = out[:n] * _MUL + found[k : k + n]
+        out[:n] = words.mix(out[:n])
+    return out
+
+
+def signatures(found: np.ndarray, at: np.ndarray, width: int, functions: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each two functions: (key, l, r, first centre, last centre) of every overlap of their windows that is wide enough."""
+    windows = []
     with np.errstate(over="ignore"):
         for j in range(functions):
-            seed = words.mix(np.array([j + 1], np.uint64) * _MUL)
-            h = (found ^ seed) * _MUL
+            h = (found ^ words.mix(np.array([j + 1], np.uint64) * _MUL)) * _MUL
             left, centre, right = compact_windows(h, at, width)
-            rows = np.empty(len(centre), _DTYPE)
-            text = np.searchsorted(at, centre, side="right") - 1
-            rows["key"], rows["tid"], rows["j"] = words.mix(h[centre] + np.uint64(j)), tids[text], j
-            rows["c"], rows["l"], rows["r"] = centre - at[text], left - at[text], right - at[text]
-            out.append(rows)
-    return np.concatenate(out)
-
-
-def link_groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Firsts of the groups; and links (places of members and of those that they are linked to) in the sorted rows."""
-    rows = rows[np.lexsort((rows["c"], rows["tid"], rows["key"]))]
-    if len(rows):
-        same = (rows["key"][1:] == rows["key"][:-1]) & (rows["tid"][1:] == rows["tid"][:-1])
-        rows = rows[np.concatenate([[True], ~same])]  # one window of a text stands for it in a group
-    new = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]) if len(rows) else np.zeros(0, bool)
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(rows) else np.zeros(0, np.int64)
-    member = np.flatnonzero(~new)
-    to_first = np.stack([member, first[member]], 1)
-    chained = member[first[member] != member - 1]
-    links = np.concatenate([to_first, np.stack([chained, chained - 1], 1)])
-    return rows, np.flatnonzero(new), links
-
-
-#: Two numbers a field, since these rows are what is shuffled: cl holds c and l, rj holds r and j. key also deals the rows out.
-_ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "tid", "cl", "rj", "tid2", "cl2", "rj2")])
-
-
-def _batch(key: np.ndarray, rows: np.ndarray, other: np.ndarray | None) -> pa.RecordBatch:
-    packed = lambda r: (np.ascontiguousarray(r["tid"]), r["c"] << 32 | r["l"], r["r"] << 8 | r["j"])
-    blank = [pa.nulls(len(rows), pa.int64())] * 3
-    return pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, packed(rows)), *(blank if other is None else map(pa.array, packed(other)))], names=_ROW.names)
-
-
-def _linked(rows: np.ndarray, links: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(links), 1 << 16):
-        part = links[at : at + (1 << 16)]
-        a, b = rows[part[:, 0]], rows[part[:, 1]]
-        yield _batch(words.mix(np.ascontiguousarray(a["tid"]).view(np.uint64) ^ np.ascontiguousarray(b["tid"]).view(np.uint64)).view(np.int64), a, b)
+            windows.append((np.maximum(left, centre - width + 1), left, centre, right, h[centre]))
+        for band in range(functions // 2):
+            (at_a, la, ca, ra, ha), (at_b, lb, cb, rb, hb) = windows[2 * band : 2 * band + 2]
+            # a run of the width lies in one window of each function, so the places where runs change windows cut both alike
+            begin = np.union1d(at_a, at_b)
+            i, j = np.searchsorted(at_a, begin, side="right") - 1, np.searchsorted(at_b, begin, side="right") - 1
+            key = words.mix(ha[i] + words.mix(hb[j] + np.uint64(band + 1)))
+            yield key, np.maximum(la[i], lb[j]), np.minimum(ra[i], rb[j]), np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])
+
+
+#: lr holds the window's first and last shingle, after and before hash what follows and what precedes its centres.
+_ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "tid", "lr", "after", "before")])
+_LINK = T.StructType([T.StructField(n, T.LongType()) for n in ("tid", "lr", "tid2", "lr2")])
+
+
+def window_rows(texts: list[str], seen: set[int], width: int, functions: int) -> list[np.ndarray]:
+    """The columns of _ROW for the texts that aren't in `seen`, which takes them up while it has room."""
+    hashes, bounds = words.hash_words(texts)
+    tids = text_ids(hashes, bounds)
+    found, at = words.shingles(hashes, bounds, SHINGLE)
+    half = (width + 1) // 2
+    runs = run_hashes(found, half)
+    fresh = np.zeros(len(texts), bool)
+    for k, tid in enumerate(tids.tolist()):
+        if tid not in seen:
+            fresh[k] = True
+            if len(seen) < SEEN:
+                seen.add(tid)
+    columns: list[list[np.ndarray]] = [[] for _ in _ROW.names]
+    for key, lo, hi, first, last in signatures(found, at, width, functions):
+        text = np.searchsorted(at, first, side="right") - 1
+        # beyond the text's end or before its beginning there is no company
+        alone = words.mix(tids[text].view(np.uint64) + first.astype(np.uint64))
+        after = np.where(first + half <= at[text + 1], runs[first], alone)
+        before = np.where(last - half + 1 >= at[text], runs[np.maximum(last - half + 1, 0)], ~alone)
+        place = (lo - at[text]) << 32 | (hi - at[text])
+        own = fresh[text]
+        for column, values in zip(columns, (key.view(np.int64), tids[text], place, after.view(np.int64), before.view(np.int64))):
+            column.append(values[own])
+    return [np.concatenate(c) for c in columns]
+
+
+def link_groups(key: np.ndarray, tid: np.ndarray, lr: np.ndarray, after: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    """Links (tid, lr, tid2, lr2) of whole groups; rows sorted by key, tid and lr."""
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (tid[1:] != tid[:-1]) | (lr[1:] != lr[:-1])])
+    key, tid, lr, after, before = (x[new] for x in (key, tid, lr, after, before))
+    opens = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    first = np.repeat(opens, np.diff(np.append(opens, len(key))))
+    last = np.repeat(np.append(opens[1:], len(key)) - 1, np.diff(np.append(opens, len(key))))
+    shared = tid[first] != tid[last]
+    key, tid, lr, after, before = (x[shared] for x in (key, tid, lr, after, before))
+    if not len(key):
+        return [np.zeros(0, np.int64)] * 4
+    opens = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    first = np.repeat(opens, np.diff(np.append(opens, len(key))))
+    near = np.zeros(len(key), bool)
+    a, b = [], []
+    for half in (after, before):
+        order = np.lexsort((half, first))  # stable: by text and place within a subgroup
+        change = np.concatenate([[True], (first[order][1:] != first[order][:-1]) | (half[order][1:] != half[order][:-1])])
+        least = order[np.flatnonzero(change)][np.cumsum(change) - 1]
+        member = tid[order] != tid[least]
+        near[order[member]] = True
+        a.append(order[member])
+        b.append(least[member])
+    rest = np.flatnonzero(~near & (tid != tid[first]))
+    a, b = np.concatenate([*a, rest]), np.concatenate([*b, first[rest]])
+    return [tid[a], lr[a], tid[b], lr[b]]
 
 
 def links_between(docs: DataFrame, *, width: int, functions: int) -> DataFrame:
-    """Links between windows of one group: (tid, c, l, r) and (tid2, c2, l2, r2) under the function j."""
+    """(tid, lr, tid2, lr2): links between the windows of a group."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held, count = [], 0
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            rows, firsts, links = link_groups(np.concatenate(held))
-            yield from _linked(rows, links)
-            for at in range(0, len(firsts), 1 << 16):
-                part = rows[firsts[at : at + (1 << 16)]]
-                yield _batch(np.ascontiguousarray(part["key"]).view(np.int64), part, None)
-
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in words.groups(texts):
-                hashes, bounds = words.hash_words(texts[a:b])
-                tids = text_ids(hashes, bounds)
-                found, at = words.shingles(hashes, bounds, SHINGLE)
-                rows = windows_of(found, at, tids, width, functions)
-                fresh = [t for t in dict.fromkeys(tids.tolist()) if t not in seen]
-                if len(seen) < 1 << 20:
-                    seen.update(fresh)
-                rows = rows[np.isin(rows["tid"], np.array(fresh, np.int64))]  # copies met before bring nothing new
-                held.append(rows)
-                count += len(rows)
-                if count >= CHUNK_WINDOWS:
-                    yield from settle()
-                    held, count = [], 0
-        if held:
-            yield from settle()
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by key: windows of a key come together, whatever the batch."""
-        held = np.zeros(0, _DTYPE)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in window_rows(texts[a:b], seen, width, functions)], names=_ROW.names)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 5
+
+        def links(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in link_groups(*columns)], names=_LINK.names)
+
         for batch in batches:
-            is_link = batch.column("tid2").is_valid().to_numpy(zero_copy_only=False)
-            if is_link.any():
-                yield batch.filter(pa.array(is_link))
-            rows = np.empty(int((~is_link).sum()), _DTYPE)
-            rows["tid"], cl, rj = (batch.column(n).to_numpy()[~is_link] for n in ("tid", "cl", "rj"))
-            rows["c"], rows["l"], rows["r"], rows["j"] = cl >> 32, cl & 0xFFFFFFFF, rj >> 8, rj & 255
-            rows["key"] = batch.column("key").to_numpy()[~is_link].view(np.uint64)
-            held = np.concatenate([held, rows])
-            if len(held):
-                open_key = held["key"][-1]  # its group may go on: its first and last member stay
-                kept, _, links = link_groups(held)
-                yield from _linked(kept, links)
-                tail = kept[kept["key"] == open_key]
-                held = tail[[0, -1]] if len(tail) > 1 else tail
-
-    source = docs.select("text").mapInArrow(scan, _ROW)
-    dealt = source.repartition(shuffle_width(docs.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(join, _ROW)
-
-
-def candidates(links: DataFrame, *, votes: int) -> DataFrame:
-    """(a, b, a_lo, a_hi, b_lo, b_hi): pairs of texts with enough votes on one diagonal, and the spans of their windows."""
-    place = {f"{n}{k}": e for k in ("", "2") for n, e in (("c", F.shiftright(f"cl{k}", 32)), ("l", F.col(f"cl{k}").bitwiseAND(0xFFFFFFFF)), ("r", F.shiftright(f"rj{k}", 8)))}
-    links = links.filter("tid2 is not null and tid <> tid2").select("tid", "tid2", F.col("rj").bitwiseAND(255).alias("j"), *(e.alias(n) for n, e in place.items()))
-    turned = links.select(
-        F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b"), "j",
-        *(F.when(F.col("tid") < F.col("tid2"), F.col(n)).otherwise(F.col(f"{n}2")).alias(f"a_{n}") for n in "clr"),
-        *(F.when(F.col("tid") < F.col("tid2"), F.col(f"{n}2")).otherwise(F.col(n)).alias(f"b_{n}") for n in "clr"),
-    )
-    # a diagonal falls into two overlapping bands, so near ones meet in one of them
-    diagonal = F.col("a_c") - F.col("b_c")
-    banded = turned.withColumn("band", F.explode(F.array(F.floor(diagonal / (2 * SLACK)) * 2, F.floor((diagonal + SLACK) / (2 * SLACK)) * 2 + 1)))
-    spans = [F.min("a_l").alias("a_lo"), F.max("a_r").alias("a_hi"), F.min("b_l").alias("b_lo"), F.max("b_r").alias("b_hi")]
-    voted = banded.groupBy("a", "b", "band").agg(F.count_distinct("j").alias("votes"), *spans).filter(F.col("votes") >= votes)
-    return voted.groupBy("a", "b").agg(F.min("a_lo").alias("a_lo"), F.max("a_hi").alias("a_hi"), F.min("b_lo").alias("b_lo"), F.max("b_hi").alias("b_hi"))
+            held = [np.concatenate([h, batch.column(n).to_numpy()]) for h, n in zip(held, _ROW.names)]
+            open_at = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last group may go on
+            yield from links([h[:open_at] for h in held])
+            held = [h[open_at:] for h in held]
+        yield from links(held)
+
+    parts = shuffle_width(docs.sparkSession)
+    table = materialize(docs.select("text").mapInArrow(lean(scan), _ROW), "substring-windows")
+    rows = table.count()
+    share = max(rows // (4 * parts), 1000)
+    hot = materialize(table.sample(min(1.0, 50 / share), seed=1).groupBy("key").count().filter(F.col("count") >= 40).select("key"), "substring-hot")  # some 4 * parts keys
+    some = not hot.isEmpty()
+    rest = table.join(F.broadcast(hot), "key", "left_anti") if some else table
+    found = rest.repartition(parts, "key").sortWithinPartitions("key", "tid", "lr").mapInArrow(lean(link), _LINK)
+    if some:
+        large = table.join(F.broadcast(hot), "key")
+        for by in (["key"], ["key", "after"], ["key", "before"]):
+            least = large.groupBy(*by).agg(F.min(F.struct("tid", "lr")).alias("least"))
+            found = found.unionByName(large.join(least, by).filter("tid <> least.tid").select("tid", "lr", F.col("least.tid").alias("tid2"), F.col("least.lr").alias("lr2")))
+    return found
+
+
+def candidates(links: DataFrame) -> DataFrame:
+    """(a, b, a_lo, a_hi, b_lo, b_hi): linked texts, and the spans of their windows."""
+    turned = F.col("tid") < F.col("tid2")
+    a, b = (F.when(turned, F.col(x)).otherwise(F.col(y)) for x, y in (("lr", "lr2"), ("lr2", "lr")))
+    last = lambda c: c.bitwiseAND(0xFFFFFFFF)
+    spans = [F.min(F.shiftright(a, 32)).alias("a_lo"), F.max(last(a)).alias("a_hi"), F.min(F.shiftright(b, 32)).alias("b_lo"), F.max(last(b)).alias("b_hi")]
+    return links.groupBy(F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b")).agg(*spans)
 
 
 def repeats_of(a: np.ndarray, b: np.ndarray, *, width: int, threshold: float) -> list[tuple[int, int, int, int]]:
@@ -269,7 +296,7 @@ def repeats_of(a: np.ndarray, b: np.ndarray, *, width: int, threshold: float) ->
     return found
 
 
-def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, threshold: float = 0.8, functions: int = 6, votes: int = 2) -> DataFrame:
+def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, threshold: float = 0.8, functions: int = 6) -> DataFrame:
     """(doc_id, start_word, end_word, class_id): every passage that another document repeats; class_id is the least doc_id of its class."""
     small_batches(docs.sparkSession)
     width = max(1, min_words - SHINGLE + 1)
@@ -284,9 +311,9 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(text_ids(hashes, bounds)), pa.array(np.diff(bounds))], names=["doc_id", "tid", "n_words"])
 
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("tid", T.LongType()), T.StructField("n_words", T.LongType())])
-    rows = materialize(source.mapInArrow(name, schema), "substring-rows").filter(F.col("n_words") >= min_words)
+    rows = materialize(source.mapInArrow(lean(name), schema), "substring-rows").filter(F.col("n_words") >= min_words)
     texts = materialize(rows.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.count("*").alias("copies")), "substring-texts")
-    pairs = materialize(candidates(links_between(source, width=width, functions=functions), votes=votes), "substring-pairs")
+    pairs = materialize(candidates(links_between(source, width=width, functions=functions)), "substring-pairs")
 
     # shingles of the spans that candidates need, one row for each text; 32 bits tell apart what two texts hold, and a
     # repeat takes some forty common ones in a row
@@ -306,7 +333,7 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 blobs = [found[at[k] + lo[a + k] : at[k] + hi[a + k] + 1].astype("<u4").tobytes() for k in own]
                 yield pa.RecordBatch.from_arrays([pa.array([tid[a + k] for k in own], pa.int64()), pa.array([lo[a + k] for k in own], pa.int64()), pa.array(blobs, pa.binary())], names=["tid", "lo", "shingles"])
 
-    blobs = one_of_each(materialize(fetched.mapInArrow(cut, "tid long, lo long, shingles binary"), "substring-spans"), "tid")
+    blobs = one_of_each(materialize(fetched.mapInArrow(lean(cut), "tid long, lo long, shingles binary"), "substring-spans"), "tid")
 
     def with_span(rows: DataFrame, c: str) -> DataFrame:
         """Adds the shingles of the pair's own span on the side c."""
@@ -320,11 +347,13 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             out = []
             for a, b, fa, fb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_lo", "b_lo", "a_shingles", "b_shingles"))):
-                for lo, hi, lo2, hi2 in repeats_of(np.frombuffer(sa, "<u4"), np.frombuffer(sb, "<u4"), width=width, threshold=threshold):
-                    out.append((a, lo + fa, hi + fa, b, lo2 + fb, hi2 + fb))
+                x, y = np.frombuffer(sa, "<u4"), np.frombuffer(sb, "<u4")
+                own = dict.fromkeys(repeats_of(x, y, width=width, threshold=threshold))
+                own |= dict.fromkeys((lo2, hi2, lo, hi) for lo, hi, lo2, hi2 in repeats_of(y, x, width=width, threshold=threshold))
+                out.extend((a, lo + fa, hi + fa, b, lo2 + fb, hi2 + fb) for lo, hi, lo2, hi2 in own)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(6)], names=["a", "a_lo", "a_hi", "b", "b_lo", "b_hi"])
 
-    found = materialize(both.mapInArrow(verify, "a long, a_lo long, a_hi long, b long, b_lo long, b_hi long"), "substring-repeats")
+    found = materialize(both.mapInArrow(lean(verify), "a long, a_lo long, a_hi long, b long, b_lo long, b_hi long"), "substring-repeats")
 
     whole = texts.filter("copies > 1").select("tid", F.lit(0).cast("long").alias("lo"), (F.col("n_words") - SHINGLE + 1).alias("hi"))
     ends = found.select(F.col("a").alias("tid"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).unionByName(found.select(F.col("b").alias("tid"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))).unionByName(whole).distinct()
@@ -339,6 +368,8 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     roots = components(linked).withColumnRenamed("node", "of_node")
     classed = extent.join(roots, extent["node"] == roots["of_node"], "left").join(texts.select("tid", F.col("doc_id").alias("least")), "tid").withColumn("root", F.coalesce("root", "node"))
     classed = materialize(classed.select("node", "tid", "lo", "hi", "root", "least"), "substring-classes")
+    for done in (pairs, spans, found, nodes):
+        drop_table(done)
     by_class = classed.groupBy("root").agg(F.min("least").alias("class_id"))
     named = classed.join(by_class, "root").select("tid", "lo", "hi", "class_id")
     return rows.join(named, "tid").select("doc_id", F.col("lo").alias("start_word"), (F.col("hi") + SHINGLE - 1).alias("end_word"), "class_id")

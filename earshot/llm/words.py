@@ -3,14 +3,19 @@
 A word is a run of letters or digits (bytes of letters beyond ASCII count as
 letters) of the lower-cased text; with ``lower=False`` and ``by_space=True`` it
 is a run between white space. A word's hash is a polynomial in its bytes modulo
-2 ** 64, mixed, so it depends on the word alone.
+2 ** 64, mixed, so it depends on the word alone. Long texts are scanned in parts;
+a run without white space that is longer than a part is put together again from
+its parts' polynomials, so it has the hash of the whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-CHUNK = 1 << 20
+#: Characters worked on at once; what the arrays of a scan take follows from it.
+CHUNK = 1 << 17
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 _SPACE = np.zeros(256, bool)
@@ -21,8 +26,9 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; scans are of a bounded number of bytes, so these are too."""
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK * 2)
+        size = 1 << max(18, (n - 1).bit_length())
         inverse = np.uint64(pow(int(_P), -1, 1 << 64))
         with np.errstate(over="ignore"):
             for name, base in (("up", _P), ("down", inverse)):
@@ -38,58 +44,94 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def split_long(text: str) -> list[str]:
-    """Very long texts in parts that end at a space, so memory follows the part."""
+def split_long(text: str) -> list[tuple[str, bool]]:
+    """The text in parts of CHUNK characters at most, cut before white space; True where there was none and a run is cut."""
     parts, at = [], 0
     while len(text) - at > CHUNK:
-        cut = min((k for k in (text.find(" ", at + CHUNK // 2), text.find("\n", at + CHUNK // 2)) if k >= 0), default=len(text))
-        parts.append(text[at:cut])
-        at = cut
-    return [*parts, text[at:]]
+        cut = max(text.rfind(" ", at + 1, at + CHUNK), text.rfind("\n", at + 1, at + CHUNK))
+        parts.append((text[at : cut if cut > 0 else at + CHUNK], cut < 0))
+        at = cut if cut > 0 else at + CHUNK
+    return [*parts, (text[at:], False)]
+
+
+def bounded(texts: list[str], *, lower: bool = True) -> Iterator[tuple[list[int], list[str], list[bool]]]:
+    """Parts of the texts about CHUNK characters at a time: each one's text, the part, and whether a run goes on in the next."""
+    owner, parts, cut, total = [], [], [], 0
+    for k, text in enumerate(texts):
+        for part, goes_on in split_long(text.lower() if lower else text):
+            if parts and total + len(part) > CHUNK:
+                yield owner, parts, cut
+                owner, parts, cut, total = [], [], [], 0
+            owner.append(k)
+            parts.append(part)
+            cut.append(goes_on)
+            total += len(part)
+    if parts:
+        yield owner, parts, cut
 
 
-def scan(texts: list[str], *, lower: bool = True, by_space: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the texts joined by zero bytes, and of each word: first byte, end, hash, and the text's number."""
-    encoded = [(t.lower() if lower else t).encode("utf-8", "replace") for t in texts]
+def scan(texts: list[str], *, by_space: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts joined by zero bytes, and of each word: first byte, end, and the text's number."""
+    encoded = [t.encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"\0".join(encoded) + b"\0", np.uint8)
     inside = ~_SPACE[data] if by_space else _WORD[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(inside) and inside[0]:
         edges = np.concatenate([[0], edges])
     starts, ends = edges[0::2], edges[1::2]
-    hashes = span_hashes(data, starts, ends)
     lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1
-    owner = np.searchsorted(np.cumsum(lengths), starts, side="right")
-    return data, starts, ends, hashes, owner
+    return data, starts, ends, np.searchsorted(np.cumsum(lengths), starts, side="right")
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Hashes of spans of bytes, from running sums: equal bytes, equal hash, wherever they stand."""
+def sums_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomial of each span of bytes, from running sums."""
     up, down = _power_tables(len(data))
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * up[: len(data)], dtype=np.uint64)])
-        return mix((sums[ends] - sums[starts]) * down[starts] + np.uint64(salt) * _M)
+        return (sums[ends] - sums[starts]) * down[starts]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of spans of bytes: equal bytes, equal hash, wherever they stand."""
+    with np.errstate(over="ignore"):
+        return mix(sums_of(data, starts, ends) + np.uint64(salt) * _M)
 
 
-def hash_words(texts: list[str], **how) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[str], *, lower: bool = True, by_space: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The words' hashes, text after text, and where each text's words begin (one more entry than texts)."""
-    pieces, owner = [], []
-    for k, text in enumerate(texts):
-        for part in split_long(text) if len(text) > CHUNK else (text,):
-            pieces.append(part)
-            owner.append(k)
-    hashes, counts = [], np.zeros(len(texts), np.int64)
-    at = 0
-    while at < len(pieces):
-        end, total = at, 0
-        while end < len(pieces) and (end == at or total + len(pieces[end]) < CHUNK):
-            total += len(pieces[end])
-            end += 1
-        *_, h, of = scan(pieces[at:end], **how)
-        hashes.append(h)
-        counts += np.bincount(np.asarray(owner[at:end])[of], minlength=len(texts)) if len(of) else 0
-        at = end
-    return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(counts)])
+    found, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    begun: tuple[np.uint64, int, int] | None = None  # a run that was cut: its polynomial so far, its bytes, its text
+    for owner, parts, cut in bounded(texts, lower=lower):
+        data, starts, ends, of = scan(parts, by_space=by_space)
+        poly = sums_of(data, starts, ends)
+        of_text = np.asarray(owner, np.int64)[of]
+        keep = np.ones(len(poly), bool)
+        if begun or any(cut):
+            edges = np.cumsum([0] + [len(p.encode("utf-8", "replace")) + 1 for p in parts]).tolist()
+            extra = []
+            for k, goes_on in enumerate(cut):
+                lo, hi = np.searchsorted(starts, (edges[k], edges[k + 1]))
+                first = lo
+                if begun:
+                    if lo < hi and starts[lo] == edges[k]:
+                        with np.errstate(over="ignore"):
+                            joined = begun[0] + poly[lo] * np.uint64(pow(int(_P), begun[1], 1 << 64))
+                        begun = (joined, begun[1] + int(ends[lo] - starts[lo]), begun[2])
+                        if goes_on and ends[lo] == edges[k + 1] - 1:
+                            keep[lo] = False
+                            continue
+                        poly[lo], first = joined, lo + 1
+                    else:
+                        extra.append((int(lo), begun))
+                    begun = None
+                if goes_on and first < hi and ends[hi - 1] == edges[k + 1] - 1:
+                    keep[hi - 1] = False
+                    begun = (poly[hi - 1], int(ends[hi - 1] - starts[hi - 1]), owner[k])
+            for at, (value, _, text) in reversed(extra):
+                poly, of_text, keep = np.insert(poly, at, value), np.insert(of_text, at, text), np.insert(keep, at, True)
+        found.append(mix(poly[keep]))
+        counts += np.bincount(of_text[keep], minlength=len(texts))
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(counts)])
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +155,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nda
     return mix(h[inside]), np.concatenate([[0], np.cumsum(counts)])
 
 
-def groups(texts: list[str], most: int = 1 << 19):
+def groups(texts: list[str], most: int = 1 << 18):
     """(first, end) of runs of texts that hold about `most` characters: what is worked on at once."""
     at = 0
     while at < len(texts):
