@@ -60,6 +60,8 @@ SLACK = 12
 GAP = 10
 #: Texts of a task that are remembered, so that copies give no further rows; those beyond are dropped after the shuffle.
 SEEN = 1 << 16
+#: Rows of a group below which one task links it.
+LARGE = 1000
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every run of `width` values, by doubling."""
@@ -153,8 +155,8 @@ def signatures(found: np.ndarray, at: np.ndarray, width: int, functions: int) ->
             yield key, np.maximum(la[i], lb[j]), np.minimum(ra[i], rb[j]), np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])
 
 
-#: lr holds the window's first and last shingle, after and before hash what follows and what precedes its centres.
-_ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "tid", "lr", "after", "before")])
+#: lr holds the window's first and last shingle, halves 32 bits of hash each of what follows and what precedes its centres.
+_ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "tid", "lr", "halves")])
 _LINK = T.StructType([T.StructField(n, T.LongType()) for n in ("tid", "lr", "tid2", "lr2")])
 
 
@@ -180,27 +182,28 @@ def window_rows(texts: list[str], seen: set[int], width: int, functions: int) ->
         before = np.where(last - half + 1 >= at[text], runs[np.maximum(last - half + 1, 0)], ~alone)
         place = (lo - at[text]) << 32 | (hi - at[text])
         own = fresh[text]
-        for column, values in zip(columns, (key.view(np.int64), tids[text], place, after.view(np.int64), before.view(np.int64))):
+        halves = (after & ~np.uint64(0xFFFFFFFF)) | before >> np.uint64(32)
+        for column, values in zip(columns, (key.view(np.int64), tids[text], place, halves.view(np.int64))):
             column.append(values[own])
     return [np.concatenate(c) for c in columns]
 
 
-def link_groups(key: np.ndarray, tid: np.ndarray, lr: np.ndarray, after: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+def link_groups(key: np.ndarray, tid: np.ndarray, lr: np.ndarray, halves: np.ndarray) -> list[np.ndarray]:
     """Links (tid, lr, tid2, lr2) of whole groups; rows sorted by key, tid and lr."""
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (tid[1:] != tid[:-1]) | (lr[1:] != lr[:-1])])
-    key, tid, lr, after, before = (x[new] for x in (key, tid, lr, after, before))
+    key, tid, lr, halves = (x[new] for x in (key, tid, lr, halves))
     opens = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     first = np.repeat(opens, np.diff(np.append(opens, len(key))))
     last = np.repeat(np.append(opens[1:], len(key)) - 1, np.diff(np.append(opens, len(key))))
     shared = tid[first] != tid[last]
-    key, tid, lr, after, before = (x[shared] for x in (key, tid, lr, after, before))
+    key, tid, lr, halves = (x[shared] for x in (key, tid, lr, halves))
     if not len(key):
         return [np.zeros(0, np.int64)] * 4
     opens = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     first = np.repeat(opens, np.diff(np.append(opens, len(key))))
     near = np.zeros(len(key), bool)
     a, b = [], []
-    for half in (after, before):
+    for half in (halves >> 32, halves & 0xFFFFFFFF):
         order = np.lexsort((half, first))  # stable: by text and place within a subgroup
         change = np.concatenate([[True], (first[order][1:] != first[order][:-1]) | (half[order][1:] != half[order][:-1])])
         least = order[np.flatnonzero(change)][np.cumsum(change) - 1]
@@ -213,8 +216,8 @@ def link_groups(key: np.ndarray, tid: np.ndarray, lr: np.ndarray, after: np.ndar
     return [tid[a], lr[a], tid[b], lr[b]]
 
 
-def links_between(docs: DataFrame, *, width: int, functions: int) -> DataFrame:
-    """(tid, lr, tid2, lr2): links between the windows of a group."""
+def links_between(docs: DataFrame, *, width: int, functions: int) -> tuple[DataFrame, DataFrame]:
+    """(tid, lr, tid2, lr2): links between the windows of a group; and the written windows, which they read."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -224,7 +227,7 @@ def links_between(docs: DataFrame, *, width: int, functions: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in window_rows(texts[a:b], seen, width, functions)], names=_ROW.names)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
+        held = [np.zeros(0, np.int64)] * len(_ROW.names)
 
         def links(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if len(columns[0]):
@@ -240,17 +243,19 @@ def links_between(docs: DataFrame, *, width: int, functions: int) -> DataFrame:
     parts = shuffle_width(docs.sparkSession)
     table = materialize(docs.select("text").mapInArrow(lean(scan), _ROW), "substring-windows")
     rows = table.count()
-    share = max(rows // (4 * parts), 1000)
-    hot = materialize(table.sample(min(1.0, 50 / share), seed=1).groupBy("key").count().filter(F.col("count") >= 40).select("key"), "substring-hot")  # some 4 * parts keys
+    share = max(rows // (4 * parts), LARGE)
+    hot = materialize(table.sample(min(1.0, 50 / share), seed=1).groupBy("key").count().filter(F.col("count") >= min(40, share)).select("key"), "substring-hot")  # some 4 * parts keys
     some = not hot.isEmpty()
     rest = table.join(F.broadcast(hot), "key", "left_anti") if some else table
     found = rest.repartition(parts, "key").sortWithinPartitions("key", "tid", "lr").mapInArrow(lean(link), _LINK)
     if some:
-        large = table.join(F.broadcast(hot), "key")
+        large = table.join(F.broadcast(hot), "key").select("*", F.shiftright("halves", 32).alias("after"), F.col("halves").bitwiseAND(0xFFFFFFFF).alias("before"))
         for by in (["key"], ["key", "after"], ["key", "before"]):
-            least = large.groupBy(*by).agg(F.min(F.struct("tid", "lr")).alias("least"))
-            found = found.unionByName(large.join(least, by).filter("tid <> least.tid").select("tid", "lr", F.col("least.tid").alias("tid2"), F.col("least.lr").alias("lr2")))
-    return found
+            shared = large.groupBy(*by).agg(F.min(F.struct("tid", "lr")).alias("least"), F.max("tid").alias("most")).filter("least.tid < most").drop("most")
+            shared = materialize(shared, "substring-least")
+            side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+            found = found.unionByName(large.join(side, by).filter("tid <> least.tid").select("tid", "lr", F.col("least.tid").alias("tid2"), F.col("least.lr").alias("lr2")))
+    return found, table
 
 
 def candidates(links: DataFrame) -> DataFrame:
@@ -313,7 +318,9 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("tid", T.LongType()), T.StructField("n_words", T.LongType())])
     rows = materialize(source.mapInArrow(lean(name), schema), "substring-rows").filter(F.col("n_words") >= min_words)
     texts = materialize(rows.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.count("*").alias("copies")), "substring-texts")
-    pairs = materialize(candidates(links_between(source, width=width, functions=functions)), "substring-pairs")
+    linked, windows = links_between(source, width=width, functions=functions)
+    pairs = materialize(candidates(linked), "substring-pairs")
+    drop_table(windows)
 
     # shingles of the spans that candidates need, one row for each text; 32 bits tell apart what two texts hold, and a
     # repeat takes some forty common ones in a row

@@ -1,5 +1,6 @@
 """Decontamination, chosen-path join and compact windows against brute force."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -39,26 +40,37 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_every_passage_above_the_threshold_is_retrieved():
+    """Block-max WAND against the sums over all items; an item's scores don't depend on its neighbours' lengths."""
     rng = random.Random(4)
-    items = [(k, " ".join(make(rng, rng.randrange(5, 30), 200))) for k in range(60)]
-    index = decontamination.Index(items, 0.5)
-    texts = [" ".join([*make(rng, rng.randrange(0, 200), 200), *t.split()[: rng.randrange(1, 30)], *make(rng, 20, 200)]) for _, t in items]
+    items = [(k, " ".join(make(rng, rng.randrange(3, 60), 200))) for k in range(90)]
+    texts = [" ".join([*make(rng, rng.randrange(0, 200), 200), *t.split()[: rng.randrange(1, 60)], *make(rng, 20, 200)]) for _, t in items] + ["", "w001x"]
     hashes, bounds = words.hash_words(texts)
-    got = {(t, i, b) for t, i, _, b, _ in index.search(hashes, bounds)}
-    impact = {}
-    for block in index.blocks:
-        for row, term in enumerate(block.terms):
-            for col, item in enumerate(block.items):
-                impact[int(index.terms[term]), item] = float(block.impacts[row, col])
-    step = index.longest
-    for t in range(len(texts)):
-        own = hashes[bounds[t] : bounds[t + 1]].tolist()
-        for at in range(0, max(1, len(own)), step):
-            terms = set(own[at : at + 2 * step])
-            for i in range(len(items)):
-                score = sum(impact.get((h, i), 0.0) for h in terms)
-                if score >= 0.5 + 1e-4:
-                    assert (t, i, bounds[t] + at) in got
+    corpus = decontamination.Corpus.of([t for _, t in items])
+    split = {i: words.hash_words([t])[0].tolist() for i, t in items}
+    df = Counter(h for own in split.values() for h in set(own))
+    mean = sum(map(len, split.values())) / len(split)
+
+    def impacts(own):
+        raw = {h: math.log(1 + (len(items) - df[h] + 0.5) / (df[h] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(own) / mean)) for h, n in Counter(own).items()}
+        return {h: v / sum(raw.values()) for h, v in raw.items()}
+
+    own = {i: impacts(h) for i, h in split.items()}
+    found = retrieved = 0
+    for index in decontamination.build(items, 0.5, corpus):
+        got = {(t, index.ids[i], b): s for t, i, s, b, _ in index.search(hashes, bounds)}
+        expected = {}
+        for t in range(len(texts)):
+            said = hashes[bounds[t] : bounds[t + 1]].tolist()
+            for at in range(0, max(1, len(said)), index.step):
+                terms = set(said[at : at + 2 * index.step])
+                for i in index.ids:
+                    score = sum(own[i].get(h, 0.0) for h in terms)
+                    if abs(score - 0.5) > 1e-6 and score >= 0.5:
+                        expected[t, i, int(bounds[t]) + at] = score
+        assert set(expected) <= set(got)
+        assert all(abs(got[k] - s) < 1e-9 for k, s in expected.items()) and all(s >= 0.5 - 1e-6 for s in got.values())
+        found, retrieved = found + len(expected), retrieved + len(got)
+    assert found > 100 and retrieved <= found + 2
 
 
 def test_decontamination_edges(spark):
@@ -71,12 +83,12 @@ def test_decontamination_edges(spark):
     assert decontamination.find_leaks(df, items.limit(0)).count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark):
+def test_sets_of_items_give_the_same(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    whole = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items).collect()}
-    assert whole == {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items, block_chars=3000).collect()}
+    whole = {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontamination.find_leaks(docs, items).collect()}
+    assert whole == {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontamination.find_leaks(docs, items, block_chars=3000).collect()}
     named = items.withColumn("item_id", items["item_id"].cast("string"))
-    assert {(d, str(i)) for d, i in whole} == {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, named).collect()}
+    assert {(d, str(i)) for d, i, _ in whole} == {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, named).collect()}
 
 
 # ---- chosen-path join -------------------------------------------------------------------------
@@ -182,6 +194,32 @@ def test_jaccard_edges(spark):
         assert kept.columns == df.columns and kept.filter("doc_id = 6").count() == 1
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    """Texts without an id, and two texts under one id, are not each other's copies."""
+    rng = random.Random(21)
+    a, b, c, d = (" ".join(make(rng, 120, 3000)) for _ in range(4))
+    near = " ".join([*a.split()[:-1], "other"])
+    given = [(None, b), (None, c), (None, near), (5, a), (7, d), (7, c), (7, d), (8, ""), (8, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(given, "doc_id bigint, text string")).collect()
+    assert sorted((repr(r.doc_id), r.text) for r in kept) == sorted([("None", b), ("5", a), ("7", d), ("7", c), ("8", ""), ("8", "")])
+
+
+def test_copies_that_link_to_their_base_alone(spark):
+    """More than a part of a bucket: every link of the star is found."""
+    rng = random.Random(23)
+    base = make(rng, 200, 50_000)
+    texts = [" ".join(base)]
+    for k in range(900):
+        w = list(base)
+        for j in range(4):
+            w[rng.randrange(j * 50 + 5, j * 50 + 45)] = f"x{k}y{j}"
+        texts.append(" ".join(w))
+    expected, linked = brute_classes(list(enumerate(texts)))
+    out = jaccard.classes(spark.createDataFrame(rows(texts), DOC)).collect()
+    assert sum(r.class_id != expected[r.doc_id] for r in out) <= 0.01 * len(texts)
+    assert sum(r.n_links for r in out) >= 2 * 0.99 * linked
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(80)]
@@ -267,6 +305,69 @@ def test_repeats_of_documents_against_brute_force(spark):
     assert len(found - expected) <= 0.05 * len(found)  # near copies, of at least the threshold
 
 
+def passages_by_hand(texts, width=50):
+    """Of each document, the word positions that lie in a run of `width` words which another document has."""
+    held = defaultdict(set)
+    split = {d: words.hash_words([t or ""])[0].tolist() for d, t in texts.items()}
+    for d, w in split.items():
+        for k in range(len(w) - width + 1):
+            held[tuple(w[k : k + width])].add(d)
+    return {d: [k for k in range(len(w) - width + 1) if len(held[tuple(w[k : k + width])]) > 1] for d, w in split.items()}, held, split
+
+
+def test_passages_spans_and_classes_whatever_the_layout(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF1}/documents.parquet").select("doc_id", "text")
+    runs = [sorted(map(tuple, substrings.passages(docs.repartition(n)).collect())) for n in (1, 16, 64)]
+    assert runs[0] == runs[1] == runs[2]
+    starts, held, split = passages_by_hand({r.doc_id: r.text for r in docs.collect()})
+    spans = defaultdict(list)
+    for d, lo, hi, c in runs[0]:
+        spans[d].append((lo, hi, c))
+    inside = {(d, k): [c for lo, hi, c in spans[d] if lo <= k and k + 50 <= hi] for d, at in starts.items() for k in at}
+    assert sum(map(bool, inside.values())) >= 0.98 * len(inside)
+    # all places of one run are in one class
+    of_run = defaultdict(set)
+    for (d, k), found in inside.items():
+        of_run[tuple(split[d][k : k + 50])].update(found[:1])
+    assert sum(len(c) == 1 for c in of_run.values()) >= 0.95 * len(of_run)
+    assert all(c <= d for d, _, _, c in runs[0])
+    # large groups by joins: the same
+    monkeypatch.setattr(substrings, "LARGE", 2)
+    assert sorted(map(tuple, substrings.passages(docs).collect())) == runs[0]
+
+
+def test_near_passages(spark):
+    """Passages of 50 to 300 words with words changed, of similarity 0.8 or more, in texts of their own."""
+    rng = random.Random(31)
+    texts, similar = [], []
+    for k in range(300):
+        n = rng.randrange(50, 300)
+        own = make(rng, n, 50_000)
+        changed = list(own)
+        for _ in range(max(1, n // 60)):
+            changed[rng.randrange(n)] = f"e{rng.randrange(10**6)}"
+        a, b = (frozenset(zip(*(x[j:] for j in range(5)))) for x in (own, changed))
+        for x in (own, changed):
+            texts.append(" ".join([*make(rng, rng.randrange(20, 80), 50_000), *x, *make(rng, rng.randrange(20, 80), 50_000)]))
+        if len(a & b) / len(a | b) >= 0.8:
+            similar.append(2 * k)
+    out = defaultdict(set)
+    for r in substrings.passages(spark.createDataFrame(rows(texts), DOC)).collect():
+        out[r.doc_id].add(r.class_id)
+    assert len(similar) > 200 and sum(bool(out[k] & out[k + 1]) for k in similar) >= 0.95 * len(similar)
+
+
+def test_every_place_of_a_passage_is_reported(spark):
+    rng = random.Random(33)
+    shared = make(rng, 60, 4000)
+    twice = [*make(rng, 40, 4000), *shared, *make(rng, 300, 4000), *shared, *make(rng, 40, 4000)]
+    other = [*make(rng, 30, 4000), *shared, *make(rng, 30, 4000)]
+    for order in ((twice, other), (other, twice)):
+        df = spark.createDataFrame(rows([" ".join(t) for t in order]), DOC)
+        at = sorted((r.start_word, r.end_word) for r in substrings.passages(df).collect() if r.doc_id == order.index(twice))
+        assert len(at) == 2 and all(lo <= x and hi >= x + 60 for (lo, hi), x in zip(at, (40, 400)))
+
+
 def test_substring_edges(spark):
     for name, df in edge_frames(spark):
         out = substrings.passages(df).collect()
