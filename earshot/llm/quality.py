@@ -66,15 +66,20 @@ def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     features = np.zeros((count, WIDTH), np.float32)
     size = np.bincount(of_word, minlength=count).astype(np.float32)
     per = np.maximum(size, 1)
+    # a text's first passage begins with the text, the others with their first word: no byte counts for another text
+    text_starts = np.cumsum([0, *(len(t.encode("utf-8", "replace")) + 1 for t in texts)])[:-1]
+    opens = np.zeros(count, np.int64)
+    opens[base[:-1]] = text_starts
+    later = np.flatnonzero(np.diff(of_word, prepend=-1)) if len(owner) else np.zeros(0, np.int64)
+    later = later[~np.isin(of_word[later], base[:-1])]
+    opens[of_word[later]] = starts[later]
+    of_byte = np.repeat(np.arange(count), np.diff(np.append(opens, len(data) if n else 0)))
+    classes = np.bincount(of_byte * CLASSES + _CLASS[data[: len(of_byte)]], minlength=count * CLASSES).reshape(count, CLASSES).astype(np.float32)
+    features[:, HASHED : HASHED + CLASSES] = classes / np.maximum(classes.sum(1, keepdims=True), 1)
     if len(owner):
         sign = ((hashes >> np.uint64(40)) & np.uint64(1)).astype(np.float32) * 2 - 1
         bucket = (hashes % np.uint64(HASHED)).astype(np.int64)
         features[:, :HASHED] = np.bincount(of_word * HASHED + bucket, sign, count * HASHED).reshape(count, HASHED) / per[:, None]
-        opens = starts[np.flatnonzero(np.diff(of_word, prepend=-1))]
-        held = np.unique(of_word)
-        of_byte = np.repeat(held, np.diff(np.concatenate([opens, [len(data)]])))
-        classes = np.bincount(of_byte * CLASSES + _CLASS[data[opens[0] :]], minlength=count * CLASSES).reshape(count, CLASSES).astype(np.float32)
-        features[:, HASHED : HASHED + CLASSES] = classes / np.maximum(classes.sum(1, keepdims=True), 1)
         length = (ends - starts).astype(np.float32)
         rest = features[:, HASHED + CLASSES :]
         rest[:, 0] = np.bincount(of_word, length, count) / per / 10
@@ -86,15 +91,15 @@ def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         tagged = np.sort((of_word.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
         new = np.concatenate([[True], tagged[1:] != tagged[:-1]])
         rest[:, 4] = np.bincount((tagged[new] >> np.uint64(40)).astype(np.int64), minlength=count) / per
+        whole = np.flatnonzero(owner[2:] == owner[:-2])  # three words of one text
         with np.errstate(over="ignore"):
-            triple = np.zeros(len(hashes), np.uint64)
-            triple[: max(0, len(hashes) - 2)] = hashes[:-2] * np.uint64(3) + hashes[1:-1] * np.uint64(5) + hashes[2:] * np.uint64(7) if len(hashes) > 2 else 0
-        keyed = words.mix(triple + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            triple = hashes[whole] * np.uint64(3) + hashes[whole + 1] * np.uint64(5) + hashes[whole + 2] * np.uint64(7)
+            keyed = words.mix(triple + owner[whole].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(keyed)
         equal = keyed[order][1:] == keyed[order][:-1]
-        again = np.zeros(len(keyed), np.float32)
-        again[order[1:][equal]] = 1
-        again[order[:-1][equal]] = 1
+        again = np.zeros(len(hashes), np.float32)
+        again[whole[order[1:][equal]]] = 1
+        again[whole[order[:-1][equal]]] = 1
         rest[:, 5] = np.bincount(of_word, again, count) / per
     features[:, -1] = np.log1p(size) / 5
     return features, np.repeat(np.arange(n), passages)

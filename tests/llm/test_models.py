@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from earshot.llm import cross_entropy, quality, toxicity, words
+from earshot.llm.common import held_out
 from earshot.llm.registry import QUERIES
 
 from .fixtures import SF, edge_frames, edge_texts
@@ -29,8 +30,6 @@ def test_held_out_accuracy(spark, name, label, threshold, least):
 
 def test_labels_of_the_held_out_fold_are_not_learnt(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    from earshot.llm.common import held_out
-
     turned = labels.withColumn("quality", F.when(held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     scores = [quality.score(docs, quality.train(docs, quality.labelled_sample(table, label_col="quality", max_rows=500, exclude=held_out(F.col("doc_id"))))).orderBy("doc_id").collect() for table in (labels, turned)]
     assert scores[0] == scores[1]
@@ -106,45 +105,143 @@ def test_word_hashes_depend_on_the_word_alone():
     assert len(set(seen.values())) == len(seen)
 
 
-def test_cross_entropy_against_plain_counts(spark):
-    texts = ["a b a b c", "a b b", "", None, "c c d e", "a", "x y z a b"]
+def test_a_run_longer_than_a_part_has_the_hash_of_the_whole(monkeypatch):
+    texts = ["a" * 500 + " bb " + "ß" * 333, "x" * 1000, "", "one two " * 40, "\U0001f642y" * 70]
+    whole = [words.hash_words(texts, by_space=by) for by in (False, True)]
+    for size in (16, 50, 77):
+        monkeypatch.setattr(words, "CHUNK", size)
+        for by, (hashes, bounds) in zip((False, True), whole):
+            got = words.hash_words(texts, by_space=by)
+            assert (got[0] == hashes).all() and (got[1] == bounds).all()
+
+
+def test_long_texts_without_a_space(spark):
+    texts = ["x" * 1_500_000, "kill " * 200_000, "a b c d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert len(quality.score(df, quality.AttentionModel(quality.WIDTH)).collect()) == 3
+    model = toxicity.ToxicityModel(words.hash_words(["kill"])[0], np.full(1, 3.0))
+    out = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    assert [(s.first_word, s.end_word) for s in out[1].segments] == [(0, 200_000)] and not out[0].segments
+    flagged = cross_entropy.flag_target(df, spark.createDataFrame([(1,)], "doc_id bigint"))
+    assert [r.n_tokens for r in cross_entropy.score(flagged).orderBy("doc_id").collect()] == [1, 200_000, 6]
+
+
+def test_scores_of_the_attention_model_by_hand(spark):
+    """Every document's score, from features and weights, in plain steps."""
+    r = np.random.default_rng(5)
+    model = quality.AttentionModel(quality.WIDTH)
+    model.mean, model.scale = r.random(quality.WIDTH).astype(np.float32), r.random(quality.WIDTH).astype(np.float32) + 0.5
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = {x.doc_id: x.score for x in quality.score(docs, model).collect()}
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for row in docs.collect():
+        x, _ = quality.encode([row.text or ""])
+        hidden, weight = [], []
+        for passage in x.astype(float):
+            z = np.append(np.clip((passage - model.mean) / model.scale, -6, 6), 1.0)
+            h = np.tanh(z @ p["E"])
+            gate = [math.tanh(h @ p["V"][:, k]) * sigmoid(h @ p["U"][:, k]) for k in range(p["V"].shape[1])]
+            hidden.append(h)
+            weight.append(math.exp(sum(g * w for g, w in zip(gate, p["w"][:, 0]))))
+        mean = sum(w * h for w, h in zip(weight, hidden)) / sum(weight)
+        assert abs(out[row.doc_id] - sigmoid(float(mean @ p["c"][:, 0] + p["d"][0, 0]))) < 1e-4
+
+
+def test_features_depend_on_the_text_alone():
+    texts = [t or "" for t in edge_texts()] + ["  led by space", "\n\n | ", "a b c", "a b c a b c", "\t"]
+    x, bag = quality.encode(texts)
+    for k, text in enumerate(texts):
+        assert np.allclose(x[bag == k], quality.encode([text])[0], atol=1e-6)
+
+
+def test_passages_are_counted_in_plain_words():
+    """Shares that the encoder gives, counted by hand, over a text of several passages."""
+    text = " ".join(["abc", "DEF", "12", "abc"] * 40)
+    x, bag = quality.encode([text, ""])
+    assert bag.tolist() == [0, 0, 0, 1] and np.allclose(x[:3, -1], np.log1p([64, 64, 32]) / 5)
+    assert np.allclose(x[0, quality.HASHED + quality.CLASSES + 1], 1.0)  # words of three letters at most
+    assert np.allclose(x[0, quality.HASHED + quality.CLASSES + 4], 3 / 64)  # different words
+
+
+def test_toxic_scores_of_the_query_by_hand(spark):
+    """The whole query: tokens by a regular expression, lexicon words by look-up, segments by the definition's greedy form."""
+    import re
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(docs, quality.labelled_sample(labels, label_col="toxic", max_rows=20000, exclude=held_out(F.col("doc_id"))), min_docs=2)
+    lexicon = dict(zip(model.tokens.tolist(), model.scores.tolist()))
+    assert lexicon
+    out = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for row in docs.collect():
+        found = re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", (row.text or "").lower())
+        best, run = 0.0, 0.0
+        for w in found:
+            raw = w.encode()
+            options = [words.hash_words([w])[0][0]]
+            for size in toxicity.PREFIXES:
+                if len(raw) > size:
+                    data = np.frombuffer(raw + b"\0", np.uint8)
+                    options.append(words.span_hashes(data, np.array([0]), np.array([size]), salt=size)[0])
+            run = max(0.0, run) + (max((lexicon.get(int(o), 0.0) for o in options)) or model.drift)
+            best = max(best, run)
+        x = min(20, max(-20, model.scale * best - math.log(model.k * max(1, len(found)))))
+        assert abs(out[row.doc_id].score - 1 / (1 + math.exp(-min(30, max(-30, model.intercept + model.slope * x))))) < 1e-6
+
+
+def test_the_extreme_value_law_is_found_again():
+    """Best scores drawn from the law, seen only above a least score."""
+    r = np.random.default_rng(1)
+    n = r.integers(50, 2000, 4000)
+    for scale, k in ((0.7, 0.02), (1.3, 0.005)):
+        top = np.log(k * n / -np.log(r.random(len(n)))) / scale
+        got = toxicity.fit_extremes(np.where(top >= 3, top, 0), n, 3.0)
+        error = scale / math.sqrt((top >= 3).sum())  # the estimate's standard error
+        assert abs(got[0] - scale) < 3 * error + 0.01 and abs(math.log(got[1] / k)) < 3 * error * top.max()
+    assert toxicity.fit_extremes(np.zeros(50), n[:50], 3.0)[0] == 1.0
+
+
+def test_toxic_scores_ignore_the_held_out_labels(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    turned = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    scores = [toxicity.score(docs, toxicity.train(docs, quality.labelled_sample(t, label_col="toxic", max_rows=500, exclude=held_out(F.col("doc_id"))))).orderBy("doc_id").collect() for t in (labels, turned)]
+    assert scores[0] == scores[1]
+
+
+@pytest.mark.parametrize("block", [1, 20, 1 << 22])
+def test_cross_entropy_against_plain_counts(spark, monkeypatch, block):
+    monkeypatch.setattr(cross_entropy, "BLOCK_CHARS", block)
+    texts = ["a b a b c", "a b b", "", None, "c c d e", "a", "x y z a b", "a b b"]
     target = {0, 1}
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     ids = spark.createDataFrame([(k,) for k in target], "doc_id bigint")
-    models = cross_entropy.train(cross_entropy.flag_target(df, ids), vocabulary=3, strength=2.0)
-    out = {r.doc_id: r for r in cross_entropy.score(df, models).collect()}
+    out = {r.doc_id: r for r in cross_entropy.score(cross_entropy.flag_target(df, ids), strength=2.0).collect()}
     from collections import Counter
 
-    everything = Counter(w for t in texts for w in (t or "").split())
-    hashed = {w: int(words.hash_words([w])[0].view(np.int64)[0]) for w in everything}
-    top = sorted(everything, key=lambda w: (-everything[w], hashed[w]))[:3]
-    name = lambda w: w if w in top else "?"
+    vocabulary = len({w for t in texts for w in (t or "").split()})
 
     def model(docs):
-        pairs = Counter()
+        pairs, single = Counter(), Counter()
         for t in docs:
-            w = [name(x) for x in (t or "").split()]
+            w = (t or "").split()
             pairs.update(zip(["<"] + w, w))
-        single = Counter()
-        for (_, b), n in pairs.items():
-            single[b] += n
-        p1 = {w: (single[w] + 1) / (sum(single.values()) + 4) for w in [*top, "?"]}
-        before = Counter()
-        for (a, _), n in pairs.items():
-            before[a] += n
-        return lambda a, b: -math.log((pairs[a, b] + 2.0 * p1[b]) / (before[a] + 2.0))
-
-    t_loss, b_loss = model([texts[k] for k in target]), model(texts)
+            single.update(w)
+        total = sum(single.values())
+        before = single | Counter({"<": sum(bool(t) for t in docs)})
+        return lambda a, b: -math.log((pairs[a, b] + 2.0 * (single[b] + 1) / (total + vocabulary + 1)) / (before[a] + 2.0))
+
     for k, text in enumerate(texts):
-        w = [name(x) for x in (text or "").split()]
+        w = (text or "").split()
         pairs = list(zip(["<"] + w, w))
         assert out[k].n_tokens == len(w)
-        expected = (sum(t_loss(*p) for p in pairs) - sum(b_loss(*p) for p in pairs)) / max(1, len(pairs))
-        assert abs(out[k].difference - expected) < 1e-4
-    assert out[0].difference < out[4].difference
+        losses = [model([t for j, t in enumerate(texts) if j != k and j in chosen]) for chosen in (target, set(range(len(texts))))]  # held out
+        for name, loss in zip(("target_loss", "background_loss"), losses):
+            assert abs(out[k][name] - sum(loss(*p) for p in pairs) / max(1, len(pairs))) < 1e-9
 
 
 def test_cross_entropy_edges(spark):
     for _, df in edge_frames(spark):
-        flagged = cross_entropy.flag_target(df, spark.createDataFrame([(6,), (6,), (None,)], "doc_id bigint"))
-        assert cross_entropy.score(df, cross_entropy.train(flagged, vocabulary=50)).count() == df.count()
+        for ids in ([(6,), (6,), (None,)], []):
+            flagged = cross_entropy.flag_target(df, spark.createDataFrame(ids, "doc_id bigint"))
+            out = cross_entropy.score(flagged)
+            assert out.count() == df.count() and out.filter("n_tokens = 0 and difference <> 0").count() == 0
