@@ -9,7 +9,8 @@ counts in the driver and comes back as weights in a column expression.
 
 Words are runs outside space and U+0009..U+000D. Repeated 3-word windows are
 found by sorting, in each text, 64-bit integers of a window's hash and place:
-one sort of a primitive array instead of rows for every word.
+one sort of a primitive array instead of rows for every word. Windows whose
+hashes agree there are then compared by their words, so the count is exact.
 
 Defined results: a null text has no words and fails; null doc_ids, repeated
 rows and empty tables keep their rows as they are; other columns are not read.
@@ -51,7 +52,11 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     key = lambda x: F.call_function("shiftright", x, F.col("bits"))
     same = lambda x, k: (key(x) == key(F.get("keys", k + 1))) | ((k > 0) & (key(x) == key(F.get("keys", k - 1))))
     place = lambda x: (x - F.call_function("shiftleft", key(x), F.col("bits"))).cast("int")
-    found = keyed.select("doc_id", "text", "words", F.sort_array(F.transform(F.filter("keys", lambda x, k: F.coalesce(same(x, k), F.lit(False))), place)).alias("starts"))
+    # windows of equal keys, by their words: equal bits of a hash are no proof
+    said = lambda i: F.struct(F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("said"), i.alias("place"))
+    alike = keyed.select("doc_id", "text", "words", F.sort_array(F.transform(F.filter("keys", lambda x, k: F.coalesce(same(x, k), F.lit(False))), lambda x: said(place(x)))).alias("alike"))
+    again = lambda x, k: (x["said"] == F.get("alike", k + 1)["said"]) | ((k > 0) & (x["said"] == F.get("alike", k - 1)["said"]))
+    found = alike.select("doc_id", "text", "words", F.sort_array(F.transform(F.filter("alike", lambda x, k: F.coalesce(again(x, k), F.lit(False))), lambda x: x["place"])).alias("starts"))
     covered = F.aggregate(
         "starts", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
         lambda a, s: F.struct((a["sum"] + s + 3 - F.greatest(a["end"], s)).alias("sum"), (s + 3).alias("end")), lambda a: a["sum"],
