@@ -1,47 +1,51 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, one of the target documents and one of all documents, share
-one vocabulary (the ``vocabulary`` commonest words of the corpus, the rest being
-one unknown word), one order and one smoothing, so their losses differ by what
-the texts say and not by how the models are made:
-
-    p(w | v) = (n(v, w) + m p(w)) / (n(v) + m),   p(w) = (n(w) + 1) / (n + size)
-
-A document's score is the mean over its tokens of the target model's loss less
-the background model's: the lower, the more it reads like the target.
-
-Every document is counted, by one pass for the words and one for the bigrams.
-Workers add up their own counts before anything is shuffled. The models are two
-square tables of the vocabulary's size, whatever the corpus holds, which bounds
-what is gathered and broadcast.
-
-Defined results: a null or empty text has no token and the difference 0; a
-target without documents, or an empty corpus, leaves the smoothed models;
-repeated rows count and are scored each; other columns are not read.
+one vocabulary (every word of the corpus, and one unknown word), one order and
+one smoothing, so their losses differ by what the texts say and not by how the
+models are made:
+
+    p(w | v) = (n(v, w) + m p(w)) / (n(v) + m),   p(w) = (n(w) + 1) / (n + words + 1)
+
+v is the word before, or the start of the text. A document's score is the mean
+over its tokens of the target model's loss less the background model's: the
+lower, the more it reads like the target. A document is held out of the models
+that score it: its own counts are taken off those of the background and, if it
+is a target document, those of the target.
+
+No table of the models is gathered anywhere; they stay keyed by n-gram, with as
+many rows as the corpus has n-grams. Documents are written in blocks of about
+``BLOCK_CHARS`` characters. A block adds up its own n-grams and sends one row for
+each different one to the n-gram's task, which adds up the blocks' rows and
+answers those blocks that share it; an n-gram of one block needs no answer, as
+that block knows its count. Texts and answers meet by block. So a common n-gram
+has one row a block, not one a token, and two shuffles of at most that size do
+for counting and scoring.
+
+Defined results: a null or empty text has no token, losses and the difference 0;
+a target without documents leaves its smoothed model; repeated rows count and
+are scored each; rows without an id take part; other columns are not read. A
+text longer than a block is a block of its own: its words are held whole (about
+100 bytes each), its characters are scanned in parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import BROADCAST_ROWS, small_batches
-
-CHUNK_TOKENS = 1 << 21
-
+from .common import BROADCAST_ROWS, drop_table, lean, materialize, shuffle_width, small_batches
 
-@dataclass
-class Models:
-    known: np.ndarray  # hashes of the vocabulary, sorted; a word's number is its place, the unknown word's is the next
-    target: np.ndarray  # losses: (words + unknown + start) x (words + unknown)
-    background: np.ndarray
+BLOCK_CHARS = 1 << 22
+_START = np.uint64(0x5851F42D4C957F2D)
+_MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
 def flag_target(docs: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,92 +56,191 @@ def flag_target(docs: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id
     return source.join(side, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
 
 
-def _counts(flagged: DataFrame, number_of, schema: str) -> DataFrame:
-    """Rows (key, n, of_target) summed over all documents; number_of makes the keys of some texts, and each one's text."""
+def in_blocks(flagged: DataFrame) -> DataFrame:
+    """doc_id, text, target and block, written, so that a block's rows are the same ones ever after."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            own = []
+            for text in batch.column("text").to_pylist():
+                if held and held + len(text) > BLOCK_CHARS:
+                    block, held = block + 1, 0
+                own.append(block)
+                held += len(text)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "block"])
+
+    return materialize(flagged.mapInArrow(lean(number), T.StructType([*flagged.schema.fields, T.StructField("block", T.LongType())])), "lm-blocks")
+
+
+def gram_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each word (even) and of it with the word before (odd)."""
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[bounds[:-1][np.diff(bounds) > 0]] = _START
+    with np.errstate(over="ignore"):
+        pairs = words.mix(hashes + words.mix(before * _MUL))
+    return (hashes & ~np.uint64(1)).view(np.int64), (pairs | np.uint64(1)).view(np.int64)
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word keys, bigram keys, each token's text, and where the texts' tokens begin."""
+    hashes, bounds = words.hash_words(texts)
+    single, double = gram_keys(hashes, bounds)
+    return single, double, np.repeat(np.arange(len(texts)), np.diff(bounds)), bounds
+
+
+#: n holds the count over all documents above 32 bits of that over the target's: a block's are far below 2 ** 31.
+_COUNT = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "block", "n")])
+_ANSWER = T.StructType([T.StructField(n, T.LongType()) for n in ("block", "key", "n", "of_target")])
+
+
+def count_grams(blocks: DataFrame) -> DataFrame:
+    """A row (key, block, n) for each different n-gram of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: int | None = None
         held: list[np.ndarray] = []
         marks: list[np.ndarray] = []
-        size = 0
 
         def settle() -> pa.RecordBatch:
             keys, place = np.unique(np.concatenate(held), return_inverse=True)
-            mark = np.concatenate(marks)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(place, minlength=len(keys))), pa.array(np.bincount(place, mark, len(keys)).astype(np.int64))], names=["key", "n", "of_target"])
+            n = np.bincount(place, minlength=len(keys)) << 32 | np.bincount(place, np.concatenate(marks), len(keys)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), at)), pa.array(n)], names=_COUNT.names)
 
         for batch in batches:
-            texts, target = batch.column("text").to_pylist(), np.array(batch.column("target").to_pylist(), bool)
-            for a, b in words.groups(texts):
-                keys, owner = number_of(texts[a:b])
-                held.append(keys)
-                marks.append(target[a:b][owner])
-                size += len(keys)
-                if size >= CHUNK_TOKENS:
+            texts, target, block = batch.column("text").to_pylist(), np.array(batch.column("target").to_pylist(), bool), batch.column("block").to_numpy()
+            for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(block)) + 1):
+                if not len(own):
+                    continue
+                if held and block[own[0]] != at:
                     yield settle()
-                    held, marks, size = [], [], 0
-        if size:
+                    held, marks = [], []
+                at = int(block[own[0]])
+                for a, b in words.groups(texts[own[0] : own[-1] + 1]):
+                    single, double, owner, _ = _tokens(texts[own[0] + a : own[0] + b])
+                    held += [single, double]
+                    marks += [target[own[0] + a : own[0] + b][owner]] * 2
+        if held:
             yield settle()
 
-    return flagged.select("text", "target").mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"), F.sum("of_target").alias("of_target"))
+    return blocks.select("text", "target", "block").mapInArrow(lean(run), _COUNT)
 
 
-def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    hashes, bounds = words.hash_words(texts)
-    return hashes.view(np.int64), np.repeat(np.arange(len(texts)), np.diff(bounds))
+def total_grams(counts: DataFrame) -> DataFrame:
+    """Answers (block, key, n, of_target) to the blocks that share an n-gram; and a row of each task with a null block: key
+    is the number of its different words, n and of_target how often they occur."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        sums = np.zeros(3, np.int64)
+
+        def answer(key: np.ndarray, block: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(key):
+                return
+            opens = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            total, target = np.add.reduceat(n >> 32, opens), np.add.reduceat(n & 0xFFFFFFFF, opens)
+            single = key[opens] & 1 == 0
+            sums[:] += (single.sum(), total[single].sum(), target[single].sum())
+            size = np.diff(np.append(opens, len(key)))
+            group = np.repeat(np.arange(len(opens)), size)
+            several = np.maximum.reduceat(block, opens) > np.minimum.reduceat(block, opens)
+            again = np.concatenate([[False], (key[1:] == key[:-1]) & (block[1:] == block[:-1])])
+            out = np.flatnonzero(several[group] & ~again)
+            for at in range(0, len(out), 1 << 17):
+                part = out[at : at + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block[part], key[part], total[group[part]], target[group[part]])], names=_ANSWER.names)
 
-def bigram_cells(texts: list[str], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The table's cell of each token and the word before it; a text begins after the start mark."""
-    hashes, bounds = words.hash_words(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    unknown = len(known)
-    number = np.full(len(hashes), unknown, np.int64)
-    if unknown and len(hashes):
-        at = np.minimum(np.searchsorted(known, hashes), unknown - 1)
-        number = np.where(known[at] == hashes, at, unknown)
-    before = np.full(len(hashes), unknown + 1, np.int64)
-    before[1:] = number[:-1]
-    before[bounds[:-1][np.diff(bounds) > 0]] = unknown + 1
-    return before * (unknown + 1) + number, owner
-
-
-def losses(cells: np.ndarray, counts: np.ndarray, size: int, strength: float) -> np.ndarray:
-    table = np.zeros((size + 1, size), np.float64)
-    table.ravel()[cells] = counts
-    single = table.sum(0)
-    single = (single + 1) / (single.sum() + size)
-    table += strength * single
-    table /= table.sum(1, keepdims=True)
-    return (-np.log(table)).astype(np.float32)
-
-
-def train(flagged: DataFrame, *, vocabulary: int = 2047, strength: float = 200.0) -> Models:
-    small_batches(flagged.sparkSession)
-    top = _counts(flagged, word_keys, "key long, n long, of_target long").orderBy(F.desc("n"), "key").limit(vocabulary).select("key").collect()
-    known = np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64))
-    shared = flagged.sparkSession.sparkContext.broadcast(known)
-    table = _counts(flagged, lambda texts: bigram_cells(texts, shared.value), "key long, n long, of_target long").select(F.col("key").cast("int"), "n", "of_target").toArrow()  # at most (vocabulary + 2) squared rows
-    cells, n, target = (table.column(c).to_numpy() for c in ("key", "n", "of_target"))
-    size = len(known) + 1
-    return Models(known, losses(cells, target, size, strength), losses(cells, n, size, strength))
-
-
-def score(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (nats a token) and difference."""
-    small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    schema = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("target_loss", "background_loss", "difference"))])
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, _COUNT.names)]
+            open_at = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last n-gram may go on
+            yield from answer(*(h[:open_at] for h in held))
+            held = [h[open_at:] for h in held]
+        yield from answer(*held)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([int(x)]) for x in sums)], names=_ANSWER.names)
+
+    parts = shuffle_width(counts.sparkSession)
+    return counts.repartition(parts, "key").sortWithinPartitions("key", "block").mapInArrow(lean(run), _ANSWER)
+
+
+def score_block(texts: list[str], target: np.ndarray, answers: tuple[np.ndarray, np.ndarray, np.ndarray], totals: dict[str, int], strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text of a block, and its mean losses under the target's model and the background's."""
+    single, double, owner, bounds = _tokens(texts)
+    size = np.diff(bounds)
+    if not len(single):
+        return size, np.zeros(len(texts)), np.zeros(len(texts))
+    keys, place = np.unique(np.concatenate([single, double]), return_inverse=True)
+    word, pair = place[: len(single)], place[len(single) :]
+    starts = bounds[:-1][size > 0]
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[starts] = 0
+    opening = np.zeros(len(word), bool)
+    opening[starts] = True
+    cells, of = np.unique(np.concatenate([owner, owner]) * np.int64(len(keys)) + place, return_inverse=True)
+    own = np.bincount(of)[of]  # how often a token's n-gram occurs in its own text
+    own_word, own_pair = own[: len(word)], own[len(word) :]
+    own_before = np.empty_like(own_word)
+    own_before[1:] = own_word[:-1]
+    marks = target[np.concatenate([owner, owner])]
+    out = []
+    for counts, tokens, docs, out_of in ((np.bincount(place, marks, len(keys)), totals["target_tokens"], totals["target_docs"], target), (np.bincount(place, minlength=len(keys)), totals["tokens"], totals["docs"], np.ones(len(texts), bool))):
+        counts = counts.astype(np.float64)
+        at = np.searchsorted(keys, answers[0])
+        counts[at] = answers[1 if out_of is target else 2]
+        less = out_of[owner]
+        p = (counts[word] - own_word * less + 1) / (tokens - size[owner] * less + totals["words"] + 1)
+        context = np.where(opening, docs - less, counts[before] - own_before * less)
+        p = (counts[pair] - own_pair * less + strength * p) / (context + strength)
+        out.append(np.bincount(owner, -np.log(p), len(texts)) / np.maximum(size, 1))
+    return size, out[0], out[1]
+
+
+def score(flagged: DataFrame, *, strength: float = 50.0) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (nats a token) and difference of every row of flag_target()."""
+    spark = flagged.sparkSession
+    small_batches(spark)
+    blocks = in_blocks(flagged)
+    answers = materialize(total_grams(count_grams(blocks)), "lm-answers")
+    sums = answers.filter("block is null").agg(F.sum("key").alias("words"), F.sum("n").alias("tokens"), F.sum("of_target").alias("target_tokens")).first()
+    spoken = blocks.filter(F.col("text").rlike(r"[^\x00-/:-@\[-`{-\x7f]")).agg(F.count("*").alias("docs"), F.count_if("target").alias("target_docs")).first()
+    totals = {k: int(v or 0) for k, v in (sums.asDict() | spoken.asDict()).items()}
+    fields = [flagged.schema["doc_id"], *(T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("difference", T.DoubleType())))]
+    schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        target, background = m.target.ravel(), m.background.ravel()
+        """Rows by block, a block's answers first."""
+        at: int | None = None
+        known: list[pa.RecordBatch] = []
+        texts: list[pa.RecordBatch] = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if not texts:
+                return
+            rows = pa.Table.from_batches(texts).combine_chunks()
+            said = [np.concatenate([np.zeros(0, np.int64), *(b.column(c).to_numpy() for b in known)]) for c in ("key", "of_target", "n")]
+            n, t, g = score_block(rows.column("text").to_pylist(), np.array(rows.column("target").to_pylist(), bool), tuple(said), totals, strength)
+            for batch in pa.Table.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(t), pa.array(g), pa.array(t - g)], names=schema.names).to_batches():
+                yield batch
+
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in words.groups(texts):
-                cells, owner = bigram_cells(texts[a:b], m.known)
-                n = np.bincount(owner, minlength=b - a)
-                t, g = (np.bincount(owner, table[cells].astype(np.float64), b - a) / np.maximum(n, 1) for table in (target, background))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(t), pa.array(g), pa.array(t - g)], names=schema.names)
-
-    return source.mapInArrow(run, schema)
+            block, is_text = batch.column("block").to_numpy(), batch.column("is_text").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(is_text.astype(np.int8)) != 0)) + 1).tolist(), len(block)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if block[a] != at:
+                    yield from settle()
+                    at, known, texts = int(block[a]), [], []
+                (texts if is_text[a] else known).append(batch.slice(a, b - a))
+        yield from settle()
+
+    names = ["block", "is_text", "key", "n", "of_target", "doc_id", "text", "target"]
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
+    asked = blocks.select("block", F.lit(True).alias("is_text"), *(null(c, "long") for c in names[2:5]), "doc_id", "text", "target")
+    told = answers.filter("block is not null").select("block", F.lit(False).alias("is_text"), "key", "n", "of_target", null("doc_id", flagged.schema["doc_id"].dataType), null("text", "string"), null("target", "boolean"))
+    met = asked.unionByName(told).repartition(shuffle_width(spark), "block").sortWithinPartitions("block", "is_text")
+    scored = materialize(met.mapInArrow(lean(run), schema), "lm-scores")
+    for done in (blocks, answers):
+        drop_table(done)
+    return scored

@@ -18,8 +18,17 @@ shingles AS (SELECT DISTINCT item_id, part, k, unnest(list_transform(range(1, le
 held AS (SELECT DISTINCT doc_id, 5 AS k, unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' '))) AS s FROM d),
 hits AS (SELECT h.doc_id, s.item_id, s.part, count(*) AS n FROM shingles s JOIN held h ON h.s = s.s AND h.k = s.k GROUP BY ALL),
 total AS (SELECT item_id, part, count(*) AS n FROM shingles GROUP BY ALL),
-share AS (SELECT doc_id, item_id, max(CASE WHEN part = 'whole' THEN hits.n / total.n END) AS overlap, max(CASE WHEN part = 'question' THEN hits.n / total.n END) AS question_overlap, max(CASE WHEN part = 'answer' THEN hits.n / total.n END) AS answer_overlap FROM hits JOIN total USING (item_id, part) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, overlap, question_overlap, answer_overlap FROM share WHERE overlap >= 0.8 AND question_overlap >= 0.5 AND answer_overlap >= 0.5"""
+share AS (SELECT doc_id, item_id, max(CASE WHEN part = 'whole' THEN hits.n / total.n END) AS overlap, max(CASE WHEN part = 'question' THEN hits.n / total.n END) AS question_overlap, max(CASE WHEN part = 'answer' THEN hits.n / total.n END) AS answer_overlap FROM hits JOIN total USING (item_id, part) GROUP BY doc_id, item_id),
+leaks AS (SELECT * FROM share WHERE overlap >= 0.8 AND question_overlap >= 0.5 AND answer_overlap >= 0.5),
+t AS (SELECT item_id, len(w) AS n, unnest(w) AS term FROM i),
+corpus AS (SELECT count(*) AS items, sum(len(w)) / count(*) AS mean FROM i),
+df AS (SELECT term, count(DISTINCT item_id) AS df FROM t GROUP BY term),
+raw AS (SELECT item_id, n, term, ln(1 + (items - df + 0.5) / (df + 0.5)) * count(*) * 2.2::DOUBLE / (count(*) + 1.2::DOUBLE * (0.25 + 0.75 * n / mean)) AS impact FROM t JOIN df USING (term), corpus GROUP BY item_id, n, term, df, items, mean),
+impacts AS (SELECT item_id, term, greatest(8, CAST(2 ** ceil(log2(n)) AS BIGINT)) AS step, impact / sum(impact) OVER (PARTITION BY item_id) AS impact FROM raw),
+said AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS place FROM d WHERE doc_id IN (SELECT doc_id FROM leaks)),
+met AS (SELECT DISTINCT s.doc_id, l.item_id, m.term, m.impact, unnest([CAST(floor(place / step) AS BIGINT), greatest(0, CAST(floor(place / step) AS BIGINT) - 1)]) AS passage FROM leaks l JOIN said s USING (doc_id) JOIN impacts m ON m.item_id = l.item_id AND m.term = s.term),
+best AS (SELECT doc_id, item_id, max(score) AS score FROM (SELECT doc_id, item_id, passage, sum(impact) AS score FROM met GROUP BY ALL) GROUP BY ALL)
+SELECT doc_id, item_id, round(score, 6) AS score, overlap, question_overlap, answer_overlap FROM leaks JOIN best USING (doc_id, item_id)"""
 
 CLASSES = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' ')))) END AS g FROM d),
@@ -35,6 +44,45 @@ SELECT s.doc_id, coalesce(class.class_id, s.doc_id) AS class_id, coalesce(degree
 FROM s LEFT JOIN sets ON sets.g = s.g LEFT JOIN class ON class.x = sets.own LEFT JOIN degree ON degree.x = sets.own"""
 
 
+LOSSES = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good, {_WORDS} AS w FROM documents),
+t AS (SELECT r, good, len(w) AS n, unnest(w) AS w, unnest(list_prepend('', w[:-2])) AS v FROM d WHERE len(w) > 0),
+singles AS (SELECT w, count(*) AS n, count(*) FILTER (good) AS g FROM t GROUP BY w),
+doubles AS (SELECT v, w, count(*) AS n, count(*) FILTER (good) AS g FROM t GROUP BY v, w),
+befores AS (SELECT w AS v, n, g FROM singles UNION ALL SELECT '', count(*), count(*) FILTER (good) FROM d WHERE len(w) > 0),
+own AS (SELECT r, w, count(*) AS n FROM t GROUP BY r, w),
+own_double AS (SELECT r, v, w, count(*) AS n FROM t GROUP BY r, v, w),
+own_before AS (SELECT r, w AS v, n FROM own UNION ALL SELECT r, '', 1 FROM d),
+whole AS (SELECT sum(n) AS n, sum(g) AS g, count(*) AS words FROM singles),
+p AS (SELECT o.r, any_value(t.n) AS size, o.n AS times, any_value(t.good) AS good, any_value(s.n - a.n) AS b1, any_value(s.g - CASE WHEN t.good THEN a.n ELSE 0 END) AS t1, any_value(x.n - o.n) AS b2, any_value(x.g - CASE WHEN t.good THEN o.n ELSE 0 END) AS t2, any_value(y.n - c.n) AS b0, any_value(y.g - CASE WHEN t.good THEN c.n ELSE 0 END) AS t0
+  FROM own_double o JOIN t ON t.r = o.r AND t.v = o.v AND t.w = o.w JOIN singles s ON s.w = o.w JOIN own a ON a.r = o.r AND a.w = o.w JOIN doubles x ON x.v = o.v AND x.w = o.w JOIN befores y ON y.v = o.v JOIN own_before c ON c.r = o.r AND c.v = o.v GROUP BY o.r, o.v, o.w, o.n),
+l AS (SELECT r, sum(-times * ln((t2 + 50.0::DOUBLE * (t1 + 1) / (whole.g - CASE WHEN good THEN size ELSE 0 END + words + 1)) / (t0 + 50.0::DOUBLE))) / any_value(size) AS target_loss, sum(-times * ln((b2 + 50.0::DOUBLE * (b1 + 1) / (whole.n - size + words + 1)) / (b0 + 50.0::DOUBLE))) / any_value(size) AS background_loss FROM p, whole GROUP BY r)
+SELECT doc_id, len(w) AS n_tokens, round(coalesce(target_loss, 0), 6) AS target_loss, round(coalesce(background_loss, 0), 6) AS background_loss, round(coalesce(target_loss - background_loss, 0), 6) AS difference FROM d LEFT JOIN l USING (r)"""
+
+
+_CUT = "list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)"
+_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST({_DIGITS}[length({_DIGITS}) - k + 1] AS INT) WHEN CAST({_DIGITS}[length({_DIGITS}) - k + 1] AS INT) > 4 THEN 2 * CAST({_DIGITS}[length({_DIGITS}) - k + 1] AS INT) - 9 ELSE 2 * CAST({_DIGITS}[length({_DIGITS}) - k + 1] AS INT) END)) % 10 = 0"
+_HITS = " UNION ALL ".join(f"SELECT r, {n} AS kind_no, '{k}' AS kind, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS pieces FROM d" for n, k, p in ((0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), (1, "ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), (2, "card", r"[0-9](?:[ -]?[0-9])+"), (3, "phone", r"\+[0-9][ ().0-9-]+[0-9]")))
+_SPELT = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no)"
+
+DISCLOSURE = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+every AS (SELECT r, kind_no, kind, value, start, start + length(value) AS stop FROM (SELECT r, kind_no, kind, hits[i] AS value, CAST({_CUT} AS BIGINT) AS start FROM ({_HITS}) AS m, unnest(generate_series(1, len(hits))) AS u(i))),
+base AS (SELECT * FROM every WHERE kind = 'email' OR kind = 'ip' AND len(list_filter(string_split(value, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 999) > 255)) = 0 OR kind = 'card' AND length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN} OR kind = 'phone' AND length({_DIGITS}) BETWEEN 10 AND 15),
+places AS (SELECT r, hits[i] AS value, CAST({_CUT} AS BIGINT) AS start FROM (SELECT r, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS hits, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS pieces FROM d WHERE r IN (SELECT r FROM base)) AS m, unnest(generate_series(1, len(hits))) AS u(i)),
+terms AS (SELECT r, lower(value) AS term, start, start + length(value) AS stop FROM places p WHERE regexp_full_match(value, '\p{{L}}{{5,}}') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = p.r AND b.start < p.start + length(p.value) AND p.start < b.stop)),
+words AS (SELECT DISTINCT r, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: regexp_full_match(w, '\p{{L}}{{5,}}'))) AS term FROM d),
+spread AS (SELECT term, count(*) AS df FROM (SELECT * FROM words UNION ALL SELECT DISTINCT r, left(term, 4) || '*' FROM words) GROUP BY term),
+held AS (SELECT DISTINCT r, lower(value) AS entity FROM base),
+holders AS (SELECT entity, count(*) AS n FROM held GROUP BY entity),
+pairs AS (SELECT entity, term, count(*) AS n FROM (SELECT DISTINCT r, term FROM terms UNION ALL SELECT DISTINCT r, left(term, 4) || '*' FROM terms) JOIN held USING (r) GROUP BY ALL),
+strong AS (SELECT entity, p.term FROM pairs p JOIN spread USING (term) JOIN holders h USING (entity), (SELECT count(*) AS total FROM d)
+  WHERE log2((p.n + df / total) / (h.n + 1) / (df / total)) >= 0.9::DOUBLE * log2(total / h.n)),
+kinds AS (SELECT h.r, s.term, min(CASE WHEN w.term IS NULL THEN 5 ELSE 4 END) AS kind_no FROM strong s JOIN held h USING (entity) LEFT JOIN strong w ON w.entity = s.entity AND w.term = left(s.term, 4) || '*' WHERE NOT ends_with(s.term, '*') GROUP BY h.r, s.term),
+spans AS (SELECT r, kind_no, kind, start, stop FROM base UNION ALL SELECT t.r, kind_no, CASE kind_no WHEN 4 THEN 'term' ELSE 'stem' END, start, stop FROM terms t JOIN kinds k ON k.r = t.r AND k.term = t.term)
+SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  sha256(coalesce({_SPELT} FILTER (kind_no < 4), '')) AS base_sha256, coalesce({_SPELT}, '') AS spans, count(kind) AS n_spans FROM d LEFT JOIN spans USING (r) GROUP BY r, doc_id"""
+
+
 def _quoted(text: str) -> str:
     return "".join(f"\\{c}" if not c.isalnum() else c for c in text)
 

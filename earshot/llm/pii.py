@@ -6,31 +6,40 @@ points. Splitting a text at a pattern gives the pieces between its matches, so
 piece and match lengths add up to the places.
 
 Information-theoretic sanitisation: the protected entities are the span values.
-For an entity e and a term t near it, n(e) and n(t, e) count different contexts
-(``REACH`` characters on either side), and the corpus gives p(t), the share of
-documents that hold the term, and IC(e), the information of meeting e's
-documents. The point-wise mutual information log2(p(t | e) / p(t)) says how
-strongly t reveals e. A term of at least ``min_support`` contexts whose mutual
-information is at least ``disclosure`` of IC(e) discloses the entity: its
-occurrences in documents that hold e are spans of the kind ``term`` as well.
-``redact`` generalises base spans to their kind and removes terms.
+The corpus says how strongly a term t, a word of letters anywhere in a text that
+holds the entity e, reveals it. Documents are the unit of every count: with N
+documents, n(e) of which hold e, df(t) t, and n(t, e) both,
+
+    p(t) = df(t) / N,   p(t | e) = (n(t, e) + p(t)) / (n(e) + 1),
+    disclosure(t, e) = log2(p(t | e) / p(t)) / log2(N / n(e)),
+
+the share of e's information content that t gives away; the added one smooths
+what a rare entity's few documents say. A term whose disclosure of an entity of
+its document is at least ``disclosure`` is a span as well: of the kind ``stem``
+if its first letters, as a wider term with counts of their own, disclose less
+than that (``redact`` then generalises it to them), else of the kind ``term``,
+which is removed. Entities that the same documents hold have the same
+counts and are treated as one, so a long list of them costs what one costs.
 
 Patterns begin at the start of a run or where the match before ended (``\G``),
 and take runs possessively: the same matches as the plain patterns, in linear
 time and without recursion on long runs.
 
 Defined results: null texts are empty, without spans; null doc_ids and repeated
-rows keep their rows; empty tables give none; other columns are not read.
+rows keep their rows; empty tables give none; other columns are not read. Words
+of long texts become rows, one each; a text's own spans are one array.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of span that the method adds.
+METHOD = ("term", "stem")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -40,8 +49,11 @@ PATTERNS = {
 #: Cheap to search: a text that doesn't match holds no span of the kind.
 HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-REACH = 100
-TERM = r"(?<=[^\p{L}\p{N}])\p{L}{4,}(?=[^\p{L}\p{N}])"
+WORD = r"[\p{L}\p{N}]+"
+TERM = r"^\p{L}{5,}$"
+STEM = 4
+#: Marks a stem among the terms; no word ends with it.
+WIDER = "*"
 SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,value:string>>"
 
 
@@ -80,63 +92,81 @@ def base_spans(text: Column) -> Column:
 
 
 def spell(spans: Column) -> Column:
-    kinds = F.array(*(F.lit(k) for k in (*KINDS, "term")))
+    kinds = F.array(*(F.lit(k) for k in (*KINDS, *METHOD)))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind_no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def revealing_terms(holders: DataFrame, docs: DataFrame, *, min_support: int = 3, disclosure: float = 0.9) -> DataFrame:
-    """(value, terms): for each entity the terms near it that disclose it.
+def _stem(term: Column) -> Column:
+    return F.concat(F.substring(term, 1, STEM), F.lit(WIDER))
+
+
+def terms_at(holders: DataFrame) -> DataFrame:
+    """(key, copies, term, start, end) of every term of the texts, outside their base spans."""
+    text = F.col("text")
+    pairs = F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"))
+    each = holders.select("key", "copies", "base", F.posexplode(pairs).alias("at", "x")).select("key", "copies", "base", "at", "x.word", F.char_length("x.gap").alias("gap"), F.char_length("x.word").alias("size"))
+    order = Window.partitionBy("key").orderBy("at")  # one text
+    end = F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(order)
+    placed = each.withColumn("end", end.cast("bigint")).filter(F.col("word").rlike(TERM)).withColumn("start", F.col("end") - F.col("size"))
+    apart = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    return placed.filter(apart).select("key", "copies", F.lower("word").alias("term"), "start", "end", F.col("word").alias("value"))
+
+
+def revealing_terms(holders: DataFrame, terms: DataFrame, docs: DataFrame, *, disclosure: float = 0.9) -> DataFrame:
+    """(key, term, kind_no): the terms of each text that disclose an entity of it.
 
-    holders: key, text, base of texts that hold entities. docs: text of all.
+    holders: key, copies, base of texts that hold entities; terms: terms_at(); docs: text of all.
     """
-    near = holders.select("key", "text", F.explode("base").alias("span")).select(
-        "key", F.lower("span.value").alias("value"),
-        F.lower(F.concat(F.substring("text", F.greatest(F.col("span.start") - REACH, F.lit(0)).cast("int") + 1, F.least(F.col("span.start"), F.lit(REACH)).cast("int")), F.lit("\n"), F.substring("text", F.col("span.end").cast("int") + 1, F.lit(REACH)))).alias("context"),
-    )
-    contexts = near.groupBy("value", F.xxhash64("context").alias("context_id")).agg(F.first("context").alias("context"))
-    entities = near.groupBy("value").agg(F.countDistinct("key").alias("held"))
-    seen = contexts.groupBy("value").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= min_support).join(entities, "value")
-    pairs = contexts.select("value", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term")).groupBy("value", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= min_support)
-    candidates = materialize(pairs.join(seen, "value"), "pii-pairs")
-    spread = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.count()
-    gain = F.log2((F.col("together") / F.col("contexts")) / (F.col("df") / F.lit(float(max(total, 1)))))
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("held"))
-    return candidates.join(spread, "term").filter((gain > 0) & (gain >= disclosure * information)).groupBy("value").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-
-
-def _spanned(docs: DataFrame, carry: list[str], text_col: str, whole: bool, min_support: int, disclosure: float) -> DataFrame:
+    spots = holders.select("key", "copies", F.explode(F.array_distinct(F.transform("base", lambda b: F.lower(b["value"])))).alias("value")).distinct()
+    # entities of the same documents are one: who holds them is told by 128 bits
+    alike = spots.groupBy("value").agg(F.bit_xor(F.xxhash64("key")).alias("h"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h2"), F.sum("copies").alias("held"))
+    entities = materialize(spots.join(alike, "value").select("key", "copies", F.struct("h", "h2", "held").alias("entity")).distinct(), "pii-entities")
+    once = terms.select("key", "term").distinct()
+    wide = once.unionByName(once.select("key", _stem(F.col("term")).alias("term")).distinct())
+    together = wide.join(entities, "key").groupBy("entity", "term").agg(F.sum("copies").alias("together"))
+    own = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), lambda w: F.rlike(w, F.lit(TERM)))
+    spread = docs.select(own.alias("own")).select(F.explode(F.concat("own", F.array_distinct(F.transform("own", _stem)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = F.lit(float(max(docs.count(), 1)))
+    share, held = F.col("df") / total, F.col("entity.held")
+    gain = F.log2((F.col("together") + share) / (held + 1) / share)
+    judged = materialize(together.join(spread, "term").filter(gain >= disclosure * F.log2(total / held)).select("entity", "term"), "pii-revealing")
+    strong = judged.filter(~F.col("term").endswith(WIDER))
+    wider = judged.filter(F.col("term").endswith(WIDER)).select("entity", F.col("term").alias("stem"))
+    kinds = strong.withColumn("stem", _stem(F.col("term"))).join(wider.withColumn("too", F.lit(True)), ["entity", "stem"], "left")
+    kinds = kinds.select("entity", "term", F.when(F.col("too"), len(KINDS)).otherwise(len(KINDS) + 1).alias("kind_no"))
+    return entities.select("key", "entity").join(kinds, "entity").groupBy("key", "term").agg(F.min("kind_no").alias("kind_no"))
+
+
+def _spanned(docs: DataFrame, carry: list[str], text_col: str, whole: bool, disclosure: float) -> DataFrame:
     """k0, k1 .. (the carried columns), text (with `whole`, else only where it holds an entity), base, spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = [f"k{i}" for i in range(len(carry))]
     source = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names)), text.alias("text"))
-    spanned = source.withColumn("base", base_spans(F.col("text"))).withColumn("key", F.when(F.size("base") > 0, F.xxhash64(*names, "text")))
+    spanned = source.withColumn("base", base_spans(F.col("text"))).withColumn("key", F.when(F.size("base") > 0, F.md5(F.encode("text", "utf-8"))))
     if not whole:
         spanned = spanned.withColumn("text", F.when(F.col("key").isNotNull(), F.col("text")))
     table = materialize(spanned, "pii-spans")
-    holders = table.filter(F.col("key").isNotNull())
-    terms = revealing_terms(holders.select("key", "text", "base"), docs.select(text.alias("text")), min_support=min_support, disclosure=disclosure)
-    held = holders.select("key", F.explode("base").alias("span")).select("key", F.lower("span.value").alias("value")).distinct()
-    by_key = held.join(terms, "value").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    joined = holders.join(by_key, "key", "left").withColumn("pattern", pattern)
-    revealed = _places(F.col("text"), F.expr("regexp_extract_all(text, pattern, 0)"), F.expr("split(text, pattern, -1)"), len(KINDS))
-    apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.filter(revealed, apart))))
+    holders = materialize(table.filter(F.col("key").isNotNull()).groupBy("key").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies")), "pii-holders")
+    terms = materialize(terms_at(holders), "pii-terms")
+    revealing = revealing_terms(holders, terms, docs.select(text.alias("text")), disclosure=disclosure)
+    span = F.struct("start", F.col("kind_no").cast("int").alias("kind_no"), "end", "value")
+    found = terms.join(revealing, ["key", "term"]).groupBy("key").agg(F.collect_list(span).alias("revealed"))  # the terms of one text
+    found = materialize(found, "pii-found")
+    spans = F.array_sort(F.concat("base", F.coalesce("revealed", F.expr(f"cast(array() as {SPAN})"))))
     columns = [*names, "text", "base", "spans"]
     without = table.filter(F.col("key").isNull()).withColumn("spans", F.expr(f"cast(array() as {SPAN})"))
-    return joined.withColumn("spans", spans).select(*columns).unionByName(without.select(*columns))
+    return table.filter(F.col("key").isNotNull()).join(found, "key", "left").withColumn("spans", spans).select(*columns).unionByName(without.select(*columns))
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, disclosure: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9) -> DataFrame:
     """doc_id, base, spans: arrays of (start, kind_no, end, value)."""
-    return _spanned(docs, [id_col], text_col, False, min_support, disclosure).select(F.col("k0").alias("doc_id"), "base", "spans")
+    return _spanned(docs, [id_col], text_col, False, disclosure).select(F.col("k0").alias("doc_id"), "base", "spans")
 
 
-def sanitize(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, min_support: int = 3, disclosure: float = 0.9) -> DataFrame:
+def sanitize(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, disclosure: float = 0.9) -> DataFrame:
     """The rows with all their columns, their texts redacted; length_col follows the new text."""
     carry = [c for c in docs.columns if c != text_col]
-    found = _spanned(docs, carry, text_col, True, min_support, disclosure).withColumn("text", redact(F.col("text"), F.col("spans")))
+    found = _spanned(docs, carry, text_col, True, disclosure).withColumn("text", redact(F.col("text"), F.col("spans")))
     name = {c: F.col(f"k{i}") for i, c in enumerate(carry)} | {text_col: F.col("text")}
     if length_col in name:
         name[length_col] = F.char_length("text").cast(docs.schema[length_col].dataType)
@@ -144,14 +174,16 @@ def sanitize(docs: DataFrame, *, text_col: str = "text", length_col: str | None
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with base spans generalised to their kind and disclosing terms removed; of overlapping spans the first counts."""
+    """The text with base spans and stems generalised, the ones to their kind, the others to their first letters, and
+    terms removed; of overlapping spans the first counts."""
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS), F.lit("[REMOVED]"))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.get(kinds, s["kind_no"])).alias("out"), s["end"].alias("at")))
+    said = lambda s: F.when(s["kind_no"] > len(KINDS), F.concat(F.substring(s["value"], 1, STEM), F.lit(WIDER))).otherwise(F.get(kinds, s["kind_no"]))
+    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), said(s)).alias("out"), s["end"].alias("at")))
     rest = lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, F.char_length(text)))
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, begin, step, rest))
 
 
 def counts(found: DataFrame) -> DataFrame:
     of = lambda k: F.size(F.filter("base", lambda s: s["kind_no"] == k)).cast("long")
-    return found.select("doc_id", *(of(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(spell(F.col("base")), 256).alias("base_sha256"), spell(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(of(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(spell(F.col("base")), 256).alias("base_sha256"), spell(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -34,7 +34,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_benchmark_leaks", oracles.LEAKS)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("score")
+    found = decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("op3_compact_windows")
@@ -50,14 +51,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "segments")
 
 
-@query("op5_cross_entropy_difference")
+@query("op5_cross_entropy_difference", oracles.LOSSES)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
     good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return cross_entropy.score(docs, cross_entropy.train(cross_entropy.flag_target(docs, good)))
+    scored = cross_entropy.score(cross_entropy.flag_target(read(spark, sf_dir, "documents"), good))
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")))
 
 
-@query("op6_disclosure")
+@query("op6_disclosure", oracles.DISCLOSURE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.counts(pii.find(read(spark, sf_dir, "documents")))
 
