@@ -14,13 +14,14 @@ that score it: its own counts are taken off those of the background and, if it
 is a target document, those of the target.
 
 No table of the models is gathered anywhere; they stay keyed by n-gram, with as
-many rows as the corpus has n-grams. Documents are written in blocks of about
-``BLOCK_CHARS`` characters. A block adds up its own n-grams and sends one row for
-each different one to the n-gram's task, which adds up the blocks' rows and
-answers those blocks that share it; an n-gram of one block needs no answer, as
-that block knows its count. Texts and answers meet by block. So a common n-gram
-has one row a block, not one a token, and two shuffles of at most that size do
-for counting and scoring.
+many entries as the corpus has n-grams. Documents are written in blocks of about
+``BLOCK_CHARS`` characters, one compressed row each. A block adds up its own
+n-grams and deals them out by ranges of their hashes: one row for each range, with
+the sorted hashes (as differences, about 6 bytes each) and counts. A range's
+task adds up what the blocks sent and answers each with the totals of its
+n-grams, in the same order. Blocks and answers meet by block. So a common n-gram
+has one entry a block, not one a token, hashes are spread evenly over the ranges,
+and what moves is the compressed texts, the hashes and the totals, once each.
 
 Defined results: a null or empty text has no token, losses and the difference 0;
 a target without documents leaves its smoothed model; repeated rows count and
@@ -56,21 +57,38 @@ def flag_target(docs: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id
     return source.join(side, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
 
 
+def _packed(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(pa.Table.from_batches(batches).combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
 def in_blocks(flagged: DataFrame) -> DataFrame:
-    """doc_id, text, target and block, written, so that a block's rows are the same ones ever after."""
+    """(block, rows): doc_id, text and target of a block's rows, written, so that they are the same ones ever after."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def settle() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_packed(held)], pa.binary())], names=["block", "rows"])
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            own = []
-            for text in batch.column("text").to_pylist():
-                if held and held + len(text) > BLOCK_CHARS:
-                    block, held = block + 1, 0
-                own.append(block)
-                held += len(text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "block"])
+            for a, b in words.groups(batch.column("text").to_pylist()):
+                part = batch.slice(a, b - a)
+                if held and size + part.nbytes > BLOCK_CHARS:
+                    yield settle()
+                    block, held, size = block + 1, [], 0
+                held.append(part)
+                size += part.nbytes
+        if held:
+            yield settle()
 
-    return materialize(flagged.mapInArrow(lean(number), T.StructType([*flagged.schema.fields, T.StructField("block", T.LongType())])), "lm-blocks")
+    return materialize(flagged.mapInArrow(lean(gather), "block long, rows binary"), "lm-blocks")
 
 
 def gram_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +98,7 @@ def gram_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     before[bounds[:-1][np.diff(bounds) > 0]] = _START
     with np.errstate(over="ignore"):
         pairs = words.mix(hashes + words.mix(before * _MUL))
-    return (hashes & ~np.uint64(1)).view(np.int64), (pairs | np.uint64(1)).view(np.int64)
+    return hashes & ~np.uint64(1), pairs | np.uint64(1)
 
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,81 +108,83 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return single, double, np.repeat(np.arange(len(texts)), np.diff(bounds)), bounds
 
 
-#: n holds the count over all documents above 32 bits of that over the target's: a block's are far below 2 ** 31.
-_COUNT = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "block", "n")])
-_ANSWER = T.StructType([T.StructField(n, T.LongType()) for n in ("block", "key", "n", "of_target")])
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, their first bytes together, then their second ones and so on, compressed."""
+    raw = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(numbers).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-def count_grams(blocks: DataFrame) -> DataFrame:
-    """A row (key, block, n) for each different n-gram of a block."""
+def _unpack(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    raw = pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<u8").ravel().astype(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: int | None = None
-        held: list[np.ndarray] = []
-        marks: list[np.ndarray] = []
 
-        def settle() -> pa.RecordBatch:
-            keys, place = np.unique(np.concatenate(held), return_inverse=True)
-            n = np.bincount(place, minlength=len(keys)) << 32 | np.bincount(place, np.concatenate(marks), len(keys)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), at)), pa.array(n)], names=_COUNT.names)
+_COUNT = T.StructType([T.StructField("range", T.LongType()), T.StructField("block", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("keys", "n", "of_target"))])
+_ANSWER = T.StructType([*_COUNT.fields[:2], *(T.StructField(c, T.BinaryType()) for c in ("n", "of_target")), *(T.StructField(c, T.LongType()) for c in ("words", "tokens", "target_tokens"))])
 
+
+def count_grams(blocks: DataFrame, ranges: int) -> DataFrame:
+    """A row (range, block, keys, n, of_target) for each block and range: the different n-grams, and how often they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, target, block = batch.column("text").to_pylist(), np.array(batch.column("target").to_pylist(), bool), batch.column("block").to_numpy()
-            for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(block)) + 1):
-                if not len(own):
-                    continue
-                if held and block[own[0]] != at:
-                    yield settle()
-                    held, marks = [], []
-                at = int(block[own[0]])
-                for a, b in words.groups(texts[own[0] : own[-1] + 1]):
-                    single, double, owner, _ = _tokens(texts[own[0] + a : own[0] + b])
-                    held += [single, double]
-                    marks += [target[own[0] + a : own[0] + b][owner]] * 2
-        if held:
-            yield settle()
+            for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows")):
+                table = _unpacked(rows.as_py())
+                single, double, owner, _ = _tokens(table.column("text").to_pylist())
+                marks = np.array(table.column("target").to_pylist(), bool)[np.concatenate([owner, owner])]
+                keys, place = np.unique(np.concatenate([single, double]), return_inverse=True)
+                n, of_target = np.bincount(place, minlength=len(keys)), np.bincount(place, marks, len(keys)).astype(np.int64)
+                of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                edges = np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))
+                spans = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
+                packed = [[_pack(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in spans], [_pack(n[a:b]) for _, a, b in spans], [_pack(of_target[a:b]) for _, a, b in spans]]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in spans], pa.int64()), pa.array([block] * len(spans), pa.int64()), *(pa.array(c, pa.binary()) for c in packed)], names=_COUNT.names)
 
-    return blocks.select("text", "target", "block").mapInArrow(lean(run), _COUNT)
+    return blocks.mapInArrow(lean(run), _COUNT)
 
 
 def total_grams(counts: DataFrame) -> DataFrame:
-    """Answers (block, key, n, of_target) to the blocks that share an n-gram; and a row of each task with a null block: key
-    is the number of its different words, n and of_target how often they occur."""
+    """A row for each of counts: the totals of its n-grams over all blocks. One of each range also tells, in words, tokens
+    and target_tokens, how many different words the range has and how often they occur; the others have 0 there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        sums = np.zeros(3, np.int64)
-
-        def answer(key: np.ndarray, block: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not len(key):
-                return
-            opens = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            total, target = np.add.reduceat(n >> 32, opens), np.add.reduceat(n & 0xFFFFFFFF, opens)
-            single = key[opens] & 1 == 0
-            sums[:] += (single.sum(), total[single].sum(), target[single].sum())
-            size = np.diff(np.append(opens, len(key)))
-            group = np.repeat(np.arange(len(opens)), size)
-            several = np.maximum.reduceat(block, opens) > np.minimum.reduceat(block, opens)
-            again = np.concatenate([[False], (key[1:] == key[:-1]) & (block[1:] == block[:-1])])
-            out = np.flatnonzero(several[group] & ~again)
-            for at in range(0, len(out), 1 << 17):
-                part = out[at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block[part], key[part], total[group[part]], target[group[part]])], names=_ANSWER.names)
+        at: int | None = None
+        held: list[tuple[int, np.ndarray, bytes, bytes]] = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            keys, place = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+            n, of_target = (np.bincount(place, np.concatenate([_unpack(h[c]) for h in held]).astype(float), len(keys)).astype(np.int64) for c in (2, 3))
+            single = keys & np.uint64(1) == 0
+            sums, first = (int(single.sum()), int(n[single].sum()), int(of_target[single].sum())), 0
+            for block, own, *_ in held:
+                mine = place[first : first + len(own)]
+                first += len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((at, pa.int64()), (block, pa.int64()), (_pack(n[mine]), pa.binary()), (_pack(of_target[mine]), pa.binary()), *((x, pa.int64()) for x in sums))], names=_ANSWER.names)
+                sums = (0, 0, 0)
 
         for batch in batches:
-            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, _COUNT.names)]
-            open_at = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last n-gram may go on
-            yield from answer(*(h[:open_at] for h in held))
-            held = [h[open_at:] for h in held]
-        yield from answer(*held)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([int(x)]) for x in sums)], names=_ANSWER.names)
+            for k, block, keys, n, of_target in zip(*(batch.column(c).to_pylist() for c in _COUNT.names)):
+                if k != at:
+                    if held:
+                        yield from settle()
+                    at, held = k, []
+                with np.errstate(over="ignore"):
+                    held.append((block, np.cumsum(_unpack(keys), dtype=np.uint64), n, of_target))
+        if held:
+            yield from settle()
 
     parts = shuffle_width(counts.sparkSession)
-    return counts.repartition(parts, "key").sortWithinPartitions("key", "block").mapInArrow(lean(run), _ANSWER)
+    return counts.repartition(parts, "range").sortWithinPartitions("range", "block").mapInArrow(lean(run), _ANSWER)
+
 
+def score_block(texts: list[str], target: np.ndarray, answers: tuple[np.ndarray, np.ndarray], totals: dict[str, int], strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text of a block, and its mean losses under the target's model and the background's.
 
-def score_block(texts: list[str], target: np.ndarray, answers: tuple[np.ndarray, np.ndarray, np.ndarray], totals: dict[str, int], strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of each text of a block, and its mean losses under the target's model and the background's."""
+    answers: of the block's n-grams, in the order of their keys, the target's and the background's counts.
+    """
     single, double, owner, bounds = _tokens(texts)
     size = np.diff(bounds)
     if not len(single):
@@ -182,12 +202,8 @@ def score_block(texts: list[str], target: np.ndarray, answers: tuple[np.ndarray,
     own_word, own_pair = own[: len(word)], own[len(word) :]
     own_before = np.empty_like(own_word)
     own_before[1:] = own_word[:-1]
-    marks = target[np.concatenate([owner, owner])]
     out = []
-    for counts, tokens, docs, out_of in ((np.bincount(place, marks, len(keys)), totals["target_tokens"], totals["target_docs"], target), (np.bincount(place, minlength=len(keys)), totals["tokens"], totals["docs"], np.ones(len(texts), bool))):
-        counts = counts.astype(np.float64)
-        at = np.searchsorted(keys, answers[0])
-        counts[at] = answers[1 if out_of is target else 2]
+    for counts, tokens, docs, out_of in ((answers[0], totals["target_tokens"], totals["target_docs"], target), (answers[1], totals["tokens"], totals["docs"], np.ones(len(texts), bool))):
         less = out_of[owner]
         p = (counts[word] - own_word * less + 1) / (tokens - size[owner] * less + totals["words"] + 1)
         context = np.where(opening, docs - less, counts[before] - own_before * less)
@@ -201,45 +217,38 @@ def score(flagged: DataFrame, *, strength: float = 50.0) -> DataFrame:
     spark = flagged.sparkSession
     small_batches(spark)
     blocks = in_blocks(flagged)
-    answers = materialize(total_grams(count_grams(blocks)), "lm-answers")
-    sums = answers.filter("block is null").agg(F.sum("key").alias("words"), F.sum("n").alias("tokens"), F.sum("of_target").alias("target_tokens")).first()
-    spoken = blocks.filter(F.col("text").rlike(r"[^\x00-/:-@\[-`{-\x7f]")).agg(F.count("*").alias("docs"), F.count_if("target").alias("target_docs")).first()
+    answers = materialize(total_grams(count_grams(blocks, shuffle_width(spark))), "lm-answers")
+    sums = answers.agg(*(F.sum(c).alias(c) for c in ("words", "tokens", "target_tokens"))).first()
+    spoken = flagged.filter(F.col("text").rlike(r"[^\x00-/:-@\[-`{-\x7f]")).agg(F.count("*").alias("docs"), F.count_if("target").alias("target_docs")).first()
     totals = {k: int(v or 0) for k, v in (sums.asDict() | spoken.asDict()).items()}
     fields = [flagged.schema["doc_id"], *(T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("difference", T.DoubleType())))]
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by block, a block's answers first."""
-        at: int | None = None
-        known: list[pa.RecordBatch] = []
-        texts: list[pa.RecordBatch] = []
+        """Rows by block and range, the block's own rows first."""
+        rows: pa.Table | None = None
+        told: list[list[np.ndarray]] = [[], []]
 
         def settle() -> Iterator[pa.RecordBatch]:
-            if not texts:
-                return
-            rows = pa.Table.from_batches(texts).combine_chunks()
-            said = [np.concatenate([np.zeros(0, np.int64), *(b.column(c).to_numpy() for b in known)]) for c in ("key", "of_target", "n")]
-            n, t, g = score_block(rows.column("text").to_pylist(), np.array(rows.column("target").to_pylist(), bool), tuple(said), totals, strength)
-            for batch in pa.Table.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(t), pa.array(g), pa.array(t - g)], names=schema.names).to_batches():
-                yield batch
+            said = tuple(np.concatenate([np.zeros(0), *(x.astype(float) for x in c)]) for c in told)
+            n, t, g = score_block(rows.column("text").to_pylist(), np.array(rows.column("target").to_pylist(), bool), said, totals, strength)
+            yield from pa.Table.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(t), pa.array(g), pa.array(t - g)], names=schema.names).to_batches()
 
         for batch in batches:
-            block, is_text = batch.column("block").to_numpy(), batch.column("is_text").to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(is_text.astype(np.int8)) != 0)) + 1).tolist(), len(block)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if a == b:
-                    continue
-                if block[a] != at:
-                    yield from settle()
-                    at, known, texts = int(block[a]), [], []
-                (texts if is_text[a] else known).append(batch.slice(a, b - a))
-        yield from settle()
-
-    names = ["block", "is_text", "key", "n", "of_target", "doc_id", "text", "target"]
-    null = lambda c, t: F.lit(None).cast(t).alias(c)
-    asked = blocks.select("block", F.lit(True).alias("is_text"), *(null(c, "long") for c in names[2:5]), "doc_id", "text", "target")
-    told = answers.filter("block is not null").select("block", F.lit(False).alias("is_text"), "key", "n", "of_target", null("doc_id", flagged.schema["doc_id"].dataType), null("text", "string"), null("target", "boolean"))
-    met = asked.unionByName(told).repartition(shuffle_width(spark), "block").sortWithinPartitions("block", "is_text")
+            for own, n, of_target in zip(*(batch.column(c).to_pylist() for c in ("rows", "n", "of_target"))):
+                if own is not None:
+                    if rows is not None:
+                        yield from settle()
+                    rows, told = _unpacked(own), [[], []]
+                else:
+                    told[0].append(_unpack(of_target))
+                    told[1].append(_unpack(n))
+        if rows is not None:
+            yield from settle()
+
+    null = lambda c: F.lit(None).cast("binary").alias(c)
+    asked = blocks.select("block", F.lit(-1).cast("long").alias("range"), "rows", null("n"), null("of_target"))
+    met = asked.unionByName(answers.select("block", "range", null("rows"), "n", "of_target")).repartition(shuffle_width(spark), "block").sortWithinPartitions("block", "range")
     scored = materialize(met.mapInArrow(lean(run), schema), "lm-scores")
     for done in (blocks, answers):
         drop_table(done)
