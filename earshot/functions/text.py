@@ -1,4 +1,4 @@
-r"""Text functions as column expressions; two need Python and run on the rows that need them.
+r"""Text functions as column expressions; exact case folding needs Python, on the rows that need it.
 
 ``(?U)`` gives \d and \s their Unicode meaning. The order of the steps of
 sanitize() is part of its meaning.
@@ -7,7 +7,6 @@ sanitize() is part of its meaning.
 from __future__ import annotations
 
 import re
-import urllib.parse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,35 +46,47 @@ def sanitize(text: Column) -> Column:
     return tidy(mask_personal(text))
 
 
-def _without_tracking(url: str) -> str:
-    try:
-        parts = urllib.parse.urlsplit(url)
-    except ValueError:
-        return url
-    pairs = urllib.parse.parse_qsl(parts.query, keep_blank_values=True)
-    rest = [pair for pair in pairs if pair[0].lower() not in TRACKING]
-    return url if len(rest) == len(pairs) else parts._replace(query=urllib.parse.urlencode(rest)).geturl()
+def _requoted(part: Column) -> Column:
+    """A part of a query, decoded and quoted again: the same text, written in the one way."""
+    plain = F.coalesce(F.try_url_decode(part), part)
+    return F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-@F.pandas_udf(StringType())
-def _clean_urls(texts: pd.Series) -> pd.Series:
-    pattern = re.compile(URL, re.IGNORECASE)
-    return texts.map(lambda t: pattern.sub(lambda m: _without_tracking(m[0]), t))
+def without_tracking(url: Column) -> Column:
+    """The URL less its tracking parameters; one that has none, or a host in unbalanced brackets, stays as it is."""
+    part = lambda n: F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", n)
+    pairs = F.filter(F.split(part(3), "&"), lambda p: p != "")
+    name, value = lambda p: F.substring_index(p, "=", 1), lambda p: F.regexp_replace(p, r"^[^=]*=?", "")
+    known = F.array(*map(F.lit, TRACKING))
+    kept = F.filter(pairs, lambda p: ~F.array_contains(known, F.lower(F.coalesce(F.try_url_decode(name(p)), name(p)))))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(_requoted(name(p)), F.lit("="), _requoted(value(p)))), "&")
+    marked = lambda mark, text: F.when(text == "", "").otherwise(F.concat(F.lit(mark), text))
+    scheme = F.regexp_extract(part(1), "^[^:]+", 0)
+    cleaned = F.concat(F.lower(scheme), F.regexp_replace(part(1), "^[^:]+", ""), part(2), marked("?", query), marked("#", part(4)))
+    odd = F.length(F.translate(part(1), "[", "")) != F.length(F.translate(part(1), "]", ""))
+    return F.when((F.size(kept) == F.size(pairs)) | odd, url).otherwise(cleaned)
 
 
 def clean_urls(df: DataFrame, column: str = "text") -> DataFrame:
-    """Drops tracking parameters from URLs. Only rows with a URL that has a query reach Python."""
-    has = F.coalesce(F.col(column).rlike(r"(?i)https?://[^\s<>\"')\]]*\?"), F.lit(False))
-    cleaned = df.filter(has).withColumn(column, _clean_urls(F.col(column)))
-    return df.filter(~has).unionByName(cleaned)
+    """Drops tracking parameters from the URLs of a text: the pieces between them and the cleaned URLs, put together again."""
+    text, pattern = F.col(column), "(?i)" + URL
+    between, urls = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    ends = F.concat(F.transform(urls, without_tracking), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(between, ends, lambda x, y: F.concat(x, y)), "")
+    return df.withColumn(column, F.when(F.coalesce(text.rlike(r"(?i)https?://[^\s<>\"')\]]*\?"), F.lit(False)), whole).otherwise(text))
 
 
 def fingerprint(text: Column) -> Column:
-    """SHA-256 of the text with case folded and white space collapsed; folding is lower case with ß as ss."""
+    """SHA-256 of the text with case folded and white space collapsed; exact where _FOLDED doesn't match."""
     folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     return F.sha2(_strip(F.regexp_replace(folded, r"(?U)\s+", " ")), 256)
 
 
+#: Characters whose full case folding isn't their lower case (all but a few are beyond Latin), and separators that
+#: only Python's split() takes for white space.
+_FOLDED = "[^\\x00-\\x{17F}]|[\\x1c-\\x1f\\x{B5}\\x{130}\\x{149}\\x{17F}]"
+
+
 @F.pandas_udf(StringType())
 def fingerprint_exact(texts: pd.Series) -> pd.Series:
     """The same with full Unicode case folding (ligatures, final sigma)."""
@@ -84,6 +95,12 @@ def fingerprint_exact(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else hashlib.sha256(" ".join(t.casefold().split()).encode()).hexdigest())
 
 
+def with_fingerprint(df: DataFrame, column: str = "text", name: str = "fp") -> DataFrame:
+    """Adds the exact fingerprint. Only rows with a character that needs full folding reach Python."""
+    rare = F.coalesce(F.col(column).rlike(_FOLDED), F.lit(False))
+    return df.filter(~rare).withColumn(name, fingerprint(F.col(column))).unionByName(df.filter(rare).withColumn(name, fingerprint_exact(F.col(column))))
+
+
 def escape_markdown(text: Column) -> Column:
     return F.regexp_replace(_strip(F.regexp_replace(text, r"(?U)\s+", " ")), MARKDOWN, r"\\$1")
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import INTENT, INTENTS, SENTIMENT, SENTIMENTS
+from ..schemas import EMBEDDING, INTENT, INTENTS, SENTIMENT, SENTIMENTS
 
 ITEMS = {"sentiment": SENTIMENT, "intent": INTENT}
 
@@ -87,25 +87,70 @@ def label_batch(provider, kind: str, rows: list[tuple[str, str]], *, depth: int
     return [*label_batch(provider, kind, rows[:half], depth=depth + 1), *label_batch(provider, kind, rows[half:], depth=depth + 1)]
 
 
-def classify(comments: DataFrame, provider, kind: str, *, size: int = 50, calls_at_once: int = 8) -> DataFrame:
-    """Labels of all comments (id, text, pos). Whole batches go to a partition; partitions bound the calls made at once."""
+def classify(comments: DataFrame, provider, kind: str, *, size: int = 50, calls_at_once: int | None = None) -> DataFrame:
+    """Labels of all comments (id, text, pos)."""
     schema = ITEMS[kind]
     names = schema.names
     batched = positional(comments.select("id", "text", "pos"), size).select("id", "text", "at", "batch_start")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
-        for frame in frames:
-            for real, text, start in zip(frame["id"], frame["text"], frame["batch_start"]):
-                if start != key:
-                    if held:
-                        yield pd.DataFrame(label_batch(provider, kind, held))[names]
-                    key, held = start, []
-                held.append((real, text or ""))
-        if held:
-            yield pd.DataFrame(label_batch(provider, kind, held))[names]
-
-    return batched.repartition(calls_at_once, "batch_start").sortWithinPartitions("batch_start", "at").select("id", "text", "batch_start").mapInPandas(run, schema)
+        for rows in _by_batch(frames):
+            yield pd.DataFrame(label_batch(provider, kind, rows))[names]
+
+    return _dealt(batched, calls_at_once).mapInPandas(run, schema)
+
+
+def ordered_vectors(answer: str, n: int) -> list[list[float]]:
+    """The vectors of an answer {"data": [{index, embedding}]} in the order of the texts; a missing, surplus or doubled one is an error."""
+    items = sorted(json.loads(answer)["data"], key=lambda i: i["index"])
+    if [i["index"] for i in items] != list(range(n)):
+        raise ValueError(f"{len(items)} embeddings for {n} texts")
+    return [[float(x) for x in i["embedding"]] for i in items]
+
+
+def embed(comments: DataFrame, provider, *, size: int = 100, calls_at_once: int | None = None) -> DataFrame:
+    """(comment_id, vector) of all comments (id, text, pos), a call for each `size` of them; no comment, no call.
+
+    Vectors of another width than the first of their batch are an error; hold the whole with one_width().
+    """
+    batched = positional(comments.select("id", "text", "pos"), size).select("id", "text", "at", "batch_start")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _by_batch(frames):
+            vectors = ordered_vectors(provider.embed([text for _, text in rows]), len(rows))
+            if len({len(v) for v in vectors}) > 1:
+                raise ValueError(f"embeddings of {sorted({len(v) for v in vectors})} numbers in one answer")
+            yield pd.DataFrame({"comment_id": [real for real, _ in rows], "vector": vectors})
+
+    return _dealt(batched, calls_at_once).mapInPandas(run, EMBEDDING)
+
+
+def one_width(vectors: DataFrame, vector: str = "vector") -> int | None:
+    """The width that all vectors have; more than one is an error, none is None."""
+    low, high = vectors.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if low != high:
+        raise ValueError(f"embeddings of {low} to {high} numbers")
+    return low
+
+
+def _by_batch(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple[str, str]]]:
+    """(id, text) of each batch, of rows sorted by batch."""
+    key, held = None, []
+    for frame in frames:
+        for real, text, start in zip(frame["id"], frame["text"], frame["batch_start"]):
+            if start != key:
+                if held:
+                    yield held
+                key, held = start, []
+            held.append((real, text or ""))
+    if held:
+        yield held
+
+
+def _dealt(batched: DataFrame, calls_at_once: int | None) -> DataFrame:
+    """Whole batches in a partition; as many calls at once as there are shuffle partitions, or as the model allows."""
+    parts = calls_at_once or int(batched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return batched.repartition(parts, "batch_start").sortWithinPartitions("batch_start", "at").select("id", "text", "batch_start")
 
 
 def vector_widths(vectors: DataFrame, vector: str = "vector") -> DataFrame:

@@ -44,3 +44,13 @@ def accuracy(cases: DataFrame) -> DataFrame:
         F.avg(F.when(done & ~mixed, right.cast("int"))).alias("accuracy"),
         F.try_divide(F.count_if(done & ((~mixed & right) | covered)), F.count_if(done)).alias("accuracy_lenient"),
     )
+
+
+def record_run(metrics: DataFrame, path: str) -> None:
+    """Appends a run, one row of figures, as a JSON document with the time."""
+    metrics.select(F.to_json(F.struct("*")).alias("metrics"), F.current_timestamp().alias("created_at")).coalesce(1).write.mode("append").parquet(path)
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """The figures of one run as a JSON file (in a folder of that name)."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HIGH_CONFIDENCE = 0.85
@@ -10,12 +10,12 @@ DENSE = 5
 
 
 def flags(labelled: DataFrame, *, threshold: float = HIGH_CONFIDENCE, dense: int = DENSE) -> DataFrame:
-    """strong_negative, high_confidence, dense_cluster (where a cluster_id is given) and flagged."""
+    """strong_negative, high_confidence, dense_cluster (where a cluster_id is given; null is in no cluster) and flagged."""
     out = labelled.withColumn("strong_negative", F.col("sentiment").isin("negative", "critical_escalation")).withColumn("high_confidence", F.col("confidence") >= threshold)
     if "cluster_id" in labelled.columns:
-        size = F.count("*").over(Window.partitionBy("cluster_id"))
-        total = labelled.agg(F.count("*").alias("n_all"))
-        out = out.withColumn("in_cluster", size).crossJoin(F.broadcast(total)).withColumn("dense_cluster", (F.col("n_all") >= 2) & (F.col("in_cluster") >= dense)).drop("n_all", "in_cluster")
+        # sizes are combined before they are shuffled, and a cluster of any size can be split in the join; fewer than two comments are no cluster
+        sizes = labelled.filter("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("in_cluster"))
+        out = out.join(sizes, "cluster_id", "left").withColumn("dense_cluster", F.coalesce(F.col("in_cluster") >= max(2, dense), F.lit(False))).drop("in_cluster").select(*labelled.columns, "strong_negative", "high_confidence", "dense_cluster")
     else:
         out = out.withColumn("dense_cluster", F.lit(False))
     return out.withColumn("flagged", F.col("strong_negative") | F.col("high_confidence") | F.col("dense_cluster"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
 import os
+import threading
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import STAGES
+from ..schemas import STAGES, B, L, S, _fields
 
 
 def latest(events: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -111,6 +115,145 @@ def claim(folder: str, job_id: str) -> bool:
         return False
 
 
+JOB_EVENT = _fields(("job_id", S, False), ("seq", L, False), ("at", T.TimestampType(), False), ("channel_ref", S, True), ("status", S, True), ("stage", S, True), ("total_units", L, True), ("completed_units", L, True), ("more_units", L, True), ("total_comment_count", L, True), ("heartbeat_at", T.TimestampType(), True), ("cancel_requested", B, True), ("error", S, True))
+#: Statuses that nothing leaves again.
+ENDED = ("completed", "failed", "cancelled")
+
+
+def job_state(events: DataFrame) -> DataFrame:
+    """A job's row as its events leave it: the last value of each field; completed_units is what was last set and what was added since.
+
+    Insert, status, progress, counter, count, heartbeat and cancellation are all appended events; nothing is updated.
+    """
+    order = F.struct("at", "seq")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order))
+    carried = [c for c in ("channel_ref", "status", "stage", "total_units", "completed_units", "total_comment_count", "heartbeat_at", "cancel_requested", "error") if c in events.columns]
+    when_set = events.groupBy("job_id").agg(F.max(F.when(F.col("completed_units").isNotNull(), order)).alias("set_at"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"), *(last(c).alias(c) for c in carried))
+    more = events.filter("more_units is not null").select("job_id", order.alias("added_at"), "more_units").join(when_set.select("job_id", "set_at"), "job_id").filter(F.col("set_at").isNull() | (F.col("added_at") > F.col("set_at")))
+    added = more.groupBy("job_id").agg(F.sum("more_units").alias("added"))
+    done = F.coalesce("completed_units", F.lit(0)) + F.coalesce("added", F.lit(0))
+    return when_set.join(added, "job_id", "left").withColumn("completed_units", done).withColumn("cancel_requested", F.coalesce("cancel_requested", F.lit(False))).drop("set_at", "added")
+
+
+class JobLog:
+    """Jobs as one appended table of events; its readers fold it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def write(self, job_id: str, **event) -> None:
+        now = datetime.datetime.now(datetime.timezone.utc)
+        row = {f.name: None for f in JOB_EVENT} | {"job_id": job_id, "seq": time.monotonic_ns(), "at": now} | event
+        self.spark.createDataFrame([tuple(row.values())], JOB_EVENT).coalesce(1).write.parquet(f"{self.path}/{uuid.uuid4().hex}")  # a folder each: writers at once would share their temporary files
+
+    def start(self, channel_ref: str) -> str:
+        job_id = uuid.uuid4().hex
+        self.write(job_id, channel_ref=channel_ref, status="pending")
+        return job_id
+
+    def heartbeat(self, job_id: str) -> None:
+        self.write(job_id, heartbeat_at=datetime.datetime.now(datetime.timezone.utc))
+
+    def cancel(self, job_id: str) -> None:
+        self.write(job_id, cancel_requested=True)
+
+    def states(self) -> DataFrame:
+        return job_state(self.spark.read.schema(JOB_EVENT).parquet(f"{self.path}/*/*.parquet"))  # only files that were committed
+
+    def read(self, job_id: str):
+        return self.states().filter(F.col("job_id") == job_id).first()
+
+    def reap(self, *, seconds: int = 300) -> list[str]:
+        """Running jobs without a sign for so long are failed; their ids."""
+        silent = stale(self.states().withColumn("claimed_at", F.lit(None).cast("timestamp")), F.current_timestamp(), seconds)
+        found = [r["job_id"] for r in silent.select("job_id").collect()]  # of running jobs
+        for job_id in found:
+            self.write(job_id, status="failed", error="no heartbeat")
+        return found
+
+    def progress(self, job_id: str):
+        """The job as it stands, once silent ones are failed."""
+        self.reap()
+        return self.read(job_id)
+
+
+class Stopped(Exception):
+    """A job was asked to end, or ran past its deadline."""
+
+
+def run_job(log: JobLog, job_id: str, work, *, deadline: float = 900, beat: float = 30) -> str:
+    """Runs work(check) and writes how it ended: completed, cancelled or failed; the status.
+
+    A thread writes a heartbeat every `beat` seconds and looks for a cancellation; then, or past the deadline, it
+    cancels the job's Spark work by tag, and check(), which stages call between their batches, raises Stopped.
+    """
+    began, over, why = time.monotonic(), threading.Event(), []
+    spark = log.spark
+
+    def check() -> None:
+        if not why and time.monotonic() - began > deadline:
+            why.append("failed")
+        if why:
+            raise Stopped(why[0])
+
+    def watch() -> None:
+        while not over.wait(beat):
+            try:
+                log.heartbeat(job_id)
+                if log.read(job_id)["cancel_requested"]:
+                    why.append("cancelled")
+                elif time.monotonic() - began > deadline:
+                    why.append("failed")
+            except Exception:  # noqa: BLE001  a job that nobody can cancel any more is ended
+                why.append("failed")
+            if why:
+                spark.sparkContext.cancelJobsWithTag(job_id)
+                return
+
+    log.write(job_id, status="running", heartbeat_at=datetime.datetime.now(datetime.timezone.utc))
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    spark.sparkContext.addJobTag(job_id)
+    error = None
+    try:
+        work(check)
+        status = "completed"
+    except Exception as e:  # noqa: BLE001  whatever it was goes into the log
+        status, error = (why[0] if why else "failed"), str(e)[:500]
+    finally:
+        spark.sparkContext.removeJobTag(job_id)
+        over.set()
+        watcher.join()
+    log.write(job_id, status=status, error=error if status == "failed" else None)
+    return status
+
+
+def run_in_background(log: JobLog, job_id: str, work, **limits) -> threading.Thread:
+    thread = threading.Thread(target=run_job, args=(log, job_id, work), kwargs=limits, daemon=True)
+    thread.start()
+    return thread
+
+
+def stage_tables(spark: SparkSession, path: str, job_id: str, *, timings: dict[str, float] | None = None, check=lambda: None):
+    """keep(df, name): the stage's rows, computed and written once for the job, and read from then on.
+
+    A stage that was written whole isn't run again, so no comment is labelled twice, whatever fails later. timings gets
+    the seconds that each stage took.
+    """
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        check()
+        table, began = f"{path}/{job_id}/{name}", time.monotonic()
+        file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/_SUCCESS")
+        if not file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):
+            df.write.mode("overwrite").parquet(table)
+        if timings is not None:
+            timings[name] = time.monotonic() - began
+        return spark.read.schema(df.schema).parquet(table)
+
+    return keep
+
+
 def run_stage(spark: SparkSession, *, path: str, job_id: str, stage: str, batches: DataFrame, work) -> DataFrame:
     """Checkpointed stage: skips completed batches, runs the rest through work(batches) -> checkpoint rows, returns all."""
     try:

@@ -8,22 +8,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import batching, dedup, filtering
-from ..operators.models import HashProvider, offline_synthesis
+from ..operators import batching, clustering, dedup, filtering
+from ..operators.models import HashEmbedder, HashProvider, offline_synthesis
 from . import insights
 
 
 def prepare(comments: DataFrame) -> DataFrame:
     """Cleaned texts, the first sighting of each."""
     cleaned = X.clean_urls(comments.filter("text <> ''")).withColumn("text", X.sanitize(F.col("text"))).filter("text <> ''")
-    return dedup.keep_first(cleaned.withColumn("fp", X.fingerprint(F.col("text")))).drop("fp")
+    return dedup.keep_first(X.with_fingerprint(cleaned)).drop("fp")
 
 
-def analyze(comments: DataFrame, embeddings: DataFrame, *, sentiment=None, intent=None, write=offline_synthesis, store: Callable[[DataFrame, str], DataFrame] = lambda df, name: df.persist()) -> DataFrame:
-    """The report of a corpus. store(df, name) keeps a stage's rows, so that no model call is made twice."""
-    corpus = store(prepare(comments), "comments")
-    sentiments = store(batching.classify(corpus, sentiment or HashProvider("sentiment"), "sentiment"), "sentiments")
-    labelled = filtering.strict_labels(corpus, sentiments)
+def clusters_of(comments: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(id, cluster_id) of the comments that have an embedding, as many clusters as the stage filter asks for."""
+    own = comments.join(embeddings, comments["id"] == embeddings["comment_id"]).select("id", "vector")
+    return clustering.cluster_all(own, id_col="id", vector="vector", clusters=lambda n: 1 if n < 2 else min(max(2, n // 15), 60, n))
+
+
+def analyze(comments: DataFrame, embeddings: DataFrame | None = None, *, sentiment=None, intent=None, embedder=None, titles: DataFrame | None = None, write=offline_synthesis, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The report of a corpus. store(df, name), as jobs.stage_tables() makes it, writes a stage once, so that no model call is made twice.
+
+    Without given embeddings there is a stage that makes them. Comments of dense clusters pass the filter whatever their sentiment.
+    """
+    corpus = store(prepare(comments), "ingestion")
+    sentiments = store(batching.classify(corpus, sentiment or HashProvider("sentiment"), "sentiment"), "stage_a_sentiment")
+    if embeddings is None:
+        embeddings = store(batching.embed(corpus, embedder or HashEmbedder()), "stage_a_embedding")
+        batching.one_width(embeddings)
+    clusters = store(clusters_of(corpus, embeddings), "clusters")
+    labelled = filtering.strict_labels(corpus, sentiments).join(clusters, "id", "left")
     chosen = store(filtering.select_flagged(labelled).select(*corpus.columns), "flagged")
-    intents = store(batching.classify(chosen, intent or HashProvider("intent"), "intent"), "intents")
-    return insights.report(corpus, sentiments, intents, embeddings, write=write)
+    intents = store(batching.classify(chosen, intent or HashProvider("intent"), "intent"), "stage_b")
+    return store(insights.report(corpus, sentiments, intents, embeddings, titles=titles, write=write), "stage_c")

@@ -13,6 +13,8 @@ from ..operators import clustering, filtering, mood
 from ..operators.models import offline_synthesis
 from ..schemas import QUOTES
 
+#: What a draft may also say.
+HINTS = {"request": "suggested_title", "confusion": "timestamp_hint"}
 KEYS = {"request": "theme", "confusion": "sticking_point", "mood": "top_negative_driver"}
 
 
@@ -46,14 +48,16 @@ def synthesize(groups: DataFrame, kind: str, write: Callable[[str, list[str]], s
             draft = checked_draft(kind, write(kind, texts), texts)
         except Exception:  # noqa: BLE001  one failed group doesn't fail the report
             draft = None
-        rows = [] if draft is None else [(pdf["group"].iloc[0], kind, draft[KEYS[kind]], draft["quotes"])]
-        return pd.DataFrame(rows, columns=["group", "kind", "headline", "quotes"])
+        hint = draft and draft.get(HINTS.get(kind))
+        rows = [] if draft is None else [(pdf["group"].iloc[0], kind, draft[KEYS[kind]], draft["quotes"], hint if isinstance(hint, str) else None)]
+        return pd.DataFrame(rows, columns=["group", "kind", "headline", "quotes", "hint"])
 
     named = groups.select(F.col("group").cast("string").alias("group"), "pos", "text")
     counts = named.groupBy("group").agg(F.count("*").alias("mention_count"))
     shown = named.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy("pos", "text"))).filter(F.col("rank") <= prompt_rows).drop("rank")
-    drafts = shown.groupBy("group").applyInPandas(run, "group string, kind string, headline string, quotes array<string>")
-    return drafts.join(counts, "group")
+    drafts = shown.groupBy("group").applyInPandas(run, "group string, kind string, headline string, quotes array<string>, hint string")
+    hints = [F.when(F.col("kind") == k, F.col("hint")).alias(name) for k, name in HINTS.items()]
+    return drafts.join(counts, "group").select("group", "kind", "headline", "quotes", "mention_count", *hints)
 
 
 def clustered(comments: DataFrame, embeddings: DataFrame, *, most: int = 3) -> DataFrame:
@@ -64,11 +68,14 @@ def clustered(comments: DataFrame, embeddings: DataFrame, *, most: int = 3) -> D
     return labelled.join(clustering.biggest(labelled, most=most).select("cluster_id"), "cluster_id").select(F.col("cluster_id").alias("group"), "pos", "text")
 
 
-def report(comments: DataFrame, sentiments: DataFrame, intents: DataFrame, embeddings: DataFrame, *, write: Callable[[str, list[str]], str] = offline_synthesis) -> DataFrame:
-    """Requests, confusion points and the videos that landed badly, one row each."""
+def report(comments: DataFrame, sentiments: DataFrame, intents: DataFrame, embeddings: DataFrame, *, titles: DataFrame | None = None, write: Callable[[str, list[str]], str] = offline_synthesis) -> DataFrame:
+    """Requests, confusion points and the videos that landed badly, one row each; these with title, score and delta."""
     parts = [synthesize(clustered(filtering.candidates(comments, intents, kind), embeddings), kind, write) for kind in ("request", "confusion")]
     labelled = comments.join(sentiments, comments["id"] == sentiments["comment_id"])
     worst = mood.underperforming(labelled)
     sample = mood.driver_sample(labelled.join(worst.select("video_id"), "video_id", "left_semi"))
-    parts.append(synthesize(sample.select(F.col("video_id").alias("group"), "pos", "text"), "mood", write))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    driven = synthesize(sample.select(F.col("video_id").alias("group"), "pos", "text"), "mood", write)
+    named = mood.with_titles(worst, titles) if titles is not None else worst.withColumn("title", F.col("video_id"))
+    # a video without a valid draft keeps its numbers
+    moods = named.select(F.col("video_id").alias("group"), "title", F.col("video_avg").alias("score"), "delta").join(driven.drop("kind"), "group", "left").withColumn("kind", F.lit("mood"))
+    return parts[0].unionByName(parts[1]).unionByName(moods, allowMissingColumns=True)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .catalogue import query
 from .functions import text as X
 from .operators import batching, clustering, dedup, evaluation, filtering, jobs, mood
-from .operators.models import HashProvider
+from .operators.models import HashEmbedder, HashProvider
 from .plans import analysis, insights, preflight
 from .schemas import COARSE, INTENTS, SENTIMENTS, STAGES, coarse, valid_sentiment
+from .session import scratch
 from .sources import corpus
 from .streaming import streams
 
@@ -72,6 +73,23 @@ def select_for_stage_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtering.select_flagged(corpus.labelled_comments(spark, sf_dir)).select("id", "pos")
 
 
+DENSE = FLAGS + """, sized AS (SELECT *, pos % 700 AS cluster_id FROM flags), dense AS (SELECT *, count(*) OVER (PARTITION BY cluster_id) >= 15 AS dense_cluster FROM sized)"""
+
+
+@query("flag_comments_in_clusters", f"WITH {DENSE} SELECT id, cluster_id, strong_negative, high_confidence, dense_cluster, strong_negative OR high_confidence OR dense_cluster AS flagged FROM dense")
+def flag_comments_in_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments with given clusters: some are flagged for their cluster's size alone."""
+    labelled = corpus.labelled_comments(spark, sf_dir).withColumn("cluster_id", F.col("pos") % 700)
+    return filtering.flags(labelled, dense=15).select("id", "cluster_id", "strong_negative", "high_confidence", "dense_cluster", "flagged")
+
+
+@query("embed_comments", "SELECT CAST(doc_id AS VARCHAR) AS comment_id, " + ", ".join(f"('0x' || substr(sha256(coalesce(text, '')), {4 * k + 1}, 4))::BIGINT / 65536.0::DOUBLE AS x{k}" for k in range(8)) + " FROM documents")
+def embed_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding stage over all texts: answers come out of order and are put back by index."""
+    vectors = batching.embed(corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), "text"), HashEmbedder())
+    return vectors.select("comment_id", *(F.get("vector", k).alias(f"x{k}") for k in range(8)))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"), F.col("label").alias("cluster_id"))
 
@@ -107,9 +125,9 @@ def kmeans_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_scopes(_vectors(spark, sf_dir).withColumnRenamed("cluster_id", "scope"), scope="scope", id_col="pos", vector="vector", clusters=lambda n: 1 if n < 2 else min(max(2, n // 15), 60, n))
 
 
-@query("cluster_count_formulas", "SELECT n, CASE WHEN n < 2 THEN 1 ELSE least(greatest(2, n // 15), 60, n) END AS filter_k, CASE WHEN n < 2 THEN 1 ELSE greatest(1, least(3, n // 2)) END AS synthesis_k FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label UNION ALL SELECT -1 - vec_id, vec_id FROM embeddings WHERE vec_id < 2001)")
+@query("cluster_count_formulas", "SELECT n, CASE WHEN n < 2 THEN 1 ELSE least(greatest(2, n // 15), 60, n) END AS filter_k, CASE WHEN n < 2 THEN 1 ELSE greatest(1, least(3, n // 2)) END AS synthesis_k FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label UNION ALL SELECT -1 - vec_id, vec_id FROM embeddings)")
 def cluster_count_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = clustering.sizes(_vectors(spark, sf_dir)).select(F.col("mention_count").alias("n")).unionByName(corpus.table(spark, sf_dir, "embeddings").filter("vec_id < 2001").select(F.col("vec_id").alias("n")))
+    sizes = clustering.sizes(_vectors(spark, sf_dir)).select(F.col("mention_count").alias("n")).unionByName(corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n")))
     return sizes.select("n", X.filter_clusters(F.col("n")).alias("filter_k"), X.synthesis_clusters(F.col("n")).alias("synthesis_k"))
 
 
@@ -125,10 +143,14 @@ SANITIZED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(rege
 
 @query("sanitize_text", f"SELECT doc_id AS pos, {SANITIZED} AS text FROM documents")
 def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.document_comments(spark, sf_dir).select("pos", X.sanitize(F.col("text")).alias("text"))
+    return X.clean_urls(corpus.document_comments(spark, sf_dir).select("pos", "text")).select("pos", X.sanitize(F.col("text")).alias("text"))
 
 
-@query("clean_urls")
+_TRACKED = "(" + "|".join(X.TRACKING) + ")"
+
+
+@query("clean_urls", f"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^[^?]*', 0) AS front, list_filter(string_split(regexp_extract(url, '[?](.*)$', 1), '&'), lambda p: p <> '') AS pairs FROM pages)
+SELECT page_id, CASE WHEN len(list_filter(pairs, lambda p: regexp_matches(p, '^{_TRACKED}(=|$)', 'i'))) = 0 THEN url ELSE front || CASE WHEN len(list_filter(pairs, lambda p: NOT regexp_matches(p, '^{_TRACKED}(=|$)', 'i'))) = 0 THEN '' ELSE '?' || array_to_string(list_filter(pairs, lambda p: NOT regexp_matches(p, '^{_TRACKED}(=|$)', 'i')), '&') END END AS text FROM u""")
 def clean_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.clean_urls(corpus.table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text")))
 
@@ -143,7 +165,7 @@ FINGERPRINT = r"sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s
 
 @query("fingerprints", f"SELECT doc_id AS pos, {FINGERPRINT} AS fp FROM documents")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.document_comments(spark, sf_dir).select("pos", X.fingerprint(F.col("text")).alias("fp"))
+    return X.with_fingerprint(corpus.document_comments(spark, sf_dir).select("pos", "text")).select("pos", "fp")
 
 
 @query("escape_markdown", r"""SELECT doc_id AS pos, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([\\`*_{}\[\]()#+\-.!|~<>$])', '\\\1', 'g') AS text FROM documents""")
@@ -156,12 +178,12 @@ FORMS = ["'UC' || lpad(n, 22, '0')", "'@user' || n", "'https://www.youtube.com/w
 _REFS = "refs AS (SELECT page_id, CASE page_id % 12 " + " ".join(f"WHEN {k} THEN {form}" for k, form in enumerate(FORMS)) + " END AS raw FROM (SELECT page_id, CAST(page_id AS VARCHAR) AS n FROM pages))"
 
 
-@query("parse_reference", f"""WITH {_REFS} SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'channel_id' WHEN 1 THEN 'handle' WHEN 2 THEN 'video' WHEN 3 THEN 'video' WHEN 4 THEN 'video' WHEN 5 THEN 'channel_id' WHEN 6 THEN 'legacy_username' WHEN 7 THEN 'handle' ELSE 'error' END AS kind,
-  CASE page_id % 12 WHEN 0 THEN raw WHEN 1 THEN raw WHEN 2 THEN regexp_extract(raw, 'v=([^&]*)', 1) WHEN 3 THEN substr(raw, 10) WHEN 4 THEN regexp_extract(raw, 'shorts/(.*)', 1) WHEN 5 THEN regexp_extract(raw, 'channel/(.*)', 1) WHEN 6 THEN regexp_extract(raw, 'user/(.*)', 1) WHEN 7 THEN regexp_extract(raw, '(@[^/]*)', 1) ELSE '' END AS target FROM refs WHERE page_id % 12 <> 10""")
+@query("parse_reference", f"""WITH {_REFS} SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'channel_id' WHEN 1 THEN 'handle' WHEN 2 THEN 'video' WHEN 3 THEN 'video' WHEN 4 THEN 'video' WHEN 5 THEN 'channel_id' WHEN 6 THEN 'legacy_username' WHEN 7 THEN 'handle' WHEN 10 THEN CASE WHEN length('short' || page_id) = 11 THEN 'video' ELSE 'error' END ELSE 'error' END AS kind,
+  CASE page_id % 12 WHEN 0 THEN raw WHEN 1 THEN raw WHEN 2 THEN regexp_extract(raw, 'v=([^&]*)', 1) WHEN 3 THEN substr(raw, 10) WHEN 4 THEN regexp_extract(raw, 'shorts/(.*)', 1) WHEN 5 THEN regexp_extract(raw, 'channel/(.*)', 1) WHEN 6 THEN regexp_extract(raw, 'user/(.*)', 1) WHEN 7 THEN regexp_extract(raw, '(@[^/]*)', 1) WHEN 10 THEN CASE WHEN length('short' || page_id) = 11 THEN 'short' || page_id ELSE '' END ELSE '' END AS target FROM refs""")
 def parse_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id").cast("string")
     raw = F.expr("CASE page_id % 12 " + " ".join(f"WHEN {k} THEN {form}" for k, form in enumerate(FORMS)) + " END")
-    refs = corpus.table(spark, sf_dir, "pages").select("page_id", n.alias("n")).select("page_id", X.parse_reference(raw).alias("r")).filter("page_id % 12 <> 10")
+    refs = corpus.table(spark, sf_dir, "pages").select("page_id", n.alias("n")).select("page_id", X.parse_reference(raw).alias("r"))
     return refs.select("page_id", "r.kind", F.coalesce("r.video_id", "r.channel_id", "r.handle", "r.legacy_username", F.lit("")).alias("target"))
 
 
@@ -206,13 +228,14 @@ def dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_dedup")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rule on a stream of the events, run to its end into a memory table."""
+    """The same rule on a stream of the events, run to its end."""
     return _run_stream(spark, streams.dedup_exact(_event_stream(spark, sf_dir), seconds=TTL), "append")
 
 
-@query("stream_mood")
+@query("stream_mood", f"WITH {SCORED} SELECT strftime(date_trunc('day', timestamp), '%Y-%m-%d') AS day, avg(score) AS mood, count(*) AS n FROM scored GROUP BY 1")
 def stream_mood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run_stream(spark, streams.mood(_event_stream(spark, sf_dir)), "complete")
+    found = _run_stream(spark, streams.mood(_event_stream(spark, sf_dir)), "complete")
+    return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "mood", "n")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,12 +250,14 @@ def corpus_sentiment(event_type):
 
 
 def _run_stream(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    import uuid
+    """Runs the stream to its end into files; of a complete result the last batch counts."""
+    folder = scratch(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={number}")
 
-    name = f"stream_{uuid.uuid4().hex}"
-    started = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table(name)
+    streams.sink_batches(stream, write, f"{folder}/checkpoint", mode).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/*")
 
 
 # ---- threads and snippets ---------------------------------------------------------------------
@@ -468,16 +493,28 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("insights_report")
 def insights_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     comments = corpus.document_comments(spark, sf_dir)
-    sentiments = batching.classify(comments, HashProvider("sentiment"), "sentiment")
-    intents = batching.classify(comments, HashProvider("intent"), "intent")
+    keep = jobs.stage_tables(spark, scratch(spark, "report"), "report")  # each comment is labelled once
+    sentiments = keep(batching.classify(comments, HashProvider("sentiment"), "sentiment"), "stage_a_sentiment")
+    intents = keep(batching.classify(comments, HashProvider("intent"), "intent"), "stage_b")
     return insights.report(comments, sentiments, intents, _embeddings(spark, sf_dir))
 
 
 @query("analyze_corpus")
 def analyze_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.analyze(corpus.document_comments(spark, sf_dir), _embeddings(spark, sf_dir))
+    keep = jobs.stage_tables(spark, scratch(spark, "analysis"), "analysis")
+    return analysis.analyze(corpus.document_comments(spark, sf_dir), _embeddings(spark, sf_dir), store=keep)
+
+
+_JOBS = """j AS (SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, ts AS t, CASE event_type WHEN 'signup' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status, CASE WHEN event_type = 'view' THEN event_id % 50 END AS completed_units, CASE WHEN event_type = 'click' THEN event_id % 3 END AS more_units FROM events)"""
 
 
+@query("job_state", f"WITH {_JOBS}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t, seq) AS r FROM j), s AS (SELECT job_id, arg_max(status, r) FILTER (status IS NOT NULL) AS status, coalesce(max(r) FILTER (completed_units IS NOT NULL), 0) AS set_at FROM o GROUP BY job_id) SELECT o.job_id, s.status, CAST(sum(CASE WHEN r = set_at THEN completed_units WHEN r > set_at THEN coalesce(more_units, 0) ELSE 0 END) AS BIGINT) AS completed_units FROM o JOIN s USING (job_id) GROUP BY o.job_id, s.status")
+def job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appended events folded to each job's state: events stand for what a job's driver writes."""
+    kind = F.col("event_type")
+    status = F.when(kind == "signup", "running").when(kind == "purchase", "completed").when(kind == "error", "failed")
+    log = corpus.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), status.alias("status"), F.when(kind == "view", F.col("event_id") % 50).alias("completed_units"), F.when(kind == "click", F.col("event_id") % 3).alias("more_units"), F.lit(None).cast("boolean").alias("cancel_requested"))
+    return jobs.job_state(log).select("job_id", "status", "completed_units")
 
 
 # ---- channels, scans and settings -------------------------------------------------------------
@@ -504,10 +541,10 @@ def _newest(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     return videos.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("channel_id", "video", "rank")
 
 
-@query("scan_plan", "WITH v AS (SELECT channel_id, video, rank FROM (SELECT o_custkey AS channel_id, o_orderkey AS video, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders) WHERE rank <= 5), n AS (SELECT l_orderkey AS video, count(*) AS comments FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey) SELECT channel_id, CAST(count(*) AS BIGINT) AS videos, CAST(sum(comments) AS BIGINT) AS comments, CAST(sum(ceil(comments / 100.0)) AS BIGINT) AS units FROM v JOIN n USING (video) WHERE comments > 0 GROUP BY channel_id")
+@query("scan_plan", "WITH v AS (SELECT channel_id, video, rank FROM (SELECT o_custkey AS channel_id, o_orderkey AS video, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders) WHERE rank <= 5), n AS (SELECT l_orderkey AS video, count(*) AS comments FROM lineitem GROUP BY l_orderkey) SELECT channel_id, CAST(count(*) AS BIGINT) AS videos, CAST(sum(comments) AS BIGINT) AS comments, CAST(sum(ceil(comments / 100.0)) AS BIGINT) AS units FROM v JOIN n USING (video) WHERE comments > 0 GROUP BY channel_id")
 def scan_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pulling each channel's newest videos takes: those without metadata drop out, those without comments are not read."""
-    counts = corpus.table(spark, sf_dir, "lineitem").filter("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("video")).agg(F.count("*").alias("comments"))
+    counts = corpus.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("video")).agg(F.count("*").alias("comments"))
     wanted = _newest(spark, sf_dir, 5).join(counts, "video").filter("comments > 0")
     return wanted.groupBy("channel_id").agg(F.count("*").alias("videos"), F.sum("comments").alias("comments"), F.sum(X.comment_pages(F.col("comments"))).alias("units"))
 
@@ -566,14 +603,20 @@ def rendered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preflight.render(insights_report(spark, sf_dir))
 
 
-@query("similar_comments", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 5), s AS (SELECT q.query_id, e.vec_id AS pos, round(list_cosine_similarity(q.v, e.embedding::DOUBLE[]), 6) AS cosine FROM q, embeddings e) SELECT query_id, pos, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, pos) AS r FROM s) WHERE r <= 10")
+@query("similar_comments", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.query_id, e.vec_id AS pos, round(list_cosine_similarity(q.v, e.embedding::DOUBLE[]), 6) AS cosine FROM q, embeddings e) SELECT query_id, pos, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, pos) AS r FROM s) WHERE r <= 10")
 def similar_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten nearest comments to each of five questions, by cosine: the questions go to all vectors, the best ten of each partition come back."""
+    """Ten nearest comments to each question, by cosine: questions go to all vectors in blocks of 256, and each block's best come back."""
     points = _vectors(spark, sf_dir)
-    asked = points.filter("pos < 5").agg(F.collect_list(F.struct(F.col("pos").alias("query_id"), F.col("vector").alias("v"))).alias("asked"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    each = points.crossJoin(F.broadcast(asked)).select("pos", "vector", F.explode("asked").alias("q"))  # one row of five questions
-    cosine = dot(F.col("vector"), F.col("q.v")) / F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("q.v"), F.col("q.v")))
-    scored = each.select(F.col("q.query_id").alias("query_id"), "pos", F.round(cosine, 6).alias("cosine"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "pos")
-    return scored.withColumn("r", F.row_number().over(best)).filter("r <= 10").drop("r")
+    asked = points.filter("pos % 100 = 0")
+    blocks = max(1, -(-asked.count() // 256))
+    best = None
+    for k in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("pos"), F.lit(blocks)) == k).agg(F.collect_list(F.struct(F.col("pos").alias("query_id"), F.col("vector").alias("v"))).alias("asked"))
+        each = points.crossJoin(F.broadcast(own)).select("pos", "vector", F.explode("asked").alias("q"))  # one row, a block of questions
+        cosine = dot(F.col("vector"), F.col("q.v")) / F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("q.v"), F.col("q.v")))
+        scored = each.select(F.col("q.query_id").alias("query_id"), "pos", F.round(cosine, 6).alias("cosine"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "pos")
+        top = scored.withColumn("r", F.row_number().over(order)).filter("r <= 10").drop("r")  # the limit is pushed below the shuffle
+        best = top if best is None else best.unionByName(top)
+    return best

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..schemas import EVAL_CASE
@@ -62,9 +63,10 @@ def from_snippets(raw: DataFrame) -> DataFrame:
 
 
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:
-    """The labelled evaluation set; a label outside the domain is an error."""
-    cases = spark.read.schema(EVAL_CASE).json(path, multiLine=True)
+    """The labelled evaluation set, one JSON array, with the ids that predictions go by; a label outside the domain is an error."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", T.ArrayType(EVAL_CASE)).alias("all"))
+    cases = text.select(F.posexplode("all").alias("case_no", "c")).select(F.col("case_no").cast("bigint").alias("case_no"), F.format_string("eval-%03d", "case_no").alias("comment_id"), "c.*")
     bad = cases.filter(~F.coalesce(F.col("expected_mood").isin(*MOODS), F.lit(False))).limit(5).collect()
     if bad:
         raise ValueError(f"labels outside {MOODS}: {[r['expected_mood'] for r in bad]}")
-    return cases.withColumn("case_no", F.monotonically_increasing_id())
+    return cases

@@ -39,11 +39,12 @@ def dedup_exact(comments: DataFrame, *, key: str = "fp", at: str = "timestamp",
     return timed.groupBy(key).applyInPandasWithState(run, f"{key} string, pos bigint, at double", "recorded double", "append", GroupStateTimeout.NoTimeout)
 
 
-def mood(comments: DataFrame, *, late: str = "1 hour", width: str = "1 day") -> DataFrame:
+def mood(comments: DataFrame, *, late: str = "1 hour", width: str = "1 day", slide: str | None = None, gap: str | None = None) -> DataFrame:
+    """Mean score by tumbling window, by one that slides, or by session (a gap without comments ends it)."""
     scored = comments.withColumn("score", score(F.col("sentiment"))).withWatermark("timestamp", late)
-    return scored.groupBy(F.window("timestamp", width).alias("w")).agg(F.avg("score").alias("mood"), F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "mood", "n")
+    return scored.groupBy((F.session_window("timestamp", gap) if gap else F.window("timestamp", width, slide)).alias("w")).agg(F.avg("score").alias("mood"), F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "mood", "n")
 
 
-def sink_batches(stream: DataFrame, write, checkpoint: str):
+def sink_batches(stream: DataFrame, write, checkpoint: str, mode: str = "append"):
     """Runs what is available now, handing each micro-batch to write(df, batch_id)."""
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
