@@ -15,7 +15,8 @@ passages at once. A passage goes on only if the largest impacts of its terms add
 up to the threshold (else there is no pivot anywhere); then only if its terms'
 block maxima do so in some range of items. What terms add that are so common that
 together they give no item more than a third of the threshold is added as a slack instead of from
-their blocks. The few passages left are searched one at a time: lists in the
+their blocks. For the passages left the same is tested on their different terms,
+since two halves may count one twice, and the few that pass are searched one at a time: lists in the
 order of their next item, the pivot where the largest impacts reach the threshold,
 the pivot's block maxima checked, items before the next block skipped if they fail,
 else the item scored.
@@ -119,6 +120,7 @@ class Index:
         self.known = np.zeros(1 << 20, bool)
         self.known[(self.terms & _MASK).astype(np.int64)] = True
         self.items, self.impacts = item.tolist(), impact.tolist()
+        self.ranges_of, self.tops = self.block_range.tolist(), self.block_most.tolist()
         self.parts = []
         for o in own:
             split = -(-2 * len(o) // 3)
@@ -179,7 +181,7 @@ class Index:
 
     def wand(self, terms: list[int]) -> Iterator[tuple[int, float]]:
         """(item, score) of every item at or above the threshold, for one passage's terms, by block-max WAND."""
-        items, least = self.items, self.threshold - _EPS
+        items, ranges, tops, least = self.items, self.ranges_of, self.tops, self.threshold - _EPS
         lists = [[items[self.offsets[t]], int(self.offsets[t]), int(self.offsets[t + 1]), float(self.most[t]), int(self.block_offsets[t]), int(self.block_offsets[t + 1])] for t in terms]
 
         def move(own: list, to: int) -> None:
@@ -203,9 +205,9 @@ class Index:
             part = pivot // RANGE
             bound = 0.0
             for own in lists[: k + 1]:
-                own[4] = bisect_left(self._ranges, part, own[4], own[5])
-                if own[4] < own[5] and self._ranges[own[4]] == part:
-                    bound += self._tops[own[4]]
+                own[4] = bisect_left(ranges, part, own[4], own[5])
+                if own[4] < own[5] and ranges[own[4]] == part:
+                    bound += tops[own[4]]
             if bound < least:  # no item of this range before the next list's item
                 beyond = min((part + 1) * RANGE, lists[k + 1][0] if k + 1 < len(lists) else math.inf)
                 for own in lists[: k + 1]:
@@ -221,23 +223,23 @@ class Index:
                     if own[0] < pivot:
                         move(own, pivot)
 
-    @property
-    def _ranges(self) -> list[int]:
-        if not hasattr(self, "_as_lists"):
-            self._as_lists = self.block_range.tolist(), self.block_most.tolist()
-        return self._as_lists[0]
-
-    @property
-    def _tops(self) -> list[float]:
-        return self._as_lists[1]
-
     def search(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, end) of every passage and item at or above the threshold."""
         at, number = self.lookup(hashes)
         for text, begin, end in self.passages(at, number, bounds):
             lo, hi = np.searchsorted(at, (begin, end))
-            for item, score in self.wand(np.unique(number[lo:hi]).tolist()):
-                yield text, item, score, begin, end
+            terms = np.unique(number[lo:hi])
+            if self.reaches(terms):
+                for item, score in self.wand(terms.tolist()):
+                    yield text, item, score, begin, end
+
+    def reaches(self, terms: np.ndarray) -> bool:
+        """Whether the block maxima of a passage's different terms reach the threshold in some range of items."""
+        rare = terms[self.rare[terms]]
+        first = self.block_offsets[rare]
+        counts = self.block_offsets[rare + 1] - first
+        block = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return bool((np.bincount(self.block_range[block], self.block_most[block], self.ranges) >= self.needed).any())
 
     def verify(self, item: int, passage: np.ndarray) -> tuple[float, float, float]:
         """Shares of the item's shingles, its question's and its answer's that the passage holds."""
