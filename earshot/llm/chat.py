@@ -89,7 +89,7 @@ def format_turns(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("conv_id", "turn", "role", "tie")), pa.array(ids, pa.list_(pa.int32())), pa.array(begins, pa.int32()), pa.array(stops, pa.int32()), pa.array(chars, pa.int64())], names=encoded_schema.names)
 
     order = ["conv_id", F.asc_nulls_first("turn"), "role", "tie"]
-    dealt = source.mapInArrow(lean(encode), encoded_schema).repartition(shuffle_width(rows.sparkSession), "conv_id").sortWithinPartitions(*order).drop("turn", "role", "tie")
+    dealt = source.mapInArrow(lean(encode, tokens.load), encoded_schema).repartition(shuffle_width(rows.sparkSession), "conv_id").sortWithinPartitions(*order).drop("turn", "role", "tie")
     schema = T.StructType([T.StructField("conv_id", conv_type), T.StructField("turn_no", T.LongType()), T.StructField("token_start", T.LongType()), T.StructField("char_start", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("loss_mask", T.ArrayType(T.ByteType())), T.StructField("chars", T.LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,4 +170,4 @@ def read_back(turns: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
         if done:
             yield flush(done)
 
-    return turns.select("conv_id", "ids", "loss_mask").mapInArrow(lean(digest), schema)
+    return turns.select("conv_id", "ids", "loss_mask").mapInArrow(lean(digest, tokens.load), schema)

@@ -81,14 +81,17 @@ def trim() -> None:
         return
 
 
-def lean(run):
-    """run, a function over Arrow batches, after which the worker gives memory back: it lives on beside later stages."""
+def lean(run, *caches):
+    """run, a function over Arrow batches, after which the worker empties the caches and gives memory back: it lives on
+    beside the workers of later stages."""
 
     @functools.wraps(run)
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
+            for cache in caches:
+                cache.cache_clear()
             trim()
 
     return wrapped

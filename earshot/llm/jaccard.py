@@ -48,8 +48,8 @@ DEPTH = 3
 SKETCH = 64
 SMALL = 24
 PART = 400
-PART_TOKENS = 1 << 19
-COLUMNS = 8192
+PART_TOKENS = 1 << 17
+COLUMNS = 2048
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = words.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 

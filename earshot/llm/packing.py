@@ -72,7 +72,7 @@ def tokenize_pieces(
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f.name for f in fields)])
 
-    return source.mapInArrow(lean(cut), T.StructType([T.StructField("doc_id", id_type), *fields]))
+    return source.mapInArrow(lean(cut, tokens.load), T.StructType([T.StructField("doc_id", id_type), *fields]))
 
 
 def sweep(histogram: Iterable[tuple[int, int]], seq_len: int) -> tuple[np.ndarray, int]:
