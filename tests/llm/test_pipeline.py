@@ -4,7 +4,7 @@ import corpus_pipeline
 from earshot.llm import pii, quality
 from earshot.llm.common import held_out, materialize
 
-from .fixtures import SF
+from .fixtures import SF, edge_frames
 from .test_duplicates import brute_classes, overlap
 from .test_packing import check
 
@@ -42,3 +42,15 @@ def test_an_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         state = materialize(stage(spark, state, SF), "test-stage")
     assert state.count() == 0
+
+
+def test_edge_rows_pass_every_stage(spark):
+    """Nulls in every column, empty and long texts, repeats, and further columns with clashing names."""
+    for name, df in edge_frames(spark):
+        state = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            state = materialize(stage(spark, state, SF), "test-stage")
+            assert state.columns == df.columns
+        packed = materialize(corpus_pipeline.STAGES[-1][1](spark, state, SF), "test-stage")
+        assert packed.select("doc_id", "piece").count() >= state.count()
+        assert (name == "empty") == (state.count() == 0)
