@@ -3,6 +3,14 @@
 Every stage takes all that the one before it kept, written to the shared folder
 and read again; its decisions take effect. All but the last return the columns
 of ``documents``.
+
+Defined results, stage by stage: null and empty texts are scored like others, are
+classes of their own, hold no test item and no personal data, and are packed as the end token
+alone if the classifier keeps them; rows without an id and rows that share one
+are told apart by their text; repeated rows and near copies leave the row of
+least id, then of least text hash; very long texts are worked on whole, in bounded
+parts; an empty table gives none; further columns of ``documents``, whatever
+their names, are carried to the last stage, which returns its own.
 """
 
 from __future__ import annotations
