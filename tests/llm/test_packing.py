@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -31,24 +32,52 @@ def best_fit_decreasing(lengths, size):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=120))
-def test_sweep_places_every_rank_once_and_as_well_as_best_fit_decreasing(lengths):
-    size = 40
-    histogram = {n: lengths.count(n) for n in set(lengths)}
-    moves, opened = packing.sweep(histogram.items(), size)
-    ranked = sorted(lengths, reverse=True)
-    used = {}
-    for first, sequence, offset, count in moves.tolist():
-        for k in range(count):
-            used.setdefault(sequence + k, []).append((offset, ranked[first + k]))
-    assert sum(map(len, used.values())) == len(lengths) and len(used) == opened
-    for parts in used.values():
+@given(st.lists(st.integers(0, 9), max_size=12), st.lists(st.integers(0, 9), max_size=12))
+def test_missed_pieces_go_to_the_nearest_tasks_before(missed, places):
+    runs = packing.pair_tasks(dict(enumerate(missed)), dict(enumerate(places)))
+    expected, stack = [], []
+    for part in range(max(len(missed), len(places))):
+        for k in range(missed[part] if part < len(missed) else 0):
+            if stack:
+                expected.append((part, k, *stack.pop()))
+        if part < len(places):
+            stack += [(part, n) for n in reversed(range(places[part]))]
+    assert [(part, first + k, other, at + k) for part, first, end, other, at in runs for k in range(end - first)] == expected
+
+
+def lengths_of(kind, size):
+    draw = random.Random(kind)
+    if kind == "uniform":
+        return [draw.randint(1, size) for _ in range(1500)]
+    if kind == "short":
+        return [draw.choice((1, 1, 2, 3, 5)) for _ in range(1500)] + [size] * 3
+    if kind == "hot":
+        return [size * 2 // 5] * 500 + [draw.randint(1, size // 3) for _ in range(900)]
+    if kind == "big gaps first":
+        return [size // 2 + 1] * 200 + [draw.randint(1, 9) for _ in range(900)]
+    return []
+
+
+@pytest.mark.parametrize("rows_per_task", [150, 10**6])
+@pytest.mark.parametrize("kind", ["uniform", "short", "hot", "big gaps first", "none"])
+def test_supersteps_against_best_fit_decreasing(spark, kind, rows_per_task):
+    size = 256
+    lengths = lengths_of(kind, size)
+    df = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    out = packing.pack(df, seq_len=size, rows_per_task=rows_per_task).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == list(enumerate(lengths))
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
         at = 0
         for offset, n in sorted(parts):
             assert offset == at
             at += n
         assert at <= size
-    assert opened <= best_fit_decreasing(lengths, size) + 1
+    best = best_fit_decreasing(lengths, size)
+    print(kind, rows_per_task, len(sequences), best, sum(lengths) / size)
+    assert len(sequences) == best if rows_per_task > 150 else len(sequences) <= best * 1.03 + 1
 
 
 def check(df, out, seq_len=2048):
