@@ -1,20 +1,92 @@
-"""k-means for scopes that fit a worker, nearest centroids for any number of points.
-
-All restarts of a scope run side by side as one tensor: seeds are drawn in
-proportion to the squared distance from those drawn before, then assignment and
-means alternate until no restart changes. A centroid without members takes the
-point that is farthest from its own. The restart of least inertia counts.
+"""k-means in a worker or over the cluster, by one rule; nearest centroids for any number of points.
+
+All restarts run side by side. A seed is the point of greatest log(u) / d, where
+u is a uniform number from a hash of its id and d its squared distance from the
+seeds before: a draw in proportion to d that comes out alike wherever the points
+are. Then assignment and means alternate until the inertia of no restart moves
+by more than 1e-6. A centroid without members takes the point that is farthest
+from its own. The restart of least inertia counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
+#: Points whose distances are held at once.
+BLOCK = 2000
+STILL = 1e-6
+Blocks = Iterable[tuple[np.ndarray, np.ndarray]]  # points, keys
+
+
+def draw(keys: np.ndarray, salt: int) -> np.ndarray:
+    """Uniform numbers in (0, 1), one for each 64-bit key (the mixing steps of splitmix64)."""
+    z = keys.astype(np.int64).view(np.uint64) + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / 2**53
+
+
+def distances(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """restarts x points x centroids, squared; what rounding leaves of equal points is 0."""
+    cross = np.einsum("nd,rkd->rnk", points, centroids)
+    scale = (points**2).sum(1)[None, :, None] + (centroids**2).sum(2)[:, None, :]
+    found = scale - 2 * cross
+    return np.where(found > 1e-12 * scale, found, 0.0)
+
+
+def seed_of(blocks: Blocks, centroids: np.ndarray | None, step: int, restarts: int, seed: int) -> list[tuple] | None:
+    """The next seed of each restart among the blocks: (rank, key, point)."""
+    best = None
+    for points, keys in blocks:
+        far = np.ones((restarts, len(points))) if centroids is None else np.maximum(distances(points, centroids).min(2), 1e-300)
+        found = []
+        for r in range(restarts):
+            rank = np.log(draw(keys, (seed * restarts + r) * 1_000_003 + step)) / far[r]
+            at = np.lexsort((keys, rank))[-1]
+            found.append((float(rank[at]), int(keys[at]), points[at]))
+        best = found if best is None else [max(pair, key=lambda x: x[:2]) for pair in zip(best, found)]
+    return best
+
+
+def tally_of(blocks: Blocks, centroids: np.ndarray) -> tuple | None:
+    """Of the blocks: sums and sizes by centroid, inertia, and each restart's farthest point as (distance, key, point)."""
+    total = None
+    for points, keys in blocks:
+        d = distances(points, centroids)
+        held = (d.argmin(2)[:, :, None] == np.arange(centroids.shape[1])).astype(float)
+        least = d.min(2)
+        ends = [np.lexsort((keys, row))[-1] for row in least]
+        far = [(float(row[at]), int(keys[at]), points[at]) for row, at in zip(least, ends)]
+        own = np.einsum("rnk,nd->rkd", held, points), held.sum(1), least.sum(1)
+        total = (*own, far) if total is None else (*(a + b for a, b in zip(total, own)), [max(pair, key=lambda x: x[:2]) for pair in zip(total[3], far)])
+    return total
+
+
+def settle(k: int, rounds: int, pick: Callable, tally: Callable) -> np.ndarray:
+    """The centroids of the best restart. pick(centroids, step) gives restarts x d; tally(centroids) gives sums, sizes, inertia, farthest distances and points."""
+    centroids = pick(None, 0)[:, None]
+    for step in range(1, k):
+        centroids = np.concatenate([centroids, pick(centroids, step)[:, None]], 1)
+    before = np.inf
+    for _ in range(rounds):
+        sums, sizes, inertia, worst, farthest = tally(centroids)
+        full = (sizes > 0).all(1) | (worst == 0)
+        if full.all() and (np.abs(before - inertia) <= STILL + 1e-12 * inertia).all():
+            break
+        before = inertia
+        centroids = np.where(sizes[:, :, None] > 0, sums / np.maximum(sizes, 1)[:, :, None], farthest[:, None])
+    return centroids[np.argmax(inertia <= inertia.min() * (1 + 1e-9))]  # the first of equals, whatever the order of the sums
+
 
-def kmeans(points: np.ndarray, k: int, *, restarts: int = 10, seed: int = 0, rounds: int = 100) -> np.ndarray:
+def kmeans(points: np.ndarray, k: int, *, restarts: int = 10, seed: int = 0, rounds: int = 100, keys: np.ndarray | None = None) -> np.ndarray:
     points = np.asarray(points, float)
     if points.ndim != 2:
         raise ValueError(f"points must be rows of coordinates, not {points.shape}")
@@ -24,68 +96,110 @@ def kmeans(points: np.ndarray, k: int, *, restarts: int = 10, seed: int = 0, rou
     k = min(k, n)
     if k <= 1:
         return np.zeros(n, int)
-    draw = np.random.default_rng(seed)
-    square = (points**2).sum(1)
-
-    def distances(centroids: np.ndarray) -> np.ndarray:
-        """restarts x points x centroids, squared."""
-        cross = np.einsum("nd,rkd->rnk", points, centroids)
-        return np.maximum(square[None, :, None] - 2 * cross + (centroids**2).sum(2)[:, None, :], 0)
-
-    centroids = points[draw.integers(n, size=(restarts, 1))]
-    for _ in range(k - 1):
-        far = distances(centroids).min(2)
-        far = np.where(far.sum(1, keepdims=True) > 0, far, 1.0)
-        mass = np.cumsum(far, 1)
-        pick = (mass < draw.random((restarts, 1)) * mass[:, -1:]).sum(1)
-        centroids = np.concatenate([centroids, points[np.minimum(pick, n - 1)][:, None]], 1)
-    owner = None
-    for _ in range(rounds):
-        d = distances(centroids)
-        now = d.argmin(2)
-        if owner is not None and (now == owner).all():
-            break
-        owner = now
-        held = (owner[:, :, None] == np.arange(k)).astype(float)
-        size = held.sum(1)
-        means = np.einsum("rnk,nd->rkd", held, points) / np.maximum(size, 1)[:, :, None]
-        for r, c in np.argwhere(size == 0):
-            means[r, c] = points[np.take_along_axis(d[r], owner[r][:, None], 1).argmax()]
-        centroids = means
-    best = distances(centroids).min(2).sum(1).argmin()
-    return owner[best]
-
-
-def cluster_scopes(points: DataFrame, *, scope: str, id_col: str, vector: str, clusters) -> DataFrame:
+    keys = np.arange(n) if keys is None else np.asarray(keys)
+    blocks = [(points[at : at + BLOCK], keys[at : at + BLOCK]) for at in range(0, n, BLOCK)]
+
+    def tally(centroids):
+        sums, sizes, inertia, far = tally_of(blocks, centroids)
+        return sums, sizes, inertia, np.array([f[0] for f in far]), np.array([f[2] for f in far])
+
+    centroids = settle(k, rounds, lambda c, step: np.array([p for _, _, p in seed_of(blocks, c, step, restarts, seed)]), tally)
+    return np.concatenate([distances(p, centroids[None])[0].argmin(1) for p, _ in blocks])
+
+
+def cluster_scopes(points: DataFrame, *, scope: str, id_col: str, vector: str, clusters, restarts: int = 10, rounds: int = 100) -> DataFrame:
     """(scope, id, cluster_id) by k-means in each scope; clusters(n) says how many. For scopes of some thousands of points."""
     schema = f"{scope} {points.schema[scope].dataType.simpleString()}, {id_col} {points.schema[id_col].dataType.simpleString()}, cluster_id int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
-        return pd.DataFrame({scope: pdf[scope], id_col: pdf[id_col], "cluster_id": kmeans(np.stack(pdf[vector]), clusters(len(pdf)))})
+        return pd.DataFrame({scope: pdf[scope], id_col: pdf[id_col], "cluster_id": kmeans(np.stack(pdf[vector]), clusters(len(pdf)), keys=pdf["_key"].to_numpy(), restarts=restarts, rounds=rounds)})
+
+    return points.select(scope, id_col, vector, F.xxhash64(id_col).alias("_key")).groupBy(scope).applyInPandas(run, schema)
 
-    return points.select(scope, id_col, vector).groupBy(scope).applyInPandas(run, schema)
 
+def cluster_all(points: DataFrame, *, id_col: str, vector: str, clusters, one_worker: int = 20_000, restarts: int = 10, rounds: int = 100) -> DataFrame:
+    """(id, cluster_id) of all points as one scope: in one worker up to so many points, over the cluster beyond, by the same rule.
 
-def cluster_all(points: DataFrame, *, id_col: str, vector: str, clusters, one_worker: int = 20_000, restarts: int = 3) -> DataFrame:
-    """(id, cluster_id) of all points as one scope: in one worker up to so many points, by distributed k-means beyond."""
+    Beyond, each seed and each round is one pass over a written table of the
+    points; the driver holds restarts x clusters centroids, whatever the points.
+    """
     n = points.count()
+    k = min(clusters(n), n)
     if n <= one_worker:
-        return cluster_scopes(points.withColumn("scope", F.lit(0)), scope="scope", id_col=id_col, vector=vector, clusters=clusters).drop("scope")
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = points.select(id_col, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
-    models = [KMeans(k=clusters(n), seed=seed, initMode="k-means||").fit(vectors) for seed in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(vectors).select(id_col, F.col("prediction").alias("cluster_id"))
-
-
-def nearest(points: DataFrame, centroids: DataFrame, *, id_col: str, vector: str) -> DataFrame:
-    """(id, cluster_id): the nearest centroid of each point, the lowest number among equals. Centroids are few, one array of them goes to every point."""
-    few = centroids.agg(F.array_sort(F.collect_list(F.struct("cluster_id", F.col("centroid").alias("c")))).alias("all"))
+        return cluster_scopes(points.withColumn("scope", F.lit(0)), scope="scope", id_col=id_col, vector=vector, clusters=clusters, restarts=restarts, rounds=rounds).drop("scope")
+    if k <= 1:
+        return points.select(id_col, F.lit(0).alias("cluster_id"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    spark = points.sparkSession
+    written = points.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("key"), F.col(vector).cast("array<double>").alias("point"))
+    path = scratch(spark, "points")
+    written.write.parquet(path)
+    table = spark.read.schema(written.schema).parquet(path)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                yield part.column("point").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), part.column("key").to_numpy(zero_copy_only=False)
+
+    def pick(centroids: np.ndarray | None, step: int) -> np.ndarray:
+        def run(batches):
+            best = seed_of(blocks(batches), centroids, step, restarts, 0)
+            if best:
+                rank, key, point = zip(*best)
+                yield pa.RecordBatch.from_pydict({"restart": pa.array(range(restarts), pa.int32()), "rank": list(rank), "key": list(key), "point": [p.tolist() for p in point]})
+
+        firsts = table.select("key", "point").mapInArrow(run, "restart int, rank double, key long, point array<double>")
+        rows = firsts.groupBy("restart").agg(F.max_by("point", F.struct("rank", "key")).alias("point")).collect()  # one row a restart
+        return np.array([r["point"] for r in sorted(rows, key=lambda r: r["restart"])])
+
+    def tally(centroids: np.ndarray) -> tuple:
+        def run(batches):
+            found = tally_of(blocks(batches), centroids)
+            if found:
+                sums, sizes, inertia, far = found
+                rows = [(r, c, sizes[r, c], sums[r, c].tolist(), *((inertia[r], far[r][0], far[r][1], far[r][2].tolist()) if c == 0 else (0.0, -1.0, 0, []))) for r in range(restarts) for c in range(k)]
+                types = [pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=["restart", "cluster", "size", "total", "inertia", "worst", "key", "point"])
+
+        partial = table.select("key", "point").mapInArrow(run, "restart int, cluster int, size double, total array<double>, inertia double, worst double, key long, point array<double>")
+        merged = partial.groupBy("restart", "cluster").agg(
+            F.sum("size").alias("size"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"), F.sum("inertia").alias("inertia"),
+            F.max("worst").alias("worst"), F.max_by("point", F.struct("worst", "key")).alias("point"),
+        )
+        rows = sorted(merged.collect(), key=lambda r: (r["restart"], r["cluster"]))  # restarts x clusters
+        first = rows[::k]
+        return np.array([r["total"] for r in rows]).reshape(restarts, k, -1), np.array([r["size"] for r in rows]).reshape(restarts, k), *(np.array([r[c] for r in first]) for c in ("inertia", "worst", "point"))
+
+    centroids = settle(k, rounds, pick, tally)
+
+    def label(batches):
+        for batch in batches:
+            found = [distances(p, centroids[None])[0].argmin(1) for p, _ in blocks([batch])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(found) if found else [], pa.int32())], names=[id_col, "cluster_id"])
+
+    return table.mapInArrow(label, f"`{id_col}` {written.schema['id'].dataType.simpleString()}, cluster_id int")
+
+
+def nearest(points: DataFrame, centroids: DataFrame, *, id_col: str, vector: str, at_once: int = 1000) -> DataFrame:
+    """(id, cluster_id): the nearest centroid of each point, the lowest number among equals.
+
+    Centroids are counted and go to every point in blocks of about at_once, one array each; the least of the blocks holds.
+    """
     squared = lambda c: F.aggregate(F.zip_with(vector, c["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return points.crossJoin(F.broadcast(few)).select(id_col, F.array_min(F.transform("all", lambda c: F.struct(squared(c).alias("d"), c["cluster_id"].alias("cluster_id")))).alias("best")).select(id_col, F.col("best.cluster_id").alias("cluster_id"))
+    parts = max(1, -(-centroids.count() // at_once))
+    found, names = points.select(id_col, vector), []
+    for part in range(parts):
+        own = centroids.filter(F.pmod(F.xxhash64("cluster_id"), F.lit(parts)) == part) if parts > 1 else centroids
+        few = own.agg(F.array_sort(F.collect_list(F.struct("cluster_id", F.col("centroid").alias("c")))).alias("_all"))
+        names.append(f"_best{part}")
+        best = F.array_min(F.transform("_all", lambda c: F.struct(squared(c).alias("d"), c["cluster_id"].alias("cluster_id"))))
+        found = found.crossJoin(F.broadcast(few)).withColumn(names[-1], best).drop("_all")
+    least = F.least(*names) if parts > 1 else F.col(names[0])
+    return found.select(id_col, least["cluster_id"].alias("cluster_id"))
 
 
 def sizes(labelled: DataFrame) -> DataFrame:

@@ -77,3 +77,15 @@ def exact_lru(rows: DataFrame, *, fingerprint: str, at: str, pos: str, seconds:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fresh, pa.bool_())], schema=pa.schema([*list(batch.schema)[:-1], pa.field("fresh", pa.bool_())]))
 
     return timed.coalesce(1).sortWithinPartitions("_at", pos).mapInArrow(run, schema)
+
+
+def by_mode(rows: DataFrame, mode: str = "batch", *, fingerprint: str = "fp", pos: str = "pos", at: str | None = None, seconds: float = 86400) -> DataFrame:
+    """The rows that are fresh, by the rule that a setting names: batch (first sighting), ttl, or exact_lru."""
+    if mode == "batch":
+        return keep_first(rows, fingerprint)
+    rules = {"ttl": lambda: ttl(rows, key=fingerprint, at=at, pos=pos, seconds=seconds), "exact_lru": lambda: exact_lru(rows, fingerprint=fingerprint, at=at, pos=pos, seconds=seconds)}
+    if mode not in rules:
+        raise ValueError(f"no dedup mode {mode!r}")
+    if at is None:
+        raise ValueError(f"dedup mode {mode!r} needs the time of a row")
+    return rules[mode]().filter("fresh").drop("fresh", "_at")

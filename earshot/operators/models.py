@@ -40,6 +40,20 @@ class Failure(Enum):
         return self.value[1]
 
 
+#: Statuses of an HTTP answer that may pass, and those that no other model would cure.
+PASSING = (429, 500, 502, 503, 504)
+REFUSED = (401, 403)
+
+
+def embedding_failure(status: int) -> Failure | None:
+    """How an answer of the embedding service is met: None if it is fine."""
+    if 200 <= status < 300:
+        return None
+    if status in REFUSED:
+        return Failure.AUTH if status == 401 else Failure.PERMISSION
+    return Failure.SERVER if status in PASSING else Failure.NOT_FOUND
+
+
 class ModelError(Exception):
     def __init__(self, failure: Failure, message: str = ""):
         super().__init__(f"{failure.name}: {message}")

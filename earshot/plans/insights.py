@@ -23,29 +23,36 @@ def verbatim(quotes, texts):
     return F.when(texts.isNull(), F.lit(True)).otherwise(F.forall(quotes, lambda q: F.exists(texts, lambda t: F.contains(t, q))))
 
 
-def checked_draft(kind: str, answer: str, texts: list[str]) -> dict | None:
-    """A draft whose shape is right and whose quotes are all verbatim; None otherwise."""
+def shaped_draft(kind: str, answer: str) -> dict | None:
+    """A draft whose shape is right; None otherwise."""
     try:
         draft = json.loads(answer)
         quotes = draft["quotes"]
         low, high = QUOTES[kind]
-        fine = isinstance(draft[KEYS[kind]], str) and low <= len(quotes) <= high and all(isinstance(q, str) and any(q in t for t in texts) for q in quotes)
+        fine = isinstance(draft[KEYS[kind]], str) and isinstance(quotes, list) and low <= len(quotes) <= high and all(isinstance(q, str) for q in quotes)
     except (ValueError, TypeError, KeyError):
         return None
     return draft if fine else None
 
 
+def checked_draft(kind: str, answer: str, texts: list[str]) -> dict | None:
+    """A draft whose shape is right and whose quotes are all verbatim; None otherwise."""
+    draft = shaped_draft(kind, answer)
+    return draft if draft and all(any(q in t for t in texts) for q in draft["quotes"]) else None
+
+
 def synthesize(groups: DataFrame, kind: str, write: Callable[[str, list[str]], str] = offline_synthesis, *, prompt_rows: int = 500) -> DataFrame:
     """(group, kind, headline, quotes, mention_count) of each group of (group, pos, text); a failed or invalid draft gives no row.
 
     A model call takes the first prompt_rows texts of its group, which bounds
-    what a worker holds; mention_count is that of the whole group.
+    what a worker holds; mention_count is that of the whole group, and quotes
+    are held against all its texts.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pdf.sort_values("pos")["text"].tolist()
         try:
-            draft = checked_draft(kind, write(kind, texts), texts)
+            draft = shaped_draft(kind, write(kind, texts))
         except Exception:  # noqa: BLE001  one failed group doesn't fail the report
             draft = None
         hint = draft and draft.get(HINTS.get(kind))
@@ -53,11 +60,15 @@ def synthesize(groups: DataFrame, kind: str, write: Callable[[str, list[str]], s
         return pd.DataFrame(rows, columns=["group", "kind", "headline", "quotes", "hint"])
 
     named = groups.select(F.col("group").cast("string").alias("group"), "pos", "text")
-    counts = named.groupBy("group").agg(F.count("*").alias("mention_count"))
     shown = named.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy("pos", "text"))).filter(F.col("rank") <= prompt_rows).drop("rank")
     drafts = shown.groupBy("group").applyInPandas(run, "group string, kind string, headline string, quotes array<string>, hint string")
+    # one pass of the group's texts for each of its few quotes; each model answer is read once
+    draft = ["group", "kind", "headline", "quotes", "hint"]
+    asked = drafts.select(*draft, F.explode_outer("quotes").alias("quote"))
+    met = asked.join(named.select("group", "text"), "group").groupBy(*draft, "quote").agg(F.count("*").alias("n"), F.bool_or(F.contains("text", "quote")).alias("found"))
+    sound = met.groupBy(*draft).agg(F.min("n").alias("mention_count"), F.bool_and(F.col("quote").isNull() | F.coalesce("found", F.lit(False))).alias("sound")).filter("sound")
     hints = [F.when(F.col("kind") == k, F.col("hint")).alias(name) for k, name in HINTS.items()]
-    return drafts.join(counts, "group").select("group", "kind", "headline", "quotes", "mention_count", *hints)
+    return sound.select("group", "kind", "headline", "quotes", "mention_count", *hints)
 
 
 def clustered(comments: DataFrame, embeddings: DataFrame, *, most: int = 3) -> DataFrame:

@@ -26,6 +26,21 @@ class Transient(Exception):
     pass
 
 
+#: Statuses of an answer worth asking again for.
+PASSING = (429, 500, 502, 503, 504)
+
+
+def check_status(status: int, message: str = "") -> None:
+    """Raises what an HTTP answer that isn't fine means to the reader; a client calls it on each answer."""
+    if 200 <= status < 300:
+        return
+    if status in PASSING:
+        raise Transient(f"{status}: {message}")
+    if status == 403:
+        raise Forbidden(message)
+    raise RuntimeError(f"{status}: {message}")
+
+
 def with_retry(call: Callable, *, attempts: int = 4, pause: float = 0.5, longest: float = 8.0):
     for attempt in range(attempts):
         try:

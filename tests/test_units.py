@@ -177,11 +177,21 @@ def test_kmeans_leaves_no_cluster_empty_among_distinct_points(n, k, seed):
     assert set(labels) == set(range(min(k, n)))
 
 
-def test_distributed_kmeans_agrees_on_blobs(spark):
-    df = spark.createDataFrame([(str(k), row.tolist()) for k, row in enumerate(blobs())], "id string, vector array<double>")
-    for limit in (1000, 10):
-        out = {int(r.id): r.cluster_id for r in clustering.cluster_all(df, id_col="id", vector="vector", clusters=lambda n: 3, one_worker=limit).collect()}
-        assert [len({out[k] for k in range(a, a + 40)}) for a in (0, 40, 80)] == [1, 1, 1] and len(set(out.values())) == 3
+def test_distributed_kmeans_is_the_one_in_a_worker(spark):
+    cloud = np.random.default_rng(1).normal(size=(90, 3))
+    for points, k in ((blobs(), 3), (cloud, 5), (np.repeat(cloud[:2], 20, 0), 3)):
+        df = spark.createDataFrame([(str(n), row.tolist()) for n, row in enumerate(points)], "id string, vector array<double>").repartition(4)
+        here, there = ({int(r.id): r.cluster_id for r in clustering.cluster_all(df, id_col="id", vector="vector", clusters=lambda n: k, one_worker=limit, restarts=3, rounds=12).collect()} for limit in (1000, 10))
+        assert here == there and len(here) == len(points)
+    assert [len({clustering.kmeans(blobs(), 3)[n] for n in range(a, a + 40)}) for a in (0, 40, 80)] == [1, 1, 1]
+
+
+def test_nearest_in_blocks_of_centroids(spark):
+    draw = np.random.default_rng(2)
+    points = spark.createDataFrame([(n, p.tolist()) for n, p in enumerate(draw.normal(size=(60, 3)))], "id long, vector array<double>")
+    centroids = spark.createDataFrame([(n % 20, p.tolist()) for n, p in enumerate(draw.normal(size=(20, 3)))], "cluster_id int, centroid array<double>")
+    one, many = (sorted(map(tuple, clustering.nearest(points, centroids, id_col="id", vector="vector", at_once=n).collect())) for n in (1000, 6))
+    assert one == many and len(one) == 60
 
 
 class Faulty:
@@ -301,6 +311,38 @@ def test_a_failed_draft_drops_its_group_only(spark):
     assert [(r.group, r.mention_count) for r in rows] == [("a", 2)]
 
 
+def test_quotes_are_held_against_the_whole_group(spark):
+    rows = [("a", 0, "one two"), ("a", 1, "three"), ("a", 2, "the late one"), ("b", 3, "x"), ("b", 4, "y"), ("b", 4, "y")]
+    df = spark.createDataFrame(rows, "group string, pos bigint, text string")
+    write = lambda kind, texts: json.dumps({"theme": "t", "quotes": ["late one", "one two"] if "one two" in texts else ["x", "late one"]})
+    found = insights.synthesize(df, "request", write, prompt_rows=1).collect()
+    assert [(r.group, r.quotes, r.mention_count) for r in found] == [("a", ["late one", "one two"], 3)]
+
+
+def test_statuses():
+    from earshot.sources import paged
+
+    kinds = {}
+    for status in (200, 429, 503, 403, 400):
+        try:
+            kinds[status] = paged.check_status(status)
+        except Exception as e:  # noqa: BLE001
+            kinds[status] = type(e)
+    assert kinds == {200: None, 429: paged.Transient, 503: paged.Transient, 403: paged.Forbidden, 400: RuntimeError}
+    met = {s: models.embedding_failure(s) for s in (200, 401, 403, 404, 429, 500)}
+    assert met[200] is None and not met[401].fall_back and not met[403].fall_back and met[404].fall_back and not met[404].retry
+    assert met[429].retry and met[500].retry
+
+
+def test_dedup_by_mode(spark):
+    df = spark.sql("SELECT pos, fp, timestamp_seconds(t) AS at FROM VALUES (0L, 'a', 0), (1L, 'a', 5), (2L, 'b', 6), (3L, 'a', 20) AS v(pos, fp, t)")
+    kept = {m: sorted(r.pos for r in dedup.by_mode(df, m, at="at", seconds=10).collect()) for m in ("batch", "ttl", "exact_lru")}
+    assert kept == {"batch": [0, 2], "ttl": [0, 2, 3], "exact_lru": [0, 2, 3]}
+    for wrong in ({"mode": "redis"}, {"mode": "ttl"}):
+        with pytest.raises(ValueError):
+            dedup.by_mode(df, **wrong)
+
+
 def test_resume_skips_completed_batches(spark, tmp_path):
     path = str(tmp_path / "checkpoints")
     batches = spark.createDataFrame([(str(k),) for k in (0, 50, 100)], "batch_key string")
