@@ -9,6 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import batching
+from ..session import scratch
+from . import insights
+
 SCHEMA = "name string, status string, detail string, seconds double"
 #: Settings that an analysis with remote sources and models needs.
 REQUIRED = ("YOUTUBE_API_KEY", "OPENROUTER_API_KEY", "DATABASE_URL")
@@ -22,6 +26,53 @@ def missing_settings(required: tuple[str, ...] = REQUIRED, environment=os.enviro
     return [name for name in required if not environment.get(name)]
 
 
+#: What the probes of models send.
+SAMPLE = ("Please make a second part about this", "I got lost after the second step, how does it work?")
+
+
+def probes(spark: SparkSession, *, sentiment=None, intent=None, embedder=None, write=None, width: int | None = None, environment=os.environ) -> dict[str, Callable[[], str]]:
+    """Checks of the seams of an analysis, for run_checks(): settings, the store, and a call to each model. A model that isn't given is skipped."""
+
+    def settings() -> str:
+        missing = missing_settings(environment=environment)
+        if missing:
+            raise ValueError("not set: " + ", ".join(missing))
+        return f"{len(REQUIRED)} set"
+
+    def store() -> str:
+        path = scratch(spark, "preflight")
+        spark.range(1).write.parquet(path)
+        if [r[0] for r in spark.read.parquet(path).collect()] != [0]:  # the row just written
+            raise ValueError("what was written isn't what is read")
+        return "written and read again"
+
+    def given(model):
+        if model is None:
+            raise Skip("no model given")
+        return model
+
+    def labels(kind: str, model) -> str:
+        found = batching.label_batch(given(model), kind, list(enumerate(SAMPLE)), deepest=0)
+        return f"{len(found)} valid labels"
+
+    def drafts() -> str:
+        for kind in ("request", "confusion", "mood"):
+            if insights.checked_draft(kind, given(write)(kind, list(SAMPLE)), list(SAMPLE)) is None:
+                raise ValueError(f"no valid {kind} draft with verbatim quotes")
+        return "3 valid drafts"
+
+    def vectors() -> str:
+        widths = {len(v) for v in batching.ordered_vectors(given(embedder).embed(list(SAMPLE)), len(SAMPLE))}
+        if len(widths) != 1 or width not in (None, *widths):
+            raise ValueError(f"vectors of {sorted(widths)} numbers" + (f", not {width}" if width else ""))
+        return f"{len(SAMPLE)} vectors of {widths.pop()}"
+
+    return {
+        "settings": settings, "store": store, "sentiment model": lambda: labels("sentiment", sentiment), "intent model": lambda: labels("intent", intent),
+        "synthesis": drafts, "embeddings": vectors,
+    }
+
+
 def run_checks(spark: SparkSession, checks: dict[str, Callable[[], str]]) -> DataFrame:
     rows = []
     for name, check in checks.items():

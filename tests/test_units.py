@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from earshot import schemas
 from earshot.functions import text as X
 from earshot.operators import batching, clustering, dedup, evaluation, filtering, jobs, models, mood
-from earshot.plans import analysis, insights
+from earshot.plans import analysis, insights, preflight
 from earshot.schemas import valid_intent, valid_quotes, valid_sentiment
 from earshot.sources import corpus, paged
 from earshot.streaming import streams
@@ -334,6 +334,15 @@ def test_statuses():
     assert met[429].retry and met[500].retry
 
 
+def test_preflight_probes(spark):
+    full = dict.fromkeys(preflight.REQUIRED, "x")
+    wired = preflight.probes(spark, sentiment=models.HashProvider("sentiment"), intent=models.HashProvider("intent"), embedder=models.HashEmbedder(8), write=models.offline_synthesis, width=8, environment=full)
+    assert {r.status for r in preflight.run_checks(spark, wired).collect()} == {"ok"}
+    crossed = preflight.probes(spark, sentiment=models.HashProvider("intent"), embedder=models.HashEmbedder(8), write=lambda kind, texts: "{}", width=9, environment={})
+    found = {r.name: r.status for r in preflight.run_checks(spark, crossed).collect()}
+    assert found == {"settings": "fail", "store": "ok", "sentiment model": "fail", "intent model": "skip", "synthesis": "fail", "embeddings": "fail"}
+
+
 def test_dedup_by_mode(spark):
     df = spark.sql("SELECT pos, fp, timestamp_seconds(t) AS at FROM VALUES (0L, 'a', 0), (1L, 'a', 5), (2L, 'b', 6), (3L, 'a', 20) AS v(pos, fp, t)")
     kept = {m: sorted(r.pos for r in dedup.by_mode(df, m, at="at", seconds=10).collect()) for m in ("batch", "ttl", "exact_lru")}
