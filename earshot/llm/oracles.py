@@ -95,3 +95,42 @@ CHATS = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesc
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({_ESCAPED.format('role')} + {_ESCAPED.format('text')} + {_MARKS}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+
+_RESAMPLED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BYTE = "(instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1"
+_BITS = "c"
+for _ in range(8):  # a byte's eight steps of the division by the reversed polynomial
+    _BITS = f"list_transform([{_BITS}], lambda c: xor(c >> 1, 3988292384 * (c & 1)))[1]"
+_BITS = _BITS.replace("[c]", "[xor(crc, b)]", 1)
+
+DRAWN = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_RESAMPLED} AS w FROM documents),
+own AS MATERIALIZED (SELECT r, unnest(w) AS word FROM d), aims AS MATERIALIZED (SELECT unnest({_RESAMPLED}) AS word FROM benchmark),
+spelt AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM own UNION SELECT word FROM aims)),
+coded AS (SELECT word, list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: CAST({_BYTE} AS BIGINT))) AS bytes FROM spelt),
+bucket AS MATERIALIZED (SELECT word, xor(list_reduce(bytes, lambda crc, b: {_BITS}), 4294967295) % 10000 AS bucket FROM coded),
+s AS (SELECT bucket, count(*) AS n FROM own JOIN bucket USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM aims JOIN bucket USING (word) GROUP BY bucket),
+whole AS (SELECT (SELECT count(*) FROM own)::DOUBLE AS s, (SELECT count(*) FROM aims)::DOUBLE AS t),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (whole.s + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (whole.t + 10000)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket), whole),
+weights AS (SELECT r, sum(gain) AS total, count(*) AS n FROM own JOIN bucket USING (word) JOIN gain USING (bucket) GROUP BY r),
+weighed AS (SELECT doc_id, len(w) AS n_features, CAST(coalesce((total - ((total % n) + n) % n) // n, 0) AS BIGINT) AS weight FROM d LEFT JOIN weights USING (r)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS eligible FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * eligible // 100 THEN place END AS rank FROM placed"""
+
+
+def _round(k: int) -> str:
+    """Assignment to codebook k - 1, as an{k}, and codebook k from it, as bn{k}."""
+    return f"""an{k} AS MATERIALIZED (SELECT r, p, x, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS best FROM parts JOIN bn{k - 1} USING (p) GROUP BY r, p, x),
+mn{k} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT p, best.e AS e, i, sum(x[i]) AS s, count(*) AS n FROM an{k}, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY ALL) GROUP BY p, e),
+bn{k} AS MATERIALIZED (SELECT p, e, coalesce(mn{k}.c, bn{k - 1}.c) AS c FROM bn{k - 1} LEFT JOIN mn{k} USING (p, e)),"""
+
+
+CODES = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM kept, unnest(range(0, 8)) AS u(p)),
+bn0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 16),
+{chr(10).join(map(_round, range(1, 7)))}
+last AS (SELECT r, p, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS best FROM parts JOIN bn6 USING (p) GROUP BY r, p),
+codes AS (SELECT r, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM last GROUP BY r),
+spelt AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM bn6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN codes USING (r), spelt"""

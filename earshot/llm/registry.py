@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cross_entropy, decontamination, jaccard, oracles, packing, pii, quality, rules, substrings, toxicity
+from . import chat, codes, cross_entropy, decontamination, jaccard, language, oracles, packing, pii, quality, resampling, rules, substrings, toxicity
 from .common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     same = spark.sql(r"SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     return chat.read_back(chat.format_turns(rows.unionByName(same)))
+
+
+@query("op11_importance_resampling", oracles.DRAWN)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = resampling.weigh(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), max_n=1, n_buckets=10_000)
+    return resampling.draw(weighed, percent=10, min_words=20, seed=2024).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_vector_codes", oracles.CODES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(read(spark, sf_dir, "embeddings"), n_parts=8, n_entries=16, rounds=6, scale=4096)
+    spelt = "" if books is None else codes.digest(books)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(spelt).alias("codebooks_sha256"))
+
+
+@query("op13_word_backoff_language")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = read(spark, sf_dir, "documents"), language.held_out(F.col("doc_id"))
+    predicted = language.predict(docs, language.train(docs, exclude=fold))
+    return predicted.select("doc_id", fold.alias("held_out"), "lang_pred", "score")
