@@ -1,39 +1,29 @@
 """Batched labelling with a guard: positions become batches, batches become JSON, answers are checked or split.
 
-The split runs inside the worker that holds the batch; a Spark task retry would
-repeat calls that were paid for, so stages write their result (jobs.run_stage).
+The split runs inside the worker that holds the batch. A Spark task retry would repeat calls that were paid for, so
+a stage is given a log of its batches (checkpoints.StageLog).
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import EMBEDDING, INTENT, INTENTS, SENTIMENT, SENTIMENTS
+from . import checkpoints, prefix
+from .calls import Bucket, pooled
 
 ITEMS = {"sentiment": SENTIMENT, "intent": INTENT}
 
 
 def dense_pos(comments: DataFrame, by: str = "pos") -> DataFrame:
-    """Adds `at`, 0.. in order of `by`: a range sort, and an offset for each partition instead of one window over all."""
-    spark = comments.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lows = comments.select(F.col(by).alias("low"))
-    bounds = [r["low"] for r in lows.select(F.explode(F.expr(f"approx_percentile(low, array({','.join(f'{k / parts:.6f}D' for k in range(1, parts))}), 10000)")).alias("low")).collect()] if parts > 1 else []
-    edges = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda b: F.col(by) > b)) if edges else F.lit(0)
-    sliced = comments.withColumn("part", part)
-    counts = {r["part"]: r["count"] for r in sliced.groupBy("part").count().collect()}
-    before = [0]
-    for p in range(len(edges)):
-        before.append(before[-1] + counts.get(p, 0))
-    offset = F.get(F.array(*map(F.lit, before)), F.col("part"))
-    number = F.row_number().over(Window.partitionBy("part").orderBy(by))
-    return sliced.withColumn("at", (number - 1 + offset).cast("bigint")).drop("part")
+    """Adds `at`, 0.. in order of `by`."""
+    return prefix.scan(comments, [by], number="_nth").withColumn("at", F.col("_nth") - 1).drop("_nth")
 
 
 def positional(comments: DataFrame, size: int, by: str = "pos") -> DataFrame:
@@ -87,17 +77,13 @@ def label_batch(provider, kind: str, rows: list[tuple[str, str]], *, depth: int
     return [*label_batch(provider, kind, rows[:half], depth=depth + 1), *label_batch(provider, kind, rows[half:], depth=depth + 1)]
 
 
-def classify(comments: DataFrame, provider, kind: str, *, size: int = 50, calls_at_once: int | None = None) -> DataFrame:
-    """Labels of all comments (id, text, pos)."""
-    schema = ITEMS[kind]
-    names = schema.names
-    batched = positional(comments.select("id", "text", "pos"), size).select("id", "text", "at", "batch_start")
+def classify(comments: DataFrame, provider, kind: str, *, size: int = 50, **calls) -> DataFrame:
+    """Labels of all comments (id, text, pos); `calls` as called() takes them."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _by_batch(frames):
-            yield pd.DataFrame(label_batch(provider, kind, rows))[names]
+    def work(rows: list[tuple[str, str]]) -> list[dict]:
+        return label_batch(provider, kind, rows)
 
-    return _dealt(batched, calls_at_once).mapInPandas(run, schema)
+    return called(comments, work, ITEMS[kind], size=size, **calls)
 
 
 def ordered_vectors(answer: str, n: int) -> list[list[float]]:
@@ -108,21 +94,38 @@ def ordered_vectors(answer: str, n: int) -> list[list[float]]:
     return [[float(x) for x in i["embedding"]] for i in items]
 
 
-def embed(comments: DataFrame, provider, *, size: int = 100, calls_at_once: int | None = None) -> DataFrame:
+def embed(comments: DataFrame, provider, *, size: int = 100, **calls) -> DataFrame:
     """(comment_id, vector) of all comments (id, text, pos), a call for each `size` of them; no comment, no call.
 
     Vectors of another width than the first of their batch are an error; hold the whole with one_width().
     """
+
+    def work(rows: list[tuple[str, str]]) -> list[dict]:
+        vectors = ordered_vectors(provider.embed([text for _, text in rows]), len(rows))
+        if len({len(v) for v in vectors}) > 1:
+            raise ValueError(f"embeddings of {sorted({len(v) for v in vectors})} numbers in one answer")
+        return [{"comment_id": real, "vector": v} for (real, _), v in zip(rows, vectors)]
+
+    return called(comments, work, EMBEDDING, size=size, **calls)
+
+
+def called(comments: DataFrame, work: Callable[[list[tuple[str, str]]], list[dict]], item: T.StructType, *, size: int, log: checkpoints.StageLog | None = None, partitions: int | None = None, at_once: int = 8, per_second: float | None = None) -> DataFrame:
+    """The items that work((id, text) rows of a batch) gives for all batches of `size` comments (id, text, pos).
+
+    Every task keeps `at_once` calls in flight, at most per_second of them a second. With a log each batch is checkpointed, and
+    only those are called for that have no completed row; without one the frame is a plain plan that calls when it runs.
+    """
     batched = positional(comments.select("id", "text", "pos"), size).select("id", "text", "at", "batch_start")
+    bucket = (lambda: Bucket(per_second)) if per_second else None
+    if log is not None:
+        done = log.run(batched, "batch_start", _by_batch, work, deal=lambda rows: _dealt(rows, partitions), at_once=at_once, bucket=bucket)
+        return checkpoints.results(done, item)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _by_batch(frames):
-            vectors = ordered_vectors(provider.embed([text for _, text in rows]), len(rows))
-            if len({len(v) for v in vectors}) > 1:
-                raise ValueError(f"embeddings of {sorted({len(v) for v in vectors})} numbers in one answer")
-            yield pd.DataFrame({"comment_id": [real for real, _ in rows], "vector": vectors})
+        for rows in pooled((rows for _, rows in _by_batch(frames)), work, at_once=at_once, bucket=bucket() if bucket else None):
+            yield pd.DataFrame(rows, columns=item.names)
 
-    return _dealt(batched, calls_at_once).mapInPandas(run, EMBEDDING)
+    return _dealt(batched, partitions).mapInPandas(run, item)
 
 
 def one_width(vectors: DataFrame, vector: str = "vector") -> int | None:
@@ -133,23 +136,23 @@ def one_width(vectors: DataFrame, vector: str = "vector") -> int | None:
     return low
 
 
-def _by_batch(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple[str, str]]]:
-    """(id, text) of each batch, of rows sorted by batch."""
+def _by_batch(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[tuple[str, str]]]]:
+    """(key, (id, text) rows) of each batch, of rows sorted by batch."""
     key, held = None, []
     for frame in frames:
         for real, text, start in zip(frame["id"], frame["text"], frame["batch_start"]):
             if start != key:
                 if held:
-                    yield held
+                    yield str(key), held
                 key, held = start, []
             held.append((real, text or ""))
     if held:
-        yield held
+        yield str(key), held
 
 
-def _dealt(batched: DataFrame, calls_at_once: int | None) -> DataFrame:
-    """Whole batches in a partition; as many calls at once as there are shuffle partitions, or as the model allows."""
-    parts = calls_at_once or int(batched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _dealt(batched: DataFrame, partitions: int | None) -> DataFrame:
+    """Whole batches in a partition, in order."""
+    parts = partitions or int(batched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return batched.repartition(parts, "batch_start").sortWithinPartitions("batch_start", "at").select("id", "text", "batch_start")
 
 

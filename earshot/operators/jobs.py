@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import STAGES, B, L, S, _fields
+from . import prefix
 
 
 def latest(events: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -70,9 +71,8 @@ def throughput(comments: Column, started: Column, finished: Column) -> Column:
 
 
 def admission(requests: DataFrame, *, budget: int) -> DataFrame:
-    """Running units by quota day in order of pos; admitted while they fit the budget."""
-    spent = F.sum("units").over(Window.partitionBy("day").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return requests.withColumn("spent", spent).withColumn("admitted", F.col("spent") <= budget)
+    """Running units by quota day in order of pos; admitted while they fit the budget. A day is spread over slices (prefix.scan)."""
+    return prefix.scan(requests, ["pos"], keys=["day"], sums={"spent": "units"}).withColumn("admitted", F.col("spent") <= budget)
 
 
 class Ledger:
@@ -237,20 +237,23 @@ def run_in_background(log: JobLog, job_id: str, work, **limits) -> threading.Thr
 def stage_tables(spark: SparkSession, path: str, job_id: str, *, timings: dict[str, float] | None = None, check=lambda: None):
     """keep(df, name): the stage's rows, computed and written once for the job, and read from then on.
 
-    A stage that was written whole isn't run again, so no comment is labelled twice, whatever fails later. timings gets
-    the seconds that each stage took.
+    df may be a function that makes the frame, so nothing of a stage that was written whole is planned or run again.
+    keep.log(name) is the log of a stage's batches (checkpoints.StageLog): a stage that died within is taken up where it stood.
+    timings gets the seconds that each stage took.
     """
+    from .checkpoints import StageLog
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
+    def keep(df, name: str) -> DataFrame:
         check()
         table, began = f"{path}/{job_id}/{name}", time.monotonic()
         file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/_SUCCESS")
         if not file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):
-            df.write.mode("overwrite").parquet(table)
+            (df() if callable(df) else df).write.mode("overwrite").parquet(table)
         if timings is not None:
             timings[name] = time.monotonic() - began
-        return spark.read.schema(df.schema).parquet(table)
+        return spark.read.parquet(table)
 
+    keep.log = lambda stage: StageLog(spark, f"{path}/{job_id}/batches", job_id, stage)
     return keep
 
 

@@ -28,15 +28,17 @@ def clusters_of(comments: DataFrame, embeddings: DataFrame) -> DataFrame:
 def analyze(comments: DataFrame, embeddings: DataFrame | None = None, *, sentiment=None, intent=None, embedder=None, titles: DataFrame | None = None, write=offline_synthesis, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The report of a corpus. store(df, name), as jobs.stage_tables() makes it, writes a stage once, so that no model call is made twice.
 
+    A store with a log (jobs.stage_tables() has one) checkpoints every batch of the model stages as well.
     Without given embeddings there is a stage that makes them. Comments of dense clusters pass the filter whatever their sentiment.
     """
+    log = getattr(store, "log", lambda stage: None)
     corpus = store(prepare(comments), "ingestion")
-    sentiments = store(batching.classify(corpus, sentiment or HashProvider("sentiment"), "sentiment"), "stage_a_sentiment")
+    sentiments = store(lambda: batching.classify(corpus, sentiment or HashProvider("sentiment"), "sentiment", log=log("stage_a_sentiment")), "stage_a_sentiment")
     if embeddings is None:
-        embeddings = store(batching.embed(corpus, embedder or HashEmbedder()), "stage_a_embedding")
+        embeddings = store(lambda: batching.embed(corpus, embedder or HashEmbedder(), log=log("stage_a_embedding")), "stage_a_embedding")
         batching.one_width(embeddings)
     clusters = store(clusters_of(corpus, embeddings), "clusters")
     labelled = filtering.strict_labels(corpus, sentiments).join(clusters, "id", "left")
     chosen = store(filtering.select_flagged(labelled).select(*corpus.columns), "flagged")
-    intents = store(batching.classify(chosen, intent or HashProvider("intent"), "intent"), "stage_b")
-    return store(insights.report(corpus, sentiments, intents, embeddings, titles=titles, write=write), "stage_c")
+    intents = store(lambda: batching.classify(chosen, intent or HashProvider("intent"), "intent", log=log("stage_b")), "stage_b")
+    return store(lambda: insights.report(corpus, sentiments, intents, embeddings, titles=titles, write=write), "stage_c")

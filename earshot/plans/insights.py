@@ -6,12 +6,13 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clustering, filtering, mood
+from ..operators import clustering, filtering, mood, prefix, quotes
 from ..operators.models import offline_synthesis
 from ..schemas import QUOTES
+from ..session import scratch
 
 #: What a draft may also say.
 HINTS = {"request": "suggested_title", "confusion": "timestamp_hint"}
@@ -44,31 +45,53 @@ def checked_draft(kind: str, answer: str, texts: list[str]) -> dict | None:
 def synthesize(groups: DataFrame, kind: str, write: Callable[[str, list[str]], str] = offline_synthesis, *, prompt_rows: int = 500) -> DataFrame:
     """(group, kind, headline, quotes, mention_count) of each group of (group, pos, text); a failed or invalid draft gives no row.
 
-    A model call takes the first prompt_rows texts of its group, which bounds
-    what a worker holds; mention_count is that of the whole group, and quotes
-    are held against all its texts.
+    A call takes at most prompt_rows texts, and all texts of a group are put to the model: a group of more is drafted in
+    slices, and then once more from what the slices' drafts quote, in as many rounds as it takes. mention_count is that
+    of the whole group, and quotes are held against all its texts.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf.sort_values("pos")["text"].tolist()
+        texts = pdf.sort_values("at")["text"].tolist()
         try:
             draft = shaped_draft(kind, write(kind, texts))
         except Exception:  # noqa: BLE001  one failed group doesn't fail the report
             draft = None
         hint = draft and draft.get(HINTS.get(kind))
-        rows = [] if draft is None else [(pdf["group"].iloc[0], kind, draft[KEYS[kind]], draft["quotes"], hint if isinstance(hint, str) else None)]
-        return pd.DataFrame(rows, columns=["group", "kind", "headline", "quotes", "hint"])
+        rows = [] if draft is None else [(pdf["group"].iloc[0], int(pdf["slice"].iloc[0]), draft[KEYS[kind]], draft["quotes"], hint if isinstance(hint, str) else None)]
+        return pd.DataFrame(rows, columns=["group", "slice", "headline", "quotes", "hint"])
 
+    if prompt_rows < 10:
+        raise ValueError("slices of 10 texts at least: a round must leave fewer texts than it took")
     named = groups.select(F.col("group").cast("string").alias("group"), "pos", "text")
-    shown = named.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy("pos", "text"))).filter(F.col("rank") <= prompt_rows).drop("rank")
-    drafts = shown.groupBy("group").applyInPandas(run, "group string, kind string, headline string, quotes array<string>, hint string")
-    # one pass of the group's texts for each of its few quotes; each model answer is read once
-    draft = ["group", "kind", "headline", "quotes", "hint"]
-    asked = drafts.select(*draft, F.explode_outer("quotes").alias("quote"))
-    met = asked.join(named.select("group", "text"), "group").groupBy(*draft, "quote").agg(F.count("*").alias("n"), F.bool_or(F.contains("text", "quote")).alias("found"))
-    sound = met.groupBy(*draft).agg(F.min("n").alias("mention_count"), F.bool_and(F.col("quote").isNull() | F.coalesce("found", F.lit(False))).alias("sound")).filter("sound")
-    hints = [F.when(F.col("kind") == k, F.col("hint")).alias(name) for k, name in HINTS.items()]
-    return sound.select("group", "kind", "headline", "quotes", "mention_count", *hints)
+    numbered = prefix.scan(named, ["pos", "text"], keys=["group"], number="at")  # written; a group fills as many slices as it needs
+    held = _stored(numbered.select("group", "at", "text"), "synthesis-texts")
+    rest, finals = held, []
+    while True:
+        sliced = rest.withColumn("slice", F.floor((F.col("at") - 1) / prompt_rows))
+        drafts = _stored(sliced.groupBy("group", "slice").applyInPandas(run, "group string, slice long, headline string, quotes array<string>, hint string"), "synthesis-drafts")
+        more = sliced.groupBy("group").agg(F.max("slice").alias("last")).filter("last > 0").select("group")
+        several = _stored(more, "synthesis-groups")
+        finals.append(drafts.join(several, "group", "left_anti"))
+        if several.isEmpty():
+            break
+        said = drafts.join(several, "group").select("group", "slice", F.posexplode("quotes").alias("nth", "text"))
+        rest = prefix.scan(said, ["slice", "nth"], keys=["group"], number="at").select("group", "at", "text")
+    final = finals[0]
+    for part in finals[1:]:
+        final = final.unionByName(part)
+    asked = final.select("group", "headline", "quotes", "hint", F.explode_outer("quotes").alias("quote"))
+    met = quotes.find(asked, held, by=["group"]).withColumn("found", F.lit(True))
+    size = held.groupBy("group").agg(F.count("*").alias("mention_count"))
+    judged = asked.join(met, ["group", "quote"], "left").groupBy("group", "headline", "quotes", "hint").agg(F.bool_and(F.col("quote").isNull() | F.coalesce("found", F.lit(False))).alias("sound"))
+    hints = [F.when(F.lit(kind == k), F.col("hint")).alias(name) for k, name in HINTS.items()]
+    return judged.filter("sound").join(size, "group").select("group", F.lit(kind).alias("kind"), "headline", "quotes", "mention_count", *hints)
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """Written and read again, so that a model's answer is asked for once."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def clustered(comments: DataFrame, embeddings: DataFrame, *, most: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import query
 from .functions import text as X
-from .operators import batching, clustering, dedup, evaluation, filtering, jobs, mood
+from .operators import batching, clustering, dedup, evaluation, filtering, jobs, mood, prefix, quotes
 from .operators.models import HashEmbedder, HashProvider
 from .plans import analysis, insights, preflight
 from .schemas import COARSE, INTENTS, SENTIMENTS, STAGES, coarse, valid_sentiment
@@ -460,30 +460,10 @@ def accuracy_strict_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("verbatim_quotes", "SELECT b.item_id, bool_or(d.doc_id IS NOT NULL) AS is_verbatim FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def verbatim_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which benchmark passages are part of some document. The quotes are a report's, so few: they go to the texts in blocks of bounded size, and one row comes back for each found."""
-    quotes = corpus.table(spark, sf_dir, "benchmark").select("item_id", "text")
-    held = None
-    docs = corpus.document_comments(spark, sf_dir).select("text")
-    for block in _blocks(quotes, 1_000_000):
-        listed = F.array(*(F.struct(F.lit(i).alias("item_id"), F.lit(t).alias("q")) for i, t in block)) if block else None
-        if listed is None:
-            continue
-        hits = docs.select(F.explode(F.filter(listed, lambda s: F.contains(F.col("text"), s["q"]))).alias("hit")).select(F.col("hit.item_id").alias("item_id")).distinct()
-        held = hits if held is None else held.unionByName(hits)
-    if held is None:
-        return quotes.select("item_id", F.lit(False).alias("is_verbatim"))
-    return quotes.join(held.withColumn("found", F.lit(True)), "item_id", "left").select("item_id", F.coalesce("found", F.lit(False)).alias("is_verbatim"))
-
-
-def _blocks(quotes: DataFrame, chars: int):
-    block, size = [], 0
-    for row in quotes.orderBy("item_id").toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        size += len(row["text"] or "")
-        if size >= chars:
-            yield block
-            block, size = [], 0
-    yield block
+    """Which benchmark passages are part of some document."""
+    asked = corpus.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    met = quotes.find(asked, corpus.document_comments(spark, sf_dir)).withColumn("found", F.lit(True))
+    return asked.join(met, "quote", "left").groupBy("item_id").agg(F.bool_or(F.coalesce("found", F.lit(False))).alias("is_verbatim"))
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -554,8 +534,7 @@ def channel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checkpointed and freshly fetched comments in one order: by video, then by place in it."""
     events = corpus.table(spark, sf_dir, "events").select("user_id", "event_id")
     both = events.filter("event_id % 2 = 0").unionByName(events.filter("event_id % 2 = 1"))
-    ranked = both.withColumn("place", F.col("user_id") * F.lit(1 << 32) + F.col("event_id"))
-    return batching.dense_pos(ranked, "place").select("at", "event_id")
+    return prefix.scan(both, ["user_id", "event_id"], number="nth").select((F.col("nth") - 1).alias("at"), "event_id")
 
 
 @query("done_units", f"WITH {CHECKPOINTS} SELECT job_id, stage, count(DISTINCT batch_key) AS done FROM (SELECT *, row_number() OVER (PARTITION BY job_id, stage, batch_key ORDER BY completed_at DESC, seq DESC) AS r FROM checkpoints) WHERE r = 1 AND status = 'completed' GROUP BY job_id, stage")

@@ -56,6 +56,15 @@ class _Video(InputPartition):
         self.number, self.video_id = number, video_id
 
 
+def rows_of(threads: list[dict], video_id: str) -> Iterator[tuple]:
+    """The comments of a page of threads that have a text: all columns but pos."""
+    for thread in threads:
+        for k, c in enumerate([thread["top"], *thread.get("replies", [])]):
+            text = c.get("textOriginal") or c.get("textDisplay")
+            if text:
+                yield c["id"], video_id, text, c.get("author"), c.get("publishedAt"), int(c.get("likeCount", 0)), k > 0
+
+
 def read_video(client, video_id: str) -> Iterator[tuple]:
     token, first, pos = None, True, 0
     while first or token:
@@ -66,12 +75,9 @@ def read_video(client, video_id: str) -> Iterator[tuple]:
                 return
             raise
         first = False
-        for thread in threads:
-            for k, c in enumerate([thread["top"], *thread.get("replies", [])]):
-                text = c.get("textOriginal") or c.get("textDisplay")
-                if text:
-                    yield c["id"], video_id, text, c.get("author"), c.get("publishedAt"), int(c.get("likeCount", 0)), k > 0, pos
-                    pos += 1
+        for row in rows_of(threads, video_id):
+            yield (*row, pos)
+            pos += 1
 
 
 def comments(spark: SparkSession, client: Callable[[], object], videos: list[tuple[str, int]]) -> DataFrame:
