@@ -62,25 +62,33 @@ SELECT doc_id, len(w) AS n_tokens, round(coalesce(target_loss, 0), 6) AS target_
 _CUT = "list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)"
 _DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST({_DIGITS}[length({_DIGITS}) - k + 1] AS INT) WHEN CAST({_DIGITS}[length({_DIGITS}) - k + 1] AS INT) > 4 THEN 2 * CAST({_DIGITS}[length({_DIGITS}) - k + 1] AS INT) - 9 ELSE 2 * CAST({_DIGITS}[length({_DIGITS}) - k + 1] AS INT) END)) % 10 = 0"
-_HITS = " UNION ALL ".join(f"SELECT r, {n} AS kind_no, '{k}' AS kind, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS pieces FROM d" for n, k, p in ((0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), (1, "ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), (2, "card", r"[0-9](?:[ -]?[0-9])+"), (3, "phone", r"\+[0-9][ ().0-9-]+[0-9]")))
+_HITS = " UNION ALL ".join(f"SELECT x, {n} AS kind_no, '{k}' AS kind, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS pieces FROM t" for n, k, p in ((0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), (1, "ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), (2, "card", r"[0-9](?:[ -]?[0-9])+"), (3, "phone", r"\+[0-9][ ().0-9-]+[0-9]")))
 _SPELT = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no)"
+_PIECE_WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 
 DISCLOSURE = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-every AS (SELECT r, kind_no, kind, value, start, start + length(value) AS stop FROM (SELECT r, kind_no, kind, hits[i] AS value, CAST({_CUT} AS BIGINT) AS start FROM ({_HITS}) AS m, unnest(generate_series(1, len(hits))) AS u(i))),
-base AS (SELECT * FROM every WHERE kind = 'email' OR kind = 'ip' AND len(list_filter(string_split(value, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 999) > 255)) = 0 OR kind = 'card' AND length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN} OR kind = 'phone' AND length({_DIGITS}) BETWEEN 10 AND 15),
-places AS (SELECT r, hits[i] AS value, CAST({_CUT} AS BIGINT) AS start FROM (SELECT r, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS hits, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS pieces FROM d WHERE r IN (SELECT r FROM base)) AS m, unnest(generate_series(1, len(hits))) AS u(i)),
-terms AS (SELECT r, lower(value) AS term, start, start + length(value) AS stop FROM places p WHERE regexp_full_match(value, '\p{{L}}{{5,}}') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = p.r AND b.start < p.start + length(p.value) AND p.start < b.stop)),
-words AS (SELECT DISTINCT r, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: regexp_full_match(w, '\p{{L}}{{5,}}'))) AS term FROM d),
-spread AS (SELECT term, count(*) AS df FROM (SELECT * FROM words UNION ALL SELECT DISTINCT r, left(term, 4) || '*' FROM words) GROUP BY term),
-held AS (SELECT DISTINCT r, lower(value) AS entity FROM base),
-holders AS (SELECT entity, count(*) AS n FROM held GROUP BY entity),
-pairs AS (SELECT entity, term, count(*) AS n FROM (SELECT DISTINCT r, term FROM terms UNION ALL SELECT DISTINCT r, left(term, 4) || '*' FROM terms) JOIN held USING (r) GROUP BY ALL),
-strong AS (SELECT entity, p.term FROM pairs p JOIN spread USING (term) JOIN holders h USING (entity), (SELECT count(*) AS total FROM d)
-  WHERE log2((p.n + df / total) / (h.n + 1) / (df / total)) >= 0.9::DOUBLE * log2(total / h.n)),
-kinds AS (SELECT h.r, s.term, min(CASE WHEN w.term IS NULL THEN 5 ELSE 4 END) AS kind_no FROM strong s JOIN held h USING (entity) LEFT JOIN strong w ON w.entity = s.entity AND w.term = left(s.term, 4) || '*' WHERE NOT ends_with(s.term, '*') GROUP BY h.r, s.term),
-spans AS (SELECT r, kind_no, kind, start, stop FROM base UNION ALL SELECT t.r, kind_no, CASE kind_no WHEN 4 THEN 'term' ELSE 'stem' END, start, stop FROM terms t JOIN kinds k ON k.r = t.r AND k.term = t.term)
+t AS MATERIALIZED (SELECT row_number() OVER () AS x, text, count(*) AS copies FROM d GROUP BY text),
+every AS (SELECT x, kind_no, kind, value, start, start + length(value) AS stop FROM (SELECT x, kind_no, kind, hits[i] AS value, CAST({_CUT} AS BIGINT) AS start FROM ({_HITS}) AS m, unnest(generate_series(1, len(hits))) AS u(i))),
+base AS MATERIALIZED (SELECT * FROM every WHERE kind = 'email' OR kind = 'ip' AND len(list_filter(string_split(value, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 999) > 255)) = 0 OR kind = 'card' AND length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN} OR kind = 'phone' AND length({_DIGITS}) BETWEEN 10 AND 15),
+edges AS (SELECT x, start, coalesce(max(stop) OVER (PARTITION BY x ORDER BY start, kind_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM base),
+gaps AS (SELECT x, upto AS a, start AS b FROM edges WHERE start > upto UNION ALL SELECT x, max(stop), any_value(length(text)) FROM base JOIN t USING (x) GROUP BY x),
+pieces AS MATERIALIZED (SELECT x, copies, a, text[a + 1:b] AS piece FROM gaps JOIN t USING (x)),
+words AS MATERIALIZED (SELECT DISTINCT x, copies, unnest({_PIECE_WORDS.format('piece')}) AS term FROM pieces),
+spread AS MATERIALIZED (SELECT term, CAST(sum(n) AS BIGINT) AS df FROM (SELECT term, copies AS n FROM words UNION ALL SELECT unnest(list_distinct({_PIECE_WORDS.format('text')})), copies FROM t WHERE x NOT IN (SELECT x FROM base)) GROUP BY term),
+held AS (SELECT DISTINCT b.x, copies, lower(value) AS entity FROM base b JOIN t USING (x)),
+holders AS (SELECT entity, sum(copies) AS n FROM held GROUP BY entity HAVING count(*) > 1),
+pairs AS MATERIALIZED (SELECT w.x, w.copies, term, entity, n AS held FROM words w JOIN held USING (x) JOIN holders USING (entity)),
+together AS (SELECT entity, term, sum(copies) AS n, count(*) AS texts FROM pairs GROUP BY ALL),
+known AS (SELECT x, term, held, p.copies AS c, g.n - p.copies AS k, df, held / total AS share, ((g.n - p.copies) + held / total) / (df - p.copies + 1) AS p, total FROM pairs p JOIN together g USING (entity, term) JOIN spread USING (term), (SELECT count(*)::DOUBLE AS total FROM d) WHERE g.texts > 1 AND g.n > p.copies),
+told AS MATERIALIZED (SELECT x, term, max(held) AS most FROM known WHERE p >= 0.5 AND p >= share * 8 AND k * (ln((df - c) * (held - c)::DOUBLE / (total - c) / k) + 1) <= ln(0.01::DOUBLE) GROUP BY x, term),
+placed AS MATERIALIZED (SELECT x, a, i AS nth, lower(hits[i]) AS term, a + CAST({_CUT} AS BIGINT) AS start, a + CAST({_CUT} AS BIGINT) + length(hits[i]) AS stop FROM (SELECT x, a, regexp_extract_all(piece, '[\p{{L}}\p{{N}}]+') AS hits, string_split_regex(piece, '[\p{{L}}\p{{N}}]+') AS pieces FROM pieces WHERE x IN (SELECT x FROM told)) AS m, unnest(generate_series(1, len(hits))) AS u(i)),
+near AS (SELECT term, wider, count(*) AS near FROM (SELECT DISTINCT p.x, p.term, h.term AS wider FROM placed p JOIN told USING (x, term) JOIN placed h ON h.x = p.x AND h.a = p.a AND abs(h.nth - p.nth) BETWEEN 1 AND 5 AND h.term <> p.term) GROUP BY ALL),
+own AS (SELECT term, count(*) AS texts, max(most) AS most FROM told GROUP BY term),
+wider AS (SELECT n.term, arg_min(wider, {{'near': -near, 'df': w.df, 'wider': wider}}) AS wider FROM near n JOIN own USING (term) JOIN spread s ON s.term = n.term JOIN spread w ON w.term = n.wider, (SELECT count(*)::DOUBLE AS total FROM d)
+  WHERE 2 * near >= texts AND w.df >= 4 * s.df AND w.df > 2 * most AND w.df / total <= 0.1::DOUBLE AND near >= 2 * (w.df / total) * texts GROUP BY n.term),
+spans AS (SELECT x, kind_no, kind, start, stop FROM base UNION ALL SELECT p.x, CASE WHEN wider IS NULL THEN 4 ELSE 5 END, CASE WHEN wider IS NULL THEN 'term' ELSE 'wide' END, start, stop FROM placed p JOIN told USING (x, term) LEFT JOIN wider w ON w.term = p.term)
 SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-  sha256(coalesce({_SPELT} FILTER (kind_no < 4), '')) AS base_sha256, coalesce({_SPELT}, '') AS spans, count(kind) AS n_spans FROM d LEFT JOIN spans USING (r) GROUP BY r, doc_id"""
+  sha256(coalesce({_SPELT} FILTER (kind_no < 4), '')) AS base_sha256, coalesce({_SPELT}, '') AS spans, count(kind) AS n_spans FROM d JOIN t USING (text) LEFT JOIN spans USING (x) GROUP BY r, doc_id"""
 
 
 def _quoted(text: str) -> str:

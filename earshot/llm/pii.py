@@ -6,40 +6,58 @@ points. Splitting a text at a pattern gives the pieces between its matches, so
 piece and match lengths add up to the places.
 
 Information-theoretic sanitisation: the protected entities are the span values.
-The corpus says how strongly a term t, a word of letters anywhere in a text that
-holds the entity e, reveals it. Documents are the unit of every count: with N
-documents, n(e) of which hold e, df(t) t, and n(t, e) both,
-
-    p(t) = df(t) / N,   p(t | e) = (n(t, e) + p(t)) / (n(e) + 1),
-    disclosure(t, e) = log2(p(t | e) / p(t)) / log2(N / n(e)),
-
-the share of e's information content that t gives away; the added one smooths
-what a rare entity's few documents say. A term whose disclosure of an entity of
-its document is at least ``disclosure`` is a span as well: of the kind ``stem``
-if its first letters, as a wider term with counts of their own, disclose less
-than that (``redact`` then generalises it to them), else of the kind ``term``,
-which is removed. Entities that the same documents hold have the same
-counts and are treated as one, so a long list of them costs what one costs.
+The corpus says how strongly a term t, any word of a text outside its base spans,
+reveals an entity e that the text holds. Documents are the unit: of all N,
+n(e) hold e, df(t) hold t, and n(t, e) both. As a pair is only looked at because
+a text x brought it up, that text (and its copies, c in all) is no witness:
+
+    p(e) = n(e) / N,   p(e | t) = (n(t, e) - c + p(e)) / (df(t) - c + 1).
+
+A term discloses e in x if at least ``min_others`` other texts hold both, if what
+is left to learn of e, -log2 p(e | t), is at most ``residual`` bits, if it
+says at least ``gain`` bits more than nothing, log2(p(e | t) / p(e)), and if that
+isn't chance: were the other df(t) - c and n(e) - c documents spread at random, they would meet
+m = (df(t) - c)(n(e) - c) / (N - c) times on average, and as often as the k seen with
+a probability of at most (e m / k)^k (Chernoff), which must be ``alpha`` at most. So one
+co-occurrence never is proof, in a corpus of any size.
+
+A disclosing term is generalised to a wider term of the corpus if there is one,
+else removed. Wider is, as co-occurrence shows, a word h that stands within
+``NEAR`` words of t in at least half of the texts with an entity that hold t, twice as often at
+least as its share of all documents, of at least four times the documents and
+more than twice those of any entity that t discloses (so that h doesn't disclose it:
+p(e | h) is below 1/2), and of a tenth of all documents at most; the one in
+most of these texts, then the rarest, then the first by spelling.
+
+Entities that the same documents hold have the same counts and are treated as
+one. Entities, and terms, of too few texts are left out before anything is
+paired, as are terms more than half of whose documents hold no entity: they
+can't reach the thresholds. So pairs are made of words that stand almost only beside
+entities, and of entities that other texts hold, of each text apart.
 
 Patterns begin at the start of a run or where the match before ended (``\G``),
 and take runs possessively: the same matches as the plain patterns, in linear
 time and without recursion on long runs.
 
 Defined results: null texts are empty, without spans; null doc_ids and repeated
-rows keep their rows; empty tables give none; other columns are not read. Words
-of long texts become rows, one each; a text's own spans are one array.
+rows keep their rows; empty tables give none; other columns are not read. Long
+texts are worked on whole: a text's spans are one array, and everything that
+walks along them does so in blocks, so time is in proportion to the text; its
+different words become rows, one each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Kinds of span that the method adds.
-METHOD = ("term", "stem")
+#: Kinds of span that the method adds: removed, and generalised (their value is the wider term).
+METHOD = ("term", "wide")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -50,11 +68,58 @@ PATTERNS = {
 HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 WORD = r"[\p{L}\p{N}]+"
-TERM = r"^\p{L}{5,}$"
-STEM = 4
-#: Marks a stem among the terms; no word ends with it.
-WIDER = "*"
+NOT_WORD = r"[^\p{L}\p{N}]+"
+#: A wider term stands within so many words of a term.
+NEAR = 5
 SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,value:string>>"
+#: Elements of an array that are gone along at once, and characters of a text that are kept together.
+BLOCK, CHUNK = 256, 1024
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once: within a lambda an expression is worked out at every use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _along(items: Column, at: Column, step, row: str) -> Column:
+    """(at, out) after a walk along items: step(at, item) gives the next `at` and an array of `row`s to put out.
+
+    What is put out grows by a block at a time, so a long array isn't copied at every item.
+    """
+    none, nothing = F.expr(f"cast(array() as array<{row}>)"), F.expr(f"cast(array() as array<array<{row}>>)")
+
+    def item(state: Column, x: Column) -> Column:
+        return _let(step(state["at"], x), lambda r: F.struct(r["at"].alias("at"), F.concat(state["out"], r["out"]).alias("out")))
+
+    def block(state: Column, own: Column) -> Column:
+        done = F.aggregate(own, F.struct(state["at"].alias("at"), none.alias("out")), item)
+        return _let(done, lambda r: F.struct(r["at"].alias("at"), F.concat(state["out"], F.array(r["out"])).alias("out")))
+
+    walked = lambda v: F.aggregate(_blocks(v), F.struct(at.alias("at"), nothing.alias("out")), block, lambda s: F.struct(s["at"].alias("at"), F.flatten(s["out"]).alias("out")))
+    return _let(items, walked)
+
+
+def _before(lengths: Column) -> Column:
+    """Running sums of an array: of what comes before each element."""
+    return _along(lengths, F.lit(0).cast("bigint"), lambda at, x: F.struct((at + x).alias("at"), F.array(at).alias("out")), "bigint")["out"]
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _piece(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end, of a text in chunks: a place is found without going along the whole text."""
+    i, j = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    first, last = (start % CHUNK).cast("int"), (end % CHUNK).cast("int")
+    tail = F.coalesce(F.substring(F.get(chunks, j), F.lit(1), last), F.lit(""))
+    several = F.concat(F.substring(F.get(chunks, i), first + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), tail)
+    return F.when(start >= end, F.lit("")).when(i == j, F.substring(F.get(chunks, i), first + 1, (end - start).cast("int"))).otherwise(several)
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -72,13 +137,16 @@ def _test(kind: str):
     return lambda span: _valid(kind, span["value"])
 
 
-def _places(text: Column, hits: Column, pieces: Column, kind_no: int) -> Column:
+def _places(hits: Column, pieces: Column, kind_no: int) -> Column:
     """Spans of the matches, from their values and the pieces between them."""
-    lengths = F.transform(hits, lambda h: F.char_length(h).cast("bigint"))
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<bigint>)").alias("starts"))
-    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), lengths, lambda p, h: F.struct(F.char_length(p).cast("bigint").alias("gap"), h.alias("len")))
-    starts = F.aggregate(steps, begin, lambda a, s: F.struct((a["at"] + s["gap"] + s["len"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["gap"])).alias("starts")), lambda a: a["starts"])
-    return F.zip_with(starts, hits, lambda s, h: F.struct(s.alias("start"), F.lit(kind_no).alias("kind_no"), (s + F.char_length(h)).alias("end"), h.alias("value")))
+
+    def placed(hits: Column) -> Column:
+        gaps = F.transform(F.slice(pieces, F.lit(1), F.size(hits)), lambda p: F.char_length(p).cast("bigint"))
+        before = _before(F.zip_with(gaps, hits, lambda g, h: g + F.char_length(h)))
+        starts = F.zip_with(before, gaps, lambda b, g: b + g)
+        return F.zip_with(starts, hits, lambda s, h: F.struct(s.alias("start"), F.lit(kind_no).alias("kind_no"), (s + F.char_length(h)).alias("end"), h.alias("value")))
+
+    return _let(hits, placed)
 
 
 def base_spans(text: Column) -> Column:
@@ -86,7 +154,7 @@ def base_spans(text: Column) -> Column:
     found = []
     for number, kind in enumerate(KINDS):
         pattern = PATTERNS[kind]
-        spans = _places(text, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), number)
+        spans = _places(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), number)
         found.append(F.when(text.rlike(HINTS[kind]), F.filter(spans, _test(kind))).otherwise(F.expr(f"cast(array() as {SPAN})")))
     return F.array_sort(F.concat(*found))
 
@@ -96,77 +164,103 @@ def spell(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind_no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _stem(term: Column) -> Column:
-    return F.concat(F.substring(term, 1, STEM), F.lit(WIDER))
+def outside(text: Column, base: Column) -> Column:
+    """(start, piece) of what lies between base spans; spans that overlap are one."""
+    row = "struct<start:bigint,end:bigint>"
+    step = lambda at, s: F.struct(F.greatest(at, s["end"]).alias("at"), F.when(s["start"] > at, F.array(F.struct(at.alias("start"), s["start"].alias("end")))).otherwise(F.expr(f"cast(array() as array<{row}>)")).alias("out"))
+    gaps = _let(_along(base, F.lit(0).cast("bigint"), step, row), lambda r: F.concat(r["out"], F.array(F.struct(r["at"].alias("start"), F.char_length(text).cast("bigint").alias("end")))))
+    return _let(_chunks(text), lambda chunks: F.transform(gaps, lambda g: F.struct(g["start"].alias("start"), _piece(chunks, g["start"], g["end"]).alias("piece"))))
 
 
-def terms_at(holders: DataFrame) -> DataFrame:
-    """(key, copies, term, start, end) of every term of the texts, outside their base spans."""
-    text = F.col("text")
-    pairs = F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"))
-    each = holders.select("key", "copies", "base", F.posexplode(pairs).alias("at", "x")).select("key", "copies", "base", "at", "x.word", F.char_length("x.gap").alias("gap"), F.char_length("x.word").alias("size"))
-    order = Window.partitionBy("key").orderBy("at")  # one text
-    end = F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(order)
-    placed = each.withColumn("end", end.cast("bigint")).filter(F.col("word").rlike(TERM)).withColumn("start", F.col("end") - F.col("size"))
-    apart = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    return placed.filter(apart).select("key", "copies", F.lower("word").alias("term"), "start", "end", F.col("word").alias("value"))
+def _own_words(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(text), NOT_WORD)), lambda w: w != "")
 
 
-def revealing_terms(holders: DataFrame, terms: DataFrame, docs: DataFrame, *, disclosure: float = 0.9) -> DataFrame:
-    """(key, term, kind_no): the terms of each text that disclose an entity of it.
+def disclosing(holders: DataFrame, words: DataFrame, spread: DataFrame, total: int, *, residual: float = 1.0, gain: float = 3.0, alpha: float = 0.01, min_others: int = 1) -> DataFrame:
+    """(key, term, most): the terms of each text that disclose an entity of it, and the documents of the commonest such entity.
 
-    holders: key, copies, base of texts that hold entities; terms: terms_at(); docs: text of all.
+    holders: key, copies, base of texts that hold entities; words: key, copies, term; spread: term, df.
     """
-    spots = holders.select("key", "copies", F.explode(F.array_distinct(F.transform("base", lambda b: F.lower(b["value"])))).alias("value")).distinct()
+    spots = holders.select("key", "copies", F.explode(F.array_distinct(F.transform("base", lambda b: F.lower(b["value"])))).alias("value"))
     # entities of the same documents are one: who holds them is told by 128 bits
-    alike = spots.groupBy("value").agg(F.bit_xor(F.xxhash64("key")).alias("h"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h2"), F.sum("copies").alias("held"))
-    entities = materialize(spots.join(alike, "value").select("key", "copies", F.struct("h", "h2", "held").alias("entity")).distinct(), "pii-entities")
-    once = terms.select("key", "term").distinct()
-    wide = once.unionByName(once.select("key", _stem(F.col("term")).alias("term")).distinct())
-    together = wide.join(entities, "key").groupBy("entity", "term").agg(F.sum("copies").alias("together"))
-    own = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), lambda w: F.rlike(w, F.lit(TERM)))
-    spread = docs.select(own.alias("own")).select(F.explode(F.concat("own", F.array_distinct(F.transform("own", _stem)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = F.lit(float(max(docs.count(), 1)))
-    share, held = F.col("df") / total, F.col("entity.held")
-    gain = F.log2((F.col("together") + share) / (held + 1) / share)
-    judged = materialize(together.join(spread, "term").filter(gain >= disclosure * F.log2(total / held)).select("entity", "term"), "pii-revealing")
-    strong = judged.filter(~F.col("term").endswith(WIDER))
-    wider = judged.filter(F.col("term").endswith(WIDER)).select("entity", F.col("term").alias("stem"))
-    kinds = strong.withColumn("stem", _stem(F.col("term"))).join(wider.withColumn("too", F.lit(True)), ["entity", "stem"], "left")
-    kinds = kinds.select("entity", "term", F.when(F.col("too"), len(KINDS)).otherwise(len(KINDS) + 1).alias("kind_no"))
-    return entities.select("key", "entity").join(kinds, "entity").groupBy("key", "term").agg(F.min("kind_no").alias("kind_no"))
-
-
-def _spanned(docs: DataFrame, carry: list[str], text_col: str, whole: bool, disclosure: float) -> DataFrame:
-    """k0, k1 .. (the carried columns), text (with `whole`, else only where it holds an entity), base, spans."""
+    alike = spots.groupBy("value").agg(F.bit_xor(F.xxhash64("key")).alias("h"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h2"), F.sum("copies").alias("held"), F.count("*").alias("texts"))
+    shared = alike.filter(F.col("texts") > min_others)
+    entities = spots.join(shared, "value").select("key", F.struct("h", "h2", "held").alias("entity")).distinct()
+    near = words.groupBy("term").agg(F.sum("copies").alias("beside"), F.count("*").alias("texts")).filter(F.col("texts") > min_others)
+    least = 2.0**-residual
+    rare = near.join(spread, "term").filter(F.col("beside") >= least * F.col("df")).select("term", "df")
+    pairs = materialize(words.join(rare, "term").join(entities, "key").select("key", "copies", "term", "df", "entity"), "pii-pairs")
+    together = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).filter(F.col("texts") > min_others).drop("texts")
+    share = F.col("entity.held") / F.lit(float(max(total, 1)))
+    others, left = F.col("both") - F.col("copies"), F.lit(float(total)) - F.col("copies")
+    known = (others + share) / (F.col("df") - F.col("copies") + 1)
+    chance = others * (F.log((F.col("df") - F.col("copies")) * (F.col("entity.held") - F.col("copies")) / left / others) + 1)
+    told = pairs.join(together, ["entity", "term"]).filter((others > 0) & (known >= least) & (known >= share * 2.0**gain) & (chance <= math.log(alpha)))
+    found = materialize(told.groupBy("key", "term").agg(F.max("entity.held").alias("most")), "pii-disclosing")
+    drop_table(pairs)
+    return found
+
+
+def word_places(pieces: DataFrame) -> DataFrame:
+    """(key, copies, part, nth, term, start, end) of every word of the pieces (key, copies, start, piece); part is where its piece starts."""
+    spans = _places(F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)), F.split("piece", WORD, -1), 0)
+    each = pieces.select("key", "copies", F.col("start").alias("part"), F.posexplode(spans).alias("nth", "x"))
+    return each.select("key", "copies", "part", "nth", F.lower("x.value").alias("term"), (F.col("part") + F.col("x.start")).alias("start"), (F.col("part") + F.col("x.end")).alias("end"), F.col("x.value").alias("value"))
+
+
+def wider_terms(placed: DataFrame, found: DataFrame, spread: DataFrame, total: int) -> DataFrame:
+    """(term, wider) of the disclosing terms that have a wider one. placed: word_places() of the texts that hold them."""
+    at = placed.join(found.select("key", "term"), ["key", "term"]).select("key", "copies", "part", "nth", "term")
+    around = at.select("key", "copies", "part", "term", F.explode(F.array(*(F.col("nth") + d for d in range(-NEAR, NEAR + 1) if d))).alias("nth"))
+    beside = around.join(placed.select("key", "part", "nth", F.col("term").alias("wider")), ["key", "part", "nth"]).filter("wider <> term").select("key", "term", "wider").distinct()
+    counted = beside.groupBy("term", "wider").agg(F.count("*").alias("near"))
+    own = found.groupBy("term").agg(F.count("*").alias("texts"), F.max("most").alias("most"))
+    share = F.col("wide_df") / F.lit(float(max(total, 1)))
+    fits = counted.join(own, "term").filter(2 * F.col("near") >= F.col("texts")).join(spread, "term").join(spread.select(F.col("term").alias("wider"), F.col("df").alias("wide_df")), "wider")
+    fits = fits.filter((F.col("wide_df") >= 4 * F.col("df")) & (F.col("wide_df") > 2 * F.col("most")) & (share <= 0.1) & (F.col("near") >= 2 * share * F.col("texts")))
+    return fits.groupBy("term").agg(F.min_by("wider", F.struct(-F.col("near"), "wide_df", "wider")).alias("wider"))
+
+
+def _spanned(docs: DataFrame, carry: list[str], text_col: str, limits: dict) -> DataFrame:
+    """k0, k1 .. (the carried columns), text, base, spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = [f"k{i}" for i in range(len(carry))]
     source = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names)), text.alias("text"))
     spanned = source.withColumn("base", base_spans(F.col("text"))).withColumn("key", F.when(F.size("base") > 0, F.md5(F.encode("text", "utf-8"))))
-    if not whole:
-        spanned = spanned.withColumn("text", F.when(F.col("key").isNotNull(), F.col("text")))
     table = materialize(spanned, "pii-spans")
+    columns, none = [*names, "text", "base", "spans"], F.expr(f"cast(array() as {SPAN})")
     holders = materialize(table.filter(F.col("key").isNotNull()).groupBy("key").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies")), "pii-holders")
-    terms = materialize(terms_at(holders), "pii-terms")
-    revealing = revealing_terms(holders, terms, docs.select(text.alias("text")), disclosure=disclosure)
-    span = F.struct("start", F.col("kind_no").cast("int").alias("kind_no"), "end", "value")
-    found = terms.join(revealing, ["key", "term"]).groupBy("key").agg(F.collect_list(span).alias("revealed"))  # the terms of one text
-    found = materialize(found, "pii-found")
-    spans = F.array_sort(F.concat("base", F.coalesce("revealed", F.expr(f"cast(array() as {SPAN})"))))
-    columns = [*names, "text", "base", "spans"]
-    without = table.filter(F.col("key").isNull()).withColumn("spans", F.expr(f"cast(array() as {SPAN})"))
+    once = holders.select("key", F.explode(F.array_distinct(F.transform("base", lambda b: F.lower(b["value"])))).alias("value")).groupBy("value").count()
+    if once.filter(F.col("count") > limits.get("min_others", 1)).isEmpty():  # no entity has another text for a witness
+        drop_table(holders)
+        return table.withColumn("spans", F.col("base")).select(*columns)
+    pieces = holders.select("key", "copies", F.explode(outside(F.col("text"), F.col("base"))).alias("x")).select("key", "copies", "x.start", "x.piece")
+    words = materialize(pieces.select("key", "copies", F.explode(_own_words(F.col("piece"))).alias("term")).distinct(), "pii-words")
+    others = table.filter(F.col("key").isNull()).select(F.explode(_own_words(F.col("text"))).alias("term"), F.lit(1).cast("bigint").alias("n"))
+    spread = materialize(others.unionByName(words.select("term", F.col("copies").alias("n"))).groupBy("term").agg(F.sum("n").alias("df")), "pii-spread")
+    total = table.count()
+    told = disclosing(holders, words, spread, total, **limits)
+    placed = materialize(word_places(pieces.join(told.select("key").distinct(), "key", "left_semi")), "pii-places")
+    wider = wider_terms(placed, told, spread, total)
+    span = F.struct("start", F.when(F.col("wider").isNull(), len(KINDS)).otherwise(len(KINDS) + 1).alias("kind_no"), "end", F.coalesce("wider", "value").alias("value"))
+    spots = placed.join(told.select("key", "term"), ["key", "term"]).join(wider, "term", "left")
+    found = materialize(spots.groupBy("key").agg(F.collect_list(span).alias("revealed")), "pii-found")  # the terms of one text
+    for done in (holders, words, spread, told, placed):
+        drop_table(done)
+    spans = F.array_sort(F.concat("base", F.coalesce("revealed", none)))
+    without = table.filter(F.col("key").isNull()).withColumn("spans", none)
     return table.filter(F.col("key").isNotNull()).join(found, "key", "left").withColumn("spans", spans).select(*columns).unionByName(without.select(*columns))
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9) -> DataFrame:
-    """doc_id, base, spans: arrays of (start, kind_no, end, value)."""
-    return _spanned(docs, [id_col], text_col, False, disclosure).select(F.col("k0").alias("doc_id"), "base", "spans")
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """doc_id, base, spans: arrays of (start, kind_no, end, value); `limits` as disclosing() takes them."""
+    return _spanned(docs, [id_col], text_col, limits).select(F.col("k0").alias("doc_id"), "base", "spans")
 
 
-def sanitize(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, disclosure: float = 0.9) -> DataFrame:
+def sanitize(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, **limits) -> DataFrame:
     """The rows with all their columns, their texts redacted; length_col follows the new text."""
     carry = [c for c in docs.columns if c != text_col]
-    found = _spanned(docs, carry, text_col, True, disclosure).withColumn("text", redact(F.col("text"), F.col("spans")))
+    found = _spanned(docs, carry, text_col, limits).withColumn("text", redact(F.col("text"), F.col("spans")))
     name = {c: F.col(f"k{i}") for i, c in enumerate(carry)} | {text_col: F.col("text")}
     if length_col in name:
         name[length_col] = F.char_length("text").cast(docs.schema[length_col].dataType)
@@ -174,14 +268,16 @@ def sanitize(docs: DataFrame, *, text_col: str = "text", length_col: str | None
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with base spans and stems generalised, the ones to their kind, the others to their first letters, and
+    """The text with base spans and wide ones generalised, the ones to their kind, the others to their wider term, and
     terms removed; of overlapping spans the first counts."""
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS), F.lit("[REMOVED]"))
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    said = lambda s: F.when(s["kind_no"] > len(KINDS), F.concat(F.substring(s["value"], 1, STEM), F.lit(WIDER))).otherwise(F.get(kinds, s["kind_no"]))
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), said(s)).alias("out"), s["end"].alias("at")))
-    rest = lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, F.char_length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, begin, step, rest))
+    said = lambda s: F.when(s["kind_no"] > len(KINDS), s["value"]).otherwise(F.get(kinds, s["kind_no"]))
+    row = "struct<start:bigint,end:bigint,said:string>"
+    kept = lambda at, s: F.array(F.struct(at.alias("start"), s["start"].alias("end"), said(s).alias("said")))
+    step = lambda at, s: F.struct(F.greatest(at, F.when(s["start"] >= at, s["end"]).otherwise(at)).alias("at"), F.when(s["start"] < at, F.expr(f"cast(array() as array<{row}>)")).otherwise(kept(at, s)).alias("out"))
+    walked = _along(spans, F.lit(0).cast("bigint"), step, row)
+    joined = lambda chunks: _let(walked, lambda w: F.concat(F.array_join(F.transform(w["out"], lambda p: F.concat(_piece(chunks, p["start"], p["end"]), p["said"])), ""), _piece(chunks, w["at"], F.char_length(text).cast("bigint"))))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(_chunks(text), joined))
 
 
 def counts(found: DataFrame) -> DataFrame:
