@@ -312,11 +312,11 @@ def test_a_failed_draft_drops_its_group_only(spark):
 
 
 def test_quotes_are_held_against_the_whole_group(spark):
-    rows = [("a", 0, "one two"), ("a", 1, "three"), ("a", 2, "the late one"), ("b", 3, "x"), ("b", 4, "y"), ("b", 4, "y")]
+    rows = [("a", 0, "one two"), *(("a", k, "three") for k in range(1, 30)), ("a", 30, "the late one"), ("b", 3, "x"), ("b", 4, "y"), ("b", 4, "y")]
     df = spark.createDataFrame(rows, "group string, pos bigint, text string")
-    write = lambda kind, texts: json.dumps({"theme": "t", "quotes": ["late one", "one two"] if "one two" in texts else ["x", "late one"]})
-    found = insights.synthesize(df, "request", write, prompt_rows=1).collect()
-    assert [(r.group, r.quotes, r.mention_count) for r in found] == [("a", ["late one", "one two"], 3)]
+    write = lambda kind, texts: json.dumps({"theme": "t", "quotes": ["x", "late one"] if "x" in texts else ["late one", "one two"]})
+    found = insights.synthesize(df, "request", write, prompt_rows=10).collect()
+    assert [(r.group, r.quotes, r.mention_count) for r in found] == [("a", ["late one", "one two"], 31)]
 
 
 def test_statuses():
