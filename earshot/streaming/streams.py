@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,31 +19,90 @@ def dedup_within(comments: DataFrame, *, fingerprint: str = "fp", at: str = "tim
     return comments.withWatermark(at, ttl).dropDuplicatesWithinWatermark([fingerprint])
 
 
+def _in_order(frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """(pos, at) of a key's rows of a micro-batch in order of time: two numbers a row are held."""
+    held = [(f["pos"].to_numpy(), f["at"].to_numpy()) for f in frames]
+    pos, at = (np.concatenate([h[k] for h in held]) if held else np.zeros(0) for k in (0, 1))
+    order = np.lexsort((pos, at))
+    return pos[order], at[order]
+
+
 def dedup_exact(comments: DataFrame, *, key: str = "fp", at: str = "timestamp", seconds: float = 3600) -> DataFrame:
-    """The engine's own rule (dedup.fold) on a stream: one number of state for each key."""
+    """The engine's own rule (dedup.fold) on a stream: one number of state for each key.
 
-    def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    Its state stays: a sighting after the time to live clears a record, so the rule tells an expired record from none, for ever.
+    """
+
+    def run(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recorded = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["at", "pos"])
-        fresh = []
-        for t in rows["at"]:
-            recorded, new = fold(recorded, t, seconds)
-            fresh.append(new)
+        pos, times = _in_order(frames)
+        fresh = np.zeros(len(pos), bool)
+        for k, t in enumerate(times.tolist()):
+            recorded, fresh[k] = fold(recorded, t, seconds)
         if recorded is None:
             if state.exists:
                 state.remove()
         else:
             state.update((recorded,))
-        yield rows[fresh][[key, "pos", "at"]]
+        yield pd.DataFrame({key: [name[0]] * int(fresh.sum()), "pos": pos[fresh], "at": times[fresh]})
 
     timed = comments.select(key, "pos", F.col(at).cast("timestamp").cast("double").alias("at"))
     return timed.groupBy(key).applyInPandasWithState(run, f"{key} string, pos bigint, at double", "recorded double", "append", GroupStateTimeout.NoTimeout)
 
 
+def dedup_expiring(comments: DataFrame, *, key: str = "fp", at: str = "timestamp", seconds: float = 3600, late: str = "1 hour") -> DataFrame:
+    """First sightings by the rule of a store whose keys expire: a sighting within the time to live of the one on record is
+    a duplicate, a later one is fresh and goes on record itself.
+
+    A record is one number of state. When the watermark, `late` behind the newest row, has passed the end of its time to live,
+    a timer removes it: what the stream holds is bounded by the keys of one time to live and the lateness. Rows behind the watermark are dropped.
+    """
+
+    def run(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        recorded = state.get[0] if state.exists else None
+        pos, times = _in_order(frames)
+        fresh = np.zeros(len(pos), bool)
+        for k, t in enumerate(times.tolist()):
+            fresh[k] = recorded is None or t - recorded >= seconds
+            recorded = t if fresh[k] else recorded
+        state.update((recorded,))
+        state.setTimeoutTimestamp(max(int((recorded + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [name[0]] * int(fresh.sum()), "pos": pos[fresh], "at": times[fresh]})
+
+    timed = comments.withWatermark(at, late).select(key, "pos", at, F.col(at).cast("timestamp").cast("double").alias("at"))
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} string, pos bigint, at double", "recorded double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def labelled(comments: DataFrame, labels: DataFrame, *, id_col: str = "id", at: str = "timestamp", label_id: str = "comment_id", labelled_at: str = "labelled_at", within: str = "2 hours", late: str = "1 hour") -> DataFrame:
+    """Comments with their labels, both as they come: a label counts if it was made within `within` of its comment.
+
+    Either side is held until the watermarks of both, `late` behind their newest rows, say that no partner can come any more;
+    rows behind the watermark of their own stream are dropped.
+    """
+    left = comments.withWatermark(at, late)
+    right = labels.withWatermark(labelled_at, late)
+    same = left[id_col] == right[label_id]
+    timely = (F.col(labelled_at) >= F.col(at)) & (F.col(labelled_at) <= F.col(at) + F.expr(f"INTERVAL {within}"))
+    return left.join(right, same & timely).drop(label_id)
+
+
+def labelled_mood(comments: DataFrame, labels: DataFrame, *, width: str = "1 day", at: str = "timestamp", **how) -> DataFrame:
+    """Mean score by window of the comments' time, of comments joined with labels as they come; a window is put out once it is closed."""
+    joined = labelled(comments, labels, at=at, **how).withColumn("score", score(F.col("sentiment")))
+    return joined.groupBy(F.window(at, width).alias("w")).agg(F.avg("score").alias("mood"), F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "mood", "n")
+
+
 def mood(comments: DataFrame, *, late: str = "1 hour", width: str = "1 day", slide: str | None = None, gap: str | None = None) -> DataFrame:
     """Mean score by tumbling window, by one that slides, or by session (a gap without comments ends it)."""
     scored = comments.withColumn("score", score(F.col("sentiment"))).withWatermark("timestamp", late)
-    return scored.groupBy((F.session_window("timestamp", gap) if gap else F.window("timestamp", width, slide)).alias("w")).agg(F.avg("score").alias("mood"), F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "mood", "n")
+    if gap:  # a stream's sessions need a key beside them: here all have the same
+        grouped = scored.groupBy(F.session_window("timestamp", gap).alias("w"), F.col("timestamp").isNotNull().alias("one"))
+    else:
+        grouped = scored.groupBy(F.window("timestamp", width, slide).alias("w"))
+    return grouped.agg(F.avg("score").alias("mood"), F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "mood", "n")
 
 
 def sink_batches(stream: DataFrame, write, checkpoint: str, mode: str = "append"):
