@@ -249,7 +249,7 @@ def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _event_stream(spark, sf_dir)
     labels = _event_stream(spark, sf_dir).select(F.col("pos").alias("comment_id"), "sentiment", (F.col("timestamp") + F.make_dt_interval(mins=(F.col("pos") % 180).cast("int"))).alias("labelled_at"))
     joined = _run_stream(spark, streams.labelled(stream.select(F.col("pos").alias("id"), "timestamp"), labels), "append")
-    return joined.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.avg(score("sentiment")).alias("mood"), F.count("*").alias("n"))
+    return joined.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.avg(score(F.col("sentiment"))).alias("mood"), F.count("*").alias("n"))
 
 
 @query("stream_mood", f"WITH {SCORED} SELECT strftime(date_trunc('day', timestamp), '%Y-%m-%d') AS day, avg(score) AS mood, count(*) AS n FROM scored GROUP BY 1")
