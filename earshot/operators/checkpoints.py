@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import CHECKPOINT
+from ..session import scratch
 from .calls import Bucket, pooled
 from .jobs import latest
 
@@ -138,6 +139,20 @@ class StageLog:
         return self.completed()
 
 
+def compact(spark: SparkSession, path: str, *, files: int = 8) -> None:
+    """Leaves the newest row of each batch in the checkpoint table under `path`, in `files` files a stage by hash of the key.
+
+    The rows are written beside the table first, and each stage's folder is then replaced by them (dynamic partition overwrite), so
+    what a reader finds before and after is the same; a run of a stage that goes on meanwhile would lose its newest rows, so compact between runs.
+    """
+    table = f"{path}/table"
+    newest = latest(spark.read.schema(CHECKPOINT).parquet(table), ["job_id", "stage", "batch_key"], "completed_at").select(*CHECKPOINT.names)
+    aside = scratch(spark, "compacted")
+    newest.write.parquet(aside)
+    dealt = spark.read.schema(CHECKPOINT).parquet(aside).repartition(files, "job_id", "stage", F.pmod(F.xxhash64("batch_key"), F.lit(files)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id", "stage").parquet(table)
+
+
 def _in_task(job_id: str, stage: str, segments: Segments, by_batch, work, at_once: int, bucket):
     """The task's function: frames of a partition to checkpoint rows; rows of an earlier attempt are taken as they are."""
 

@@ -154,6 +154,23 @@ def test_a_stage_that_dies_pays_for_one_batch_again(spark, tmp_path, how):
     assert not os.path.exists(log._segments) and {r.status for r in log.rows().collect()} == {"completed"}
 
 
+def test_compaction_leaves_the_newest_rows(spark, tmp_path):
+    def add(n, status):
+        rows = [(job, stage, str(k), status, f"r{n}", None, datetime.datetime(2024, 1, 1, n)) for job in ("j", "k") for stage in ("stage_a_sentiment", "stage_b") for k in range(20)]
+        spark.createDataFrame(rows[n:], schemas.CHECKPOINT).repartition(6).write.mode("append").partitionBy("job_id", "stage").parquet(str(tmp_path / "table"))
+
+    for n, status in enumerate(("failed", "completed", "failed", "completed", "completed")):
+        add(n, status)
+    logs = [checkpoints.StageLog(spark, str(tmp_path), job, stage) for job in ("j", "k") for stage in ("stage_a_sentiment", "stage_b")]
+    before = [sorted(map(repr, log.rows().collect())) for log in logs]
+    files = len(list((tmp_path / "table").rglob("*.parquet")))
+    for _ in range(2):
+        checkpoints.compact(spark, str(tmp_path), files=2)
+        assert [sorted(map(repr, log.rows().collect())) for log in logs] == before
+    left = list((tmp_path / "table").rglob("*.parquet"))
+    assert len(left) <= 8 < files and sum(spark.read.parquet(str(f)).count() for f in left) == 80
+
+
 def test_a_task_takes_up_its_own_earlier_attempt(tmp_path):
     segments = checkpoints.Segments(str(tmp_path / "s"), "run", 1)
     segments.append(0, [{"batch_key": "0", "status": "completed"}, {"batch_key": "50", "status": "failed"}])
