@@ -12,6 +12,10 @@ found by sorting, in each text, 64-bit integers of a window's hash and place:
 one sort of a primitive array instead of rows for every word. Windows whose
 hashes agree there are then compared by their words, so the count is exact.
 
+The vocabulary of prose grows about as the root of its length, so a text is poor in
+distinct words if they are both under 0.15 of its words and under three times the
+root of their number; texts of any length are held to the same rule.
+
 Defined results: a null text has no words and fails; null doc_ids, repeated
 rows and empty tables keep their rows as they are; other columns are not read.
 """
@@ -90,7 +94,7 @@ def votes() -> dict[str, Column]:
         "v_repeats": vote(repeats > 0.4),
         "v_lines": vote(lines > 0.4),
         "v_length": vote((length < 2.5) | (length > 12)),
-        "v_distinct": vote((distinct < 0.15) & (F.col("n_words") < 2000)),
+        "v_distinct": vote((distinct < 0.15) & (F.col("n_distinct_words") < 3 * F.sqrt(n))),
         "v_upper": vote(upper > 0.4),
         "v_short": vote(short < 0.1, short > 0.2),
         "v_words": vote(F.col("n_words") < 30, F.col("n_words") > 100),

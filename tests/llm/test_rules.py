@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -56,3 +57,37 @@ def test_verdicts_follow_the_labels(spark):
 def test_no_python_in_the_plan(spark):
     plan = QUERIES["op7_rule_votes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def plain_votes(text):
+    """The rules once more, from the text alone."""
+    n_words, chars, symbols, dup_lines, repeats = counted(text)
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, distinct = max(n_words, 1), len(set(w))
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+    upper = sum("A" <= c <= "Z" for c in text or "") / max(chars, 1)
+    short = sum(len(x) <= 3 and x.isalpha() for x in w) / n
+    say = lambda bad, good=False: -1 if bad else int(good)
+    return (
+        say(symbols / n > 0.1, symbols / n < 0.01), say(repeats / n > 0.4), say(dup_lines / max(lines, 1) > 0.4), say(chars / n < 2.5 or chars / n > 12),
+        say(distinct / n < 0.15 and distinct < 3 * math.sqrt(n)), say(upper > 0.4), say(short < 0.1, short > 0.2), say(n_words < 30, n_words > 100),
+    )
+
+
+def test_verdicts_by_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    votes = {k: plain_votes(t) for k, t in texts.items()}
+    prior, weights = rules.estimate(sorted(Counter(votes.values()).items()))
+    out = QUERIES["op7_rule_votes"](spark, SF).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        posterior = 1 / (1 + math.exp(-math.log(prior / (1 - prior)) - sum(w[v] for v, w in zip(votes[r.doc_id], weights))))
+        assert abs(r.posterior - posterior) < 1e-9
+        assert r.kept == (not r.base_failed and posterior >= 0.5)
+
+
+def test_few_distinct_words_are_held_against_texts_of_any_length(spark):
+    poor = [(n, " ".join(f"w{(k * k) % 97}" for k in range(n))) for n in (1_000, 1_999, 2_000, 50_000)]
+    rich = [(n + 1, " ".join(f"w{(k * 2654435761) % max(n // 20, 1200)}" for k in range(n))) for n in (1_000, 1_999, 2_000, 50_000)]
+    out = {r.n_words + (r.doc_id % 2): r.v_distinct for r in rules.judge(spark.createDataFrame(poor + rich, "doc_id bigint, text string")).collect()}
+    assert out == {**{n: -1 for n, _ in poor}, **{n: 0 for n, _ in rich}}
