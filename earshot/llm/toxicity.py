@@ -21,8 +21,7 @@ documented parameter). Scoring runs where the texts are, without a shuffle.
 Defined results: null and empty texts have no segment and score low; null labels
 are passed over; repeated rows are scored each; without labels of both kinds
 every score is 0; other columns are not read. Long texts are scanned in bounded
-parts, and only the places of lexicon words are kept; a run of over
-``words.CHUNK`` letters counts as several words.
+parts that no word is cut by, and only the places of lexicon words are kept.
 """
 
 from __future__ import annotations
@@ -84,7 +83,10 @@ def maximal_segments(position: np.ndarray, value: np.ndarray, drift: float) -> l
 def tokenize(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For about words.CHUNK characters at a time: hashes of the words (first column) and of their beginnings (0: the word
     isn't longer), and each word's text."""
-    for of, parts, _ in words.bounded(texts):
+    for of, parts in words.whole_words(texts):
+        if len(parts) == 1 and len(parts[0]) > words.CHUNK:
+            yield _long(parts[0]), np.asarray(of, np.int64)
+            continue
         data, starts, ends, owner = words.scan(parts)
         columns = [words.span_hashes(data, starts, ends)]
         for size in PREFIXES:
@@ -93,6 +95,13 @@ def tokenize(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.stack(columns, 1), np.asarray(of, np.int64)[owner]
 
 
+def _long(word: str) -> np.ndarray:
+    """The row of one word that is longer than words.CHUNK."""
+    data = np.frombuffer(word[: words.CHUNK].encode("utf-8", "replace"), np.uint8)
+    first = np.zeros(1, np.int64)
+    return np.array([[words.mix(words.long_word(word)), *(words.span_hashes(data, first, first + size, salt=size)[0] for size in PREFIXES)]])
+
+
 def segments(texts: list[str], model: ToxicityModel) -> tuple[np.ndarray, list[list[tuple[float, int, int]]]]:
     """Words of each text, and its maximal segments."""
     n = np.zeros(len(texts), np.int64)

@@ -10,6 +10,7 @@ its parts' polynomials, so it has the hash of the whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0, 9, 10, 11, 12, 13, 32]] = True
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
+_LETTER = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -70,6 +72,39 @@ def bounded(texts: list[str], *, lower: bool = True) -> Iterator[tuple[list[int]
         yield owner, parts, cut
 
 
+def whole_words(texts: list[str], *, lower: bool = True) -> Iterator[tuple[list[int], list[str]]]:
+    """As bounded(), but no cut goes through a word: its beginning waits for the rest. A word longer than CHUNK comes as a part of its own."""
+    owner, parts, total = [], [], 0
+    for k, text in enumerate(texts):
+        text, at = text.lower() if lower else text, 0
+        while at < len(text):
+            end = at + CHUNK
+            if end < len(text) and _LETTER.match(text, end - 1) and _LETTER.match(text, end):  # in a word
+                end -= _LETTER.match(text[at:end][::-1]).end()
+                end = end if end > at else _LETTER.match(text, at).end()
+            part = text[at:end]
+            if parts and total + len(part) > CHUNK:
+                yield owner, parts
+                owner, parts, total = [], [], 0
+            owner.append(k)
+            parts.append(part)
+            total += len(part)
+            at = end
+    if parts:
+        yield owner, parts
+
+
+def long_word(word: str) -> np.uint64:
+    """The polynomial of one word of any length, from pieces of CHUNK characters."""
+    total, size = np.uint64(0), 0
+    for at in range(0, len(word), CHUNK):
+        data = np.frombuffer(word[at : at + CHUNK].encode("utf-8", "replace"), np.uint8)
+        with np.errstate(over="ignore"):
+            total += sums_of(data, np.zeros(1, np.int64), np.array([len(data)]))[0] * np.uint64(pow(int(_P), size, 1 << 64))
+        size += len(data)
+    return total
+
+
 def scan(texts: list[str], *, by_space: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of the texts joined by zero bytes, and of each word: first byte, end, and the text's number."""
     encoded = [t.encode("utf-8", "replace") for t in texts]

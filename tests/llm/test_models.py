@@ -115,6 +115,23 @@ def test_a_run_longer_than_a_part_has_the_hash_of_the_whole(monkeypatch):
             assert (got[0] == hashes).all() and (got[1] == bounds).all()
 
 
+def test_tokens_are_the_same_however_a_text_is_cut(monkeypatch):
+    texts = ["a" * 500 + " bb " + "ß" * 333, "x" * 1000, "", "one two " * 40, "\U0001f642y" * 70, "ab,cd-efghijk;" * 30, "kill" + "z" * 300 + "!kill"]
+
+    def rows():
+        found = [[] for _ in texts]
+        for units, owner in toxicity.tokenize(texts):
+            for unit, k in zip(units.tolist(), owner.tolist()):
+                found[k].append(tuple(unit))
+        return found
+
+    whole = rows()
+    assert [len(r) for r in whole] == [3, 1, 0, 80, 1, 90, 2]
+    for size in (16, 17, 50, 77, 333, 500):
+        monkeypatch.setattr(words, "CHUNK", size)
+        assert rows() == whole
+
+
 def test_long_texts_without_a_space(spark):
     texts = ["x" * 1_500_000, "kill " * 200_000, "a b c d e f"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
