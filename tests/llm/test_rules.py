@@ -88,6 +88,6 @@ def test_verdicts_by_brute_force(spark):
 
 def test_few_distinct_words_are_held_against_texts_of_any_length(spark):
     poor = [(n, " ".join(f"w{(k * k) % 97}" for k in range(n))) for n in (1_000, 1_999, 2_000, 50_000)]
-    rich = [(n + 1, " ".join(f"w{(k * 2654435761) % max(n // 20, 1200)}" for k in range(n))) for n in (1_000, 1_999, 2_000, 50_000)]
-    out = {r.n_words + (r.doc_id % 2): r.v_distinct for r in rules.judge(spark.createDataFrame(poor + rich, "doc_id bigint, text string")).collect()}
-    assert out == {**{n: -1 for n, _ in poor}, **{n: 0 for n, _ in rich}}
+    rich = [(-n, " ".join(f"w{(k * 2654435761) % max(n // 20, 1200)}" for k in range(n))) for n in (1_000, 1_999, 2_000, 50_000)]
+    out = {r.doc_id: r.v_distinct for r in rules.judge(spark.createDataFrame(poor + rich, "doc_id bigint, text string")).collect()}
+    assert out == {n: -1 if n > 0 else 0 for n, _ in poor + rich}
