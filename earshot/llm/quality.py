@@ -15,13 +15,14 @@ Defined results: a null or empty text is one empty passage and gets a score; nul
 labels are passed over, a doc_id that is labelled more than once counts once
 (its lowest label), one with more than one text is learnt from the least of
 them; repeated rows are scored each; no labels at all give the score 0.5
-everywhere; other columns are not read. A text of over ``words.CHUNK`` characters
-is encoded in sections: all of its passages count, no passage goes over a
-section's end, and the measures of repetition are those of the section.
+everywhere; other columns are not read. Texts are encoded stretch by stretch, so a
+passage's features are the same in a text of any length; a run of over ``RUN``
+bytes without white space counts as several words, in any text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ from . import words
 from .common import lean, small_batches
 
 PASSAGE = 64
+STRETCH = 16
+RUN = 1024
 HASHED = 48
 #: Character classes by byte: 0 lower case, 1 upper case, 2 digit, 3 white space, 4 sentence mark, 5 bar, 6 exclamation, 7 beyond ASCII, 8 other symbol, 9 line break.
 _CLASS = np.full(256, 8, np.uint8)
@@ -43,18 +46,51 @@ CLASSES = 10
 WIDTH = HASHED + CLASSES + 7
 
 
+_STRETCH = re.compile(rb"[\0\t-\r ]*+(?:[^\0\t-\r ]{1,%d}+[\0\t-\r ]*+){1,%d}+" % (RUN, PASSAGE * STRETCH))
+
+
+def _sections(text: str) -> Iterator[bytes]:
+    """The text in whole stretches, about words.CHUNK bytes at a time."""
+    data = text.encode("utf-8", "replace")
+    begin = at = 0
+    while len(data) - begin > words.CHUNK and (m := _STRETCH.match(data, at)):
+        if m.end() - begin > words.CHUNK and at > begin:
+            yield data[begin:at]
+            begin = at
+        at = m.end()
+    yield data[begin:]
+
+
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Passages of the texts as rows of features, and the text of each. Texts longer than words.CHUNK are encoded in sections."""
+    """Passages of the texts as rows of features, and the text of each."""
     features, bags = [np.zeros((0, WIDTH), np.float32)], [np.zeros(0, np.int64)]
-    for owner, sections, _ in words.bounded(texts, lower=False):
-        x, bag = _encode(sections)
+
+    def flush() -> None:
+        x, bag = _encode(held)
         features.append(x)
         bags.append(np.asarray(owner, np.int64)[bag])
+
+    held, owner, total = [], [], 0
+    for k, text in enumerate(texts):
+        for section in _sections(text):
+            if held and total + len(section) > words.CHUNK:
+                flush()
+                held, owner, total = [], [], 0
+            held.append(section)
+            owner.append(k)
+            total += len(section)
+    if held:
+        flush()
     return np.concatenate(features), np.concatenate(bags)
 
 
-def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data, starts, ends, owner = words.scan(texts, by_space=True)
+    if (ends - starts > RUN).any():
+        pieces = -(-(ends - starts) // RUN)
+        of = np.repeat(np.arange(len(starts)), pieces)
+        starts = starts[of] + (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * RUN
+        ends, owner = np.minimum(starts + RUN, ends[of]), owner[of]
     hashes = words.span_hashes(data, starts, ends)
     n = len(texts)
     per_text = np.bincount(owner, minlength=n)
@@ -63,18 +99,21 @@ def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     base = np.concatenate([[0], np.cumsum(passages)])
     count = int(base[-1])
     of_word = base[owner] + (np.arange(len(owner)) - first[owner]) // PASSAGE
+    stretch = of_word - (of_word - base[owner]) % STRETCH
     features = np.zeros((count, WIDTH), np.float32)
     size = np.bincount(of_word, minlength=count).astype(np.float32)
     per = np.maximum(size, 1)
     # a text's first passage begins with the text, the others with their first word: no byte counts for another text
-    text_starts = np.cumsum([0, *(len(t.encode("utf-8", "replace")) + 1 for t in texts)])[:-1]
+    text_starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
     opens = np.zeros(count, np.int64)
     opens[base[:-1]] = text_starts
     later = np.flatnonzero(np.diff(of_word, prepend=-1)) if len(owner) else np.zeros(0, np.int64)
     later = later[~np.isin(of_word[later], base[:-1])]
     opens[of_word[later]] = starts[later]
     of_byte = np.repeat(np.arange(count), np.diff(np.append(opens, len(data) if n else 0)))
-    classes = np.bincount(of_byte * CLASSES + _CLASS[data[: len(of_byte)]], minlength=count * CLASSES).reshape(count, CLASSES).astype(np.float32)
+    kind = _CLASS[data[: len(of_byte)]]
+    kind[np.append(text_starts[1:], len(data))[:n] - 1] = CLASSES  # what joins the texts is no part of them
+    classes = np.bincount(of_byte * (CLASSES + 1) + kind, minlength=count * (CLASSES + 1)).reshape(count, CLASSES + 1)[:, :CLASSES].astype(np.float32)
     features[:, HASHED : HASHED + CLASSES] = classes / np.maximum(classes.sum(1, keepdims=True), 1)
     if len(owner):
         sign = ((hashes >> np.uint64(40)) & np.uint64(1)).astype(np.float32) * 2 - 1
@@ -86,15 +125,15 @@ def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rest[:, 1] = np.bincount(of_word, length <= 3, count) / per
         rest[:, 2] = np.bincount(of_word, length > 14, count) / per
         same = np.zeros(len(hashes), np.float32)
-        same[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+        same[1:] = (hashes[1:] == hashes[:-1]) & (stretch[1:] == stretch[:-1])
         rest[:, 3] = np.bincount(of_word, same, count) / per
         tagged = np.sort((of_word.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
         new = np.concatenate([[True], tagged[1:] != tagged[:-1]])
         rest[:, 4] = np.bincount((tagged[new] >> np.uint64(40)).astype(np.int64), minlength=count) / per
-        whole = np.flatnonzero(owner[2:] == owner[:-2])  # three words of one text
+        whole = np.flatnonzero(stretch[2:] == stretch[:-2])  # three words of one stretch
         with np.errstate(over="ignore"):
             triple = hashes[whole] * np.uint64(3) + hashes[whole + 1] * np.uint64(5) + hashes[whole + 2] * np.uint64(7)
-            keyed = words.mix(triple + owner[whole].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            keyed = words.mix(triple + stretch[whole].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(keyed)
         equal = keyed[order][1:] == keyed[order][:-1]
         again = np.zeros(len(hashes), np.float32)
@@ -166,11 +205,8 @@ def labelled_sample(labels: DataFrame, *, label_col: str, max_rows: int, id_col:
     return rows.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
-def train(docs: DataFrame, sample: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_passages: int = 64) -> AttentionModel | None:
-    """Fits on the sampled documents, one text an id; of a longer one, on max_passages passages spread evenly over it.
-
-    So what the driver gets is bounded: max_passages rows of 65 numbers for each of the sample's rows.
-    """
+def train(docs: DataFrame, sample: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel | None:
+    """Fits on all passages of the sampled documents, one text an id: the driver gets 65 numbers a passage of the bounded sample."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     chosen = source.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).select("doc_id", "x.*")
@@ -180,10 +216,7 @@ def train(docs: DataFrame, sample: DataFrame, *, id_col: str = "doc_id", text_co
             texts, labels, ids = (batch.column(c).to_pylist() for c in ("text", "label", "doc_id"))
             for a, b in words.groups(texts):
                 x, bag = encode(texts[a:b])
-                rows = []
-                for own in np.split(x, np.flatnonzero(np.diff(bag)) + 1):
-                    spread = np.linspace(0, len(own) - 1, min(len(own), max_passages)).round().astype(np.int64)
-                    rows.append(own[spread].tobytes())
+                rows = [own.tobytes() for own in np.split(x, np.flatnonzero(np.diff(bag)) + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids[a:b]]), pa.array(labels[a:b], pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
     rows = sorted(tuple(r) for r in chosen.mapInArrow(lean(bags), "doc_id string, label int, x binary").collect())  # at most as many as the sample

@@ -105,9 +105,9 @@ def long_word(word: str) -> np.uint64:
     return total
 
 
-def scan(texts: list[str], *, by_space: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def scan(texts: list[str] | list[bytes], *, by_space: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of the texts joined by zero bytes, and of each word: first byte, end, and the text's number."""
-    encoded = [t.encode("utf-8", "replace") for t in texts]
+    encoded = [t if isinstance(t, bytes) else t.encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"\0".join(encoded) + b"\0", np.uint8)
     inside = ~_SPACE[data] if by_space else _WORD[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1

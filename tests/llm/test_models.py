@@ -172,6 +172,18 @@ def test_features_depend_on_the_text_alone():
         assert np.allclose(x[bag == k], quality.encode([text])[0], atol=1e-6)
 
 
+def test_passages_are_the_same_however_a_text_is_cut(monkeypatch):
+    r = np.random.default_rng(3)
+    long = " ".join(f"w{k}" for k in r.integers(0, 400, 5000))
+    texts = ["  " + long + " \n", "short one", "", "ß" * 5000 + " end", "\t" * 300, long[:9000]]
+    whole = quality.encode(texts)
+    assert np.bincount(whole[1]).tolist() == [79, 1, 1, 1, 1, -(-len(long[:9000].split()) // 64)]
+    for size in (64, 1000, 9001):
+        monkeypatch.setattr(words, "CHUNK", size)
+        x, bag = quality.encode(texts)
+        assert (bag == whole[1]).all() and np.allclose(x, whole[0], atol=1e-6)
+
+
 def test_passages_are_counted_in_plain_words():
     """Shares that the encoder gives, counted by hand, over a text of several passages."""
     text = " ".join(["abc", "DEF", "12", "abc"] * 40)
