@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,34 +54,12 @@ def ttl(rows: DataFrame, *, key: str, at: str, pos: str, seconds: float) -> Data
     return timed.repartition(key).sortWithinPartitions(key, "_at", pos).mapInArrow(run, schema)
 
 
-def exact_lru(rows: DataFrame, *, fingerprint: str, at: str, pos: str, seconds: float, capacity: int = 10_000) -> DataFrame:
-    """As ttl(), with at most `capacity` records, the least recently met going first: one order over all rows, so one partition."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("fresh", T.BooleanType())])
-    n, timed = rows.columns.index(fingerprint), rows.withColumn("_at", F.col(at).cast("timestamp").cast("double"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: OrderedDict = OrderedDict()
-        for batch in batches:
-            fresh = []
-            for k, t in zip(batch.column(n).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                recorded, new = fold(memory.get(k), t, seconds)
-                if recorded is None:
-                    memory.pop(k, None)
-                else:
-                    memory[k] = recorded
-                    memory.move_to_end(k)
-                    if len(memory) > capacity:
-                        memory.popitem(last=False)
-                fresh.append(new)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fresh, pa.bool_())], schema=pa.schema([*list(batch.schema)[:-1], pa.field("fresh", pa.bool_())]))
-
-    return timed.coalesce(1).sortWithinPartitions("_at", pos).mapInArrow(run, schema)
-
-
 def by_mode(rows: DataFrame, mode: str = "batch", *, fingerprint: str = "fp", pos: str = "pos", at: str | None = None, seconds: float = 86400) -> DataFrame:
     """The rows that are fresh, by the rule that a setting names: batch (first sighting), ttl, or exact_lru."""
     if mode == "batch":
         return keep_first(rows, fingerprint)
+    from .lru import exact_lru  # which folds as this module does
+
     rules = {"ttl": lambda: ttl(rows, key=fingerprint, at=at, pos=pos, seconds=seconds), "exact_lru": lambda: exact_lru(rows, fingerprint=fingerprint, at=at, pos=pos, seconds=seconds)}
     if mode not in rules:
         raise ValueError(f"no dedup mode {mode!r}")

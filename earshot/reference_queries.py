@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import query
 from .functions import text as X
-from .operators import batching, clustering, dedup, evaluation, filtering, jobs, mood, prefix, quotes, retrieval
+from .operators import batching, clustering, dedup, evaluation, filtering, jobs, lru, mood, prefix, quotes, retrieval
 from .operators.models import HashEmbedder, HashProvider
 from .plans import analysis, insights, preflight
 from .schemas import COARSE, INTENTS, SENTIMENTS, STAGES, coarse, score, valid_sentiment
@@ -229,6 +229,13 @@ def dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.ttl(rows, key="fp", at="ts", pos="pos", seconds=TTL).select("pos", "fp", "fresh")
 
 
+@query("dedup_lru")
+def dedup_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with at most 200 sightings on record, the least recently met going first: one fold over all rows, which SQL can't express."""
+    rows = corpus.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.concat(F.col("user_id").cast("string"), "event_type").alias("fp"), "ts")
+    return lru.exact_lru(rows, fingerprint="fp", at="ts", pos="pos", seconds=TTL, capacity=200).select("pos", "fp", "fresh")
+
+
 @query("stream_dedup", f"WITH RECURSIVE {_FOLDED} SELECT fp, pos, CAST(t AS DOUBLE) AS at FROM f WHERE fresh")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rule on a stream of the events, run to its end."""

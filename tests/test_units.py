@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from earshot import schemas
 from earshot.functions import text as X
-from earshot.operators import batching, clustering, dedup, evaluation, filtering, jobs, models, mood
+from earshot.operators import batching, clustering, dedup, evaluation, filtering, jobs, lru, models, mood
 from earshot.plans import analysis, insights, preflight
 from earshot.schemas import valid_intent, valid_quotes, valid_sentiment
 from earshot.sources import corpus, paged
@@ -98,8 +98,39 @@ def test_ttl_and_lru_over_rows(spark):
     df = spark.createDataFrame([(k, "a", t) for k, t in enumerate([0, 5, 12, 13, 14, 30])] + [(10, "b", 3), (11, None, 4), (12, None, 5)], "pos bigint, fp string, t bigint").withColumn("ts", F.timestamp_seconds("t"))
     out = {r.pos: r.fresh for r in dedup.ttl(df, key="fp", at="ts", pos="pos", seconds=10).collect()}
     assert [p for p in sorted(out) if out[p]] == [0, 2, 3, 5, 10, 11]
-    lru = {r.pos: r.fresh for r in dedup.exact_lru(df, fingerprint="fp", at="ts", pos="pos", seconds=10, capacity=1).collect()}
-    assert lru[1] and lru[10] and lru[11] and lru[12]  # a at 5 took the one place
+    bounded = {r.pos: r.fresh for r in lru.exact_lru(df, fingerprint="fp", at="ts", pos="pos", seconds=10, capacity=1).collect()}
+    assert bounded[1] and bounded[10] and bounded[11] and bounded[12]  # a at 5 took the one place
+
+
+def folded(rows, seconds, capacity):
+    """(pos, fingerprint, seconds or None) in one plain pass."""
+    records, fresh = {}, {}
+    for pos, fp, t in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+        held = records.pop(fp, None) if t is not None else None
+        fresh[pos] = held is None or t - held >= seconds
+        if t is not None and (held is None or t - held < seconds):
+            records[fp] = t if held is None else held
+            if len(records) > capacity:
+                del records[next(iter(records))]
+    return fresh
+
+
+@pytest.mark.parametrize("seed, keys, capacity, seconds, slices", [(1, 30, 8, 200, 1), (2, 30, 8, 200, 7), (3, 400, 60, 3000, 12), (4, 12, 100, 40, 9), (5, 300, 1, 10**6, 5), (6, 900, 350, 900, 16)])
+def test_bounded_memory_over_many_slices_is_the_fold_over_all_rows(spark, seed, keys, capacity, seconds, slices):
+    rng = random.Random(seed)
+    pick = lambda: None if rng.random() < 0.02 else "hot" if rng.random() < 0.3 else f"k{int(keys * rng.random() ** 2)}"
+    rows = [(k, pick(), None if rng.random() < 0.01 else rng.randrange(4000)) for k in range(2500)]
+    df = spark.createDataFrame(rows, "pos bigint, fp string, t bigint").withColumn("ts", F.timestamp_seconds("t"))
+    out = lru.exact_lru(df, fingerprint="fp", at="ts", pos="pos", seconds=seconds, capacity=capacity, slices=slices)
+    assert out.columns == [*df.columns, "fresh"]
+    assert {r.pos: r.fresh for r in out.collect()} == folded(rows, seconds, capacity)
+
+
+def test_bounded_memory_of_nothing_and_of_taken_names(spark):
+    empty = spark.createDataFrame([], "pos bigint, fp string, ts timestamp")
+    assert lru.exact_lru(empty, fingerprint="fp", at="ts", pos="pos", seconds=5).collect() == []
+    with pytest.raises(ValueError, match="_key"):
+        lru.exact_lru(empty.withColumn("_key", F.lit(1)), fingerprint="fp", at="ts", pos="pos", seconds=5)
 
 
 def test_stream_keeps_what_the_fold_keeps(spark, tmp_path):
