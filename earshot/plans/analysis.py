@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import batching, clustering, dedup, filtering
 from ..operators.models import HashEmbedder, HashProvider, offline_synthesis
+from ..session import scratch
 from . import insights
 
 
 def prepare(comments: DataFrame) -> DataFrame:
-    """Cleaned texts, the first sighting of each."""
-    cleaned = X.clean_urls(comments.filter("text <> ''")).withColumn("text", X.sanitize(F.col("text"))).filter("text <> ''")
-    return dedup.keep_first(X.with_fingerprint(cleaned)).drop("fp")
+    """Cleaned texts, the first sighting of each.
+
+    They are written once: as a plan, every filter and branch behind the cleaning would clean all texts again.
+    """
+    cleaned = X.clean_urls(comments.filter("text <> ''")).withColumn("text", X.sanitize(F.col("text")))
+    path = scratch(comments.sparkSession, "cleaned")
+    cleaned.write.parquet(path)
+    held = comments.sparkSession.read.schema(cleaned.schema).parquet(path).filter("text <> ''")
+    return dedup.keep_first(X.with_fingerprint(held)).drop("fp")
 
 
 def clusters_of(comments: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -32,12 +39,12 @@ def analyze(comments: DataFrame, embeddings: DataFrame | None = None, *, sentime
     Without given embeddings there is a stage that makes them. Comments of dense clusters pass the filter whatever their sentiment.
     """
     log = getattr(store, "log", lambda stage: None)
-    corpus = store(prepare(comments), "ingestion")
+    corpus = store(lambda: prepare(comments), "ingestion")
     sentiments = store(lambda: batching.classify(corpus, sentiment or HashProvider("sentiment"), "sentiment", log=log("stage_a_sentiment")), "stage_a_sentiment")
     if embeddings is None:
         embeddings = store(lambda: batching.embed(corpus, embedder or HashEmbedder(), log=log("stage_a_embedding")), "stage_a_embedding")
         batching.one_width(embeddings)
-    clusters = store(clusters_of(corpus, embeddings), "clusters")
+    clusters = store(lambda: clusters_of(corpus, embeddings), "clusters")
     labelled = filtering.strict_labels(corpus, sentiments).join(clusters, "id", "left")
     chosen = store(filtering.select_flagged(labelled).select(*corpus.columns), "flagged")
     intents = store(lambda: batching.classify(chosen, intent or HashProvider("intent"), "intent", log=log("stage_b")), "stage_b")

@@ -3,6 +3,7 @@
 import numpy as np
 
 from earshot.operators import clustering
+from earshot.plans import analysis
 
 
 def test_large_scopes_of_kmeans_are_worked_on_side_by_side_as_in_one_worker(spark):
@@ -14,3 +15,10 @@ def test_large_scopes_of_kmeans_are_worked_on_side_by_side_as_in_one_worker(spar
     assert here == there and len(here) == len(rows)
     plan = clustering.cluster_scopes(df, one_worker=5, **how)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_a_text_is_cleaned_once(spark):
+    rows = [("a", 0, "Mail me@here.org  now ", "v"), ("b", 1, "mail ME@here.org now", "v"), ("c", 2, " ", "v"), ("d", 3, None, "v")]
+    prepared = analysis.prepare(spark.createDataFrame(rows, "id string, pos long, text string, video_id string"))
+    assert [(r.pos, r.text) for r in prepared.collect()] == [(0, "Mail [EMAIL] now")]
+    assert "[EMAIL]" not in prepared._jdf.queryExecution().toString()  # what follows reads the cleaned texts
