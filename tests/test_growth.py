@@ -46,3 +46,18 @@ def test_search_shuffles_the_best_alone_and_rounds_as_sql(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, best.collect()))
     halves = np.array([0.0000005, -0.0000005, 0.1234565, 0.9999995, 1.0, -0.25, 0.1234564999])
     assert retrieval._rounded(halves, 6).tolist() == [r[0] for r in spark.createDataFrame([(v,) for v in halves.tolist()], "x double").select(F.round("x", 6)).collect()]
+
+
+def test_a_question_goes_to_the_workers_once_whatever_lists_it_probes(spark, tmp_path):
+    x, df = crowd(spark)
+    index, asked = retrieval.build(df, str(tmp_path / "index"), lists=12), df.filter("pos % 20 = 0")
+    found = retrieval.search(index, asked, k=7, probes=6)
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()  # no vectors by list in a broadcast
+    every = {(r.query_id, r.pos): r.cosine for r in retrieval.search(index, asked, k=1500).collect()}
+    near = retrieval._nearest(x, index.centroids, 6)
+    lists = {r.pos: r.list for r in index.table.select("pos", "list").collect()}
+    want = set()
+    for q in range(0, 1500, 20):
+        met = [(-every[q, p], p) for p in range(1500) if lists[p] in near[q]]
+        want |= {(q, p, -c) for c, p in sorted(met)[:7]}
+    assert {(r.query_id, r.pos, r.cosine) for r in found.collect()} == want
