@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,12 +19,32 @@ def dedup_within(comments: DataFrame, *, fingerprint: str = "fp", at: str = "tim
     return comments.withWatermark(at, ttl).dropDuplicatesWithinWatermark([fingerprint])
 
 
-def _in_order(frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-    """(pos, at) of a key's rows of a micro-batch in order of time: two numbers a row are held."""
-    held = [(f["pos"].to_numpy(), f["at"].to_numpy()) for f in frames]
-    pos, at = (np.concatenate([h[k] for h in held]) if held else np.zeros(0) for k in (0, 1))
-    order = np.lexsort((pos, at))
-    return pos[order], at[order]
+#: Keys share state by hash, in so many buckets; a call to Python is for a bucket of a micro-batch, not for a key.
+BUCKETS = 4096
+#: State of a bucket: its keys and the number on record for each.
+RECORDS = "keys array<string>, recorded array<double>"
+
+
+def _by_bucket(rows: DataFrame, key: str, run: Callable, timeout: str) -> DataFrame:
+    buckets = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).groupBy("_bucket")
+    return buckets.applyInPandasWithState(run, f"{key} string, pos bigint, at double", RECORDS, "append", timeout)
+
+
+def _records(state: GroupState) -> dict[str | None, float]:
+    return dict(zip(*state.get)) if state.exists else {}
+
+
+def _record(state: GroupState, held: dict[str | None, float]) -> None:
+    if held:
+        state.update((list(held), list(held.values())))
+    elif state.exists:
+        state.remove()
+
+
+def _in_order(frames: Iterator[pd.DataFrame], key: str) -> pd.DataFrame:
+    """(key, pos, at) of a bucket's rows of a micro-batch in order of time."""
+    held = [f[[key, "pos", "at"]] for f in frames]
+    return (pd.concat(held, ignore_index=True) if len(held) != 1 else held[0]).sort_values(["at", "pos"])
 
 
 def dedup_exact(comments: DataFrame, *, key: str = "fp", at: str = "timestamp", seconds: float = 3600) -> DataFrame:
@@ -33,21 +53,21 @@ def dedup_exact(comments: DataFrame, *, key: str = "fp", at: str = "timestamp",
     Its state stays: a sighting after the time to live clears a record, so the rule tells an expired record from none, for ever.
     """
 
-    def run(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recorded = state.get[0] if state.exists else None
-        pos, times = _in_order(frames)
-        fresh = np.zeros(len(pos), bool)
-        for k, t in enumerate(times.tolist()):
-            recorded, fresh[k] = fold(recorded, t, seconds)
-        if recorded is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((recorded,))
-        yield pd.DataFrame({key: [name[0]] * int(fresh.sum()), "pos": pos[fresh], "at": times[fresh]})
+    def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = _records(state)
+        rows = _in_order(frames, key)
+        fresh = np.zeros(len(rows), bool)
+        for n, (k, t) in enumerate(zip(rows[key].tolist(), rows["at"].tolist())):
+            recorded, fresh[n] = fold(held.get(k), t, seconds)
+            if recorded is None:
+                held.pop(k, None)
+            else:
+                held[k] = recorded
+        _record(state, held)
+        yield rows[fresh]
 
     timed = comments.select(key, "pos", F.col(at).cast("timestamp").cast("double").alias("at"))
-    return timed.groupBy(key).applyInPandasWithState(run, f"{key} string, pos bigint, at double", "recorded double", "append", GroupStateTimeout.NoTimeout)
+    return _by_bucket(timed, key, run, GroupStateTimeout.NoTimeout)
 
 
 def dedup_expiring(comments: DataFrame, *, key: str = "fp", at: str = "timestamp", seconds: float = 3600, late: str = "1 hour") -> DataFrame:
@@ -55,25 +75,28 @@ def dedup_expiring(comments: DataFrame, *, key: str = "fp", at: str = "timestamp
     a duplicate, a later one is fresh and goes on record itself.
 
     A record is one number of state. When the watermark, `late` behind the newest row, has passed the end of its time to live,
-    a timer removes it: what the stream holds is bounded by the keys of one time to live and the lateness. Rows behind the watermark are dropped.
+    a timer of its bucket removes it: what the stream holds is bounded by the keys of one time to live and the lateness. Rows behind the watermark are dropped.
     """
 
-    def run(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recorded = state.get[0] if state.exists else None
-        pos, times = _in_order(frames)
-        fresh = np.zeros(len(pos), bool)
-        for k, t in enumerate(times.tolist()):
-            fresh[k] = recorded is None or t - recorded >= seconds
-            recorded = t if fresh[k] else recorded
-        state.update((recorded,))
-        state.setTimeoutTimestamp(max(int((recorded + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [name[0]] * int(fresh.sum()), "pos": pos[fresh], "at": times[fresh]})
+    def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, timed_out = _records(state), state.hasTimedOut
+        if not timed_out:
+            rows = _in_order(frames, key)
+            fresh = np.zeros(len(rows), bool)
+            for n, (k, t) in enumerate(zip(rows[key].tolist(), rows["at"].tolist())):
+                recorded = held.get(k)
+                if recorded is None or t - recorded >= seconds:
+                    held[k], fresh[n] = t, True
+        passed = state.getCurrentWatermarkMs()
+        held = {k: t for k, t in held.items() if passed / 1000 - t < seconds}
+        _record(state, held)
+        if held:
+            state.setTimeoutTimestamp(max(int((min(held.values()) + seconds) * 1000), passed + 1))
+        if not timed_out:
+            yield rows[fresh]
 
     timed = comments.withWatermark(at, late).select(key, "pos", at, F.col(at).cast("timestamp").cast("double").alias("at"))
-    return timed.groupBy(key).applyInPandasWithState(run, f"{key} string, pos bigint, at double", "recorded double", "append", GroupStateTimeout.EventTimeTimeout)
+    return _by_bucket(timed, key, run, GroupStateTimeout.EventTimeTimeout)
 
 
 def labelled(comments: DataFrame, labels: DataFrame, *, id_col: str = "id", at: str = "timestamp", label_id: str = "comment_id", labelled_at: str = "labelled_at", within: str = "2 hours", late: str = "1 hour") -> DataFrame:

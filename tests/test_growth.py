@@ -1,11 +1,15 @@
 """What must not grow faster than the input: one cleaning of a text, large scopes in passes, questions sent once, state by bucket."""
 
+import datetime
+import random
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from earshot.operators import clustering, retrieval
+from earshot.operators import clustering, dedup, retrieval
 from earshot.plans import analysis
+from earshot.streaming import streams
 
 
 def test_large_scopes_of_kmeans_are_worked_on_side_by_side_as_in_one_worker(spark):
@@ -61,3 +65,26 @@ def test_a_question_goes_to_the_workers_once_whatever_lists_it_probes(spark, tmp
         met = [(-every[q, p], p) for p in range(1500) if lists[p] in near[q]]
         want |= {(q, p, -c) for c, p in sorted(met)[:7]}
     assert {(r.query_id, r.pos, r.cosine) for r in found.collect()} == want
+
+
+def test_keys_share_state_by_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "BUCKETS", 4)
+    draw, day = random.Random(6), datetime.datetime(2024, 1, 1)
+    rows = sorted((draw.randrange(3000), n, None if n % 17 == 0 else f"k{draw.randrange(50)}") for n in range(400))
+    schema = "pos bigint, fp string, timestamp timestamp"
+    for at in range(0, 400, 100):  # one micro-batch each
+        part = [(n, k, day + datetime.timedelta(seconds=t)) for t, n, k in rows[at : at + 100]]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    recorded, want, folded, exact = {}, [], {}, []
+    for t, n, k in rows:
+        if k not in recorded or t - recorded[k] >= 40:
+            recorded[k] = t
+            want.append(n)
+        folded[k], new = dedup.fold(folded.get(k), t, 40)
+        exact += [n] if new else []
+    for name, rule, fresh in (("expiring_b", lambda s: streams.dedup_expiring(s, seconds=40, late="10 seconds"), want), ("exact_b", lambda s: streams.dedup_exact(s, seconds=40), exact)):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = rule(source).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert sorted(r.pos for r in spark.table(name).collect()) == sorted(fresh)
+        assert 1 <= max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 4
