@@ -17,13 +17,17 @@ from . import insights
 def prepare(comments: DataFrame) -> DataFrame:
     """Cleaned texts, the first sighting of each.
 
-    They are written once: as a plan, every filter and branch behind the cleaning would clean all texts again.
+    They are written once: as a plan, every filter and branch behind the cleaning would clean all texts again. They are
+    dealt out first, as a file of texts may be one task; fingerprints are worked out for the choice of rows alone.
     """
-    cleaned = X.clean_urls(comments.filter("text <> ''")).withColumn("text", X.sanitize(F.col("text")))
-    path = scratch(comments.sparkSession, "cleaned")
+    spark = comments.sparkSession
+    dealt = comments.filter("text <> ''").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pos")
+    cleaned = X.clean_urls(dealt).withColumn("text", X.sanitize(F.col("text")))
+    path = scratch(spark, "cleaned")
     cleaned.write.parquet(path)
-    held = comments.sparkSession.read.schema(cleaned.schema).parquet(path).filter("text <> ''")
-    return dedup.keep_first(X.with_fingerprint(held)).drop("fp")
+    held = spark.read.schema(cleaned.schema).parquet(path).filter("text <> ''")
+    firsts = dedup.first_seen(X.with_fingerprint(held).select("pos", "fp")).select(F.col("first_pos").alias("pos"))
+    return held.join(firsts, "pos", "left_semi").select(*comments.columns)
 
 
 def clusters_of(comments: DataFrame, embeddings: DataFrame) -> DataFrame:
