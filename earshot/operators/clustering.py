@@ -217,27 +217,28 @@ def _in_passes(points: DataFrame, total: int, counts: dict[int, int], id_col: st
             for n, own in found.items():
                 if asked[n][1] is None:
                     sums, sizes, inertia, far = own
-                    rows += [(n, r, c, sizes[r, c], sums[r, c].tolist(), *((inertia[r], far[r][0], far[r][1], far[r][2].tolist()) if c == 0 else (0.0, -1.0, 0, []))) for r in range(restarts) for c in range(counts[n])]
+                    rows += [(n, r, [*sums[r].ravel(), *sizes[r], inertia[r]], *far[r]) for r in range(restarts)]
                 else:
-                    rows += [(n, r, 0, 0.0, [0.0], 0.0, rank, key, point.tolist()) for r, (rank, key, point) in enumerate(own)]
+                    rows += [(n, r, [0.0], *best) for r, best in enumerate(own)]
             if rows:
-                types = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=["_n", "restart", "cluster", "size", "total", "inertia", "worst", "key", "point"])
+                types = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=["_n", "restart", "total", "worst", "key", "point"])
 
-        partial = table.select("key", "point", "_n").mapInArrow(run, "_n int, restart int, cluster int, size double, total array<double>, inertia double, worst double, key long, point array<double>")
-        merged = partial.groupBy("_n", "restart", "cluster").agg(
-            F.sum("size").alias("size"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"), F.sum("inertia").alias("inertia"),
-            F.max("worst").alias("worst"), F.max_by("point", F.struct("worst", "key")).alias("point"),
+        partial = table.select("key", "point", "_n").mapInArrow(run, "_n int, restart int, total array<double>, worst double, key long, point array<double>")
+        merged = partial.groupBy("_n", "restart").agg(
+            vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"), F.max("worst").alias("worst"), F.max_by("point", F.struct("worst", "key")).alias("point"),
         )
-        rows = sorted(merged.collect(), key=lambda r: (r["_n"], r["restart"], r["cluster"]))  # scopes x restarts x clusters
+        rows = sorted(merged.collect(), key=lambda r: (r["_n"], r["restart"]))  # scopes x restarts, with all their centroids
         answers: dict[int, object] = {}
         for n, (_, step) in asked.items():
             own = [r for r in rows if r["_n"] == n]
-            first = own[:: counts[n] if step is None else 1]
+            point = np.array([r["point"] for r in own])
             if step is None:
-                answers[n] = np.array([r["total"] for r in own]).reshape(restarts, counts[n], -1), np.array([r["size"] for r in own]).reshape(restarts, -1), *(np.array([r[c] for r in first]) for c in ("inertia", "worst", "point"))
+                total = np.array([r["total"] for r in own])
+                sums, sizes, inertia = np.split(total, [-counts[n] - 1, -1], 1)
+                answers[n] = sums.reshape(restarts, counts[n], -1), sizes, inertia[:, 0], np.array([r["worst"] for r in own]), point
             else:
-                answers[n] = np.array([r["point"] for r in first])
+                answers[n] = point
         return answers
 
     runs = {n: settle(k, rounds) for n, k in counts.items() if k > 1}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import batching, clustering, dedup, filtering
 from ..operators.models import HashEmbedder, HashProvider, offline_synthesis
-from ..session import scratch
+from ..session import scratch, side_by_side
 from . import insights
 
 
@@ -36,6 +36,12 @@ def clusters_of(comments: DataFrame, embeddings: DataFrame) -> DataFrame:
     return clustering.cluster_all(own, id_col="id", vector="vector", clusters=lambda n: 1 if n < 2 else min(max(2, n // 15), 60, n))
 
 
+def flagged(corpus: DataFrame, sentiments: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The comments that pass the stage filter, chosen by id: their texts are shuffled once."""
+    labelled = filtering.strict_labels(corpus.select("id", "pos"), sentiments).join(clusters, "id", "left")
+    return corpus.join(filtering.flags(labelled).filter("flagged").select("id"), "id", "left_semi").select(*corpus.columns)
+
+
 def analyze(comments: DataFrame, embeddings: DataFrame | None = None, *, sentiment=None, intent=None, embedder=None, titles: DataFrame | None = None, write=offline_synthesis, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The report of a corpus. store(df, name), as jobs.stage_tables() makes it, writes a stage once, so that no model call is made twice.
 
@@ -43,13 +49,17 @@ def analyze(comments: DataFrame, embeddings: DataFrame | None = None, *, sentime
     Without given embeddings there is a stage that makes them. Comments of dense clusters pass the filter whatever their sentiment.
     """
     log = getattr(store, "log", lambda stage: None)
+    spark = comments.sparkSession
     corpus = store(lambda: prepare(comments), "ingestion")
-    sentiments = store(lambda: batching.classify(corpus, sentiment or HashProvider("sentiment"), "sentiment", log=log("stage_a_sentiment")), "stage_a_sentiment")
     if embeddings is None:
         embeddings = store(lambda: batching.embed(corpus, embedder or HashEmbedder(), log=log("stage_a_embedding")), "stage_a_embedding")
         batching.one_width(embeddings)
-    clusters = store(lambda: clusters_of(corpus, embeddings), "clusters")
-    labelled = filtering.strict_labels(corpus, sentiments).join(clusters, "id", "left")
-    chosen = store(filtering.select_flagged(labelled).select(*corpus.columns), "flagged")
+    # passes of clustering leave cores idle; stages with a log take turns, as they append to one table
+    sentiments, clusters = side_by_side(
+        spark,
+        lambda: store(lambda: batching.classify(corpus, sentiment or HashProvider("sentiment"), "sentiment", log=log("stage_a_sentiment")), "stage_a_sentiment"),
+        lambda: store(lambda: clusters_of(corpus, embeddings), "clusters"),
+    )
+    chosen = store(lambda: flagged(corpus, sentiments, clusters), "flagged")
     intents = store(lambda: batching.classify(chosen, intent or HashProvider("intent"), "intent", log=log("stage_b")), "stage_b")
     return store(lambda: insights.report(corpus, sentiments, intents, embeddings, titles=titles, write=write), "stage_c")

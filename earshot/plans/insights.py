@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import clustering, filtering, mood, prefix, quotes
 from ..operators.models import offline_synthesis
 from ..schemas import QUOTES
-from ..session import scratch
+from ..session import scratch, side_by_side
 
 #: What a draft may also say.
 HINTS = {"request": "suggested_title", "confusion": "timestamp_hint"}
@@ -104,11 +104,18 @@ def clustered(comments: DataFrame, embeddings: DataFrame, *, most: int = 3) -> D
 
 def report(comments: DataFrame, sentiments: DataFrame, intents: DataFrame, embeddings: DataFrame, *, titles: DataFrame | None = None, write: Callable[[str, list[str]], str] = offline_synthesis) -> DataFrame:
     """Requests, confusion points and the videos that landed badly, one row each; these with title, score and delta."""
-    parts = [synthesize(clustered(filtering.candidates(comments, intents, kind), embeddings), kind, write) for kind in ("request", "confusion")]
+    def said(kind: str) -> DataFrame:
+        return synthesize(clustered(filtering.candidates(comments, intents, kind), embeddings), kind, write)
+
     labelled = comments.join(sentiments, comments["id"] == sentiments["comment_id"])
-    worst = mood.underperforming(labelled)
-    sample = mood.driver_sample(labelled.join(worst.select("video_id"), "video_id", "left_semi"))
-    driven = synthesize(sample.select(F.col("video_id").alias("group"), "pos", "text"), "mood", write)
+    worst = mood.underperforming(labelled.drop("text"))
+
+    def driven() -> DataFrame:
+        sample = mood.driver_sample(labelled.drop("text").join(worst.select("video_id"), "video_id", "left_semi"))
+        texts = comments.select("id", "pos", "text").join(F.broadcast(sample.select("id", "pos", F.col("video_id").alias("group"))), ["id", "pos"])  # 20 a video
+        return synthesize(texts.select("group", "pos", "text"), "mood", write)
+
+    *parts, driven = side_by_side(comments.sparkSession, lambda: said("request"), lambda: said("confusion"), driven)
     named = mood.with_titles(worst, titles) if titles is not None else worst.withColumn("title", F.col("video_id"))
     # a video without a valid draft keeps its numbers
     moods = named.select(F.col("video_id").alias("group"), "title", F.col("video_avg").alias("score"), "delta").join(driven.drop("kind"), "group", "left").withColumn("kind", F.lit("mood"))

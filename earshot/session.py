@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 
@@ -38,3 +41,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         folder = tempfile.mkdtemp(prefix="earshot-")
         context.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def side_by_side(spark: SparkSession, *parts: Callable[[], object]) -> list:
+    """What the parts return; their jobs run at the same time. All are waited for, then the first error is raised."""
+    with ThreadPoolExecutor(len(parts)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(part)) for part in parts]
+    return [w.result() for w in waiting]

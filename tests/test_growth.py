@@ -2,13 +2,17 @@
 
 import datetime
 import random
+import threading
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from earshot.functions import text as X
 from earshot.operators import clustering, dedup, retrieval
 from earshot.plans import analysis
+from earshot.session import side_by_side
 from earshot.streaming import streams
 
 
@@ -135,3 +139,41 @@ def test_keys_share_state_by_bucket(spark, tmp_path, monkeypatch):
         query.awaitTermination()
         assert sorted(r.pos for r in spark.table(name).collect()) == sorted(fresh)
         assert 1 <= max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 4
+
+
+def test_texts_are_read_once_for_fingerprints(spark, tmp_path):
+    spark.createDataFrame([(1, "Ab  c"), (2, "ﬁn"), (3, None)], "pos int, text string").write.parquet(str(tmp_path / "t"))
+    plan = X.with_fingerprint(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("FileScan") == 1
+
+
+def test_cleaning_that_skips_patterns_is_cleaning_by_all_of_them(spark):
+    spaces, quotes = "(?U)^\\s+|\\s+$", f"^[{X.QUOTES}]+|[{X.QUOTES}]+$"
+    steps = [(X.EMAIL, "[EMAIL]"), ("(?U)" + X.PHONE_INTERNATIONAL, "[PHONE]"), ("(?U)" + X.PHONE_LOCAL, "[PHONE]"), ("[ \\t]+", " "), (" ?\\n ?", "\n"), ("\\n{3,}", "\n\n"), (spaces, ""), (quotes, ""), (spaces, "")]
+    draw = random.Random(4)
+    pieces = [*" \t\n\r\f\x0b\x1c\x85  \xa0　​'\"“’@+()-.5a٣😀", "\n\n\n", "  ", " \n", "me@here.org", "+49 30 123 456", "(030) 123-456-7890", "٣٣٣ ٣٣٣ ٣٣٣٣", "a"]
+    texts = [None, "", *("".join(draw.choices(pieces, k=draw.randint(1, 9))) for _ in range(3000))]
+    plain = F.col("text")
+    for pattern, by in steps:
+        plain = F.regexp_replace(plain, pattern, by)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.select(X.sanitize(F.col("text")).alias("here"), plain.alias("there")).filter("NOT here <=> there").collect() == []
+
+
+def test_the_stage_filter_shuffles_texts_once(spark, tmp_path):
+    rows = [(str(n), n, f"text {n}", "v") for n in range(40)]
+    spark.createDataFrame(rows, "id string, pos long, text string, video_id string").write.parquet(str(tmp_path / "c"))
+    corpus = spark.read.parquet(str(tmp_path / "c"))
+    sentiments = corpus.select(F.col("id").alias("comment_id"), F.when(F.col("pos") % 4 == 0, "negative").otherwise("neutral").alias("sentiment"), F.lit(0.1).alias("confidence"))
+    clusters = corpus.filter("pos % 2 = 1").select("id", F.when(F.col("pos") < 12, 1).otherwise(F.col("pos")).cast("int").alias("cluster_id"))
+    chosen = analysis.flagged(corpus, sentiments, clusters)
+    assert sorted(r.pos for r in chosen.collect()) == sorted({*range(0, 40, 4), *range(1, 12, 2)}) and chosen.columns == corpus.columns
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("text#" in line for line in plan.splitlines() if "Relation" not in line and "Project" not in line) == 0 and "Sort" not in plan
+
+
+def test_parts_run_side_by_side(spark):
+    both = threading.Barrier(2, timeout=20)
+    assert side_by_side(spark, lambda: (both.wait(), spark.range(3).count())[1], lambda: (both.wait(), 7)[1]) == [3, 7]
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, lambda: 1 / 0, lambda: 2)
